@@ -1,0 +1,20 @@
+"""Vector scalar functions (F3, F4) as native higher-order expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
+                       F.lit(0.0), lambda acc, v: acc + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+
+
+def cosine_similarity(a: Column, b: Column) -> Column:
+    """1 - cosine distance; NULL for a zero vector instead of an error."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
