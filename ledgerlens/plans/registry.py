@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = [
     ("citation_queries", "oracle_citations"),
+    ("text_queries", "oracle_text"),
 ]
 
 
