@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     ("citation_queries", "oracle_citations"),
     ("text_queries", "oracle_text"),
+    ("retrieval_queries", "oracle_retrieval"),
 ]
 
 
