@@ -8,6 +8,7 @@ _MODULES = [
     ("citation_queries", "oracle_citations"),
     ("text_queries", "oracle_text"),
     ("retrieval_queries", "oracle_retrieval"),
+    ("app_queries", "oracle_app"),
 ]
 
 

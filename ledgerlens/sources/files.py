@@ -57,7 +57,7 @@ def parse_vector(c: Column) -> Column:
 
 def read_wholetext(spark: SparkSession, path: str) -> DataFrame:
     """Each file as one string, with its path."""
-    return (spark.read.option("wholetext", True).text(path)
+    return (spark.read.text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text")))
 
 
