@@ -13,8 +13,10 @@ SPACE_CLASS = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}"
 # character class is a range from '$' to '_', which already holds digits, capitals,
 # '%', parentheses, ',', '.', '/', ':' and '@').
 URL_PATTERN = r"https?://[!$-_a-z]+"
-# F1 in one pass: keep a URL (group 1), delete any other non-word, non-space character.
-CLEAN_PATTERN = rf"({URL_PATTERN})|[^{WORD_CLASS}{SPACE_CLASS}]"
+# F1 in one pass: keep a URL (group 1), delete any other run of non-word, non-space
+# characters. A URL starts with a letter, so no deleted run can swallow its start.
+CLEAN_PATTERN = rf"({URL_PATTERN})|[^{WORD_CLASS}{SPACE_CLASS}]+"
+PUNCT_RUN_PATTERN = rf"[^{WORD_CLASS}{SPACE_CLASS}]+"
 # a token is a run of word characters or a single other visible character.
 TOKEN_PATTERN = rf"[{WORD_CLASS}]+|[^{WORD_CLASS}{SPACE_CLASS}]"
 WORD_PATTERN = rf"[{WORD_CLASS}]+"
@@ -27,7 +29,10 @@ def clean_text(c: Column) -> Column:
     as in the original cleanup. URLs never contain spaces, tabs or newlines,
     so keeping them in place is the same as masking and restoring them.
     """
-    kept = F.regexp_replace(c, CLEAN_PATTERN, "$1")
+    # Texts without a scheme separator cannot hold a URL: a plain class deletion
+    # is several times cheaper than trying the URL branch at every position.
+    kept = F.when(F.instr(c, "://") > 0, F.regexp_replace(c, CLEAN_PATTERN, "$1")).otherwise(
+        F.regexp_replace(c, PUNCT_RUN_PATTERN, ""))
     no_breaks = F.regexp_replace(kept, r"[\n\t]+", "")
     return F.regexp_replace(no_breaks, " {5,}", " ")
 

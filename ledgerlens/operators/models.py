@@ -155,7 +155,9 @@ def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     totals = usage.groupBy("model").agg(F.count(F.lit(1)).alias("requests"),
                                         F.sum("prompt_tokens").alias("prompt_tokens"),
                                         F.sum("completion_tokens").alias("completion_tokens"))
-    joined = totals.join(F.broadcast(per_token), "model", "left")
+    # No broadcast hint: the price list is a parameter table, so the planner
+    # broadcasts it from its measured size when small and shuffles otherwise.
+    joined = totals.join(per_token, "model", "left")
     # decimal(18,0) x decimal(12,10) stays within 38 digits, so no scale is lost.
     cost = (F.col("prompt_tokens").cast("decimal(18,0)") * F.col("_pp")
             + F.col("completion_tokens").cast("decimal(18,0)") * F.col("_cp"))

@@ -54,3 +54,14 @@ def take_until_null(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     """
     stop = df.filter(F.col(key).isNull()).agg(F.min(ordinal).alias("_stop"))
     return df.filter(stop.scalar().isNull() | (F.col(ordinal) < stop.scalar()))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when the input has fewer partitions than task slots.
+
+    For CPU-heavy per-row work (regex over long texts) behind a scan that
+    yields few splits. On large inputs the check is false and no shuffle is
+    added. Counting partitions plans the query but runs no job.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

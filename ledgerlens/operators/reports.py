@@ -11,26 +11,38 @@ from .. import fixed_values as FV
 SCOPES = ["local", "state"]
 
 
-def counts_by_type_scope(classified: DataFrame, scopes: list[str] = SCOPES) -> DataFrame:
-    """A1: citations per violation type, one column per scope, NULL where absent.
+def _by_scope(df: DataFrame, keys: list[Column], value: Column | None, scopes: list[str]) -> DataFrame:
+    """Pivot on ``scope`` as conditional aggregates: one hash aggregate, one exchange.
 
-    ``pivot`` with explicit values is a single hash aggregate with partial
-    (map-side) combine; no extra job to discover the pivot values.
+    (``groupBy().pivot()`` plans two aggregations and two exchanges.) An absent
+    (key, scope) combination is NULL, as in a pivot: a count of 0 becomes NULL
+    and a sum over no rows is NULL already.
     """
-    return (classified.groupBy("violation_type").pivot("scope", scopes)
-            .agg(F.count(F.lit(1))))
+    aggs = []
+    for s in scopes:
+        hit = F.col("scope") == F.lit(s)
+        if value is None:
+            aggs.append(F.nullif(F.count(F.when(hit, F.lit(1))), F.lit(0)).alias(s))
+        else:
+            aggs.append(F.sum(F.when(hit, value)).alias(s))
+    return df.groupBy(*keys).agg(*aggs)
+
+
+def counts_by_type_scope(classified: DataFrame, scopes: list[str] = SCOPES) -> DataFrame:
+    """A1: citations per violation type, one column per scope, NULL where absent."""
+    return _by_scope(classified, [F.col("violation_type")], None, scopes)
 
 
 def revenue_by_type_scope(classified: DataFrame, scopes: list[str] = SCOPES) -> DataFrame:
     """A2: revenue per violation type and scope (exact decimal sums)."""
-    return classified.groupBy("violation_type").pivot("scope", scopes).agg(F.sum("revenue"))
+    return _by_scope(classified, [F.col("violation_type")], F.col("revenue"), scopes)
 
 
 def month_revenue(classified: DataFrame, date_col: str = "violation_date",
                   scopes: list[str] = SCOPES) -> DataFrame:
     """P8 + P9 + A9: monthly (``yyyy-MM``) revenue by scope."""
-    return (classified.groupBy(F.date_format(F.col(date_col), "yyyy-MM").alias("month"))
-            .pivot("scope", scopes).agg(F.sum("revenue")))
+    return _by_scope(classified, [F.date_format(F.col(date_col), "yyyy-MM").alias("month")],
+                     F.col("revenue"), scopes)
 
 
 def months_spanned(df: DataFrame, date_col: str = "violation_date") -> DataFrame:

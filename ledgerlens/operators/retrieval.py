@@ -15,7 +15,7 @@ from .. import fixed_values as FV
 from ..functions.text import token_count, words
 
 # Query matrices up to this size are broadcast to every task (size checked first).
-MAX_BROADCAST_BYTES = 256 << 20
+MAX_BROADCAST_BYTES = 64 << 20
 SIM_DECIMALS = 6
 
 

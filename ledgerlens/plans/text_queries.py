@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import documents as D
+from ..operators.ordering import spread
 from ..sources.tables import read_table
 
 
@@ -25,7 +26,7 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_text(spark, d):
-    return texts(spark, d).select("source", "id", TX.clean_text(F.col("text")).alias("text"))
+    return spread(texts(spark, d)).select("source", "id", TX.clean_text(F.col("text")).alias("text"))
 
 
 def newline_to_space(spark, d):
@@ -33,7 +34,7 @@ def newline_to_space(spark, d):
 
 
 def token_count(spark, d):
-    return texts(spark, d).select("source", "id", TX.token_count(F.col("text")).alias("tokens"))
+    return spread(texts(spark, d)).select("source", "id", TX.token_count(F.col("text")).alias("tokens"))
 
 
 def money_format(spark, d):
@@ -46,7 +47,7 @@ def row_text(spark, d):
 
 
 def table_text(spark, d):
-    li = read_table(spark, d, "lineitem")
+    li = spread(read_table(spark, d, "lineitem"))
     cells = ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"]
     # Line numbers repeat inside an order here, so all cells make the row order total.
     return D.table_text(li, ["l_orderkey"], cells, cells)
