@@ -160,29 +160,40 @@ def similarity_candidates(corpus: DataFrame, queries: DataFrame, k: int, corpus_
             yield from _score_batches(batches, "id", "vec", ids_, mat_, k, qid_arrow)
 
         return c.mapInArrow(kernel, out_schema)
-    return _blocked_candidates(c, q, k, out_schema, qid_arrow, blocks or max(2, cells * 8 // max_broadcast_bytes + 1))
+    q_blocks = blocks or max(2, -(-cells * 8 // max(1, max_broadcast_bytes)))
+    c_blocks = max(2, spark.sparkContext.defaultParallelism)
+    return _blocked_candidates(c, q, k, out_schema, qid_arrow, q_blocks, c_blocks)
 
 
 def _blocked_candidates(c: DataFrame, q: DataFrame, k: int, out_schema: T.StructType,
-                        qid_arrow: pa.DataType, n_blocks: int) -> DataFrame:
-    """Query x corpus scoring without a broadcast: each side is hashed into blocks and
-    replicated across the other side's blocks; one cogroup per (query block, corpus block)."""
-    nb = F.lit(n_blocks)
-    blocks = F.sequence(F.lit(0), nb - 1)
-    qb = q.withColumn("qb", F.pmod(F.xxhash64("qid"), nb)).withColumn("cb", F.explode(blocks))
-    cb = c.withColumn("cb", F.pmod(F.xxhash64("id"), nb)).withColumn("qb", F.explode(blocks))
+                        qid_arrow: pa.DataType, q_blocks: int, c_blocks: int) -> DataFrame:
+    """Query x corpus scoring without a broadcast.
+
+    Queries are hashed into ``q_blocks`` blocks (each small enough to hold in
+    one task) and corpus rows into ``c_blocks``; each query row is copied to
+    every corpus block and each corpus row to every query block, and one
+    cogroup per (query block, corpus block) scores its pair. Every group holds
+    one block of each side, so no group grows with the data; the replication
+    factor is the other side's block count.
+    """
+    qb_n, cb_n = F.lit(q_blocks), F.lit(c_blocks)
+    qb = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), qb_n).cast("int"))
+          .withColumn("cb", F.explode(F.sequence(F.lit(0), cb_n - 1))))
+    cb = (c.withColumn("cb", F.pmod(F.xxhash64("id"), cb_n).cast("int"))
+          .withColumn("qb", F.explode(F.sequence(F.lit(0), qb_n - 1))))
 
     def pair(qpdf, cpdf):
         import pandas as pd
+        empty = pd.DataFrame({"qid": pd.Series([], dtype=object), "id": pd.Series([], dtype="int64"),
+                              "similarity": pd.Series([], dtype="float64")})
         if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({"qid": [], "id": [], "similarity": []})
+            return empty
         qids, qmat = _query_matrix(list(zip(qpdf["qid"].tolist(), qpdf["qvec"].tolist())))
-        vec_arr = pa.array(cpdf["vec"].tolist(), type=pa.list_(pa.float64()))
+        vec_arr = pa.array([None if v is None else list(v) for v in cpdf["vec"].tolist()],
+                           type=pa.list_(pa.float64()))
         rb = pa.RecordBatch.from_arrays([pa.array(cpdf["id"].astype("int64")), vec_arr], names=["id", "vec"])
         out = list(_score_batches([rb], "id", "vec", qids, qmat, k, qid_arrow))
-        if not out:
-            return pd.DataFrame({"qid": [], "id": [], "similarity": []})
-        return out[0].to_pandas()
+        return out[0].to_pandas() if out else empty
 
     return (qb.groupBy("qb", "cb").cogroup(cb.groupBy("qb", "cb"))
             .applyInPandas(pair, out_schema))

@@ -12,25 +12,33 @@ def read_skip_preamble(spark: SparkSession, path: str, header_row: int = 1,
                        data_start: int = 2) -> DataFrame:
     """Banner row(s), header at ``header_row``, data from ``data_start``, per file.
 
+    The header line of the first file (one line reaches the driver) gives the
+    column names and count; the data is then read with that explicit schema.
     Files are read unsplit (``multiLine``), so ``monotonically_increasing_id``
-    is consecutive inside each file; the row position is the id minus the
+    is consecutive inside each file; a record's position is its id minus the
     file's smallest id, taken with a per-file aggregate (one row per file) and
-    an equi-join, never a window over a whole file. Column names come from the
-    header row of the first file: one row reaches the driver.
+    an equi-join, never a window over a whole file. Preamble rows are assumed
+    to be single lines; data records may span lines.
     """
-    raw = (spark.read.option("header", False).option("multiLine", True).option("escape", '"')
-           .csv(path)
+    import csv
+
+    lines = (spark.read.option("recursiveFileLookup", True).text(path)
+             .withColumn("_file", F.col("_metadata.file_path"))
+             .withColumn("_id", F.monotonically_increasing_id()))
+    first = lines.agg(F.min("_file").alias("f")).first()["f"]
+    line_starts = lines.filter(F.col("_file") == first).agg(F.min("_id").alias("s")).first()["s"]
+    header_line = lines.filter((F.col("_file") == first) & (F.col("_id") == line_starts + header_row)).first()
+    names = next(csv.reader([header_line["value"]])) if header_line else []
+    schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
+    raw = (spark.read.schema(schema).option("header", False).option("multiLine", True).option("escape", '"')
+           .option("recursiveFileLookup", True).option("mode", "PERMISSIVE").csv(path)
            .withColumn("_file", F.col("_metadata.file_path"))
            .withColumn("_id", F.monotonically_increasing_id()))
     starts = raw.groupBy("_file").agg(F.min("_id").alias("_start"))
     positioned = raw.join(starts, "_file").withColumn("_pos", F.col("_id") - F.col("_start"))
-    data_cols = [c for c in raw.columns if c.startswith("_c")]
-    header = (positioned.filter(F.col("_pos") == header_row).orderBy("_file")
-              .select(*data_cols).limit(1).collect())
-    names = [str(v) if v is not None else c for v, c in zip(header[0], data_cols)] if header else data_cols
     return (positioned.filter(F.col("_pos") >= data_start)
             .select(F.col("_file").alias("source_file"), (F.col("_pos") - data_start).alias("ordinal"),
-                    *[F.col(c).alias(n) for c, n in zip(data_cols, names)]))
+                    *[F.col(n) for n in names]))
 
 
 def write_vector_csv(df: DataFrame, path: str, vector_col: str = "embedding") -> None:
