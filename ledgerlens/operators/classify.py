@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed_values as FV
+from ..session import param_table
 
 Rule = tuple[str, float, str, str]  # (prefix, revenue, violation_type, scope)
 
@@ -61,7 +62,7 @@ def rules_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     """Rule list as a table ``(rule_order, prefix, revenue, violation_type, scope)``."""
     rows = [(i + 1, p, Decimal(str(r)), t, s) for i, (p, r, t, s) in enumerate(rules)]
     schema = "rule_order int, prefix string, revenue decimal(18,2), violation_type string, scope string"
-    return spark.createDataFrame(rows, schema)
+    return param_table(spark, rows, schema)
 
 
 def classify_by_rules(df: DataFrame, rules: DataFrame, code_col: str = "violation_code",

@@ -44,21 +44,23 @@ def exact_code_counts(violations: DataFrame, citations: DataFrame, code: str = "
     """Exact-match citation counts for each violation's local and state code.
 
     Aggregate-then-join: the citations are scanned and aggregated once (not
-    four times per violation), then joined to the small violations table on
-    each code. A code shared by two violations counts fully for both; a NULL
-    or unseen code counts 0.
+    four times per violation). Each violation's two codes become (scope, ref)
+    rows, so one equi-join against the per-code counts serves both, and the
+    small violation table folds back to one row per violation. A code shared
+    by two violations counts fully for both; a NULL or unseen code counts 0.
     """
     counts = code_counts(citations, code, department, agency)
-    local = counts.select(F.col("_code").alias("local_ref"), F.col("_n_all").alias("_la"),
-                          F.col("_n_focus").alias("_lf"))
-    state = counts.select(F.col("_code").alias("state_ref"), F.col("_n_all").alias("_sa"),
-                          F.col("_n_focus").alias("_sf"))
-    return (violations.join(local, "local_ref", "left").join(state, "state_ref", "left")
-            .select(*violations.columns,
-                    F.coalesce("_la", F.lit(0)).alias("local_citations"),
-                    F.coalesce("_sa", F.lit(0)).alias("state_citations"),
-                    F.coalesce("_lf", F.lit(0)).alias("nopd_local_citations"),
-                    F.coalesce("_sf", F.lit(0)).alias("nopd_state_citations")))
+    refs = violations.select(
+        "*", F.explode(F.array(F.struct(F.lit("local").alias("_scope"), F.col("local_ref").alias("_ref")),
+                               F.struct(F.lit("state").alias("_scope"), F.col("state_ref").alias("_ref"))))
+        .alias("_r")).select("*", "_r._scope", "_r._ref").drop("_r")
+    joined = refs.join(counts, F.col("_ref") == F.col("_code"), "left")
+    local, state = F.col("_scope") == "local", F.col("_scope") == "state"
+    return joined.groupBy(*violations.columns).agg(
+        F.coalesce(F.max(F.when(local, F.col("_n_all"))), F.lit(0)).alias("local_citations"),
+        F.coalesce(F.max(F.when(state, F.col("_n_all"))), F.lit(0)).alias("state_citations"),
+        F.coalesce(F.max(F.when(local, F.col("_n_focus"))), F.lit(0)).alias("nopd_local_citations"),
+        F.coalesce(F.max(F.when(state, F.col("_n_focus"))), F.lit(0)).alias("nopd_state_citations"))
 
 
 def join_fines_positional(violations: DataFrame, fines: DataFrame, index: str = "idx",

@@ -15,7 +15,7 @@ from ..sources import files as FS
 from ..sources.tables import read_table
 from .text_queries import conversation_piece
 
-RELEVANCE_THRESHOLD = 0.3
+RELEVANCE_THRESHOLD = 0.4
 SYSTEM_INSTRUCTION = ("You answer questions about the project's analysis in a casual, to-the-point manner. "
                       "Earlier turns of this conversation:\n")
 
@@ -40,6 +40,13 @@ def label_queries(spark: SparkSession, d: str) -> DataFrame:
                     F.format_string("Which passages are about topic %d?", F.col("label")).alias("question")))
 
 
+def label_questions(spark: SparkSession, d: str) -> DataFrame:
+    """The question text of each label query (no vector work needed)."""
+    return (read_table(spark, d, "embeddings").select("label").distinct()
+            .select(F.col("label").alias("qid"),
+                    F.format_string("Which passages are about topic %d?", F.col("label")).alias("question")))
+
+
 def global_query(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "embeddings")
     sums = (e.select(F.posexplode("embedding").alias("pos", "v"))
@@ -79,32 +86,31 @@ def vector_csv_roundtrip(spark, d):
     return FS.read_vector_csv(spark, path, schema)
 
 
-def _ranked_passages(spark, d) -> DataFrame:
-    top = RT.top_k_similar(corpus(spark, d), label_queries(spark, d), FV.DEFAULT_TOP_N)
-    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return top.join(docs, "id")
+def _ranked(spark, d) -> DataFrame:
+    return RT.top_k_similar(corpus(spark, d), label_queries(spark, d), FV.DEFAULT_TOP_N)
 
 
-def _packed(spark, d) -> tuple[DataFrame, DataFrame]:
-    questions = label_queries(spark, d).select("qid", "question")
-    return RT.context_pack(_ranked_passages(spark, d), questions, FV.DEFAULT_TOKEN_BUDGET), questions
+def _packed(spark, d, ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    questions = label_questions(spark, d)
+    return RT.context_pack(ranked.join(docs, "id"), questions, FV.DEFAULT_TOKEN_BUDGET), questions
 
 
 def context_pack(spark, d):
-    packed, _ = _packed(spark, d)
+    packed, _ = _packed(spark, d, _ranked(spark, d))
     return packed.select("qid", "rank", F.col("id").alias("vec_id"), "tokens", "cum_tokens")
 
 
 def retrieval_prompt(spark, d):
-    packed, questions = _packed(spark, d)
+    packed, questions = _packed(spark, d, _ranked(spark, d))
     return RT.retrieval_prompt(packed, questions)
 
 
 def relevance_gate(spark, d):
-    packed, questions = _packed(spark, d)
+    ranked = _ranked(spark, d)  # one kernel run: the best match is rank 1 of the same ranking
+    packed, questions = _packed(spark, d, ranked)
     prompts = RT.retrieval_prompt(packed, questions)
-    best = RT.top_k_similar(corpus(spark, d), label_queries(spark, d), 1)
-    return RT.relevance_gate(best, prompts, RELEVANCE_THRESHOLD)
+    return RT.relevance_gate(ranked, prompts, RELEVANCE_THRESHOLD)
 
 
 def _conversation_questions(conv: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import param_table
 from ..sources.tables import read_table
 
 # Parameters of the stand-in analysis (ours, chosen for the driver tables).
@@ -60,14 +61,14 @@ def violation_types(spark: SparkSession, d: str) -> DataFrame:
 
 def fines(spark: SparkSession) -> DataFrame:
     rows = [(o, v, Decimal(str(lf)), Decimal(str(sf)) if sf is not None else None) for o, v, lf, sf in FINES]
-    return spark.createDataFrame(
-        rows, "ordinal long, violation string, local_fine decimal(18,2), state_fine decimal(18,2)")
+    return param_table(spark, rows,
+                       "ordinal long, violation string, local_fine decimal(18,2), state_fine decimal(18,2)")
 
 
 def params(spark: SparkSession) -> DataFrame:
     """One-row parameter sheet (collection rate)."""
-    return spark.createDataFrame([(COLLECTION_RATE,)], "collection_rate double")
+    return param_table(spark, [(COLLECTION_RATE,)], "collection_rate double")
 
 
 def prices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PRICES, "model string, prompt_price double, completion_price double")
+    return param_table(spark, PRICES, "model string, prompt_price double, completion_price double")

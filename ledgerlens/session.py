@@ -53,3 +53,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for intermediate tables and files."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/ledgerlens/{name}-{uuid.uuid4().hex[:12]}"
+
+
+MAX_PARAM_BROADCAST_ROWS = 10_000
+
+
+def param_table(spark: SparkSession, rows: list, schema: str):
+    """A parameter table from literal rows (rules, fines, prices).
+
+    Its size is known when it is built, so it is marked for broadcast when it
+    has at most ``MAX_PARAM_BROADCAST_ROWS`` rows; larger lists are left to the
+    planner (which otherwise has no statistics for driver-built data).
+    """
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= MAX_PARAM_BROADCAST_ROWS else df
