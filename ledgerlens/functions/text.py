@@ -93,3 +93,11 @@ def period_months(title: Column, inclusive: bool = True) -> Column:
 def month_year_title(start: Column, end: Column) -> Column:
     """``January 1995 to August 2001`` from two timestamps."""
     return F.concat(F.date_format(start, "MMMM yyyy"), F.lit(" to "), F.date_format(end, "MMMM yyyy"))
+
+
+def parse_timestamp(c: Column, fmt: str | None = None, strict: bool = True) -> Column:
+    """Text to timestamp. ``strict`` raises on a bad value (ANSI ``to_timestamp``),
+    like the original parser; otherwise a bad value becomes NULL (for quarantine)."""
+    if strict:
+        return F.to_timestamp(c, fmt) if fmt else F.to_timestamp(c)
+    return F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)

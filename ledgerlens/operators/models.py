@@ -170,3 +170,45 @@ def section_request(instruction: Column, previous_text: Column, tables_text: Col
     return F.concat(instruction, F.lit("\nSections written so far:\n"), previous_text,
                     F.lit("\nData tables:\n"), tables_text, F.lit("\nTask: "), prompt)
 
+
+
+REPORT_SCHEMA = T.StructType([
+    T.StructField("report_id", T.LongType()),
+    T.StructField("ordinal", T.LongType()),
+    T.StructField("label", T.StringType()),
+    T.StructField("content", T.StringType()),
+    T.StructField("provider", T.StringType()),
+    T.StructField("prompt_tokens", T.LongType()),
+    T.StructField("completion_tokens", T.LongType()),
+    T.StructField("error", T.StringType()),
+])
+
+
+def write_reports(sections: DataFrame, instruction: str, tables_text: Column,
+                  primary: Callable[[], object] = LocalExtractiveProvider,
+                  fallback: Callable[[], object] | None = None) -> DataFrame:
+    """M7: write every report section by section, each request seeing the text so far.
+
+    ``sections``: (report_id, ordinal, label, prompt). Inside a report the
+    sections are sequential (section n's request carries sections 1..n-1 as
+    generated), so one report is one group of ``applyInPandas``; different
+    reports run in parallel. A group holds one report's sections only.
+    ``tables_text`` (e.g. a scalar subquery of the flattened result tables)
+    is attached to every section row before grouping.
+    """
+    rows = sections.select("report_id", "ordinal", "label", "prompt", tables_text.alias("tables_text"))
+
+    def one_report(pdf: pd.DataFrame) -> pd.DataFrame:
+        prim = primary()
+        fb = fallback() if fallback is not None else None
+        pdf = pdf.sort_values("ordinal")
+        previous, out = "", []
+        for r in pdf.itertuples(index=False):
+            request = (f"{instruction}\nSections written so far:\n{previous}\nData tables:\n{r.tables_text}"
+                       f"\nTask: {r.prompt}")
+            _, content, provider, pt, ct, err = _one(r.ordinal, request, prim, fb)
+            out.append((r.report_id, r.ordinal, r.label, content, provider, pt, ct, err))
+            previous += f"{r.label}: {content or ''}\n"
+        return pd.DataFrame(out, columns=[f.name for f in REPORT_SCHEMA.fields])
+
+    return rows.groupBy("report_id").applyInPandas(one_report, REPORT_SCHEMA)

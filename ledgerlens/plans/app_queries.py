@@ -83,6 +83,18 @@ def report_requests(spark, d):
         "request_tokens", token_count(F.col("request")))
 
 
+def report_writer(spark, d):
+    """M7 end to end: each conversation is a report whose user turns are section prompts;
+    sections are generated in order, each request carrying the text written so far."""
+    conv = read_table(spark, d, "conversations")
+    sections = conv.filter((F.col("role") == "user") & F.col("text").isNotNull()).select(
+        F.col("conv_id").alias("report_id"), F.col("turn").alias("ordinal"),
+        F.format_string("Section %d", F.col("turn")).alias("label"), F.col("text").alias("prompt"))
+    primary = functools.partial(M.LocalExtractiveProvider, max_words=40, max_prompt_tokens=3000, name="primary")
+    fallback = functools.partial(M.LocalExtractiveProvider, max_words=20, name="fallback")
+    return M.write_reports(sections, SECTION_INSTRUCTION, tables_text(spark, d).scalar(), primary, fallback)
+
+
 def complete_batch_q(spark, d):
     conv = read_table(spark, d, "conversations")
     ctx = running_context(conv, ["conv_id"], ["turn"], conversation_piece())
@@ -184,6 +196,7 @@ QUERIES = {
     "usage_cost": usage_cost_q,
     "report_requests": report_requests,
     "complete_batch": complete_batch_q,
+    "report_writer": report_writer,
     "embed_batch": embed_batch,
     "sample_n": sample_n,
     "scan_skip_preamble": scan_skip_preamble,

@@ -94,3 +94,12 @@ def build_once(spark: SparkSession, path: str, build) -> DataFrame:
     if not table_exists(spark, path):
         replace_table(build(), path)
     return spark.read.parquet(path)
+
+
+def write_results(tables: dict[str, DataFrame], base_path: str) -> dict[str, str]:
+    """Persist a set of named result tables, each replacing its own folder."""
+    paths = {}
+    for name, df in tables.items():
+        paths[name] = f"{base_path.rstrip('/')}/{name}"
+        replace_table(df, paths[name])
+    return paths

@@ -43,3 +43,13 @@ def test_route_messages_and_files(spark):
     files = spark.createDataFrame([("a.xlsx",), ("b.xls",), ("c.docx",), ("d.doc",), ("report.XLSX",), ("e.pdf",)], "p string")
     acts = [r.a for r in files.select(route_file(F.col("p")).alias("a")).collect()]
     assert acts == ["analyse", "analyse", "store", "store", "reject", "reject"]
+
+
+def test_write_reports_sequential(spark):
+    sections = spark.createDataFrame(
+        [(1, 0, "Title", "Write a title"), (1, 1, "Body", "Write the body"), (2, 0, "Title", "Other title")],
+        "report_id long, ordinal long, label string, prompt string")
+    out = {(r.report_id, r.ordinal): r for r in M.write_reports(sections, "Instr", F.lit("t1 1.00")).collect()}
+    assert len(out) == 3 and out[(1, 1)].provider == "local-extractive"
+    # The local provider answers with the last line of the request, i.e. the task line.
+    assert out[(1, 1)].content == "Task: Write the body"

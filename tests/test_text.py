@@ -73,3 +73,23 @@ def test_skip_preamble_per_file(spark, tmp_path):
     out = FS.read_skip_preamble(spark, base)
     assert out.count() == 6 and set(out.columns) >= {"name", "value", "ordinal"}
     assert sorted(r.ordinal for r in out.collect()) == [0, 0, 1, 1, 2, 2]
+
+
+def test_parse_timestamp_strict_and_quarantine(spark):
+    import pytest
+    df = spark.createDataFrame([("2020-01-31",), ("not a date",)], "t string")
+    soft = [r.o for r in df.select(TX.parse_timestamp(F.col("t"), strict=False).alias("o")).collect()]
+    assert soft[0] is not None and soft[1] is None
+    with pytest.raises(Exception):
+        df.select(TX.parse_timestamp(F.col("t")).alias("o")).collect()
+
+
+def test_int_from_text(spark):
+    assert _one(spark, " 13 ", TX.int_from_text) == 13
+
+
+def test_write_results(spark):
+    from ledgerlens.sources.files import write_results
+    base = scratch_path(spark, "results")
+    paths = write_results({"a": spark.range(3), "b": spark.range(5)}, base)
+    assert spark.read.parquet(paths["a"]).count() == 3 and spark.read.parquet(paths["b"]).count() == 5
