@@ -181,7 +181,7 @@ existing AS (SELECT DISTINCT violation FROM p WHERE starts_with(p_brand, '{S.LOC
 SELECT p_partkey, violation, p_brand AS ref,
        CASE WHEN violation IN (SELECT violation FROM existing) THEN 'update' ELSE 'insert' END AS action
 FROM p WHERE NOT starts_with(p_brand, '{S.LOCAL_PREFIX}')""",
-    "take_until_null": """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey = 700 THEN NULL ELSE c_name END AS ref FROM customer)
+    "take_until_null": """WITH c AS (SELECT c_custkey, CASE WHEN c_acctbal < -990 THEN NULL ELSE c_name END AS ref FROM customer)
 SELECT * FROM c WHERE (SELECT min(c_custkey) FROM c WHERE ref IS NULL) IS NULL
    OR c_custkey < (SELECT min(c_custkey) FROM c WHERE ref IS NULL)""",
     "exact_code_counts": f"WITH {COUNTED}\nSELECT idx, violation, local_ref, state_ref, local_citations, state_citations, "
