@@ -39,6 +39,9 @@ def _batch_matrix(vec_col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     d = int(dims[0]) if len(dims) else 0
     valid &= lengths == d
     values = np.asarray(vec_col.values.to_numpy(zero_copy_only=False), dtype=np.float64)
+    if d and valid.all() and np.all(lengths == d):
+        # common case: every row present with the same length -> one reshape
+        return values[offsets[0]: offsets[0] + n * d].reshape(n, d), valid
     mat = np.zeros((n, d), dtype=np.float64)
     if d and valid.any():
         rows = np.nonzero(valid)[0]
@@ -56,38 +59,54 @@ def _normalise(mat: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class _TopK:
-    """Running exact top-k per query under the order (similarity desc, NULL last, id asc)."""
+    """Running exact top-k per query under the order (similarity desc, NULL last, id asc).
+
+    Vectorised over queries: each batch contributes, per query, every row whose
+    key is within that query's k-th best key of the batch (ties kept, so the
+    result stays exact). Candidates accumulate as (query, key, id) triples and
+    are compacted with one grouped lexsort when they exceed a few times k.
+    """
 
     def __init__(self, n_queries: int, k: int):
-        self.k = k
-        self.keys = [np.empty(0) for _ in range(n_queries)]
-        self.ids = [np.empty(0, dtype=np.int64) for _ in range(n_queries)]
+        self.nq, self.k = n_queries, k
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
 
     def update(self, sims: np.ndarray, ids: np.ndarray) -> None:
         # sort key: negated rounded similarity, NULL (nan) as +inf so it sorts last
         keys = -np.round(sims, SIM_DECIMALS)
         keys[np.isnan(keys)] = np.inf
         n = keys.shape[0]
-        for j in range(keys.shape[1]):
-            col = keys[:, j]
-            if n > self.k:
-                kth = np.partition(col, self.k - 1)[self.k - 1]
-                cand = np.nonzero(col <= kth)[0]  # keeps every tie at the boundary
-            else:
-                cand = np.arange(n)
-            all_keys = np.concatenate([self.keys[j], col[cand]])
-            all_ids = np.concatenate([self.ids[j], ids[cand]])
-            order = np.lexsort((all_ids, all_keys))[: self.k]
-            self.keys[j], self.ids[j] = all_keys[order], all_ids[order]
+        if n > self.k:
+            kth = np.partition(keys, self.k - 1, axis=0)[self.k - 1]
+            rows, cols = np.nonzero(keys <= kth[None, :])
+        else:
+            rows, cols = np.nonzero(np.ones_like(keys, dtype=bool))
+        self.parts.append((cols.astype(np.int64), keys[rows, cols], ids[rows]))
+        self.size += len(rows)
+        if self.size > 4 * self.k * max(self.nq, 1):
+            self._compact()
+
+    def _compact(self) -> None:
+        if not self.parts:
+            return
+        q = np.concatenate([p[0] for p in self.parts])
+        key = np.concatenate([p[1] for p in self.parts])
+        ident = np.concatenate([p[2] for p in self.parts])
+        order = np.lexsort((ident, key, q))
+        q, key, ident = q[order], key[order], ident[order]
+        starts = np.searchsorted(q, np.arange(self.nq))
+        keep = (np.arange(len(q)) - starts[q]) < self.k
+        self.parts = [(q[keep], key[keep], ident[keep])]
+        self.size = int(keep.sum())
 
     def rows(self, qids: list) -> tuple[list, list, list]:
-        out_q, out_id, out_s = [], [], []
-        for j, q in enumerate(qids):
-            for key, i in zip(self.keys[j], self.ids[j]):
-                out_q.append(q)
-                out_id.append(int(i))
-                out_s.append(None if np.isinf(key) else float(-key))
-        return out_q, out_id, out_s
+        self._compact()
+        if not self.parts:
+            return [], [], []
+        q, key, ident = self.parts[0]
+        sims = [None if np.isinf(x) else float(-x) for x in key]
+        return [qids[j] for j in q], [int(i) for i in ident], sims
 
 
 def _score_batches(batches, id_col: str, vec_col: str, qids: list, qmat: np.ndarray, k: int,
