@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import TOKEN_PATTERN, WORD_PATTERN, clean_text
+from ..session import ship_package
 
 COMPLETION_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -81,6 +82,8 @@ def complete_batch(df: DataFrame, id_col: str, prompt_col: str,
     error text and NULL content. Filter rows *before* this operator: a
     ``when`` around it would not skip the calls.
     """
+    ship_package(df.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prim = primary()
         fb = fallback() if fallback is not None else None
@@ -133,6 +136,8 @@ def embed_with_provider(df: DataFrame, id_col: str, text_col: str, provider: Cal
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType),
                            T.StructField(out, T.ArrayType(T.DoubleType()))])
 
+    ship_package(df.sparkSession)
+
     def run(batches):
         p = provider()
         for pdf in batches:
@@ -196,6 +201,7 @@ def write_reports(sections: DataFrame, instruction: str, tables_text: Column,
     ``tables_text`` (e.g. a scalar subquery of the flattened result tables)
     is attached to every section row before grouping.
     """
+    ship_package(sections.sparkSession)
     rows = sections.select("report_id", "ordinal", "label", "prompt", tables_text.alias("tables_text"))
 
     def one_report(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Window
 
 from .. import fixed_values as FV
 from ..functions.text import token_count, words
+from ..session import ship_package
 
 # Query matrices up to this size are broadcast to every task (size checked first).
 MAX_BROADCAST_BYTES = 64 << 20
@@ -160,6 +161,7 @@ def similarity_candidates(corpus: DataFrame, queries: DataFrame, k: int, corpus_
     block of each side, so no group grows with the data.
     """
     spark = corpus.sparkSession
+    ship_package(spark)
     qid_field = queries.schema[query_id]
     qid_arrow = _arrow_type(qid_field.dataType)
     q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).cast("array<double>").alias("qvec"))

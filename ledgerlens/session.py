@@ -69,3 +69,35 @@ def param_table(spark: SparkSession, rows: list, schema: str):
 
     df = spark.createDataFrame(rows, schema)
     return F.broadcast(df) if len(rows) <= MAX_PARAM_BROADCAST_ROWS else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (like ``--py-files``).
+
+    Arrow/pandas kernels are pickled by reference to their module, so every
+    executor needs ``ledgerlens`` on its path. The package is zipped once per
+    application and registered with ``addPyFile``, which ships it to every
+    executor. Nothing is shipped when the workers can already import it from
+    an installed copy on the cluster image.
+    """
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-pyfiles-"), "ledgerlens.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, dirs, files in os.walk(pkg_dir):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.join("ledgerlens", os.path.relpath(full, pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
