@@ -16,6 +16,7 @@ from ..operators import classify as C
 from ..operators import models as M
 from ..operators import reports as R
 from ..operators.documents import running_context
+from ..operators.ordering import spread
 from ..operators.routing import route_file, route_messages
 from ..session import scratch_path
 from ..sources import files as FS
@@ -107,7 +108,7 @@ def complete_batch_q(spark, d):
 
 
 def embed_batch(spark, d):
-    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
     return M.embed_hashing(docs, "text").select("doc_id", "embedding")
 
 

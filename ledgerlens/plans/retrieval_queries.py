@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from .. import fixed_values as FV
 from ..operators import retrieval as RT
 from ..operators.documents import running_context
+from ..operators.ordering import spread
 from ..session import scratch_path
 from ..sources import files as FS
 from ..sources.tables import read_table
@@ -120,7 +121,7 @@ def _conversation_questions(conv: DataFrame) -> DataFrame:
 
 
 def extractive_context(spark, d):
-    conv = read_table(spark, d, "conversations")
+    conv = spread(read_table(spark, d, "conversations"))
     questions = _conversation_questions(conv)
     texts = (conv.join(questions.select("conv_id", "q_turn"), "conv_id")
              .filter(F.col("turn") != F.col("q_turn"))
