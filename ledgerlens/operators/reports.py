@@ -16,8 +16,12 @@ def _by_scope(df: DataFrame, keys: list[Column], value: Column | None, scopes: l
 
     (``groupBy().pivot()`` plans two aggregations and two exchanges.) An absent
     (key, scope) combination is NULL, as in a pivot: a count of 0 becomes NULL
-    and a sum over no rows is NULL already.
+    and a sum over no rows is NULL already. Rows with a NULL key or scope are
+    left out, as a grouped count over (key, scope) leaves them out.
     """
+    df = df.filter(F.col("scope").isNotNull())
+    for k in keys:
+        df = df.filter(k.isNotNull())
     aggs = []
     for s in scopes:
         hit = F.col("scope") == F.lit(s)

@@ -63,5 +63,5 @@ SELECT conv_id, turn, request, {_tok('request')} AS request_tokens FROM r""",
     "stream_counts": f"""{BASE}
 SELECT violation_type, count(*) FILTER (WHERE scope = 'local') AS local,
        count(*) FILTER (WHERE scope = 'state') AS state
-FROM classified GROUP BY violation_type""",
+FROM classified WHERE violation_type IS NOT NULL GROUP BY violation_type""",
 }

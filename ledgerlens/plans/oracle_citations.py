@@ -163,15 +163,15 @@ SQL = {
     "citations_by_type_scope": f"{BASE}\nSELECT violation_type, "
                                "NULLIF(count(*) FILTER (WHERE scope = 'local'), 0) AS local, "
                                "NULLIF(count(*) FILTER (WHERE scope = 'state'), 0) AS state "
-                               "FROM classified GROUP BY violation_type",
+                               "FROM classified WHERE violation_type IS NOT NULL AND scope IS NOT NULL GROUP BY violation_type",
     "revenue_by_type_scope": f"{BASE}\nSELECT violation_type, "
                              "CAST(sum(revenue) FILTER (WHERE scope = 'local') AS DOUBLE) AS local, "
                              "CAST(sum(revenue) FILTER (WHERE scope = 'state') AS DOUBLE) AS state "
-                             "FROM classified GROUP BY violation_type",
+                             "FROM classified WHERE violation_type IS NOT NULL AND scope IS NOT NULL GROUP BY violation_type",
     "month_revenue": f"{BASE}\nSELECT strftime(violation_date, '%Y-%m') AS month, "
                      "CAST(sum(revenue) FILTER (WHERE scope = 'local') AS DOUBLE) AS local, "
                      "CAST(sum(revenue) FILTER (WHERE scope = 'state') AS DOUBLE) AS state "
-                     "FROM classified GROUP BY 1",
+                     "FROM classified WHERE violation_date IS NOT NULL AND scope IS NOT NULL GROUP BY 1",
     "months_spanned": f"WITH {CITATIONS},\n{FOCUS}\nSELECT CAST(date_diff('month', date_trunc('month', min(violation_date)), "
                       "date_trunc('month', max(violation_date))) + 1 AS INTEGER) AS months FROM focus",
     "period_months": f"WITH {PERIOD}\nSELECT department, period_title, months FROM period",

@@ -35,7 +35,7 @@ def running_counts(classified: DataFrame) -> DataFrame:
     ``pivot`` is not allowed on a stream, so the columns are conditional
     counts (0, not NULL, for an absent combination).
     """
-    return classified.groupBy("violation_type").agg(
+    return classified.filter(F.col("violation_type").isNotNull()).groupBy("violation_type").agg(
         F.count_if(F.col("scope") == "local").alias("local"),
         F.count_if(F.col("scope") == "state").alias("state"))
 

@@ -61,3 +61,9 @@ def test_impact_long_and_trace(spark):
     df = spark.createDataFrame([(1.0, 2.0, 0.5, 1.0)], "average_monthly_revenue_lost double, "
                                "annualized_lost_revenue double, collection_rate double, estimated_annual_revenue_impact double")
     assert R.impact_long(df).count() == 4
+
+
+def test_null_class_rows_are_not_a_group(spark):
+    rows = [("A", "local", Decimal("1.00")), (None, None, None)]
+    df = spark.createDataFrame(rows, "violation_type string, scope string, revenue decimal(18,2)")
+    assert [tuple(r) for r in R.counts_by_type_scope(df).collect()] == [("A", 1, None)]
