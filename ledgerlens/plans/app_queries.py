@@ -30,18 +30,31 @@ SECTION_INSTRUCTION = ("You write one section of a short memo about the analysis
                        "in plain language and without repeating earlier sections.")
 
 
-def messages(spark: SparkSession, d: str) -> DataFrame:
-    """Chat messages: conversation turns, with some turned into commands and some into non-text."""
-    conv = read_table(spark, d, "conversations")
+def as_messages(conv: DataFrame) -> DataFrame:
+    """Chat messages from conversation turns, with some turned into commands and some into
+    non-text (stateless, so it runs on a batch or a stream)."""
     text = (F.when(F.col("turn") % 5 == 4, F.lit(None).cast("string"))
             .when(F.col("turn") % 7 == 0, F.lit("/start")).otherwise(F.col("text")))
     return conv.select("conv_id", "turn", "role", text.alias("text"))
 
 
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    return as_messages(read_table(spark, d, "conversations"))
+
+
 def route_messages_q(spark, d):
     return route_messages(messages(spark, d)).select("conv_id", "turn", "route", "command")
 
 
+def route_messages_stream(spark, d):
+    """X1 on Structured Streaming: the conversations file arrives as a stream, is routed
+    turn by turn (append mode) into a table, and the table is read back."""
+    from ..sources.tables import SCHEMAS
+    out = scratch_path(spark, "routed")
+    ST.route_stream(spark, d, SCHEMAS["conversations"], out, glob="conversations.parquet", prepare=as_messages)
+    return spark.read.parquet(out).select("conv_id", "turn", "route", "command")
+
+
 def uploaded_files(spark: SparkSession, d: str) -> DataFrame:
     ext = F.element_at(F.array(*[F.lit(x) for x in (".xlsx", ".docx", ".XLSX", ".pdf")]),
                        (F.col("page_id") % 4 + 1).cast("int"))
@@ -193,6 +206,7 @@ def file_drop_refresh(spark, d):
 
 QUERIES = {
     "route_messages": route_messages_q,
+    "route_messages_stream": route_messages_stream,
     "route_files": route_files_q,
     "usage_cost": usage_cost_q,
     "report_requests": report_requests,

@@ -22,7 +22,16 @@ PRICES = ", ".join(f"('{m}', {_per_token(p)}, {_per_token(c)})" for m, p, c in S
 
 TABLES_TEXT = " || ".join(f"'{n} ' || printf('%.2f', CAST({n} AS DOUBLE)) || ' '" for n in TOTAL_COLUMNS)
 
+ROUTE_SQL = """WITH m AS (
+  SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL WHEN turn % 7 = 0 THEN '/start' ELSE text END AS text
+  FROM conversations)
+SELECT conv_id, turn,
+       CASE WHEN text IS NULL THEN 'non_text' WHEN starts_with(text, '/') THEN 'command' ELSE 'question' END AS route,
+       CASE WHEN starts_with(text, '/') THEN regexp_extract(text, '^/([^\\s@]*)', 1) END AS command
+FROM m"""
+
 SQL = {
+    "route_messages_stream": ROUTE_SQL,
     "route_messages": """WITH m AS (
   SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL WHEN turn % 7 = 0 THEN '/start' ELSE text END AS text
   FROM conversations)

@@ -17,12 +17,17 @@ from ..sources.files import replace_table
 
 
 def route_stream(spark: SparkSession, source_dir: str, schema: T.StructType, out_path: str,
-                 checkpoint: str | None = None, glob: str | None = None) -> None:
-    """Route each arriving message (stateless, append mode) into a parquet table."""
+                 checkpoint: str | None = None, glob: str | None = None, prepare=None) -> None:
+    """Route each arriving message (stateless, append mode) into a parquet table.
+
+    ``prepare`` is an optional stateless transform applied to the raw stream
+    before routing (the same function the batch form uses).
+    """
     reader = spark.readStream.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    stream = route_messages(reader.parquet(source_dir))
+    raw = reader.parquet(source_dir)
+    stream = route_messages(prepare(raw) if prepare is not None else raw)
     q = (stream.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint or scratch_path(spark, "ckpt-route"))
          .trigger(availableNow=True).start(out_path))
