@@ -13,7 +13,7 @@ from pyspark.sql import Window
 
 from .. import fixed_values as FV
 from ..functions.text import token_count, words
-from ..session import ship_package
+from ..session import ensure_checkpoint_dir, ship_package
 
 # Query matrices up to this size are broadcast to every task (size checked first).
 MAX_BROADCAST_BYTES = 64 << 20
@@ -162,9 +162,13 @@ def similarity_candidates(corpus: DataFrame, queries: DataFrame, k: int, corpus_
     """
     spark = corpus.sparkSession
     ship_package(spark)
+    ensure_checkpoint_dir(spark)
     qid_field = queries.schema[query_id]
     qid_arrow = _arrow_type(qid_field.dataType)
-    q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).cast("array<double>").alias("qvec"))
+    # Materialise the queries once: the size check, the collect (or the blocked
+    # path) then read the checkpoint instead of recomputing an upstream aggregate.
+    q = (queries.select(F.col(query_id).alias("qid"), F.col(query_vec).cast("array<double>").alias("qvec"))
+         .checkpoint(eager=True))
     c = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vec).alias("vec"))
     out_schema = T.StructType([T.StructField("qid", qid_field.dataType), T.StructField("id", T.LongType()),
                                T.StructField("similarity", T.DoubleType())])

@@ -22,13 +22,10 @@ def read_skip_preamble(spark: SparkSession, path: str, header_row: int = 1,
     """
     import csv
 
-    lines = (spark.read.option("recursiveFileLookup", True).text(path)
-             .withColumn("_file", F.col("_metadata.file_path"))
-             .withColumn("_id", F.monotonically_increasing_id()))
-    first = lines.agg(F.min("_file").alias("f")).first()["f"]
-    line_starts = lines.filter(F.col("_file") == first).agg(F.min("_id").alias("s")).first()["s"]
-    header_line = lines.filter((F.col("_file") == first) & (F.col("_id") == line_starts + header_row)).first()
-    names = next(csv.reader([header_line["value"]])) if header_line else []
+    # File listing is metadata only; ``take`` reads just the first split of one file.
+    files = sorted(spark.read.option("recursiveFileLookup", True).text(path).inputFiles())
+    head = spark.read.text(files[0]).take(header_row + 1) if files else []
+    names = next(csv.reader([head[header_row]["value"]])) if len(head) > header_row else []
     schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
     raw = (spark.read.schema(schema).option("header", False).option("multiLine", True).option("escape", '"')
            .option("recursiveFileLookup", True).option("mode", "PERMISSIVE").csv(path)
@@ -78,11 +75,14 @@ def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    """True when a committed parquet table exists at ``path`` (its ``_SUCCESS`` marker)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
+    """True when a readable parquet table exists at ``path`` (resolving it lists files only)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.parquet(path)
+        return True
+    except AnalysisException:
+        return False
 
 
 def build_once(spark: SparkSession, path: str, build) -> DataFrame:
