@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,19 +166,28 @@ def similarity_candidates(corpus: DataFrame, queries: DataFrame, k: int, corpus_
     ensure_checkpoint_dir(spark)
     qid_field = queries.schema[query_id]
     qid_arrow = _arrow_type(qid_field.dataType)
-    # Materialise the queries once: the size check, the collect (or the blocked
-    # path) then read the checkpoint instead of recomputing an upstream aggregate.
-    q = (queries.select(F.col(query_id).alias("qid"), F.col(query_vec).cast("array<double>").alias("qvec"))
-         .checkpoint(eager=True))
+    q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).cast("array<double>").alias("qvec"))
     c = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vec).alias("vec"))
     out_schema = T.StructType([T.StructField("qid", qid_field.dataType), T.StructField("id", T.LongType()),
                                T.StructField("similarity", T.DoubleType())])
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("qvec")).alias("cells")).first()
-    n_queries, cells = int(stats["n"] or 0), int(stats["cells"] or 0)
-    if n_queries == 0:
-        return spark.createDataFrame([], out_schema)
-    if cells * 8 <= max_broadcast_bytes and blocks is None:
-        qids, qmat = _query_matrix(q.collect())
+    # Computed once for the size check and the collect (the queries may be an
+    # aggregate over a large table); released right after.
+    q_cached = q.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        stats = q_cached.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("qvec")).alias("cells")).first()
+        n_queries, cells = int(stats["n"] or 0), int(stats["cells"] or 0)
+        if n_queries == 0:
+            return spark.createDataFrame([], out_schema)
+        if cells * 8 <= max_broadcast_bytes and blocks is None:
+            qids, qmat = _query_matrix(q_cached.collect())
+        else:
+            # Too large to broadcast: fix the queries in the shared checkpoint folder
+            # for the blocked path, which reads them again.
+            q_fixed = q_cached.checkpoint(eager=True)
+            qids = None
+    finally:
+        q_cached.unpersist()
+    if qids is not None:
         bc = spark.sparkContext.broadcast((qids, qmat))
 
         def kernel(batches):
@@ -187,7 +197,7 @@ def similarity_candidates(corpus: DataFrame, queries: DataFrame, k: int, corpus_
         return c.mapInArrow(kernel, out_schema)
     q_blocks = blocks or max(2, -(-cells * 8 // max(1, max_broadcast_bytes)))
     c_blocks = max(2, spark.sparkContext.defaultParallelism)
-    return _blocked_candidates(c, q, k, out_schema, qid_arrow, q_blocks, c_blocks)
+    return _blocked_candidates(c, q_fixed, k, out_schema, qid_arrow, q_blocks, c_blocks)
 
 
 def _blocked_candidates(c: DataFrame, q: DataFrame, k: int, out_schema: T.StructType,

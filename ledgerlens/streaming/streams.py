@@ -72,11 +72,15 @@ def file_drop_refresh(spark: SparkSession, drop_dir: str, schema: T.StructType,
               .withColumn("_mtime", F.col("_metadata.file_modification_time")))
 
     def refresh(batch: DataFrame, epoch: int) -> None:
-        newest = batch.agg(F.max_by("_file", F.struct("_mtime", "_file")).alias("f")).first()
-        if newest is None or newest["f"] is None:
-            return
-        upload = batch.filter(F.col("_file") == newest["f"]).drop("_file", "_mtime")
-        replace_table(analyse(upload).withColumn("source_file", F.lit(newest["f"])), out_path)
+        batch.persist()  # read twice below: newest file, then its rows
+        try:
+            newest = batch.agg(F.max_by("_file", F.struct("_mtime", "_file")).alias("f")).first()
+            if newest is None or newest["f"] is None:
+                return
+            upload = batch.filter(F.col("_file") == newest["f"]).drop("_file", "_mtime")
+            replace_table(analyse(upload).withColumn("source_file", F.lit(newest["f"])), out_path)
+        finally:
+            batch.unpersist()
 
     q = (stream.writeStream.foreachBatch(refresh)
          .option("checkpointLocation", checkpoint or scratch_path(spark, "ckpt-refresh"))
