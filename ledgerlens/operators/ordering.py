@@ -52,8 +52,9 @@ def take_until_null(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     The stop position is one global ``min`` (a single value, joined as a
     scalar subquery), so the filter runs in parallel on every partition.
     """
-    stop = df.filter(F.col(key).isNull()).agg(F.min(ordinal).alias("_stop"))
-    return df.filter(stop.scalar().isNull() | (F.col(ordinal) < stop.scalar()))
+    stop = df.filter(F.col(key).isNull()).agg(F.min(ordinal).alias("_stop")).scalar()
+    # One subquery: with no NULL key the comparison is NULL and every row is kept.
+    return df.filter(F.coalesce(F.col(ordinal) < stop, F.lit(True)))
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:

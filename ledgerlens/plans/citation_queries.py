@@ -144,10 +144,12 @@ def _impact(spark, d) -> DataFrame:
     totals = R.metrics_totals(_metrics(spark, d))
     months = period_months_q(spark, d).filter(F.col("department") == S.FOCUS_AGENCY).select("months")
     rate = S.params(spark).select("collection_rate")  # S10: a one-row parameter table
-    return totals.select(
-        F.col("sum_nopd_lost_revenue").cast("double").alias("sum_nopd_lost_revenue"),
-        months.scalar().alias("number_of_months"),
-        *R.revenue_impact(F.col("sum_nopd_lost_revenue"), months.scalar(), rate.scalar()))
+    # Each scalar is bound to a column once, so each subquery runs once.
+    base = totals.select(F.col("sum_nopd_lost_revenue").cast("double").alias("sum_nopd_lost_revenue"),
+                         months.scalar().alias("number_of_months"), rate.scalar().alias("_rate"))
+    return base.select("sum_nopd_lost_revenue", "number_of_months",
+                       *R.revenue_impact(F.col("sum_nopd_lost_revenue"), F.col("number_of_months"),
+                                         F.col("_rate")))
 
 
 def revenue_impact(spark, d):
@@ -169,8 +171,9 @@ def fill_missing(spark, d):
     nation_avg = (cust.groupBy("c_nationkey")
                   .agg((F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double")
                         / F.count(F.lit(1)).cast("double")).alias("balance")))
-    computed = existing.select("c_custkey", "c_nationkey").join(nation_avg, "c_nationkey").drop("c_nationkey")
-    return V.fill_missing(existing, computed, ["c_custkey"], ["balance"])
+    # Computed values are keyed by nation: one aggregate, joined back on the nation key.
+    return V.fill_missing(existing, nation_avg, ["c_nationkey"], ["balance"]).select(
+        "c_custkey", "c_nationkey", "balance")
 
 
 QUERIES = {

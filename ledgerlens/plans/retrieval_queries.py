@@ -108,7 +108,9 @@ def retrieval_prompt(spark, d):
 
 
 def relevance_gate(spark, d):
-    ranked = _ranked(spark, d)  # one kernel run: the best match is rank 1 of the same ranking
+    # One kernel run: the ranking (at most k rows per query) is fixed once and read by
+    # both the prompt branch and the best-match branch.
+    ranked = _ranked(spark, d).checkpoint(eager=True)
     packed, questions = _packed(spark, d, ranked)
     prompts = RT.retrieval_prompt(packed, questions)
     return RT.relevance_gate(ranked, prompts, RELEVANCE_THRESHOLD)

@@ -55,10 +55,9 @@ def table_text(spark, d):
 
 def document_text(spark, d):
     conv = read_table(spark, d, "conversations")
-    sep = D.document_text(conv, ["conv_id"], ["turn"])
-    trail = D.document_text(conv, ["conv_id"], ["turn"], trailing_newline=True).withColumnRenamed(
-        "text", "text_with_trailing_newline")
-    return sep.join(trail, "conv_id")
+    # One aggregation: the "newline after every part" form is the joined form plus one newline.
+    return D.document_text(conv, ["conv_id"], ["turn"]).withColumn(
+        "text_with_trailing_newline", F.concat(F.col("text"), F.lit("\n")))
 
 
 def union_renumber(spark, d):
