@@ -3,6 +3,8 @@ M5, M6, F8, S3, S4)."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,18 +29,24 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "embeddings").join(docs, "vec_id", "left_semi")
 
 
-def label_queries(spark: SparkSession, d: str) -> DataFrame:
-    """One query per label: the (unnormalised) centroid of its vectors, with a question.
+def vector_sums(df: DataFrame, vec_col: str, group: list[str]) -> DataFrame:
+    """Element-wise vector sums per group, as ``array<double>`` in column ``s``.
 
-    Element-wise sums via ``posexplode`` + a (label, dimension) aggregate, so
-    the work is spread over all rows and combines map-side.
+    Spark ML's ``Summarizer`` is a JVM aggregate with map-side partial merges,
+    so a label holding a third of the rows costs one partial vector per task
+    and no per-dimension rows are ever materialised.
     """
+    vec = df.withColumn("_v", array_to_vector(F.col(vec_col).cast("array<double>")))
+    summed = (vec.groupBy(*group) if group else vec.groupBy()).agg(Summarizer.sum(F.col("_v")).alias("_s"))
+    return summed.withColumn("s", vector_to_array(F.col("_s"))).drop("_s")
+
+
+def label_queries(spark: SparkSession, d: str) -> DataFrame:
+    """One query per label: the (unnormalised) centroid of its vectors, with a question."""
     e = read_table(spark, d, "embeddings")
-    sums = (e.select("label", F.posexplode("embedding").alias("pos", "v"))
-            .groupBy("label", "pos").agg(F.sum(F.col("v").cast("double")).alias("s")))
-    return (sums.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("_ps"))
-            .select(F.col("label").alias("qid"), F.col("_ps.s").alias("qvec"),
-                    F.format_string("Which passages are about topic %d?", F.col("label")).alias("question")))
+    return vector_sums(e, "embedding", ["label"]).select(
+        F.col("label").alias("qid"), F.col("s").alias("qvec"),
+        F.format_string("Which passages are about topic %d?", F.col("label")).alias("question"))
 
 
 def label_questions(spark: SparkSession, d: str) -> DataFrame:
@@ -50,10 +58,7 @@ def label_questions(spark: SparkSession, d: str) -> DataFrame:
 
 def global_query(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "embeddings")
-    sums = (e.select(F.posexplode("embedding").alias("pos", "v"))
-            .groupBy("pos").agg(F.sum(F.col("v").cast("double")).alias("s")))
-    return sums.agg(F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("_ps")).select(
-        F.lit(-1).alias("qid"), F.col("_ps.s").alias("qvec"))
+    return vector_sums(e, "embedding", []).select(F.lit(-1).alias("qid"), F.col("s").alias("qvec"))
 
 
 def cosine_topk(spark, d):
