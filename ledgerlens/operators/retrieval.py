@@ -339,17 +339,24 @@ def retrieval_prompt(packed: DataFrame, questions: DataFrame, intro: str = DEFAU
                              F.col("question")).alias("prompt")))
 
 
-def relevance_gate(best: DataFrame, prompts: DataFrame, threshold: float) -> DataFrame:
+def relevance_gate(best: DataFrame, prompts: DataFrame, threshold: float,
+                   reduced: DataFrame | None = None) -> DataFrame:
     """M5: a question is on topic when its best similarity reaches ``threshold``.
 
-    On-topic questions keep their context; others get an empty one, so the
-    expensive downstream call can be filtered out before it runs.
+    On-topic questions get the full context (``prompts``); off-topic ones get
+    the reduced context (``reduced``, e.g. a prompt packed to a smaller
+    budget) when one is given, else an empty one. The expensive branch can be
+    filtered on ``relevant`` before any model call.
     """
     top = best.filter(F.col("rank") == 1).select("qid", F.col("similarity").alias("top_similarity"))
     relevant = F.coalesce(F.col("top_similarity") >= F.lit(threshold), F.lit(False))
-    return (prompts.join(top, "qid", "left")
-            .select("qid", "top_similarity", relevant.alias("relevant"),
-                    F.when(relevant, F.col("prompt")).otherwise(F.lit("")).alias("context")))
+    joined = prompts.join(top, "qid", "left")
+    fallback = F.lit("")
+    if reduced is not None:
+        joined = joined.join(reduced.select("qid", F.col("prompt").alias("_reduced")), "qid", "left")
+        fallback = F.coalesce(F.col("_reduced"), F.lit(""))
+    return joined.select("qid", "top_similarity", relevant.alias("relevant"),
+                         F.when(relevant, F.col("prompt")).otherwise(fallback).alias("context"))
 
 
 def extractive_context(questions: DataFrame, texts: DataFrame, key: str,

@@ -35,20 +35,26 @@ ranked AS (SELECT qid, vec_id, similarity,
 top AS (SELECT * FROM ranked WHERE rank <= {k})"""
 
 
-PACKED = f"""{_ranked(FV.DEFAULT_TOP_N)},
-passages AS (SELECT t.*, d.text, {_tok(f"{_s(DEFAULT_OPEN)} || d.text || {_s(DEFAULT_CLOSE)}")} AS tokens
+def _pack_sql(budget: int, tag: str) -> str:
+    """CTEs packing the ranked top passages to ``budget`` and assembling prompts (names end in tag)."""
+    return f"""passages{tag} AS (SELECT t.*, d.text, {_tok(f"{_s(DEFAULT_OPEN)} || d.text || {_s(DEFAULT_CLOSE)}")} AS tokens
              FROM top t JOIN documents d ON t.vec_id = d.doc_id),
-fixed AS (SELECT qid, question, {_tok(_s(DEFAULT_INTRO))} + {_tok(f"{_s(DEFAULT_QUESTION_PREFIX)} || question")} AS fixed_tokens FROM q),
-cum AS (SELECT p.*, f.fixed_tokens,
+fixed{tag} AS (SELECT qid, question, {_tok(_s(DEFAULT_INTRO))} + {_tok(f"{_s(DEFAULT_QUESTION_PREFIX)} || question")} AS fixed_tokens FROM q),
+cum{tag} AS (SELECT p.*, f.fixed_tokens,
                CAST(sum(tokens) OVER (PARTITION BY p.qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_tokens
-        FROM passages p JOIN fixed f ON p.qid = f.qid),
-packed AS (SELECT * FROM cum WHERE cum_tokens <= {FV.DEFAULT_TOKEN_BUDGET} - fixed_tokens),
-prompts AS (
+        FROM passages{tag} p JOIN fixed{tag} f ON p.qid = f.qid),
+packed{tag} AS (SELECT * FROM cum{tag} WHERE cum_tokens <= {budget} - fixed_tokens),
+prompts{tag} AS (
   SELECT q.qid, q.question, CAST(coalesce(b.n, 0) AS BIGINT) AS n_passages,
          {_s(DEFAULT_INTRO)} || coalesce(b.body, '') || {_s(DEFAULT_QUESTION_PREFIX)} || q.question AS prompt
   FROM q LEFT JOIN (SELECT qid, count(*) AS n,
                            string_agg({_s(DEFAULT_OPEN)} || text || {_s(DEFAULT_CLOSE)}, '' ORDER BY rank) AS body
-                    FROM packed GROUP BY qid) b ON q.qid = b.qid)"""
+                    FROM packed{tag} GROUP BY qid) b ON q.qid = b.qid)"""
+
+
+PACKED = f"""{_ranked(FV.DEFAULT_TOP_N)},
+{_pack_sql(FV.DEFAULT_TOKEN_BUDGET, "")}"""
+
 
 def _words(expr: str) -> str:
     return f"list_distinct(regexp_extract_all(lower({expr}), '{WORD_PATTERN}'))"
@@ -72,10 +78,12 @@ FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id""",
     "context_pack": f"WITH {PACKED}\nSELECT qid, rank, vec_id, tokens, cum_tokens FROM packed",
     "retrieval_prompt": f"WITH {PACKED}\nSELECT qid, question, n_passages, prompt FROM prompts",
     "relevance_gate": f"""WITH {PACKED},
+{_pack_sql(FV.SUMMARY_TOKEN_TARGET, "_small")},
 best AS (SELECT qid, similarity AS top_similarity FROM top WHERE rank = 1)
 SELECT p.qid, b.top_similarity, coalesce(b.top_similarity >= {RELEVANCE_THRESHOLD}, false) AS relevant,
-       CASE WHEN coalesce(b.top_similarity >= {RELEVANCE_THRESHOLD}, false) THEN p.prompt ELSE '' END AS context
-FROM prompts p LEFT JOIN best b ON p.qid = b.qid""",
+       CASE WHEN coalesce(b.top_similarity >= {RELEVANCE_THRESHOLD}, false) THEN p.prompt
+            ELSE coalesce(s.prompt, '') END AS context
+FROM prompts p LEFT JOIN best b ON p.qid = b.qid LEFT JOIN prompts_small s ON p.qid = s.qid""",
     "extractive_context": f"""WITH qs AS (
   SELECT conv_id, max(turn) AS q_turn, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id),
 lines AS (

@@ -96,10 +96,10 @@ def _ranked(spark, d) -> DataFrame:
     return RT.top_k_similar(corpus(spark, d), label_queries(spark, d), FV.DEFAULT_TOP_N)
 
 
-def _packed(spark, d, ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _packed(spark, d, ranked: DataFrame, budget: int = FV.DEFAULT_TOKEN_BUDGET) -> tuple[DataFrame, DataFrame]:
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     questions = label_questions(spark, d)
-    return RT.context_pack(ranked.join(docs, "id"), questions, FV.DEFAULT_TOKEN_BUDGET), questions
+    return RT.context_pack(ranked.join(docs, "id"), questions, budget), questions
 
 
 def context_pack(spark, d):
@@ -117,8 +117,11 @@ def relevance_gate(spark, d):
     # both the prompt branch and the best-match branch.
     ranked = _ranked(spark, d).checkpoint(eager=True)
     packed, questions = _packed(spark, d, ranked)
-    prompts = RT.retrieval_prompt(packed, questions)
-    return RT.relevance_gate(ranked, prompts, RELEVANCE_THRESHOLD)
+    full = RT.retrieval_prompt(packed, questions)
+    # Off-topic questions get the reduced context: the same ranking packed to the summary budget.
+    small, _ = _packed(spark, d, ranked, FV.SUMMARY_TOKEN_TARGET)
+    reduced = RT.retrieval_prompt(small, questions)
+    return RT.relevance_gate(ranked, full, RELEVANCE_THRESHOLD, reduced)
 
 
 def _conversation_questions(conv: DataFrame) -> DataFrame:

@@ -110,3 +110,13 @@ def test_extractive_context(spark):
 def test_relatedness_text(spark):
     df = spark.createDataFrame([(0.7315,), (0.1234,)], "s double")
     assert [r.t for r in df.select(RT.relatedness_text(F.col("s")).alias("t")).collect()] == ["0.732", "0.123"]
+
+
+def test_relevance_gate_full_or_reduced(spark):
+    best = spark.createDataFrame([(1, 1, 0.9), (2, 1, 0.1)], "qid int, rank int, similarity double")
+    full = spark.createDataFrame([(1, "full-1"), (2, "full-2"), (3, "full-3")], "qid int, prompt string")
+    reduced = spark.createDataFrame([(1, "small-1"), (2, "small-2"), (3, "small-3")], "qid int, prompt string")
+    out = {r.qid: (r.relevant, r.context) for r in RT.relevance_gate(best, full, 0.5, reduced).collect()}
+    assert out == {1: (True, "full-1"), 2: (False, "small-2"), 3: (False, "small-3")}
+    blank = {r.qid: r.context for r in RT.relevance_gate(best, full, 0.5).collect()}
+    assert blank[2] == ""
