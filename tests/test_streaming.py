@@ -25,3 +25,23 @@ def test_stream_counts_equal_batch(spark, sf_dir):
 def test_file_drop_refresh_uses_newest_upload(spark, sf_dir):
     rows = AQ.file_drop_refresh(spark, sf_dir).collect()
     assert rows and all("upload-2" in r.source_file for r in rows)
+
+
+def test_file_drop_refresh_across_runs(spark):
+    from pyspark.sql import functions as F
+
+    drop = scratch_path(spark, "drop_test")
+    ckpt = scratch_path(spark, "drop_ckpt")
+    out = scratch_path(spark, "drop_out")
+    schema = "k long, v string"
+    analyse = lambda df: df.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    spark.createDataFrame([(1, "a"), (2, "a")], schema).coalesce(1).write.parquet(f"{drop}/u1")
+    ST.file_drop_refresh(spark, f"{drop}/*", spark.createDataFrame([], schema).schema, analyse, out, ckpt)
+    first = {r.v: r.n for r in spark.read.parquet(out).collect()}
+    assert first == {"a": 2}
+    spark.createDataFrame([(3, "b")], schema).coalesce(1).write.parquet(f"{drop}/u2")
+    ST.file_drop_refresh(spark, f"{drop}/*", spark.createDataFrame([], schema).schema, analyse, out, ckpt)
+    second = [(r.v, r.n) for r in spark.read.parquet(out).collect()]
+    assert second == [("b", 1)]  # only the new upload: outputs replaced
+    ST.file_drop_refresh(spark, f"{drop}/*", spark.createDataFrame([], schema).schema, analyse, out, ckpt)
+    assert [(r.v, r.n) for r in spark.read.parquet(out).collect()] == [("b", 1)]  # nothing new: unchanged
