@@ -79,3 +79,32 @@ def test_dense_index_matches_global_order(spark):
     df = spark.createDataFrame([(k, f"v{k}") for k in keys], "k long, v string").repartition(7)
     out = dense_index(df, ["k"], start=0).collect()
     assert sorted((r.k, r.idx) for r in out) == [(k, k) for k in range(5000)]
+
+
+def test_end_to_end_hand_fixture(spark):
+    """Merge -> counts -> fines -> metrics -> totals -> report -> impact on hand-computed numbers."""
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators import reports as R
+
+    vt, cites = _frames(spark)
+    merged = V.merge_violation_refs(vt, local_prefix="154")
+    fines = spark.createDataFrame([(0, Decimal("100.00"), Decimal("250.00")), (1, Decimal("50.00"), None),
+                                   (2, Decimal("80.00"), Decimal("90.00"))],
+                                  "ordinal long, local_fine decimal(18,2), state_fine decimal(18,2)")
+    metrics = V.violation_metrics(V.join_fines_positional(V.exact_code_counts(merged, cites, agency="A"), fines))
+    m = {r.violation: r for r in metrics.collect()}
+    assert m["Speeding"].nopd_lost_revenue == Decimal("300.00")
+    assert m["Speeding"].nopd_total_revenue_local_as_state == Decimal("750.00")
+    assert m["Parking"].nopd_lost_revenue is None and m["Noise"].nopd_lost_revenue == Decimal("0.00")
+    totals = R.metrics_totals(metrics).first()
+    assert totals.sum_nopd_lost_revenue == Decimal("300.00")
+    assert (totals.sum_nopd_local_citations, totals.sum_nopd_state_citations) == (3, 2)
+    report = {r["Violation"]: r for r in R.revenue_report(metrics).collect()}
+    assert report["Total NOPD Revenue"]["NOPD Lost Revenue"] == Decimal("300.00")
+    impact = R.metrics_totals(metrics).select(
+        *R.revenue_impact(F.col("sum_nopd_lost_revenue"), F.lit(12), F.lit(0.5))).first()
+    assert (impact.average_monthly_revenue_lost, impact.annualized_lost_revenue,
+            impact.estimated_annual_revenue_impact) == (25.0, 300.0, 150.0)
+    trace = R.calc_trace(metrics).filter(F.col("violation") == "Speeding").orderBy("step").collect()
+    assert len(trace) == 11 and trace[-1].line.endswith("500.00 - 200.00 = 300.00")
