@@ -62,6 +62,29 @@ class LocalExtractiveProvider:
         return out
 
 
+class LocalHashingEmbedder:
+    """Deterministic offline embedding provider: hashed word counts, L2-normalised."""
+
+    name = "local-hashing"
+
+    def __init__(self, dims: int = 256):
+        import regex
+        self.dims = dims
+        self._word = regex.compile(re.sub(r"\\x\{([0-9a-f]{2})\}", r"\\x\1", WORD_PATTERN))
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        import numpy as np
+        import xxhash
+        out = []
+        for t in texts:
+            v = np.zeros(self.dims)
+            for w in self._word.findall((t or "").lower()):
+                v[xxhash.xxh64_intdigest(w) % self.dims] += 1.0
+            n = np.linalg.norm(v)
+            out.append((v / n if n > 0 else v).tolist())
+        return out
+
+
 class FailingProvider:
     """A provider that always raises (exercises the fallback path)."""
 

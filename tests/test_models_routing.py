@@ -53,3 +53,10 @@ def test_write_reports_sequential(spark):
     assert len(out) == 3 and out[(1, 1)].provider == "local-extractive"
     # The local provider answers with the last line of the request, i.e. the task line.
     assert out[(1, 1)].content == "Task: Write the body"
+
+
+def test_embed_with_provider(spark):
+    df = spark.createDataFrame([(1, "Red apples, red!"), (2, None)], "id long, text string")
+    rows = {r.id: r.embedding for r in M.embed_with_provider(df, "id", "text", M.LocalHashingEmbedder).collect()}
+    assert abs(sum(x * x for x in rows[1]) - 1.0) < 1e-9 and len(rows[1]) == 256
+    assert sum(rows[2]) == 0.0
