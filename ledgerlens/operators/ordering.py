@@ -57,12 +57,21 @@ def take_until_null(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     return df.filter(F.coalesce(F.col(ordinal) < stop, F.lit(True)))
 
 
+# Inputs with at least this many splits are never spread: they already run in
+# parallel, and re-shuffling a large table would cost more than it saves.
+SPREAD_MAX_INPUT_PARTITIONS = 64
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the input has fewer partitions than task slots.
+    """Round-robin repartition only for inputs with a handful of splits.
 
     For CPU-heavy per-row work (regex over long texts) behind a scan that
-    yields few splits. On large inputs the check is false and no shuffle is
-    added. Counting partitions plans the query but runs no job.
+    yields very few splits (e.g. one parquet row group). An input with fewer
+    partitions than task slots *and* fewer than ``SPREAD_MAX_INPUT_PARTITIONS``
+    is spread over the task slots; any larger input is left as is, so a big
+    table is never shuffled for this. Counting partitions plans the query but
+    runs no job.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    n = df.rdd.getNumPartitions()
+    return df.repartition(target) if n < min(target, SPREAD_MAX_INPUT_PARTITIONS) else df
