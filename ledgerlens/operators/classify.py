@@ -77,9 +77,13 @@ def classify_by_rules(df: DataFrame, rules: DataFrame, code_col: str = "violatio
     its measured size allows, and splits skewed codes otherwise).
     """
     codes = df.select(F.col(code_col).alias("_code")).filter(F.col("_code").isNotNull()).distinct()
-    prefixes = codes.select(
+    # Prefixes longer than the longest rule can never match: cap the expansion there.
+    longest = rules.agg(F.max(F.length("prefix"))).scalar()
+    bounded = codes.withColumn(
+        "_upto", F.greatest(F.least(F.length("_code"), F.coalesce(longest, F.lit(0))), F.lit(1)))
+    prefixes = bounded.select(
         "_code",
-        F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_code"), F.lit(1))),
+        F.explode(F.transform(F.sequence(F.lit(1), F.col("_upto")),
                               lambda n: F.substring(F.col("_code"), 1, n))).alias("_prefix"))
     matched = (prefixes.join(rules.withColumnRenamed("prefix", "_prefix"), "_prefix")
                .groupBy("_code")
