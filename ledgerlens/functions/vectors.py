@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 
 def dot(a: Column, b: Column) -> Column:
+    """Dot product of two numeric arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
                        F.lit(0.0), lambda acc, v: acc + v)
 
 
 def norm(a: Column) -> Column:
+    """Euclidean norm of a numeric array."""
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 

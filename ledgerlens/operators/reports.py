@@ -81,10 +81,12 @@ def _report(metrics: DataFrame, columns: dict[str, str], total_label: str) -> Da
 
 
 def citation_report(metrics: DataFrame) -> DataFrame:
+    """Citation counts per violation plus a totals row."""
     return _report(metrics, FV.CITATION_REPORT_COLUMNS, FV.CITATION_TOTAL_LABEL)
 
 
 def revenue_report(metrics: DataFrame) -> DataFrame:
+    """Revenue figures per violation plus a totals row."""
     return _report(metrics, FV.REVENUE_REPORT_COLUMNS, FV.REVENUE_TOTAL_LABEL)
 
 

@@ -293,6 +293,7 @@ DEFAULT_QUESTION_PREFIX = "\n\nQuestion: "
 
 
 def wrap_passage(text: Column, open_: str = DEFAULT_OPEN, close: str = DEFAULT_CLOSE) -> Column:
+    """A passage inside its article wrapper."""
     return F.concat(F.lit(open_), text, F.lit(close))
 
 

@@ -39,10 +39,12 @@ def as_messages(conv: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
+    """Chat messages built from the conversations table."""
     return as_messages(read_table(spark, d, "conversations"))
 
 
 def route_messages_q(spark, d):
+    """Every message routed (command, question, non-text)."""
     return route_messages(messages(spark, d)).select("conv_id", "turn", "route", "command")
 
 
@@ -56,12 +58,14 @@ def route_messages_stream(spark, d):
 
 
 def uploaded_files(spark: SparkSession, d: str) -> DataFrame:
+    """Uploaded file paths built from the pages table."""
     ext = F.element_at(F.array(*[F.lit(x) for x in (".xlsx", ".docx", ".XLSX", ".pdf")]),
                        (F.col("page_id") % 4 + 1).cast("int"))
     return read_table(spark, d, "pages").select("page_id", F.concat(F.col("url"), ext).alias("path"))
 
 
 def route_files_q(spark, d):
+    """Every uploaded file routed by extension."""
     return uploaded_files(spark, d).select("page_id", "path", route_file(F.col("path")).alias("action"))
 
 
@@ -75,6 +79,7 @@ def usage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def usage_cost_q(spark, d):
+    """A10: tokens and cost per model."""
     return M.usage_cost(usage(spark, d), S.prices(spark))
 
 
@@ -88,6 +93,7 @@ def tables_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def report_requests(spark, d):
+    """M7: section requests carrying earlier sections and the result tables."""
     conv = read_table(spark, d, "conversations")
     ctx = running_context(conv, ["conv_id"], ["turn"], conversation_piece(), name="previous_text")
     sections = ctx.filter((F.col("role") == "user") & F.col("text").isNotNull())
@@ -110,6 +116,7 @@ def report_writer(spark, d):
 
 
 def complete_batch_q(spark, d):
+    """M4: every user turn answered, primary provider then fallback."""
     conv = read_table(spark, d, "conversations")
     ctx = running_context(conv, ["conv_id"], ["turn"], conversation_piece())
     asks = ctx.filter((F.col("role") == "user") & F.col("text").isNotNull()).select(
@@ -121,6 +128,7 @@ def complete_batch_q(spark, d):
 
 
 def embed_batch(spark, d):
+    """M1: every document embedded (Spark ML hashing embeddings)."""
     docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
     return M.embed_hashing(docs, "text").select("doc_id", "embedding")
 
@@ -151,6 +159,7 @@ def scan_skip_preamble(spark, d, min_files: int = 4):
 
 
 def scan_wholetext(spark, d):
+    """Files read whole, one row per file."""
     docs = read_table(spark, d, "documents").select("source", "doc_id", "text")
     path = scratch_path(spark, "wholetext")
     # No shuffle: each task writes one file per source it holds, so no file

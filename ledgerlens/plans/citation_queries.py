@@ -24,19 +24,23 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_table(spark, d):
+    """The orders sheet with its explicit schema."""
     return read_table(spark, d, "orders")
 
 
 def agency_filter(spark, d):
+    """Citations of the focus agency."""
     return _focus(spark, d)
 
 
 def classify_prefix(spark, d):
+    """P2 + P3: focus citations classified by the first matching code prefix (CASE chain)."""
     return money_out(_classified(spark, d).select(
         "l_orderkey", "l_linenumber", "violation_code", "revenue", "violation_type", "scope"))
 
 
 def classify_rule_join(spark, d):
+    """The same classification from a rule table (prefix equi-join on distinct codes)."""
     rules = C.rules_frame(spark, S.BRAND_RULES)
     out = C.classify_by_rules(_focus(spark, d), rules, "violation_code", S.BRAND_DEFAULT)
     return money_out(out.select("l_orderkey", "l_linenumber", "violation_code", "revenue",
@@ -44,37 +48,45 @@ def classify_rule_join(spark, d):
 
 
 def citations_by_type_scope(spark, d):
+    """A1 (flagship): focus citations counted by violation type, one column per scope."""
     return R.counts_by_type_scope(_classified(spark, d))
 
 
 def revenue_by_type_scope(spark, d):
+    """A2: focus citation revenue by violation type and scope."""
     return money_out(R.revenue_by_type_scope(_classified(spark, d)))
 
 
 def month_revenue(spark, d):
+    """P8 + P9 + A9: focus citation revenue by month and scope."""
     return money_out(R.month_revenue(_classified(spark, d)))
 
 
 def months_spanned(spark, d):
+    """Months covered by the focus citations, both ends included."""
     return R.months_spanned(_focus(spark, d))
 
 
 def period_titles(spark, d) -> DataFrame:
+    """A period title per department from its first and last order month."""
     o = read_table(spark, d, "orders")
     return (o.groupBy(F.col("o_orderpriority").alias("department"))
             .agg(month_year_title(F.min("o_orderdate"), F.max("o_orderdate")).alias("period_title")))
 
 
 def period_months_q(spark, d):
+    """months implied by each department's period title."""
     t = period_titles(spark, d)
     return t.select("department", "period_title", period_months(F.col("period_title")).alias("months"))
 
 
 def violation_ref_merge(spark, d):
+    """A5 + W1 + P5: one row per violation, last local/state code, first-appearance index."""
     return V.merge_violation_refs(S.violation_types(spark, d), local_prefix=S.LOCAL_PREFIX)
 
 
 def membership_split(spark, d):
+    """Incoming rows tagged update or insert against existing violation keys."""
     part = read_table(spark, d, "part").select(
         "p_partkey", "p_brand", F.concat_ws(" size ", "p_type", F.col("p_size").cast("string")).alias("violation"))
     existing = part.filter(F.col("p_brand").startswith(S.LOCAL_PREFIX))
@@ -84,6 +96,7 @@ def membership_split(spark, d):
 
 
 def take_until_null_q(spark, d):
+    """P5: customer rows in key order up to the first blank row."""
     # A deeply negative balance marks a blank row: the sheet ends at the first one.
     c = read_table(spark, d, "customer").select(
         "c_custkey", F.when(F.col("c_acctbal") < -990, F.lit(None)).otherwise(F.col("c_name")).alias("ref"))
@@ -96,11 +109,13 @@ def _counted(spark, d) -> DataFrame:
 
 
 def exact_code_counts(spark, d):
+    """J1 + A3: exact-code citation counts per violation, all and focus agency."""
     return _counted(spark, d).select("idx", "violation", "local_ref", "state_ref", "local_citations",
                                      "state_citations", "nopd_local_citations", "nopd_state_citations")
 
 
 def positional_fine_join(spark, d):
+    """The i-th violation takes fines row i."""
     merged = V.merge_violation_refs(S.violation_types(spark, d), local_prefix=S.LOCAL_PREFIX)
     return money_out(V.join_fines_positional(merged, S.fines(spark)).select(
         "idx", "violation", "local_fine", "state_fine"))
@@ -121,22 +136,27 @@ METRIC_COLUMNS = [
 
 
 def violation_metrics(spark, d):
+    """P10 + P11: revenues and the ten derived metrics per violation."""
     return money_out(_metrics(spark, d).select(*METRIC_COLUMNS))
 
 
 def metrics_totals(spark, d):
+    """A4: the thirteen grand totals."""
     return money_out(R.metrics_totals(_metrics(spark, d)))
 
 
 def totals_long(spark, d):
+    """The totals transposed to (type_of_total, value)."""
     return R.totals_long(R.metrics_totals(_metrics(spark, d)))
 
 
 def citation_report(spark, d):
+    """P6 + A6: citation report with a totals row."""
     return money_out(R.citation_report(_metrics(spark, d)))
 
 
 def revenue_report(spark, d):
+    """P6 + A6: revenue report with a totals row."""
     return money_out(R.revenue_report(_metrics(spark, d)))
 
 
@@ -153,18 +173,22 @@ def _impact(spark, d) -> DataFrame:
 
 
 def revenue_impact(spark, d):
+    """S10 + J6 + P12: monthly, annualised and collection-rate impact."""
     return _impact(spark, d)
 
 
 def impact_long(spark, d):
+    """The impact figures as (Description, Value)."""
     return R.impact_long(_impact(spark, d))
 
 
 def calc_trace(spark, d):
+    """One formatted calculation line per step and violation."""
     return R.calc_trace(_metrics(spark, d))
 
 
 def fill_missing(spark, d):
+    """Empty balances filled with the nation average; existing values kept."""
     cust = read_table(spark, d, "customer")
     existing = cust.select("c_custkey", "c_nationkey", F.when(F.col("c_mktsegment") == "BUILDING", F.lit(None))
                            .otherwise(F.col("c_acctbal")).alias("balance"))

@@ -13,6 +13,7 @@ _MODULES = [
 
 
 def queries() -> dict:
+    """All registered queries by name."""
     out = {}
     for qmod, _ in _MODULES:
         out.update(importlib.import_module(f"{__package__}.{qmod}").QUERIES)
@@ -20,6 +21,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
+    """DuckDB SQL for every query that has one."""
     out = {}
     for _, smod in _MODULES:
         if smod:

@@ -57,21 +57,25 @@ def label_questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def global_query(spark: SparkSession, d: str) -> DataFrame:
+    """One query: the sum of all vectors."""
     e = read_table(spark, d, "embeddings")
     return vector_sums(e, "embedding", []).select(F.lit(-1).alias("qid"), F.col("s").alias("qvec"))
 
 
 def cosine_topk(spark, d):
+    """J4 + F3 + W2: top-100 corpus vectors per label query."""
     top = RT.top_k_similar(corpus(spark, d), label_queries(spark, d), FV.DEFAULT_TOP_N)
     return top.select("qid", "rank", F.col("id").alias("vec_id"), "similarity")
 
 
 def cosine_topk_single(spark, d):
+    """Top-100 corpus vectors for one query."""
     return RT.top_n_single(corpus(spark, d), global_query(spark, d), FV.DEFAULT_TOP_N).select(
         "qid", F.col("id").alias("vec_id"), "similarity")
 
 
 def relatedness_report(spark, d):
+    """Top-3 passages per label query with a three-decimal score."""
     top = RT.top_k_similar(corpus(spark, d), label_queries(spark, d), FV.REPORT_TOP_N)
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return top.join(docs, "id").select("qid", "rank", F.col("id").alias("vec_id"),
@@ -79,10 +83,12 @@ def relatedness_report(spark, d):
 
 
 def vector_long(spark, d):
+    """M2: every vector in long form (id, dimension, value)."""
     return RT.vector_long(read_table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 def vector_csv_roundtrip(spark, d):
+    """S3 + S4 + F4: passages and vectors through CSV and back."""
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     src = corpus(spark, d).join(docs, "vec_id").select("vec_id", "text", "embedding")
     path = scratch_path(spark, "vector_csv")
@@ -103,16 +109,19 @@ def _packed(spark, d, ranked: DataFrame, budget: int = FV.DEFAULT_TOKEN_BUDGET)
 
 
 def context_pack(spark, d):
+    """Ranked passages packed to the token budget per question."""
     packed, _ = _packed(spark, d, _ranked(spark, d))
     return packed.select("qid", "rank", F.col("id").alias("vec_id"), "tokens", "cum_tokens")
 
 
 def retrieval_prompt(spark, d):
+    """M3: one retrieval prompt per question."""
     packed, questions = _packed(spark, d, _ranked(spark, d))
     return RT.retrieval_prompt(packed, questions)
 
 
 def relevance_gate(spark, d):
+    """M5: full context for on-topic questions, reduced context otherwise."""
     # One kernel run: the ranking (at most k rows per query) is fixed once and read by
     # both the prompt branch and the best-match branch.
     ranked = _ranked(spark, d).checkpoint(eager=True)
@@ -131,6 +140,7 @@ def _conversation_questions(conv: DataFrame) -> DataFrame:
 
 
 def extractive_context(spark, d):
+    """M6: each conversation reduced to the lines relevant to its last question."""
     conv = spread(read_table(spark, d, "conversations"))
     questions = _conversation_questions(conv)
     texts = (conv.join(questions.select("conv_id", "q_turn"), "conv_id")
@@ -140,6 +150,7 @@ def extractive_context(spark, d):
 
 
 def prompt_messages(spark, d):
+    """F8: system and user messages for every user turn."""
     conv = read_table(spark, d, "conversations")
     ctx = running_context(conv, ["conv_id"], ["turn"], conversation_piece())
     asks = ctx.filter((F.col("role") == "user") & F.col("text").isNotNull() & ~F.col("text").startswith("/"))

@@ -60,6 +60,7 @@ def violation_types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fines(spark: SparkSession) -> DataFrame:
+    """Fines sheet (parameter table)."""
     rows = [(o, v, Decimal(str(lf)), Decimal(str(sf)) if sf is not None else None) for o, v, lf, sf in FINES]
     return param_table(spark, rows,
                        "ordinal long, violation string, local_fine decimal(18,2), state_fine decimal(18,2)")
@@ -71,4 +72,5 @@ def params(spark: SparkSession) -> DataFrame:
 
 
 def prices(spark: SparkSession) -> DataFrame:
+    """Model price list (parameter table)."""
     return param_table(spark, PRICES, "model string, prompt_price double, completion_price double")

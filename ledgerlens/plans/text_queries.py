@@ -20,33 +20,40 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents plus page texts with URLs, as (source, id, text)."""
     docs = read_table(spark, d, "documents").select(
         F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "text")
     return docs.unionByName(page_text(spark, d))
 
 
 def clean_text(spark, d):
+    """URL-preserving cleanup of every document and page text."""
     return spread(texts(spark, d)).select("source", "id", TX.clean_text(F.col("text")).alias("text"))
 
 
 def newline_to_space(spark, d):
+    """newlines to spaces in every document."""
     return read_table(spark, d, "documents").select("doc_id", TX.newline_to_space(F.col("text")).alias("text"))
 
 
 def token_count(spark, d):
+    """token counts of every document and page text."""
     return spread(texts(spark, d)).select("source", "id", TX.token_count(F.col("text")).alias("tokens"))
 
 
 def money_format(spark, d):
+    """part prices as money strings."""
     return read_table(spark, d, "part").select("p_partkey", TX.money(F.col("p_retailprice")).alias("price"))
 
 
 def row_text(spark, d):
+    """F7 + P7: each customer row's non-null cells as text."""
     c = read_table(spark, d, "customer")
     return c.select("c_custkey", TX.row_text(*c.columns).alias("text"))
 
 
 def table_text(spark, d):
+    """Each order's line items flattened to text, row-major."""
     li = spread(read_table(spark, d, "lineitem"))
     cells = ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"]
     # Line numbers repeat inside an order here, so all cells make the row order total.
@@ -54,6 +61,7 @@ def table_text(spark, d):
 
 
 def document_text(spark, d):
+    """Each conversation's turns joined into one document (both newline forms)."""
     conv = read_table(spark, d, "conversations")
     # One aggregation: the "newline after every part" form is the joined form plus one newline.
     return D.document_text(conv, ["conv_id"], ["turn"]).withColumn(
@@ -61,6 +69,7 @@ def document_text(spark, d):
 
 
 def union_renumber(spark, d):
+    """Customers and suppliers unioned by name with a fresh index."""
     cust = read_table(spark, d, "customer").select(
         F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("name"),
         F.col("c_acctbal").alias("acctbal"), "c_mktsegment")
@@ -70,10 +79,12 @@ def union_renumber(spark, d):
 
 
 def conversation_piece() -> F.Column:
+    """One turn as ``role: text`` plus a newline."""
     return F.concat(F.col("role"), F.lit(": "), F.coalesce(F.col("text"), F.lit("")), F.lit("\n"))
 
 
 def running_context(spark, d):
+    """Each turn with all earlier turns of its conversation."""
     conv = read_table(spark, d, "conversations")
     return D.running_context(conv, ["conv_id"], ["turn"], conversation_piece()).select(
         "conv_id", "turn", "context")

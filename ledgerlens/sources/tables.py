@@ -41,6 +41,7 @@ SCHEMAS: dict[str, T.StructType] = {
 
 
 def table_path(base_dir: str, name: str) -> str:
+    """Parquet path of a named table."""
     return f"{base_dir.rstrip('/')}/{name}.parquet"
 
 
