@@ -66,7 +66,8 @@ def rules_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
 
 
 def classify_by_rules(df: DataFrame, rules: DataFrame, code_col: str = "violation_code",
-                      default: tuple[float, str, str] | None = FV.CITATION_DEFAULT) -> DataFrame:
+                      default: tuple[float, str, str] | None = FV.CITATION_DEFAULT,
+                      max_prefix_len: int | None = None) -> DataFrame:
     """First-match prefix lookup against a rule *table* of any size.
 
     Instead of a nested-loop join on ``startswith``, each distinct code is
@@ -77,8 +78,10 @@ def classify_by_rules(df: DataFrame, rules: DataFrame, code_col: str = "violatio
     its measured size allows, and splits skewed codes otherwise).
     """
     codes = df.select(F.col(code_col).alias("_code")).filter(F.col("_code").isNotNull()).distinct()
-    # Prefixes longer than the longest rule can never match: cap the expansion there.
-    longest = rules.agg(F.max(F.length("prefix"))).scalar()
+    # Prefixes longer than the longest rule can never match: cap the expansion there
+    # (a literal when the caller knows it, else one scalar subquery over the rules).
+    longest = (F.lit(max_prefix_len) if max_prefix_len is not None
+               else rules.agg(F.max(F.length("prefix"))).scalar())
     bounded = codes.withColumn(
         "_upto", F.greatest(F.least(F.length("_code"), F.coalesce(longest, F.lit(0))), F.lit(1)))
     prefixes = bounded.select(

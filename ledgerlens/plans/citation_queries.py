@@ -42,7 +42,8 @@ def classify_prefix(spark, d):
 def classify_rule_join(spark, d):
     """The same classification from a rule table (prefix equi-join on distinct codes)."""
     rules = C.rules_frame(spark, S.BRAND_RULES)
-    out = C.classify_by_rules(_focus(spark, d), rules, "violation_code", S.BRAND_DEFAULT)
+    out = C.classify_by_rules(_focus(spark, d), rules, "violation_code", S.BRAND_DEFAULT,
+                              max_prefix_len=max(len(p) for p, *_ in S.BRAND_RULES))
     return money_out(out.select("l_orderkey", "l_linenumber", "violation_code", "revenue",
                                 "violation_type", "scope"))
 
