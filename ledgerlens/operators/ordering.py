@@ -72,6 +72,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     table is never shuffled for this. Counting partitions plans the query but
     runs no job.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access (e.g. Spark Connect): leave as is
+        return df
     return df.repartition(target) if n < min(target, SPREAD_MAX_INPUT_PARTITIONS) else df

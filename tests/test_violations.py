@@ -108,3 +108,11 @@ def test_end_to_end_hand_fixture(spark):
             impact.estimated_annual_revenue_impact) == (25.0, 300.0, 150.0)
     trace = R.calc_trace(metrics).filter(F.col("violation") == "Speeding").orderBy("step").collect()
     assert len(trace) == 11 and trace[-1].line.endswith("500.00 - 200.00 = 300.00")
+
+
+def test_spread_only_few_split_inputs(spark):
+    from ledgerlens.operators.ordering import SPREAD_MAX_INPUT_PARTITIONS, spread
+    one = spark.range(100).coalesce(1)
+    assert spread(one, 8).rdd.getNumPartitions() == 8
+    many = spark.range(1000).repartition(SPREAD_MAX_INPUT_PARTITIONS)
+    assert spread(many, 10_000).rdd.getNumPartitions() == SPREAD_MAX_INPUT_PARTITIONS
