@@ -78,3 +78,24 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     except Exception:  # noqa: BLE001 - sessions without RDD access (e.g. Spark Connect): leave as is
         return df
     return df.repartition(target) if n < min(target, SPREAD_MAX_INPUT_PARTITIONS) else df
+
+
+def running_sum_before(df: DataFrame, group: str, order: str, value: str, name: str,
+                       chunk: int = 4096) -> DataFrame:
+    """Per group, the sum of ``value`` over all earlier rows (by integer ``order``), 0 for the first.
+
+    Skew-safe: rows are cut into chunks of ``chunk`` consecutive order values,
+    so no window spans more than one chunk even when one group holds a third
+    of all rows. Chunk totals are a partial aggregate, chunk offsets a window
+    over the small chunk table, and the within-chunk running sum a window per
+    (group, chunk). ``order`` must be an integer (e.g. a turn number).
+    """
+    with_chunk = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)).cast("long"))
+    totals = with_chunk.groupBy(group, "_chunk").agg(F.sum(value).alias("_ct"))
+    w_chunks = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(group, "_chunk", F.coalesce(F.sum("_ct").over(w_chunks), F.lit(0)).alias("_off"))
+    w_rows = Window.partitionBy(group, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = with_chunk.withColumn("_in", F.coalesce(F.sum(value).over(w_rows), F.lit(0)))
+    return (inner.join(offsets, [group, "_chunk"])
+            .withColumn(name, (F.col("_off") + F.col("_in")).cast("long"))
+            .drop("_chunk", "_in", "_off"))

@@ -8,7 +8,6 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .. import fixed_values as FV
 from ..functions.text import token_count
@@ -16,7 +15,7 @@ from ..operators import classify as C
 from ..operators import models as M
 from ..operators import reports as R
 from ..operators.documents import running_context
-from ..operators.ordering import spread
+from ..operators.ordering import running_sum_before, spread
 from ..operators.routing import route_file, route_messages
 from ..session import scratch_path
 from ..sources import files as FS
@@ -70,12 +69,14 @@ def route_files_q(spark, d):
 
 
 def usage(spark: SparkSession, d: str) -> DataFrame:
-    """One request per turn: the model is the role; the prompt is everything said before."""
+    """One request per turn: the model is the role; the prompt is everything said before.
+
+    The running prompt-token sum is chunked, so a very long conversation is
+    split over many tasks instead of one window partition.
+    """
     conv = read_table(spark, d, "conversations").withColumn("_tok", token_count(F.col("text")))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return conv.select(F.col("role").alias("model"),
-                       F.coalesce(F.sum("_tok").over(w), F.lit(0)).alias("prompt_tokens"),
-                       F.col("_tok").alias("completion_tokens"))
+    summed = running_sum_before(conv, "conv_id", "turn", "_tok", "prompt_tokens")
+    return summed.select(F.col("role").alias("model"), "prompt_tokens", F.col("_tok").alias("completion_tokens"))
 
 
 def usage_cost_q(spark, d):

@@ -116,3 +116,19 @@ def test_spread_only_few_split_inputs(spark):
     assert spread(one, 8).rdd.getNumPartitions() == 8
     many = spark.range(1000).repartition(SPREAD_MAX_INPUT_PARTITIONS)
     assert spread(many, 10_000).rdd.getNumPartitions() == SPREAD_MAX_INPUT_PARTITIONS
+
+
+def test_running_sum_before_matches_window(spark):
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators.ordering import running_sum_before
+    rng = random.Random(5)
+    rows = [(g, t, rng.randint(0, 9)) for g in range(3) for t in range(0, 50 if g else 500)]
+    df = spark.createDataFrame(rows, "g long, t long, v long")
+    got = sorted(tuple(r) for r in running_sum_before(df, "g", "t", "v", "s", chunk=16).select("g", "t", "s").collect())
+    w = Window.partitionBy("g").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    want = sorted(tuple(r) for r in df.select("g", "t", F.coalesce(F.sum("v").over(w), F.lit(0)).alias("s")).collect())
+    assert got == want
