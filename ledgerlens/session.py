@@ -78,10 +78,10 @@ def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers (like ``--py-files``).
 
     Arrow/pandas kernels are pickled by reference to their module, so every
-    executor needs ``ledgerlens`` on its path. The package is zipped once per
-    application and registered with ``addPyFile``, which ships it to every
-    executor. Nothing is shipped when the workers can already import it from
-    an installed copy on the cluster image.
+    executor needs ``ledgerlens`` on its path. The package (Python sources
+    only, a few hundred KB) is zipped once per application and registered with
+    ``addPyFile``, which ships it to every executor; a copy already installed
+    on the executors is simply shadowed by the same code.
     """
     import tempfile
     import zipfile
