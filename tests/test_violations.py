@@ -132,3 +132,25 @@ def test_running_sum_before_matches_window(spark):
     w = Window.partitionBy("g").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     want = sorted(tuple(r) for r in df.select("g", "t", F.coalesce(F.sum("v").over(w), F.lit(0)).alias("s")).collect())
     assert got == want
+
+
+def test_order_dependent_ops_ignore_physical_order(spark):
+    """Merge, take-until-null and renumbering depend on the ordinal only, not on row order."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators.documents import union_renumber
+    rows = list(VT)
+    results = []
+    for seed in (1, 2, 3):
+        random.Random(seed).shuffle(rows)
+        vt = spark.createDataFrame(rows, "ordinal long, ref string, violation string").repartition(3)
+        merged = sorted(tuple(r) for r in V.merge_violation_refs(vt, local_prefix="154").collect())
+        a = spark.createDataFrame([(i, f"a{i}") for i in random.Random(seed).sample(range(40), 40)], "ordinal long, n string")
+        b = spark.createDataFrame([(i, f"b{i}") for i in random.Random(seed).sample(range(30), 30)], "ordinal long, n string")
+        renum = sorted(tuple(r) for r in union_renumber([("a", a.repartition(4)), ("b", b.repartition(2))])
+                       .select("source", "ordinal", "idx").collect())
+        results.append((merged, renum))
+    assert results[0] == results[1] == results[2]
+    assert results[0][1][0] == ("a", 0, 0) and results[0][1][-1] == ("b", 29, 69)
