@@ -30,6 +30,12 @@ def id_remainder(doc_id: Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def document_key() -> list[Column]:
+    """Two columns, never NULL, that identify a document by its id and its whole text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"),
+            F.xxhash64(F.lit("text"), F.col("text")).alias("_text_hash")]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once under the shared scratch folder and read back.
 

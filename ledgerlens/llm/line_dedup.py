@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower
+from .common import ASCII_SPACE, ascii_lower, document_key
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -30,12 +30,6 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _document() -> list[Column]:
-    """Two columns that identify a document and are never NULL."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"),
-            F.xxhash64(F.lit("text"), F.col("text")).alias("_text_hash")]
-
-
 def line_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS,
                  keep_first: bool = False) -> DataFrame:
     """(_doc, _text_hash, dropped): bit ``i mod 64`` of ``dropped[i div 64]`` is set if line ``i`` goes.
@@ -43,7 +37,7 @@ def line_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     Lines go whose key has ``min_chars`` code points and is found in ``min_docs`` documents; with ``keep_first`` the
     first occurrence by (document, position) stays. Documents that lose no line have no row.
     """
-    line = (docs.select(*_document(), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    line = (docs.select(*document_key(), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
             .select("_doc", "_text_hash", "pos", line_key(F.col("line")).alias("key"))
             .where(F.length("key") >= min_chars)
             .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), F.col("key")).alias("h2"),
@@ -69,7 +63,7 @@ def line_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with ``_kept_text`` (NULL for a NULL text), ``_n_lines`` and ``_n_dropped``."""
-    lines = docs.select("*", *_document()).join(bitmaps, ["_doc", "_text_hash"], "left")
+    lines = docs.select("*", *document_key()).join(bitmaps, ["_doc", "_text_hash"], "left")
     lines = lines.withColumn("_lines", _lines(F.col("text")))
     # past the end of the bitmap, and without one, every line is kept
     lines = lines.withColumn("_kept", F.expr("""

@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,45 +30,46 @@ WINDOW = 1024
 OPEN_WINDOWS = 32
 MERGE_FAN_IN = 32
 END_ID = 0
-#: Distinct words whose ids a worker remembers at most; the memory is emptied beyond that.
-REMEMBERED_WORDS = 400_000
+#: Pieces whose ids a worker remembers; twice as many are held at most.
+REMEMBERED_PIECES = 400_000
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 _STAGED = PIECES + ", part int, ids binary"
 
-# The vocabulary's own word pattern, in the syntax of ``re``. It equals the pattern on texts without the characters
-# of _UNLIKE; other texts go to the tokenizer as a whole.
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_UNLIKE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|[^\x00-ɏ‐-‧€]|<\\|")
+# White space beside which a cut at spaces and line ends could change the ids; such texts are encoded as a whole.
+_ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_RUNS = ("  ", "\n\n", " \n", "\n ")
 
 
-class _WordIds(dict):
-    """Little-endian 32-bit ids of single words."""
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else b"".join(i.to_bytes(4, "little") for i in ids)
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
 
-    def learn(self, words: list[str]) -> None:
-        new = [w for w in set(words) if w not in self]
-        if new:
-            if len(self) + len(new) > REMEMBERED_WORDS:
-                self.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self[w] = _packed(e.ids)
+class _PieceIds(dict):
+    """Little-endian 32-bit ids of single pieces: the young ones, with an older generation behind them."""
 
+    def __init__(self, tokenizer, lead: str):
+        super().__init__()
+        self.tokenizer, self.lead, self.older = tokenizer, lead, {}
 
-def _packed(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = _packed(self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids)
+        if len(self) >= REMEMBERED_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
 
 
 def token_encoder(tokenizer_path: str | None = None) -> Callable[[str], bytes]:
     """A function from text to its ids as little-endian 32-bit numbers, without the end id.
 
-    ``tokenizer_path`` names a ``tokenizers`` JSON file; by default the public byte-level vocabulary of 50k ids.
-    Words repeat, so the ids of single words are remembered up to a fixed number of words.
+    ``tokenizer_path`` names a ``tokenizers`` JSON file of a byte-level vocabulary; by default the public one of 50k
+    ids. Its words never reach across a line end or into a space after a character that is no white space, so that a
+    text whose white space stands alone can be cut there; pieces repeat, and their ids are remembered.
     """
     import os
 
@@ -79,14 +82,17 @@ def token_encoder(tokenizer_path: str | None = None) -> Callable[[str], bytes]:
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(tokenizer_path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    known = _WordIds(tokenizer)
+    first, later = _PieceIds(tokenizer, "").__getitem__, _PieceIds(tokenizer, " ").__getitem__
+    line_end = _packed(tokenizer.encode("\n", add_special_tokens=False).ids)
 
     def encode(text: str) -> bytes:
-        if _UNLIKE.search(text):
+        if _ODD_SPACE.search(text) or any(r in text for r in _RUNS):
             return _packed(tokenizer.encode(text, add_special_tokens=False).ids)
-        words = _WORDS.findall(text)
-        known.learn(words)
-        return b"".join(map(known.__getitem__, words))
+        lines = []
+        for line in text.split("\n"):
+            pieces = line.split(" ")
+            lines.append(first(pieces[0]) + b"".join(map(later, pieces[1:])))
+        return line_end.join(lines)
 
     return encode
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, simhash
-from .common import table
+from . import decontamination, language_id, line_dedup, packing, simhash
+from .common import id_remainder, table
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,4 +28,20 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_packing, op6_simhash)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the texts that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 4) == 2
+    model = language_id.learn(docs.where(~held_out))
+    out = docs.select("doc_id", held_out.alias("held_out"), language_id.predict(docs, model).alias("p"))
+    return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.share").alias("score"),
+                      F.col("p.langs").alias("langs"), F.col("p.shares").alias("shares"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage like a benchmark item, with the item and the window."""
+    out = decontamination.contaminated_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.drop("_doc", "_text_hash")
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_packing, op6_simhash, op8_language_id, op9_decontamination)}
