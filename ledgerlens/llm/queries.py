@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, packing, simhash
+from . import credentials, decontamination, language_id, line_dedup, packing, simhash, url_filter
 from .common import id_remainder, table
 
 
@@ -28,6 +28,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the texts that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -44,4 +49,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("_doc", "_text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_packing, op6_simhash, op8_language_id, op9_decontamination)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, base spans and those that corpus-wide ownership adds."""
+    return credentials.digest(credentials.find_secrets(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_line_dedup, op5_packing, op6_simhash, op7_url_filter, op8_language_id, op9_decontamination, op10_secret_scan)}
