@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontamination, language_id, line_dedup, packing, simhash, url_filter
+from . import credentials, decontamination, fingerprints, language_id, line_dedup, packing, simhash, url_filter
 from .common import id_remainder, table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syncmer fingerprint of every document and of its edited text."""
+    return fingerprints.fingerprint_with_next(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in 10 documents or more, taken out of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -55,4 +60,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_line_dedup, op5_packing, op6_simhash, op7_url_filter, op8_language_id, op9_decontamination, op10_secret_scan)}
+    op1_fingerprints, op2_line_dedup, op5_packing, op6_simhash, op7_url_filter, op8_language_id, op9_decontamination, op10_secret_scan)}
