@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontamination, fingerprints, language_id, line_dedup, packing, simhash, url_filter
+from . import credentials, decontamination, fingerprints, html_extract, language_id, line_dedup, packing, simhash, url_filter
 from .common import id_remainder, table
 
 
@@ -22,6 +22,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.coalesce("_kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = html_extract.extract_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -60,4 +66,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_fingerprints, op2_line_dedup, op5_packing, op6_simhash, op7_url_filter, op8_language_id, op9_decontamination, op10_secret_scan)}
+    op1_fingerprints, op2_line_dedup, op3_html_extraction, op5_packing, op6_simhash, op7_url_filter, op8_language_id, op9_decontamination, op10_secret_scan)}
