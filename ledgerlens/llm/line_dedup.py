@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, document_key
+from .common import ASCII_SPACE, ascii_lower, document_key, stored
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -42,13 +42,15 @@ def line_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
             .where(F.length("key") >= min_chars)
             .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), F.col("key")).alias("h2"),
                     "_doc", "_text_hash", "pos"))
+    line = stored(line, "lines")  # texts are split once, not again for the range bounds and for the join
     ranged = (line.repartitionByRange("h1", "h2", "_doc", "_text_hash")
               .sortWithinPartitions("h1", "h2", "_doc", "_text_hash", "pos"))
     first = ranged.groupBy("h1", "h2", "_doc", "_text_hash").agg(F.min("pos").alias("pos"))
     common = (first.groupBy("h1", "h2")
               .agg(F.count("*").alias("docs"), F.min(F.struct("_doc", "_text_hash", "pos")).alias("first_at"))
               .where(F.col("docs") >= min_docs).select("h1", "h2", "first_at"))
-    gone = ranged.join(common, ["h1", "h2"])
+    # as a table of its own, so that Spark may split the partitions of a line that very many documents hold
+    gone = line.join(stored(common, "common_lines"), ["h1", "h2"])
     if keep_first:
         gone = gone.where(F.struct("_doc", "_text_hash", "pos") != F.col("first_at"))
     word = (gone.groupBy("_doc", "_text_hash", F.expr("pos div 64").cast("int").alias("word"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontamination, fingerprints, html_extract, language_id, line_dedup, packing, simhash, url_filter
+from . import credentials, decontamination, fingerprints, html_extract, language_id, line_dedup, ngram_lm, packing, simhash, url_filter
 from .common import id_remainder, table
 
 
@@ -28,6 +28,13 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and bigram score of every document, from the texts that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return ngram_lm.score_documents(docs.select(
+        "doc_id", "text", (id_remainder(F.col("doc_id"), 7) != 2).alias("train")))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -66,4 +73,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_fingerprints, op2_line_dedup, op3_html_extraction, op5_packing, op6_simhash, op7_url_filter, op8_language_id, op9_decontamination, op10_secret_scan)}
+    op1_fingerprints, op2_line_dedup, op3_html_extraction, op4_lm_scoring,
+    op5_packing, op6_simhash, op7_url_filter, op8_language_id, op9_decontamination, op10_secret_scan)}
