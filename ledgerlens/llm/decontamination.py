@@ -197,4 +197,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle_words: int = SH
                   min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """``docs`` without the documents that hold a window of a benchmark item; columns as before."""
     bad = contaminated_windows(docs, benchmark, shingle_words, min_similarity).select("_doc", "_text_hash").distinct()
-    return docs.select("*", *document_key()).join(bad, ["_doc", "_text_hash"], "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), *document_key()).join(bad, ["_doc", "_text_hash"], "left_anti")
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))

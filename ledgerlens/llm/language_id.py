@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
@@ -135,13 +135,13 @@ def learn(docs: DataFrame) -> LanguageModel:
     return LanguageModel([r["lang"] for r in rows], count / count.sum(axis=0, keepdims=True))
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> Column:
-    """A column (lang, share, langs, shares) of the column ``text`` of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.prob))
+def predict(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
+    """A column (lang, share, langs, shares) of a text column."""
+    sent = spark.sparkContext.broadcast((model.langs, model.prob))
 
     @F.pandas_udf("lang string, share double, langs array<string>, shares array<double>")
-    def infer(text: pd.Series) -> pd.DataFrame:
+    def infer(texts: pd.Series) -> pd.DataFrame:
         own = LanguageModel(*sent.value)
-        return pd.DataFrame([own.infer(t) for t in text], columns=["lang", "share", "langs", "shares"])
+        return pd.DataFrame([own.infer(t) for t in texts], columns=["lang", "share", "langs", "shares"])
 
-    return infer(F.col("text").cast("string"))
+    return infer(text.cast("string"))

@@ -7,7 +7,8 @@ range before they are shuffled. The result is a bitmap per document, 64 lines to
 
 Cases: a NULL or empty text is one empty line, which has no key and stays (NULL text stays NULL in the rewritten
 documents); a document is its (doc_id, text), so that repeated rows count once and get the same bitmap; NULL ids are
-documents too; an empty table gives no rows; further columns pass through ``deduplicate_lines`` untouched.
+documents too; an empty table gives no rows; further columns of any
+name pass through ``deduplicate_lines`` untouched.
 """
 
 from __future__ import annotations
@@ -64,24 +65,21 @@ def line_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with ``_kept_text`` (NULL for a NULL text), ``_n_lines`` and ``_n_dropped``."""
-    lines = docs.select("*", *document_key()).join(bitmaps, ["_doc", "_text_hash"], "left")
-    lines = lines.withColumn("_lines", _lines(F.col("text")))
+    """(row, kept_text, n_lines, n_dropped): ``row`` holds all columns of ``docs``, ``kept_text`` is NULL for NULL."""
+    out = docs.select(F.struct("*").alias("row"), *document_key()).join(bitmaps, ["_doc", "_text_hash"], "left")
+    out = out.withColumn("lines", _lines(F.col("row")["text"]))
     # past the end of the bitmap, and without one, every line is kept
-    lines = lines.withColumn("_kept", F.expr("""
-        CASE WHEN dropped IS NULL THEN _lines ELSE filter(_lines, (l, i) ->
+    out = out.withColumn("kept", F.expr("""
+        CASE WHEN dropped IS NULL THEN lines ELSE filter(lines, (l, i) ->
             (shiftright(coalesce(get(dropped, i div 64), 0L), i % 64) & 1L) = 0L) END"""))
-    return (lines.withColumn("_kept_text", F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n")))
-            .withColumn("_n_lines", F.size("_lines").cast("long"))
-            .withColumn("_n_dropped", (F.size("_lines") - F.size("_kept")).cast("long"))
-            .drop("_doc", "_text_hash", "dropped", "_lines", "_kept"))
+    return out.select("row", F.when(F.col("row")["text"].isNotNull(), F.array_join("kept", "\n")).alias("kept_text"),
+                      F.size("lines").cast("long").alias("n_lines"),
+                      (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"))
 
 
 def deduplicate_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS,
                       keep_first: bool = False) -> DataFrame:
     """``docs`` with the common lines taken out of ``text`` and ``n_chars`` set to match; columns as before."""
     out = apply_bitmaps(docs, line_bitmaps(docs, min_docs, min_chars, keep_first))
-    out = out.withColumn("text", F.col("_kept_text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return out.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

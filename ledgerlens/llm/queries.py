@@ -18,8 +18,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in 10 documents or more, taken out of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.apply_bitmaps(docs, line_dedup.line_bitmaps(docs))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
-                      F.sha2(F.coalesce("_kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_dropped",
+                      F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder(F.col("doc_id"), 4) == 2
     model = language_id.learn(docs.where(~held_out))
-    out = docs.select("doc_id", held_out.alias("held_out"), language_id.predict(docs, model).alias("p"))
+    out = docs.select("doc_id", held_out.alias("held_out"), language_id.predict(spark, model, F.col("text")).alias("p"))
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.share").alias("score"),
                       F.col("p.langs").alias("langs"), F.col("p.shares").alias("shares"))
 

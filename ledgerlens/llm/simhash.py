@@ -180,9 +180,13 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int
              seed: int = SEED) -> DataFrame:
     """Rows of ``docs`` whose ``doc_id`` names its component; columns as before.
 
-    Of repeated rows with that id one stays, and so does every row with a NULL id, which names no component.
+    Of repeated rows with that id the one of the least text hash stays, and so does every row with a NULL id, which
+    names no component.
     """
     kept = (near_duplicates(docs, shingle_words, max_bits, seed).where("doc_id = component_id")
-            .select(F.col("doc_id").alias("_kept")).distinct())
-    ided = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return ided.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+            .select("doc_id").distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    named = (rows.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+             .groupBy("doc_id").agg(F.min_by("row", F.xxhash64(F.col("row")["text"])).alias("row")))
+    return (named.select("row").unionByName(rows.where("doc_id IS NULL").select("row"))
+            .select(*(F.col("row")[c].alias(c) for c in docs.columns)))
