@@ -18,8 +18,9 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents whose language can be told: NULL texts and texts without letters go."""
     labelled = table(spark, sf_dir, "documents").where(id_remainder(F.col("doc_id"), 4) != 2)
     model = language_id.learn(labelled)
-    return (docs.select("*", language_id.predict(docs, model).alias("_language"))
-            .where(F.col("_language.lang") != language_id.UNDETERMINED).select(*docs.columns))
+    rows = docs.select(F.struct("*").alias("row"), language_id.predict(spark, model, F.col("text")).alias("found"))
+    return (rows.where(F.col("found.lang") != language_id.UNDETERMINED)
+            .select(*(F.col("row")[c].alias(c) for c in docs.columns)))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
