@@ -58,8 +58,8 @@ def words(c: Column) -> Column:
 
 
 def money(c: Column) -> Column:
-    """``$1,234.50``; the value is fixed to two decimals before formatting."""
-    return F.format_string("$%,.2f", c.cast("decimal(20,2)").cast("double"))
+    """``$1,234.50``; the value is fixed to two decimals before formatting. NULL stays NULL."""
+    return F.when(c.isNotNull(), F.format_string("$%,.2f", c.cast("decimal(20,2)").cast("double")))
 
 
 def row_text(*cols: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed_values as FV
-from ..session import param_table
+from ..session import broadcast_checked, param_table, written_once
 
 Rule = tuple[str, float, str, str]  # (prefix, revenue, violation_type, scope)
 
@@ -66,34 +66,36 @@ def rules_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
 
 
 def classify_by_rules(df: DataFrame, rules: DataFrame, code_col: str = "violation_code",
-                      default: tuple[float, str, str] | None = FV.CITATION_DEFAULT,
-                      max_prefix_len: int | None = None) -> DataFrame:
+                      default: tuple[float, str, str] | None = FV.CITATION_DEFAULT) -> DataFrame:
     """First-match prefix lookup against a rule *table* of any size.
 
     Instead of a nested-loop join on ``startswith``, each distinct code is
     expanded into its own prefixes (bounded by the code length) and
     equi-joined to the rules on the prefix text; the lowest ``rule_order``
-    wins per code. Only distinct codes take part, so the rule join is small;
-    the class is then joined back to the rows by code (AQE broadcasts it when
-    its measured size allows, and splits skewed codes otherwise).
+    wins per code. The empty prefix is one of them, so a catch-all rule matches
+    every code. Only distinct codes take part; their classes are written once
+    (one row per code) and broadcast to the rows when their measured size is
+    small, so that the rows stay where they are. A larger class table is joined
+    as the planner sees fit, with skewed codes split.
     """
     codes = df.select(F.col(code_col).alias("_code")).filter(F.col("_code").isNotNull()).distinct()
     # Prefixes longer than the longest rule can never match: cap the expansion there
-    # (a literal when the caller knows it, else one scalar subquery over the rules).
-    longest = (F.lit(max_prefix_len) if max_prefix_len is not None
-               else rules.agg(F.max(F.length("prefix"))).scalar())
-    bounded = codes.withColumn(
-        "_upto", F.greatest(F.least(F.length("_code"), F.coalesce(longest, F.lit(0))), F.lit(1)))
+    # (one scalar subquery over the rules).
+    longest = rules.agg(F.max(F.length("prefix"))).scalar()
+    bounded = codes.withColumn("_upto", F.least(F.length("_code"), F.coalesce(longest, F.lit(0))))
     prefixes = bounded.select(
         "_code",
-        F.explode(F.transform(F.sequence(F.lit(1), F.col("_upto")),
+        F.explode(F.transform(F.sequence(F.lit(0), F.col("_upto")),
                               lambda n: F.substring(F.col("_code"), 1, n))).alias("_prefix"))
     matched = (prefixes.join(rules.withColumnRenamed("prefix", "_prefix"), "_prefix")
                .groupBy("_code")
                .agg(F.min_by(F.struct("revenue", "violation_type", "scope"), F.col("rule_order"))
                     .alias("_class")))
     fallback = _class_struct(*default) if default is not None else F.lit(None).cast(CLASS_TYPE)
-    joined = df.join(matched, F.col(code_col) == F.col("_code"), "left")
+    matched = written_once(matched, "classes")
+    # a class row holds a code, a decimal and two labels: 64 bytes and the code's own length
+    size = matched.agg(F.sum(F.length("_code") + F.lit(64))).first()[0] or 0
+    joined = df.join(broadcast_checked(matched, size), F.col(code_col) == F.col("_code"), "left")
     cls = F.when(F.col(code_col).isNull(), F.lit(None).cast(CLASS_TYPE)).otherwise(
         F.coalesce(F.col("_class"), fallback))
     return joined.withColumn("_class", cls).select(*df.columns, "_class.*")

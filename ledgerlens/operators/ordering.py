@@ -2,48 +2,54 @@
 
 Spark has no implicit row order, so tables whose order is meaning carry an
 explicit ordinal. A global ``row_number()`` without a partition key moves every
-row into one task; ``dense_index`` instead range-partitions and sorts on the
-ordering keys, checkpoints that layout (so partition ids and in-partition
-positions are fixed), then adds each partition's offset from a table with one
-row per partition.
+row into one task; ``dense_index`` instead cuts the ordering into ranges, numbers
+the rows of each range, and adds the number of rows of all ranges before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..session import ensure_checkpoint_dir
-
-_POS_BITS = 33  # monotonically_increasing_id = (partition id << 33) + position
+#: Ranges of the last ordering key are this number squared; a range is numbered by one task.
+INDEX_FANOUT = 32
 
 
-def dense_index(df: DataFrame, order_by: list[str | Column], name: str = "idx",
-                start: int = 0) -> DataFrame:
+def dense_index(df: DataFrame, order_by: list[str], name: str = "idx", start: int = 0,
+                fanout: int = INDEX_FANOUT) -> DataFrame:
     """Add a dense 0-based (or ``start``-based) index following ``order_by``.
 
     ``order_by`` must be a total order (ties make the index arbitrary among
-    them). Work is spread over all partitions; only one row per partition is
-    combined to compute offsets, and that table is broadcast (its size is the
-    partition count).
+    them) that ends in a number; keys before it must have few values (such as the
+    number of a part of a union). The last key is cut into ``fanout ** 2`` ranges
+    of about equal size at quantiles of the data, which are a scalar subquery:
+    nothing runs when this is called, and nothing is written. Rows are numbered
+    within (leading keys, range); offsets come from the table of range sizes,
+    whose rows are bounded by the leading keys times the ranges. NULL keys sort first.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    laid_out = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True))
-    counts = laid_out.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                    F.lit(0))).alias("_off"))
-    return (laid_out.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, (F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), _POS_BITS)
-                               + F.lit(start)).cast("long"))
-            .drop("_pid", "_mid", "_off"))
+    *lead, last = order_by
+    n = fanout * fanout
+    cut = [F.percentile_approx(F.col(last), [i / n for i in range(step, n, step)], 10 * n).alias(as_)
+           for step, as_ in ((fanout, "coarse"), (1, "fine"))]
+    # the range is found in two steps of ``fanout`` comparisons; cuts repeat where a value is frequent
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(last)))
+    ranged = (df.withColumn("_cuts", df.agg(F.struct(*cut)).scalar())
+              .withColumn("_coarse", F.coalesce(below(F.col("_cuts.coarse")), F.lit(0)))
+              .withColumn("_range", F.when(F.col(last).isNull(), F.lit(-1)).otherwise(
+                  F.col("_coarse") * fanout
+                  + below(F.slice("_cuts.fine", F.col("_coarse") * fanout + 1, F.lit(fanout)))))
+              .drop("_cuts", "_coarse"))
+    keys = [*lead, "_range"]
+    sizes = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], F.coalesce(
+        F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(last))
+    same = [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)]
+    numbered = ranged.withColumn("_place", place).join(offsets, functools.reduce(lambda x, y: x & y, same))
+    return numbered.select(*df.columns, (F.col("_off") + F.col("_place") + F.lit(start - 1)).cast("long").alias(name))
 
 
 def take_until_null(df: DataFrame, key: str, ordinal: str) -> DataFrame:
@@ -57,27 +63,12 @@ def take_until_null(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     return df.filter(F.coalesce(F.col(ordinal) < stop, F.lit(True)))
 
 
-# Inputs with at least this many splits are never spread: they already run in
-# parallel, and re-shuffling a large table would cost more than it saves.
-SPREAD_MAX_INPUT_PARTITIONS = 64
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only for inputs with a handful of splits.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition, for CPU-heavy per-row work behind a scan with very few splits.
 
-    For CPU-heavy per-row work (regex over long texts) behind a scan that
-    yields very few splits (e.g. one parquet row group). An input with fewer
-    partitions than task slots *and* fewer than ``SPREAD_MAX_INPUT_PARTITIONS``
-    is spread over the task slots; any larger input is left as is, so a big
-    table is never shuffled for this. Counting partitions plans the query but
-    runs no job.
+    The caller says so: with ``partitions`` unset the input is left as it is. Results never depend on it.
     """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access (e.g. Spark Connect): leave as is
-        return df
-    return df.repartition(target) if n < min(target, SPREAD_MAX_INPUT_PARTITIONS) else df
+    return df.repartition(partitions) if partitions else df
 
 
 def running_sum_before(df: DataFrame, group: str, order: str, value: str, name: str,
@@ -88,14 +79,16 @@ def running_sum_before(df: DataFrame, group: str, order: str, value: str, name:
     so no window spans more than one chunk even when one group holds a third
     of all rows. Chunk totals are a partial aggregate, chunk offsets a window
     over the small chunk table, and the within-chunk running sum a window per
-    (group, chunk). ``order`` must be an integer (e.g. a turn number).
+    (group, chunk). ``order`` must be an integer (e.g. a turn number). NULL
+    groups are one group, and rows of NULL order come first in theirs.
     """
     with_chunk = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)).cast("long"))
     totals = with_chunk.groupBy(group, "_chunk").agg(F.sum(value).alias("_ct"))
     w_chunks = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(group, "_chunk", F.coalesce(F.sum("_ct").over(w_chunks), F.lit(0)).alias("_off"))
+    offsets = totals.select(F.col(group).alias("_og"), F.col("_chunk").alias("_oc"),
+                            F.coalesce(F.sum("_ct").over(w_chunks), F.lit(0)).alias("_off"))
     w_rows = Window.partitionBy(group, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inner = with_chunk.withColumn("_in", F.coalesce(F.sum(value).over(w_rows), F.lit(0)))
-    return (inner.join(offsets, [group, "_chunk"])
+    return (inner.join(offsets, F.col(group).eqNullSafe(F.col("_og")) & F.col("_chunk").eqNullSafe(F.col("_oc")))
             .withColumn(name, (F.col("_off") + F.col("_in")).cast("long"))
-            .drop("_chunk", "_in", "_off"))
+            .drop("_chunk", "_in", "_off", "_og", "_oc"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .. import fixed_values as FV
 
@@ -119,39 +120,57 @@ def _num(c: Column, fmt: str) -> Column:
     return F.when(c.isNull(), F.lit("n/a")).otherwise(F.format_string(fmt, v))
 
 
+def _line(label: str, first: Column, op: str, second: Column, result: Column) -> Column:
+    return F.concat(F.lit(f"{label}: "), first, F.lit(f" {op} "), second, F.lit(" = "), result)
+
+
+#: Steps of the trace: (label, first term, operator, second term, result); a leading ``#`` marks a count.
+TRACE_STEPS = [
+    ("fine gap between scopes", "state_fine", "-", "local_fine", "fine_difference"),
+    ("citations of both scopes", "#local_citations", "+", "#state_citations", "#total_citations"),
+    ("revenue of both scopes", "local_citation_revenue", "+", "state_citation_revenue", "total_revenue"),
+    ("surplus of local over state citations", "#local_citations", "-", "#state_citations", "#citation_difference"),
+    ("surplus priced at the fine gap", "#citation_difference", "*", "fine_difference", "total_difference_rev"),
+    ("agency citations", "#nopd_local_citations", "+", "#nopd_state_citations", "#nopd_total_citations"),
+    ("agency revenue", "nopd_local_citation_revenue", "+", "nopd_state_citation_revenue",
+     "nopd_total_citation_revenue"),
+    ("agency local citations at state fines", "#nopd_local_citations", "*", "state_fine", "nopd_revenue_local_as_state"),
+    ("agency revenue had all been state", "nopd_state_citation_revenue", "+", "nopd_revenue_local_as_state",
+     "nopd_total_revenue_local_as_state"),
+    ("agency revenue forgone", "nopd_revenue_local_as_state", "-", "nopd_local_citation_revenue", "nopd_lost_revenue"),
+]
+FINE_GAP_SENTENCE = "a state fine exceeds the local one by "
+IMPACT_STEPS = [
+    ("monthly average", "sum_nopd_lost_revenue", "/", "#number_of_months", "average_monthly_revenue_lost"),
+    ("per year", "average_monthly_revenue_lost", "*", "months in a year", "annualized_lost_revenue"),
+    ("at the collection rate", "annualized_lost_revenue", "*", "collection_rate", "estimated_annual_revenue_impact"),
+]
+
+
+def _term(name: str) -> Column:
+    if name == "months in a year":
+        return F.lit("12")
+    return _num(F.col(name[1:]), "%d") if name.startswith("#") else _num(F.col(name), "%.2f")
+
+
 def calc_trace(metrics: DataFrame) -> DataFrame:
-    """One human-readable line per derived step and violation (step 0 names it)."""
-    c = F.col
-    m2 = lambda x: _num(c(x), "%.2f")
-    d = lambda x: _num(c(x), "%d")
-    steps = [
-        F.concat(F.lit("Violation: "), F.coalesce(c("violation"), F.lit("n/a"))),
-        F.concat(F.lit("Fine Difference: State Fine - Local Fine = "), m2("state_fine"), F.lit(" - "),
-                 m2("local_fine"), F.lit(" = "), m2("fine_difference")),
-        F.concat(F.lit("Total Citations (All Dept): Local + State = "), d("local_citations"), F.lit(" + "),
-                 d("state_citations"), F.lit(" = "), d("total_citations")),
-        F.concat(F.lit("Total Revenue (All Dept): Local Revenue + State Revenue = "),
-                 m2("local_citation_revenue"), F.lit(" + "), m2("state_citation_revenue"), F.lit(" = "),
-                 m2("total_revenue")),
-        F.concat(F.lit("Local Citations that could have been State Citations: Local - State = "),
-                 d("local_citations"), F.lit(" - "), d("state_citations"), F.lit(" = "),
-                 d("citation_difference")),
-        F.concat(F.lit("Local Revenue that could have been State Revenue: Citation Difference * Fine Difference = "),
-                 d("citation_difference"), F.lit(" * "), m2("fine_difference"), F.lit(" = "),
-                 m2("total_difference_rev")),
-        F.concat(F.lit("Total NOPD Citations: NOPD Local + NOPD State = "), d("nopd_local_citations"),
-                 F.lit(" + "), d("nopd_state_citations"), F.lit(" = "), d("nopd_total_citations")),
-        F.concat(F.lit("Total NOPD Revenue: NOPD Local Revenue + NOPD State Revenue = "),
-                 m2("nopd_local_citation_revenue"), F.lit(" + "), m2("nopd_state_citation_revenue"),
-                 F.lit(" = "), m2("nopd_total_citation_revenue")),
-        F.concat(F.lit("NOPD Local Citations as State Citations: NOPD Local * State Fine = "),
-                 d("nopd_local_citations"), F.lit(" * "), m2("state_fine"), F.lit(" = "),
-                 m2("nopd_revenue_local_as_state")),
-        F.concat(F.lit("Total NOPD Revenue Local as State: NOPD State Revenue + NOPD Local * State Fine = "),
-                 m2("nopd_state_citation_revenue"), F.lit(" + "), d("nopd_local_citations"), F.lit(" * "),
-                 m2("state_fine"), F.lit(" = "), m2("nopd_total_revenue_local_as_state")),
-        F.concat(F.lit("NOPD Lost Revenue: Local as State - NOPD Local Revenue = "),
-                 m2("nopd_revenue_local_as_state"), F.lit(" - "), m2("nopd_local_citation_revenue"),
-                 F.lit(" = "), m2("nopd_lost_revenue")),
-    ]
+    """One human-readable line per derived step and violation (step 0 names it, the last says the fine gap)."""
+    steps = [F.concat(F.lit("violation "), F.coalesce("violation", F.lit("n/a"))),
+             *(_line(label, _term(x), op, _term(y), _term(z)) for label, x, op, y, z in TRACE_STEPS),
+             F.concat(F.lit(FINE_GAP_SENTENCE), _term("fine_difference"))]
     return metrics.select("idx", "violation", F.posexplode(F.array(*steps)).alias("step", "line"))
+
+
+def impact_trace(impact: DataFrame) -> DataFrame:
+    """P14, second half: one line per step from the lost revenue to its yearly impact."""
+    steps = [_line(label, _term(x), op, _term(y), _term(z)) for label, x, op, y, z in IMPACT_STEPS]
+    return impact.select(F.posexplode(F.array(*steps)).alias("step", "line"))
+
+
+def in_order(df: DataFrame, keys: list[str], number: str = "line") -> DataFrame:
+    """A grouped result in the order of its group keys, NULLs first, with the row's place in it.
+
+    The result of a grouping is meant (a few rows per group); the place makes the order part of the data.
+    """
+    place = F.row_number().over(Window.orderBy(*[F.col(k).asc_nulls_first() for k in keys]))
+    return df.withColumn(number, place.cast("long")).orderBy(number)

@@ -23,6 +23,7 @@ from ..sources.tables import read_table
 from ..streaming import streams as ST
 from . import citation_queries as CQ
 from . import standins as S
+from .common import spread_partitions
 from .text_queries import conversation_piece
 
 SECTION_INSTRUCTION = ("You write one section of a short memo about the analysis results, "
@@ -130,7 +131,7 @@ def complete_batch_q(spark, d):
 
 def embed_batch(spark, d):
     """M1: every document embedded (Spark ML hashing embeddings)."""
-    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"), spread_partitions(spark))
     return M.embed_hashing(docs, "text").select("doc_id", "embedding")
 
 

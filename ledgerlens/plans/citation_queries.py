@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import month_year_title, period_months
+from .. import fixed_values as FV
+from ..functions.text import int_from_text, month_year_title, parse_timestamp, period_months
 from ..operators import classify as C
 from ..operators import reports as R
 from ..operators import violations as V
 from ..operators.ordering import take_until_null
-from ..sources.tables import read_table
+from ..session import scratch_path
+from ..sources import files as FS
+from ..sources.tables import SCHEMAS, read_csv_table, read_table
 from . import standins as S
 from .common import money_out
 
@@ -42,8 +47,7 @@ def classify_prefix(spark, d):
 def classify_rule_join(spark, d):
     """The same classification from a rule table (prefix equi-join on distinct codes)."""
     rules = C.rules_frame(spark, S.BRAND_RULES)
-    out = C.classify_by_rules(_focus(spark, d), rules, "violation_code", S.BRAND_DEFAULT,
-                              max_prefix_len=max(len(p) for p, *_ in S.BRAND_RULES))
+    out = C.classify_by_rules(_focus(spark, d), rules, "violation_code", S.BRAND_DEFAULT)
     return money_out(out.select("l_orderkey", "l_linenumber", "violation_code", "revenue",
                                 "violation_type", "scope"))
 
@@ -188,6 +192,67 @@ def calc_trace(spark, d):
     return R.calc_trace(_metrics(spark, d))
 
 
+def impact_trace(spark, d):
+    """The lines from the lost revenue to its yearly impact."""
+    return R.impact_trace(_impact(spark, d))
+
+
+def classify_all_rules(spark, d):
+    """P2 with the whole default rule list: codes that start with every prefix of it, and one that starts with none."""
+    prefixes = [r[0] for r in FV.CITATION_RULES]
+    n = len(prefixes) + 1
+    at = (F.col("c_custkey") % n).cast("int")
+    code = F.when(at == n - 1, F.col("c_mktsegment")).otherwise(
+        F.concat(F.get(F.array(*map(F.lit, prefixes)), at), F.lit(" "), F.col("c_mktsegment")))
+    coded = read_table(spark, d, "customer").select("c_custkey", code.alias("code"))
+    return money_out(C.classify_prefix(coded, "code"))
+
+
+def counts_in_order(spark, d):
+    """Grouped counts sorted by their keys, as a grouping of the analysed application returns them."""
+    counts = _classified(spark, d).groupBy("violation_type", "scope").agg(F.count(F.lit(1)).alias("n"))
+    return R.in_order(counts, ["violation_type", "scope"])
+
+
+def strict_dates(spark, d):
+    """Order dates as text, parsed strictly; and with some spoilt, parsed leniently (bad ones NULL)."""
+    text = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    spoilt = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("on "), text)).otherwise(text)
+    return read_table(spark, d, "orders").select(
+        "o_orderkey", parse_timestamp(text, "yyyy-MM-dd HH:mm:ss").cast("timestamp_ntz").alias("parsed"),
+        parse_timestamp(spoilt, "yyyy-MM-dd HH:mm:ss", strict=False).cast("timestamp_ntz").alias("lenient"))
+
+
+def integers_from_text(spark, d):
+    """part sizes written as padded text and read back as integers."""
+    return read_table(spark, d, "part").select(
+        "p_partkey", int_from_text(F.concat(F.lit("  "), F.col("p_size").cast("string"), F.lit(" "))).alias("size"))
+
+
+def fines_by_name(spark, d):
+    """J2, safer form: fines matched on the violation name."""
+    merged = V.merge_violation_refs(S.violation_types(spark, d), local_prefix=S.LOCAL_PREFIX)
+    return money_out(V.join_fines_by_name(merged, S.fines(spark)).select("idx", "violation", "local_fine", "state_fine"))
+
+
+def csv_sheet(spark, d):
+    """S1 from CSV: the customer sheet written as CSV and scanned with its explicit schema."""
+    path = scratch_path(spark, "customer_csv")
+    read_table(spark, d, "customer").write.option("header", True).option("escape", '"').csv(path)
+    return read_csv_table(spark, path, SCHEMAS["customer"])
+
+
+def result_set(spark, d):
+    """A set of result tables persisted by name, read back and counted."""
+    metrics = _metrics(spark, d)
+    paths = FS.write_results({"citations": metrics, "totals": R.metrics_totals(metrics),
+                              "violations": V.merge_violation_refs(S.violation_types(spark, d),
+                                                                   local_prefix=S.LOCAL_PREFIX)},
+                             scratch_path(spark, "results"))
+    counts = [spark.read.parquet(p).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, p in paths.items()]
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
 def fill_missing(spark, d):
     """Empty balances filled with the nation average; existing values kept."""
     cust = read_table(spark, d, "customer")
@@ -225,4 +290,12 @@ QUERIES = {
     "impact_long": impact_long,
     "calc_trace": calc_trace,
     "fill_missing": fill_missing,
+    "impact_trace": impact_trace,
+    "classify_all_rules": classify_all_rules,
+    "counts_in_order": counts_in_order,
+    "strict_dates": strict_dates,
+    "integers_from_text": integers_from_text,
+    "fines_by_name": fines_by_name,
+    "csv_sheet": csv_sheet,
+    "result_set": result_set,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .. import fixed_values as FV
+from ..operators.reports import FINE_GAP_SENTENCE, IMPACT_STEPS, TRACE_STEPS
 from . import standins as S
 
 
@@ -129,28 +131,36 @@ def _report(cols: dict[str, str], label: str) -> str:
             f"UNION ALL SELECT CAST(NULL AS BIGINT), '{label}', {detail} FROM metrics")
 
 
+def _term(name: str) -> str:
+    if name == "months in a year":
+        return "'12'"
+    fmt, name = ("%d", name[1:]) if name.startswith("#") else ("%.2f", name)
+    return f"coalesce(printf('{fmt}', {name}), 'n/a')"
+
+
+def _lines(steps, cte: str, keys: str, first: int = 0, before=(), after=()) -> str:
+    lines = [*before, *(f"'{label}: ' || {_term(x)} || ' {op} ' || {_term(y)} || ' = ' || {_term(z)}"
+                        for label, x, op, y, z in steps), *after]
+    return " UNION ALL ".join(f"SELECT {keys}CAST({i + first} AS INTEGER) AS step, {line} AS line FROM {cte}"
+                              for i, line in enumerate(lines))
+
+
 def _trace() -> str:
-    def m2(c):
-        return f"coalesce(printf('%.2f', {c}), 'n/a')"
-
-    def d(c):
-        return f"coalesce(printf('%d', {c}), 'n/a')"
-    steps = [
-        "'Violation: ' || coalesce(violation, 'n/a')",
-        f"'Fine Difference: State Fine - Local Fine = ' || {m2('state_fine')} || ' - ' || {m2('local_fine')} || ' = ' || {m2('fine_difference')}",
-        f"'Total Citations (All Dept): Local + State = ' || {d('local_citations')} || ' + ' || {d('state_citations')} || ' = ' || {d('total_citations')}",
-        f"'Total Revenue (All Dept): Local Revenue + State Revenue = ' || {m2('local_citation_revenue')} || ' + ' || {m2('state_citation_revenue')} || ' = ' || {m2('total_revenue')}",
-        f"'Local Citations that could have been State Citations: Local - State = ' || {d('local_citations')} || ' - ' || {d('state_citations')} || ' = ' || {d('citation_difference')}",
-        f"'Local Revenue that could have been State Revenue: Citation Difference * Fine Difference = ' || {d('citation_difference')} || ' * ' || {m2('fine_difference')} || ' = ' || {m2('total_difference_rev')}",
-        f"'Total NOPD Citations: NOPD Local + NOPD State = ' || {d('nopd_local_citations')} || ' + ' || {d('nopd_state_citations')} || ' = ' || {d('nopd_total_citations')}",
-        f"'Total NOPD Revenue: NOPD Local Revenue + NOPD State Revenue = ' || {m2('nopd_local_citation_revenue')} || ' + ' || {m2('nopd_state_citation_revenue')} || ' = ' || {m2('nopd_total_citation_revenue')}",
-        f"'NOPD Local Citations as State Citations: NOPD Local * State Fine = ' || {d('nopd_local_citations')} || ' * ' || {m2('state_fine')} || ' = ' || {m2('nopd_revenue_local_as_state')}",
-        f"'Total NOPD Revenue Local as State: NOPD State Revenue + NOPD Local * State Fine = ' || {m2('nopd_state_citation_revenue')} || ' + ' || {d('nopd_local_citations')} || ' * ' || {m2('state_fine')} || ' = ' || {m2('nopd_total_revenue_local_as_state')}",
-        f"'NOPD Lost Revenue: Local as State - NOPD Local Revenue = ' || {m2('nopd_revenue_local_as_state')} || ' - ' || {m2('nopd_local_citation_revenue')} || ' = ' || {m2('nopd_lost_revenue')}",
-    ]
-    arms = " UNION ALL ".join(f"SELECT idx, violation, {i} AS step, {s} AS line FROM metrics"
-                              for i, s in enumerate(steps))
-    return f"WITH {COUNTED}\nSELECT idx, violation, CAST(step AS INTEGER) AS step, line FROM ({arms})"
+    arms = _lines(TRACE_STEPS, "metrics", "idx, violation, ", before=["'violation ' || coalesce(violation, 'n/a')"],
+                  after=[f"'{FINE_GAP_SENTENCE}' || {_term('fine_difference')}"])
+    return f"WITH {COUNTED}\n{arms}"
+
+
+def _all_rules() -> str:
+    """The default rule list over codes made of each customer's balance and segment."""
+    def arm(i):
+        hits = " ".join(f"WHEN starts_with(code, '{r[0]}') THEN {_lit(r[1:], i)}" for r in FV.CITATION_RULES)
+        return f"CASE WHEN code IS NULL THEN NULL {hits} ELSE {_lit(FV.CITATION_DEFAULT, i)} END"
+    prefixes = ", ".join(f"'{r[0]}'" for r in FV.CITATION_RULES)
+    n = len(FV.CITATION_RULES) + 1
+    return (f"WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % {n} = {n - 1} THEN c_mktsegment "
+            f"ELSE [{prefixes}][CAST(c_custkey % {n} AS INTEGER) + 1] || ' ' || c_mktsegment END AS code FROM customer)\n"
+            f"SELECT c_custkey, code, CAST({arm(0)} AS DOUBLE) AS revenue, {arm(1)} AS violation_type, {arm(2)} AS scope FROM c")
 
 
 SQL = {
@@ -208,6 +218,20 @@ SELECT * FROM c WHERE (SELECT min(c_custkey) FROM c WHERE ref IS NULL) IS NULL
                    "UNION ALL SELECT 'Collection Rate', collection_rate FROM impact3 "
                    "UNION ALL SELECT 'Estimated Annual Revenue Impact', estimated_annual_revenue_impact FROM impact3",
     "calc_trace": _trace(),
+    "impact_trace": f"WITH {COUNTED},\n{TOTALS},\n{IMPACT}\n{_lines(IMPACT_STEPS, 'impact3', '')}",
+    "classify_all_rules": _all_rules(),
+    "counts_in_order": f"{BASE},\ng AS (SELECT violation_type, scope, count(*) AS n FROM classified GROUP BY 1, 2)\n"
+                       "SELECT violation_type, scope, n, row_number() OVER (ORDER BY violation_type NULLS FIRST, "
+                       "scope NULLS FIRST) AS line FROM g",
+    "strict_dates": "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS parsed, "
+                    "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) END AS lenient FROM orders",
+    "integers_from_text": "SELECT p_partkey, p_size AS size FROM part",
+    "fines_by_name": f"WITH {COUNTED}\nSELECT idx, m.violation, CAST(f.local_fine AS DOUBLE) AS local_fine, "
+                     "CAST(f.state_fine AS DOUBLE) AS state_fine FROM merged m LEFT JOIN fines f ON m.violation = f.fviolation",
+    "csv_sheet": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
+    "result_set": f"WITH {COUNTED},\n{TOTALS}\nSELECT 'citations' AS name, count(*) AS n FROM metrics "
+                  "UNION ALL SELECT 'totals', count(*) FROM totals "
+                  "UNION ALL SELECT 'violations', count(*) FROM merged",
     "fill_missing": """WITH e AS (SELECT c_custkey, c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END AS balance FROM customer),
 na AS (SELECT c_nationkey, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS balance FROM customer GROUP BY c_nationkey)
 SELECT e.c_custkey, e.c_nationkey, coalesce(e.balance, na.balance) AS balance FROM e LEFT JOIN na ON e.c_nationkey = na.c_nationkey""",

@@ -16,6 +16,7 @@ from ..operators.ordering import spread
 from ..session import scratch_path
 from ..sources import files as FS
 from ..sources.tables import read_table
+from .common import spread_partitions
 from .text_queries import conversation_piece
 
 RELEVANCE_THRESHOLD = 0.4
@@ -141,7 +142,7 @@ def _conversation_questions(conv: DataFrame) -> DataFrame:
 
 def extractive_context(spark, d):
     """M6: each conversation reduced to the lines relevant to its last question."""
-    conv = spread(read_table(spark, d, "conversations"))
+    conv = spread(read_table(spark, d, "conversations"), spread_partitions(spark))
     questions = _conversation_questions(conv)
     texts = (conv.join(questions.select("conv_id", "q_turn"), "conv_id")
              .filter(F.col("turn") != F.col("q_turn"))

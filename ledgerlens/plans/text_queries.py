@@ -9,6 +9,7 @@ from ..functions import text as TX
 from ..operators import documents as D
 from ..operators.ordering import spread
 from ..sources.tables import read_table
+from .common import spread_partitions
 
 
 def page_text(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +29,7 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
 
 def clean_text(spark, d):
     """URL-preserving cleanup of every document and page text."""
-    return spread(texts(spark, d)).select("source", "id", TX.clean_text(F.col("text")).alias("text"))
+    return spread(texts(spark, d), spread_partitions(spark)).select("source", "id", TX.clean_text(F.col("text")).alias("text"))
 
 
 def newline_to_space(spark, d):
@@ -38,7 +39,7 @@ def newline_to_space(spark, d):
 
 def token_count(spark, d):
     """token counts of every document and page text."""
-    return spread(texts(spark, d)).select("source", "id", TX.token_count(F.col("text")).alias("tokens"))
+    return spread(texts(spark, d), spread_partitions(spark)).select("source", "id", TX.token_count(F.col("text")).alias("tokens"))
 
 
 def money_format(spark, d):
@@ -54,7 +55,7 @@ def row_text(spark, d):
 
 def table_text(spark, d):
     """Each order's line items flattened to text, row-major."""
-    li = spread(read_table(spark, d, "lineitem"))
+    li = spread(read_table(spark, d, "lineitem"), spread_partitions(spark))
     cells = ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"]
     # Line numbers repeat inside an order here, so all cells make the row order total.
     return D.table_text(li, ["l_orderkey"], cells, cells)

@@ -8,9 +8,11 @@ only happens in local runs.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_CONF = {
     "spark.ui.enabled": "false",
@@ -37,13 +39,19 @@ def local_session(cores: str = "8", extra: dict | None = None) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if none is configured."""
+    """Return the shared checkpoint folder.
+
+    A folder on this machine is chosen only when none is configured *and* the master is local; on a
+    cluster every executor would write to its own disk, so a missing setting is an error there.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = os.path.join("/tmp", "ledgerlens-checkpoints")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
@@ -55,20 +63,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/ledgerlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
-MAX_PARAM_BROADCAST_ROWS = 10_000
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written under the shared scratch folder and read back.
 
+    Its plan is cut there, and the planner knows the size of the files.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def param_table(spark: SparkSession, rows: list, schema: str):
-    """A parameter table from literal rows (rules, fines, prices).
 
-    Its size is known when it is built, so it is marked for broadcast when it
-    has at most ``MAX_PARAM_BROADCAST_ROWS`` rows; larger lists are left to the
-    planner (which otherwise has no statistics for driver-built data).
-    """
-    from pyspark.sql import functions as F
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables; call it when their results have been read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens")
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+#: Tables of at most this many bytes are broadcast; larger ones are joined as the planner sees fit.
+MAX_BROADCAST_BYTES = 8 << 20
+
+
+def broadcast_checked(df: DataFrame, size_bytes: int) -> DataFrame:
+    """``df`` marked for broadcast if its measured size is small, else as it is."""
+    return F.broadcast(df) if size_bytes <= MAX_BROADCAST_BYTES else df
+
 
-    df = spark.createDataFrame(rows, schema)
-    return F.broadcast(df) if len(rows) <= MAX_PARAM_BROADCAST_ROWS else df
+def param_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A parameter table from literal rows (rules, fines, prices), whose size is known when it is built."""
+    return broadcast_checked(spark.createDataFrame(rows, schema), sum(len(repr(r)) for r in rows))
 
 
 _SHIPPED: set[str] = set()
