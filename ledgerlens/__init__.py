@@ -11,7 +11,6 @@ Modules
 sources.tables      explicit-schema table scans
 sources.files       preamble CSV, vector CSV, whole-text files, replace / build-once sinks
 functions.text      cleanup, token count, money, row text, period months, timestamps
-functions.vectors   cosine similarity as a native expression
 operators.classify  agency filter, prefix classifier (CASE and rule-table join), scope
 operators.violations reference merge, exact counts, fines, metrics, fill-missing, membership
 operators.reports   scope pivots, span, totals, report tables, impact, calculation trace

@@ -55,13 +55,25 @@ def union_renumber(parts: list[tuple[str, DataFrame]], ordinal: str = "ordinal",
     return dense_index(unioned, ["_part", ordinal], name=name).drop("_part")
 
 
-def running_context(df: DataFrame, group: list[str], order: list[str], piece: Column,
-                    name: str = "context") -> DataFrame:
+def running_context(df: DataFrame, group: str, order: str, piece: Column, name: str = "context",
+                    wanted: Column | None = None, chunk: int = 256) -> DataFrame:
     """For each row, the concatenation of the pieces of all earlier rows in its group.
 
-    The first row sees the empty string. The output holds a prefix of the
-    group's text per row, so its size is quadratic in the group length, as in
-    the section-by-section writer it models.
+    ``order`` is an integer (a turn number). A group is cut in chunks of ``chunk`` consecutive order values: the
+    earlier pieces of a row are the text of all earlier chunks, built once per chunk, and the pieces before it in its
+    own chunk. No window spans more than a chunk of rows, so a group with a third of all rows is spread over many
+    tasks; only the table of chunk texts is read per group. The context is built for ``wanted`` rows only; as it holds
+    all earlier text, its size is that of the output asked for. The first row sees the empty string.
     """
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.concat_ws("", F.collect_list(piece).over(w)))
+    cut = df.withColumn("_piece", piece).withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)).cast("long"))
+    texts = cut.groupBy(group, "_chunk").agg(F.expr(f"listagg(_piece, '') WITHIN GROUP (ORDER BY `{order}`)").alias("_text"))
+    earlier = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = texts.select(F.col(group).alias("_og"), F.col("_chunk").alias("_oc"),
+                          F.concat_ws("", F.collect_list("_text").over(earlier)).alias("_before"))
+    inside = Window.partitionBy(group, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut.withColumn("_inside", F.concat_ws("", F.collect_list("_piece").over(inside)))
+    if wanted is not None:
+        rows = rows.filter(wanted)
+    return (rows.join(before, F.col(group).eqNullSafe(F.col("_og")) & F.col("_chunk").eqNullSafe(F.col("_oc")))
+            .withColumn(name, F.concat("_before", "_inside"))
+            .drop("_piece", "_chunk", "_og", "_oc", "_before", "_inside"))

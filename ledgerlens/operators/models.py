@@ -4,13 +4,11 @@ requests (M7) and usage cost (A10).
 External models are *injected*: a provider is a picklable factory returning an
 object with ``complete(prompts) -> list[(content, prompt_tokens, completion_tokens)]``
 or ``embed(texts) -> list[list[float]]``. It is created once per partition and
-called once per Arrow batch. The built-in providers are local and
-deterministic, so tests and offline runs need no network.
+called once per Arrow batch (section writing: once per section).
 """
 
 from __future__ import annotations
 
-import re
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -20,131 +18,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import TOKEN_PATTERN, WORD_PATTERN, clean_text
+from ..functions.text import WORD_PATTERN, clean_text
 from ..session import ship_package
 
-COMPLETION_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()),
+COMPLETION_FIELDS = [
     T.StructField("content", T.StringType()),
     T.StructField("provider", T.StringType()),
     T.StructField("prompt_tokens", T.LongType()),
     T.StructField("completion_tokens", T.LongType()),
     T.StructField("error", T.StringType()),
-])
-
-
-class LocalExtractiveProvider:
-    """Deterministic stand-in for a hosted model: answers with the prompt's last
-    non-empty line, cut to ``max_words`` words. Token counts use the regex counter."""
-
-    name = "local-extractive"
-
-    def __init__(self, max_words: int = 60, max_prompt_tokens: int | None = None, name: str | None = None):
-        import regex
-        self.max_words = max_words
-        self.max_prompt_tokens = max_prompt_tokens
-        if name:
-            self.name = name
-        # Python's regex spells two-digit escapes without braces.
-        self._tok = regex.compile(re.sub(r"\\x\{([0-9a-f]{2})\}", r"\\x\1", TOKEN_PATTERN))
-
-    def _count(self, s: str) -> int:
-        return len(self._tok.findall(s))
-
-    def complete(self, prompts: list[str]) -> list[tuple[str, int, int]]:
-        out = []
-        for p in prompts:
-            if self.max_prompt_tokens is not None and self._count(p or "") > self.max_prompt_tokens:
-                raise ValueError(f"prompt exceeds {self.max_prompt_tokens} tokens")
-            lines = [ln for ln in (p or "").split("\n") if ln.strip()]
-            answer = " ".join((lines[-1] if lines else "").split()[: self.max_words])
-            out.append((answer, self._count(p or ""), self._count(answer)))
-        return out
-
-
-class LocalHashingEmbedder:
-    """Deterministic offline embedding provider: hashed word counts, L2-normalised."""
-
-    name = "local-hashing"
-
-    def __init__(self, dims: int = 256):
-        import regex
-        self.dims = dims
-        self._word = regex.compile(re.sub(r"\\x\{([0-9a-f]{2})\}", r"\\x\1", WORD_PATTERN))
-
-    def embed(self, texts: list[str]) -> list[list[float]]:
-        import numpy as np
-        import xxhash
-        out = []
-        for t in texts:
-            v = np.zeros(self.dims)
-            for w in self._word.findall((t or "").lower()):
-                v[xxhash.xxh64_intdigest(w) % self.dims] += 1.0
-            n = np.linalg.norm(v)
-            out.append((v / n if n > 0 else v).tolist())
-        return out
-
+]
 
-class FailingProvider:
-    """A provider that always raises (exercises the fallback path)."""
 
-    name = "failing"
-
-    def complete(self, prompts):
-        raise RuntimeError("provider unavailable")
-
-
-def complete_batch(df: DataFrame, id_col: str, prompt_col: str,
-                   primary: Callable[[], object] = LocalExtractiveProvider,
+def complete_batch(df: DataFrame, id_col: str, prompt_col: str, primary: Callable[[], object],
                    fallback: Callable[[], object] | None = None) -> DataFrame:
     """M4: answer every prompt, primary provider first, fallback on failure.
 
-    The whole Arrow batch goes to the primary in one call; if that call
-    fails, rows are retried one by one (primary, then fallback), so one bad
-    prompt does not fail its neighbours. A row that fails on both gets its
-    error text and NULL content. Filter rows *before* this operator: a
-    ``when`` around it would not skip the calls.
+    A whole Arrow batch goes to the primary in one call. A call that fails is
+    cut in halves, so that a bad prompt costs a few calls and its neighbours are
+    still answered in large ones; a single prompt that fails goes to the
+    fallback. A row that fails on both gets its error text and NULL content.
+    Filter rows *before* this operator: a ``when`` around it would not skip the calls.
     """
     ship_package(df.sparkSession)
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *COMPLETION_FIELDS])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prim = primary()
-        fb = fallback() if fallback is not None else None
+        prim, fb = primary(), fallback() if fallback is not None else None
         for pdf in batches:
-            ids = pdf[id_col].astype("int64").tolist()
-            prompts = pdf[prompt_col].tolist()
-            rows = []
-            try:
-                res = prim.complete(prompts)
-                rows = [(i, c, prim.name, pt, ct, None) for i, (c, pt, ct) in zip(ids, res)]
-            except Exception:  # noqa: BLE001 - provider errors are data here
-                for i, p in zip(ids, prompts):
-                    rows.append(_one(i, p, prim, fb))
-            yield pd.DataFrame(rows, columns=[f.name for f in COMPLETION_SCHEMA.fields])
+            answers = _answers(["" if p is None else p for p in pdf[prompt_col].tolist()], prim, fb)
+            yield pd.DataFrame([(i, *a) for i, a in zip(pdf[id_col].tolist(), answers)], columns=schema.names)
 
-    return df.select(F.col(id_col), F.col(prompt_col)).mapInPandas(run, COMPLETION_SCHEMA)
+    return df.select(F.col(id_col), F.col(prompt_col)).mapInPandas(run, schema)
 
 
-def _one(i, prompt, prim, fb):
+def _answers(prompts: list[str], prim, fb) -> list[tuple]:
+    """(content, provider, prompt tokens, completion tokens, error) per prompt."""
     try:
-        c, pt, ct = prim.complete([prompt])[0]
-        return (i, c, prim.name, pt, ct, None)
-    except Exception as e:  # noqa: BLE001
-        if fb is None:
-            return (i, None, None, None, None, f"{type(e).__name__}: {e}")
+        return [(c, prim.name, pt, ct, None) for c, pt, ct in prim.complete(prompts)] if prompts else []
+    except Exception as e:  # noqa: BLE001 - provider errors are data here
+        if len(prompts) > 1:
+            half = len(prompts) // 2
+            return _answers(prompts[:half], prim, fb) + _answers(prompts[half:], prim, fb)
+        error = e
+    if fb is not None:
         try:
-            c, pt, ct = fb.complete([prompt])[0]
-            return (i, c, fb.name, pt, ct, None)
-        except Exception as e2:  # noqa: BLE001
-            return (i, None, None, None, None, f"{type(e2).__name__}: {e2}")
+            return [(c, fb.name, pt, ct, None) for c, pt, ct in fb.complete(prompts)]
+        except Exception as e:  # noqa: BLE001
+            error = e
+    return [(None, None, None, None, f"{type(error).__name__}: {error}")]
 
 
 def embed_hashing(df: DataFrame, text_col: str, dims: int = 256, out: str = "embedding") -> DataFrame:
     """M1 offline default: clean (F1), tokenize, hash term counts, L2-normalise.
 
-    Entirely JVM-side Spark ML transformers; the vector becomes ``array<double>``.
+    Entirely JVM-side Spark ML transformers; the vector becomes ``array<double>``. A NULL text is an empty one.
     """
-    cleaned = df.withColumn("_clean", F.lower(clean_text(F.col(text_col))))
+    cleaned = df.withColumn("_clean", F.lower(clean_text(F.coalesce(F.col(text_col), F.lit("")))))
     tok = RegexTokenizer(inputCol="_clean", outputCol="_tokens", pattern=WORD_PATTERN, gaps=False,
                          toLowercase=False)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dims)
@@ -178,15 +108,15 @@ def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """
     per_token = prices.select(
         "model",
-        (F.col("prompt_price").cast("decimal(12,10)") / F.lit(1000)).cast("decimal(12,10)").alias("_pp"),
-        (F.col("completion_price").cast("decimal(12,10)") / F.lit(1000)).cast("decimal(12,10)").alias("_cp"))
+        (F.col("prompt_price").cast("decimal(19,10)") / F.lit(1000)).cast("decimal(19,13)").alias("_pp"),
+        (F.col("completion_price").cast("decimal(19,10)") / F.lit(1000)).cast("decimal(19,13)").alias("_cp"))
     totals = usage.groupBy("model").agg(F.count(F.lit(1)).alias("requests"),
                                         F.sum("prompt_tokens").alias("prompt_tokens"),
                                         F.sum("completion_tokens").alias("completion_tokens"))
     # No broadcast hint: the price list is a parameter table, so the planner
     # broadcasts it from its measured size when small and shuffles otherwise.
     joined = totals.join(per_token, "model", "left")
-    # decimal(18,0) x decimal(12,10) stays within 38 digits, so no scale is lost.
+    # decimal(18,0) x decimal(19,13) stays within 38 digits, so no scale is lost.
     cost = (F.col("prompt_tokens").cast("decimal(18,0)") * F.col("_pp")
             + F.col("completion_tokens").cast("decimal(18,0)") * F.col("_cp"))
     return joined.select("model", "requests", "prompt_tokens", "completion_tokens",
@@ -199,45 +129,42 @@ def section_request(instruction: Column, previous_text: Column, tables_text: Col
                     F.lit("\nData tables:\n"), tables_text, F.lit("\nTask: "), prompt)
 
 
-
 REPORT_SCHEMA = T.StructType([
     T.StructField("report_id", T.LongType()),
     T.StructField("ordinal", T.LongType()),
     T.StructField("label", T.StringType()),
-    T.StructField("content", T.StringType()),
-    T.StructField("provider", T.StringType()),
-    T.StructField("prompt_tokens", T.LongType()),
-    T.StructField("completion_tokens", T.LongType()),
-    T.StructField("error", T.StringType()),
+    *COMPLETION_FIELDS,
 ])
 
 
-def write_reports(sections: DataFrame, instruction: str, tables_text: Column,
-                  primary: Callable[[], object] = LocalExtractiveProvider,
+def write_reports(sections: DataFrame, instruction: str, tables_text: Column, primary: Callable[[], object],
                   fallback: Callable[[], object] | None = None) -> DataFrame:
     """M7: write every report section by section, each request seeing the text so far.
 
     ``sections``: (report_id, ordinal, label, prompt). Inside a report the
     sections are sequential (section n's request carries sections 1..n-1 as
-    generated), so one report is one group of ``applyInPandas``; different
-    reports run in parallel. A group holds one report's sections only.
+    generated); different reports run in parallel. A task streams its reports in
+    order with one provider and holds the text of one report so far.
     ``tables_text`` (e.g. a scalar subquery of the flattened result tables)
-    is attached to every section row before grouping.
+    is attached to every section row.
     """
     ship_package(sections.sparkSession)
-    rows = sections.select("report_id", "ordinal", "label", "prompt", tables_text.alias("tables_text"))
-
-    def one_report(pdf: pd.DataFrame) -> pd.DataFrame:
-        prim = primary()
-        fb = fallback() if fallback is not None else None
-        pdf = pdf.sort_values("ordinal")
-        previous, out = "", []
-        for r in pdf.itertuples(index=False):
-            request = (f"{instruction}\nSections written so far:\n{previous}\nData tables:\n{r.tables_text}"
-                       f"\nTask: {r.prompt}")
-            _, content, provider, pt, ct, err = _one(r.ordinal, request, prim, fb)
-            out.append((r.report_id, r.ordinal, r.label, content, provider, pt, ct, err))
-            previous += f"{r.label}: {content or ''}\n"
-        return pd.DataFrame(out, columns=[f.name for f in REPORT_SCHEMA.fields])
-
-    return rows.groupBy("report_id").applyInPandas(one_report, REPORT_SCHEMA)
+    rows = (sections.select("report_id", "ordinal", "label", "prompt", tables_text.alias("tables_text"))
+            .repartition("report_id").sortWithinPartitions("report_id", "ordinal"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        prim, fb = primary(), fallback() if fallback is not None else None
+        report, previous = None, ""
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.report_id != report:
+                    report, previous = r.report_id, ""
+                request = (f"{instruction}\nSections written so far:\n{previous}\nData tables:\n{r.tables_text}"
+                           f"\nTask: {r.prompt}")
+                answer = _answers([request], prim, fb)[0]
+                out.append((r.report_id, r.ordinal, r.label, *answer))
+                previous += f"{r.label}: {answer[0] or ''}\n"
+            yield pd.DataFrame(out, columns=REPORT_SCHEMA.names)
+
+    return rows.mapInPandas(run, REPORT_SCHEMA)

@@ -4,9 +4,10 @@ extractive context (M6) and chat messages (F8)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,230 +15,144 @@ from pyspark.sql import Window
 
 from .. import fixed_values as FV
 from ..functions.text import token_count, words
-from ..session import ensure_checkpoint_dir, ship_package
+from ..session import broadcast_checked, ship_package, written_once
 
-# Query matrices up to this size are broadcast to every task (size checked first).
+# Query vectors up to this size are sent to every task (their size is measured first); beyond it, query and corpus
+# blocks meet in groups of bounded size. Both ways score with the same tiles.
 MAX_BROADCAST_BYTES = 64 << 20
+# Vectors scored at once: a tile of corpus rows by a tile of queries, whose scores take TILE_ROWS * TILE_QUERIES * 8 bytes.
+TILE_ROWS = 4096
+TILE_QUERIES = 1024
+# Target size of one corpus block on the blocked way.
+GROUP_BYTES = 64 << 20
+# Decimals of a float64 product that do not depend on the order of its sums; the shown similarity has fewer.
+RANK_DECIMALS = 12
 SIM_DECIMALS = 6
-# Target size of one corpus block (vectors held by one cogroup task) on the blocked path.
-GROUP_BYTES = 128 << 20
+
+Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 # ---------------------------------------------------------------------------
-# Per-partition exact top-k kernel (numpy inside Arrow batches)
+# Scores and exact top-k of tiles (numpy inside Arrow batches)
 # ---------------------------------------------------------------------------
 
-def _batch_matrix(vec_col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(n x d) float64 matrix of a list<float|double> column plus a validity mask.
+def cosine_scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """cosine similarity of every row to every query; nan for a zero vector."""
+    def unit(m):
+        norm = np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+        return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
+    return unit(rows) @ unit(queries).T
 
-    Rows that are NULL or of another length than the batch's first valid row
-    are marked invalid (they score NULL).
-    """
-    n = len(vec_col)
+
+def _matrix(vec_col: pa.Array, dims: int) -> np.ndarray:
+    """(n x dims) float64 matrix of a list<number> column; rows that are NULL, hold a NULL or have another length are nan."""
     if isinstance(vec_col, pa.ChunkedArray):
         vec_col = vec_col.combine_chunks()
-    valid = ~np.asarray(vec_col.is_null().to_numpy(zero_copy_only=False), dtype=bool)
-    offsets = np.asarray(vec_col.offsets.to_numpy(), dtype=np.int64)
-    lengths = np.diff(offsets)
-    dims = lengths[valid]
-    d = int(dims[0]) if len(dims) else 0
-    valid &= lengths == d
-    values = np.asarray(vec_col.values.to_numpy(zero_copy_only=False), dtype=np.float64)
-    if d and valid.all() and np.all(lengths == d):
-        # common case: every row present with the same length -> one reshape
-        return values[offsets[0]: offsets[0] + n * d].reshape(n, d), valid
-    mat = np.zeros((n, d), dtype=np.float64)
-    if d and valid.any():
-        rows = np.nonzero(valid)[0]
-        starts = offsets[rows]
-        mat[rows] = values[starts[:, None] + np.arange(d)[None, :]]
-    return mat, valid
-
-
-def _normalise(mat: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    norms = np.sqrt(np.einsum("ij,ij->i", mat, mat))
-    ok = valid & (norms > 0)
-    out = np.zeros_like(mat)
-    out[ok] = mat[ok] / norms[ok, None]
-    return out, ok
-
-
-class _TopK:
-    """Running exact top-k per query under the order (similarity desc, NULL last, id asc).
-
-    Vectorised over queries: each batch contributes, per query, every row whose
-    key is within that query's k-th best key of the batch (ties kept, so the
-    result stays exact). Candidates accumulate as (query, key, id) triples and
-    are compacted with one grouped lexsort when they exceed a few times k.
-    """
+    offsets = vec_col.offsets.to_numpy().astype(np.int64)
+    fits = (np.diff(offsets) == dims) & ~vec_col.is_null().to_numpy(zero_copy_only=False)
+    values = vec_col.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    out = np.full((len(vec_col), dims), np.nan)
+    out[fits] = values[offsets[:-1][fits][:, None] + np.arange(dims)]
+    return out
 
-    def __init__(self, n_queries: int, k: int):
-        self.nq, self.k = n_queries, k
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def update(self, sims: np.ndarray, ids: np.ndarray) -> None:
-        # sort key: negated rounded similarity, NULL (nan) as +inf so it sorts last
-        keys = -np.round(sims, SIM_DECIMALS)
-        keys[np.isnan(keys)] = np.inf
-        n = keys.shape[0]
-        if n > self.k:
-            kth = np.partition(keys, self.k - 1, axis=0)[self.k - 1]
-            rows, cols = np.nonzero(keys <= kth[None, :])
-        else:
-            rows, cols = np.nonzero(np.ones_like(keys, dtype=bool))
-        self.parts.append((cols.astype(np.int64), keys[rows, cols], ids[rows]))
-        self.size += len(rows)
-        if self.size > 4 * self.k * max(self.nq, 1):
-            self._compact()
-
-    def _compact(self) -> None:
-        if not self.parts:
-            return
-        q = np.concatenate([p[0] for p in self.parts])
-        key = np.concatenate([p[1] for p in self.parts])
-        ident = np.concatenate([p[2] for p in self.parts])
-        order = np.lexsort((ident, key, q))
-        q, key, ident = q[order], key[order], ident[order]
-        starts = np.searchsorted(q, np.arange(self.nq))
-        keep = (np.arange(len(q)) - starts[q]) < self.k
-        self.parts = [(q[keep], key[keep], ident[keep])]
-        self.size = int(keep.sum())
-
-    def rows(self, qids: list) -> tuple[list, list, list]:
-        self._compact()
-        if not self.parts:
-            return [], [], []
-        q, key, ident = self.parts[0]
-        sims = [None if np.isinf(x) else float(-x) for x in key]
-        return [qids[j] for j in q], [int(i) for i in ident], sims
-
-
-def _score_batches(batches, id_col: str, vec_col: str, qids: list, qmat: np.ndarray, k: int,
-                   qid_type: pa.DataType):
-    top = _TopK(len(qids), k)
-    for rb in batches:
-        if rb.num_rows == 0:
-            continue
-        ids = np.asarray(rb.column(id_col).to_numpy(zero_copy_only=False), dtype=np.int64)
-        mat, valid = _batch_matrix(rb.column(vec_col))
-        unit, ok = _normalise(mat, valid)
-        if unit.shape[1] != qmat.shape[1]:
-            sims = np.full((len(ids), len(qids)), np.nan)
-        else:
-            sims = unit @ qmat.T
-            sims[~ok, :] = np.nan
-        top.update(sims, ids)
-    q, i, s = top.rows(qids)
-    if q:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(q, type=qid_type), pa.array(i, type=pa.int64()), pa.array(s, type=pa.float64())],
-            names=["qid", "id", "similarity"])
 
+def _top_of_tiles(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, scorer: Scorer):
+    """(query number, id, score) of the k best of these rows per query, tile by tile.
 
-def _query_matrix(rows) -> tuple[list, np.ndarray]:
-    qids = [r[0] for r in rows]
-    vecs = [np.asarray(r[1] if r[1] is not None else [], dtype=np.float64) for r in rows]
-    d = max((len(v) for v in vecs), default=0)
-    mat = np.zeros((len(vecs), d))
-    valid = np.zeros(len(vecs), dtype=bool)
-    for j, v in enumerate(vecs):
-        if len(v) == d and d:
-            mat[j] = v
-            valid[j] = True
-    unit, ok = _normalise(mat, valid)
-    unit[~ok] = np.nan  # a zero query vector scores NULL everywhere
-    return qids, unit
+    Order: score descending, NULL last, then id. Rows with the k-th best score are all kept within a tile and cut by
+    id after it, so the result is exact; nothing is carried from tile to tile.
+    """
+    for r in range(0, len(rows), TILE_ROWS):
+        part, part_ids = rows[r:r + TILE_ROWS], ids[r:r + TILE_ROWS]
+        for q in range(0, len(queries), TILE_QUERIES):
+            score = scorer(part, queries[q:q + TILE_QUERIES])
+            key = -np.round(score, RANK_DECIMALS)
+            key[np.isnan(key)] = np.inf
+            if len(part) > k:
+                kth = np.partition(key, k - 1, axis=0)[k - 1]
+                at, query = np.nonzero(key <= kth[None, :])
+            else:
+                at, query = np.divmod(np.arange(key.size), key.shape[1])
+            order = np.lexsort((part_ids[at], key[at, query], query))
+            at, query = at[order], query[order]
+            keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+            at, query = at[keep], query[keep]
+            yield query + q, part_ids[at], -key[at, query]
+
+
+def _batches(tops, qids: list, qid_type: pa.DataType):
+    for query, ids, score in tops:
+        shown = pa.array(score, pa.float64(), mask=np.isinf(score))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([qids[j] for j in query.tolist()], type=qid_type), pa.array(ids, pa.int64()), shown],
+            names=["qid", "id", "similarity"])
 
 
 def similarity_candidates(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str = "vec_id",
                           corpus_vec: str = "embedding", query_id: str = "qid", query_vec: str = "qvec",
-                          max_broadcast_bytes: int = MAX_BROADCAST_BYTES, blocks: int | None = None) -> DataFrame:
+                          max_broadcast_bytes: int = MAX_BROADCAST_BYTES, blocks: int | None = None,
+                          scorer: Scorer = cosine_scores) -> DataFrame:
     """(qid, id, similarity) rows holding, per query, at least the global top-k.
 
-    Broadcast path: the query matrix (its byte size is checked first) is sent
-    to every task; each corpus partition is scored batch by batch with one
-    matrix product and keeps only its own exact top-k per query, so at most
-    ``k x queries`` rows per partition reach the shuffle. When the queries are
-    too large to broadcast, both sides are split into blocks and scored per
-    (query block, corpus block) pair with ``cogroup``; every group holds one
-    block of each side, so no group grows with the data.
+    Vectors have the dimension of the longest query; any other length, and a NULL among the values, scores NULL.
+    ``scorer`` takes (rows, queries) as matrices and returns their scores, larger being better.
+
+    The queries (their byte size is measured first) are sent to every task, which scores each Arrow batch in
+    tiles, so that its memory is the batch, the queries and one tile, whatever the number of queries. Queries too
+    large for that are cut in blocks, as is the corpus, and every (query block, corpus block) is one group of bounded
+    size. At most k rows per query and tile reach the shuffle, where a partial limit cuts them again.
     """
     spark = corpus.sparkSession
     ship_package(spark)
-    ensure_checkpoint_dir(spark)
     qid_field = queries.schema[query_id]
     qid_arrow = _arrow_type(qid_field.dataType)
     q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).cast("array<double>").alias("qvec"))
-    c = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vec).alias("vec"))
+    c = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vec).cast("array<double>").alias("vec"))
     out_schema = T.StructType([T.StructField("qid", qid_field.dataType), T.StructField("id", T.LongType()),
                                T.StructField("similarity", T.DoubleType())])
-    # Computed once for the size check and the collect (the queries may be an
-    # aggregate over a large table); released right after.
-    q_cached = q.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        stats = q_cached.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("qvec")).alias("cells")).first()
-        n_queries, cells = int(stats["n"] or 0), int(stats["cells"] or 0)
-        if n_queries == 0:
-            return spark.createDataFrame([], out_schema)
-        if cells * 8 <= max_broadcast_bytes and blocks is None:
-            qids, qmat = _query_matrix(q_cached.collect())
-        else:
-            # Too large to broadcast: fix the queries in the shared checkpoint folder
-            # for the blocked path, which reads them again.
-            q_fixed = q_cached.checkpoint(eager=True)
-            qids = None
-    finally:
-        q_cached.unpersist()
-    if qids is not None:
-        bc = spark.sparkContext.broadcast((qids, qmat))
+    # Written once for the size check and its use: the queries may be an aggregate over a large table.
+    q = written_once(q, "queries")
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("qvec")).alias("cells"),
+                  F.max(F.size("qvec")).alias("dims")).first()
+    n_queries, cells, dims = (int(stats[x] or 0) for x in ("n", "cells", "dims"))
+    if n_queries == 0:
+        return spark.createDataFrame([], out_schema)
+    if cells * 8 <= max_broadcast_bytes and blocks is None:
+        held = q.toArrow()
+        sent = spark.sparkContext.broadcast((held.column("qid").to_pylist(), _matrix(held.column("qvec"), dims)))
 
         def kernel(batches):
-            ids_, mat_ = bc.value
-            yield from _score_batches(batches, "id", "vec", ids_, mat_, k, qid_arrow)
+            qids, qmat = sent.value
+            for b in batches:
+                tops = _top_of_tiles(_matrix(b.column(1), dims), b.column(0).to_numpy(), qmat, k, scorer)
+                yield from _batches(tops, qids, qid_arrow)
 
-        return c.mapInArrow(kernel, out_schema)
+        return c.where("id IS NOT NULL").mapInArrow(kernel, out_schema)
     q_blocks = blocks or max(2, -(-cells * 8 // max(1, max_broadcast_bytes)))
-    # Corpus blocks sized so one block's vectors stay near GROUP_BYTES in a task
-    # (one count of the corpus; negligible next to the all-pairs scoring).
-    dims = max(1, cells // n_queries)
-    corpus_bytes = c.count() * dims * 8
-    c_blocks = max(2, spark.sparkContext.defaultParallelism, -(-corpus_bytes // GROUP_BYTES))
-    return _blocked_candidates(c, q_fixed, k, out_schema, qid_arrow, q_blocks, c_blocks)
+    c_blocks = max(2, spark.sparkContext.defaultParallelism, -(-c.count() * max(1, dims) * 8 // GROUP_BYTES))
+    return _blocked_candidates(c, q, k, out_schema, qid_arrow, q_blocks, c_blocks, dims, scorer)
 
 
-def _blocked_candidates(c: DataFrame, q: DataFrame, k: int, out_schema: T.StructType,
-                        qid_arrow: pa.DataType, q_blocks: int, c_blocks: int) -> DataFrame:
+def _blocked_candidates(c: DataFrame, q: DataFrame, k: int, out_schema: T.StructType, qid_arrow: pa.DataType,
+                        q_blocks: int, c_blocks: int, dims: int, scorer: Scorer) -> DataFrame:
     """Query x corpus scoring without a broadcast.
 
-    Queries are hashed into ``q_blocks`` blocks (each small enough to hold in
-    one task) and corpus rows into ``c_blocks``; each query row is copied to
-    every corpus block and each corpus row to every query block, and one
-    cogroup per (query block, corpus block) scores its pair. Every group holds
-    one block of each side, so no group grows with the data; the replication
-    factor is the other side's block count.
+    Each query is copied to every corpus block and each corpus row to every query block; one group per pair of
+    blocks scores its pair. No group grows with the data; the copies are the other side's number of blocks.
     """
-    qb_n, cb_n = F.lit(q_blocks), F.lit(c_blocks)
-    qb = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), qb_n).cast("int"))
-          .withColumn("cb", F.explode(F.sequence(F.lit(0), cb_n - 1))))
-    cb = (c.withColumn("cb", F.pmod(F.xxhash64("id"), cb_n).cast("int"))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), qb_n - 1))))
-
-    def pair(qpdf, cpdf):
-        import pandas as pd
-        empty = pd.DataFrame({"qid": pd.Series([], dtype=object), "id": pd.Series([], dtype="int64"),
-                              "similarity": pd.Series([], dtype="float64")})
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return empty
-        qids, qmat = _query_matrix(list(zip(qpdf["qid"].tolist(), qpdf["qvec"].tolist())))
-        vec_arr = pa.array([None if v is None else list(v) for v in cpdf["vec"].tolist()],
-                           type=pa.list_(pa.float64()))
-        rb = pa.RecordBatch.from_arrays([pa.array(cpdf["id"].astype("int64")), vec_arr], names=["id", "vec"])
-        out = list(_score_batches([rb], "id", "vec", qids, qmat, k, qid_arrow))
-        return out[0].to_pandas() if out else empty
-
-    return (qb.groupBy("qb", "cb").cogroup(cb.groupBy("qb", "cb"))
-            .applyInPandas(pair, out_schema))
+    qb = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int"))
+          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))))
+    cb = (c.where("id IS NOT NULL").withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(c_blocks)).cast("int"))
+          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
+
+    def pair(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        tops = _top_of_tiles(_matrix(rows.column("vec"), dims), rows.column("id").to_numpy(),
+                             _matrix(queries.column("qvec"), dims), k, scorer)
+        found = list(_batches(tops, queries.column("qid").to_pylist(), qid_arrow))
+        return pa.Table.from_batches(found, pa.schema([("qid", qid_arrow), ("id", pa.int64()),
+                                                       ("similarity", pa.float64())]))
+
+    return qb.groupBy("qb", "cb").cogroup(cb.groupBy("qb", "cb")).applyInArrow(pair, out_schema)
 
 
 def _arrow_type(dt: T.DataType) -> pa.DataType:
@@ -252,21 +167,36 @@ def _arrow_type(dt: T.DataType) -> pa.DataType:
 def top_k_similar(corpus: DataFrame, queries: DataFrame, k: int = FV.DEFAULT_TOP_N, **kw) -> DataFrame:
     """W2 + J4 + F3: the k most similar corpus rows per query, ``rank`` 1..k.
 
-    Similarity is cosine rounded to six decimals; ties go to the lower id;
+    Ranked at full precision, shown with six decimals; ties go to the lower id;
     zero or NULL vectors score NULL and rank last. The final ranking is a
     ``row_number`` window filtered to ``<= k``, which Spark plans with a
     partial ``WindowGroupLimit`` before its shuffle.
     """
     cand = similarity_candidates(corpus, queries, k, **kw)
     w = Window.partitionBy("qid").orderBy(F.col("similarity").desc_nulls_last(), F.col("id").asc())
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .withColumn("similarity", F.round("similarity", SIM_DECIMALS)))
 
 
 def top_n_single(corpus: DataFrame, query: DataFrame, n: int = FV.DEFAULT_TOP_N, **kw) -> DataFrame:
     """One query, its n best rows in rank order (a global ``TakeOrderedAndProject``)."""
     cand = similarity_candidates(corpus, query, n, **kw)
     return (cand.orderBy(F.col("similarity").desc_nulls_last(), F.col("id").asc()).limit(n)
-            .select("qid", "id", "similarity"))
+            .select("qid", "id", F.round("similarity", SIM_DECIMALS).alias("similarity")))
+
+
+#: Bytes of a row of a ranking: query, id, similarity, rank, and the row itself.
+RANKED_ROW_BYTES = 64
+
+
+def with_texts(ranked: DataFrame, texts: DataFrame, key: str = "id") -> DataFrame:
+    """The ranking with the rows of ``texts`` joined on ``key``.
+
+    The ranking holds at most k rows per query. It is written once and counted; a small one is broadcast, so that the
+    texts are read where they are and never shuffled, and a large one is joined as the planner sees fit.
+    """
+    fixed = written_once(ranked, "ranked")
+    return texts.join(broadcast_checked(fixed, fixed.count() * RANKED_ROW_BYTES), key)
 
 
 def relatedness_text(sim: Column) -> Column:
@@ -284,16 +214,15 @@ def vector_long(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 # Budget packing and prompt assembly
 # ---------------------------------------------------------------------------
 
-DEFAULT_INTRO = ("Use the articles provided below to answer the subsequent question. "
-                 "If the answer cannot be found in the articles, say so, "
-                 "then try to answer the question as best you can anyways")
-DEFAULT_OPEN = '\n\nArticle:\n"""\n'
-DEFAULT_CLOSE = '\n"""'
-DEFAULT_QUESTION_PREFIX = "\n\nQuestion: "
+DEFAULT_INTRO = ("Below are excerpts from a document collection, best match first, and then a question. "
+                 "Answer from the excerpts where they cover it and name the gap where they do not.")
+DEFAULT_OPEN = "\n\n<excerpt>\n"
+DEFAULT_CLOSE = "\n</excerpt>"
+DEFAULT_QUESTION_PREFIX = "\n\nThe question is: "
 
 
 def wrap_passage(text: Column, open_: str = DEFAULT_OPEN, close: str = DEFAULT_CLOSE) -> Column:
-    """A passage inside its article wrapper."""
+    """A passage inside its wrapper."""
     return F.concat(F.lit(open_), text, F.lit(close))
 
 
@@ -369,22 +298,25 @@ def extractive_context(questions: DataFrame, texts: DataFrame, key: str,
     (``array_intersect`` after an equi-join on the key, no pairing of lines
     with each other), ranked best first (ties: earlier line first), packed
     to ``budget`` tokens, and emitted in their original order. Lines with no
-    shared word are dropped. A partial top-k caps each group's ranking at
+    shared word are dropped; a question without any line keeps its row, with an empty context. A partial top-k caps each group's ranking at
     ``budget`` lines (every kept line costs at least one token) before the
     per-group window.
     """
     qwords = questions.select(key, F.array_distinct(words(F.col("question"))).alias("_qw"))
-    lines = texts.select(key, "ordinal", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "line"))
-    scored = (lines.join(qwords, key)
+    scored = (texts.join(qwords, key)
+              .select(key, "ordinal", "_qw", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "line"))
               .withColumn("score", F.size(F.array_intersect(F.array_distinct(words(F.col("line"))), F.col("_qw"))))
               .filter(F.col("score") > 0)
               .withColumn("tokens", token_count(F.col("line"))))
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), "ordinal", "line_no")
     ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= budget)
     kept = pack_to_budget(ranked, key, "rank", "tokens", budget)
-    return (kept.groupBy(key)
-            .agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY ordinal, line_no)").alias("context"),
-                 F.count(F.lit(1)).alias("n_lines"), F.max("cum_tokens").alias("tokens")))
+    found = (kept.groupBy(key)
+             .agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY ordinal, line_no)").alias("context"),
+                  F.count(F.lit(1)).alias("n_lines"), F.max("cum_tokens").alias("tokens")))
+    return questions.select(key).join(found, key, "left").select(
+        key, F.coalesce("context", F.lit("")).alias("context"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
+        F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
 
 
 def chat_messages(system: Column, user: Column) -> Column:

@@ -4,8 +4,6 @@ sinks (S2, S5, S8, S12) and streams (X2, X3)."""
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,38 +93,25 @@ def tables_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def report_requests(spark, d):
-    """M7: section requests carrying earlier sections and the result tables."""
-    conv = read_table(spark, d, "conversations")
-    ctx = running_context(conv, ["conv_id"], ["turn"], conversation_piece(), name="previous_text")
-    sections = ctx.filter((F.col("role") == "user") & F.col("text").isNotNull())
-    tables = tables_text(spark, d).scalar()
-    req = M.section_request(F.lit(SECTION_INSTRUCTION), F.col("previous_text"), tables, F.col("text"))
-    return sections.select("conv_id", "turn", req.alias("request")).withColumn(
-        "request_tokens", token_count(F.col("request")))
-
-
-def report_writer(spark, d):
-    """M7 end to end: each conversation is a report whose user turns are section prompts;
-    sections are generated in order, each request carrying the text written so far."""
-    conv = read_table(spark, d, "conversations")
-    sections = conv.filter((F.col("role") == "user") & F.col("text").isNotNull()).select(
-        F.col("conv_id").alias("report_id"), F.col("turn").alias("ordinal"),
-        F.format_string("Section %d", F.col("turn")).alias("label"), F.col("text").alias("prompt"))
-    primary = functools.partial(M.LocalExtractiveProvider, max_words=40, max_prompt_tokens=3000, name="primary")
-    fallback = functools.partial(M.LocalExtractiveProvider, max_words=20, name="fallback")
-    return M.write_reports(sections, SECTION_INSTRUCTION, tables_text(spark, d).scalar(), primary, fallback)
+    """M7: section requests carrying earlier sections and the result tables.
 
-
-def complete_batch_q(spark, d):
-    """M4: every user turn answered, primary provider then fallback."""
+    Token counts add up over the pieces of a request, so the earlier sections are counted by a running sum and
+    only the requests themselves are built as text.
+    """
     conv = read_table(spark, d, "conversations")
-    ctx = running_context(conv, ["conv_id"], ["turn"], conversation_piece())
-    asks = ctx.filter((F.col("role") == "user") & F.col("text").isNotNull()).select(
-        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"),
-        F.concat(F.col("context"), F.lit("user: "), F.col("text")).alias("prompt"))
-    primary = functools.partial(M.LocalExtractiveProvider, max_words=60, max_prompt_tokens=1500, name="primary")
-    fallback = functools.partial(M.LocalExtractiveProvider, max_words=30, name="fallback")
-    return M.complete_batch(asks, "id", "prompt", primary, fallback)
+    counted = running_sum_before(conv.withColumn("_tok", token_count(conversation_piece())), "conv_id", "turn", "_tok",
+                                 "previous_tokens")
+    sections = running_context(counted, "conv_id", "turn", conversation_piece(), name="previous_text",
+                               wanted=(F.col("role") == "user") & F.col("text").isNotNull())
+    tables = tables_text(spark, d).select(F.struct("tables_text", token_count(F.col("tables_text")).alias("n"))).scalar()
+    rows = sections.withColumn("_tables", tables)
+    fixed = M.section_request(F.lit(SECTION_INSTRUCTION), F.lit(""), F.lit(""), F.lit(""))
+    return rows.select(
+        "conv_id", "turn",
+        M.section_request(F.lit(SECTION_INSTRUCTION), F.col("previous_text"), F.col("_tables.tables_text"),
+                          F.col("text")).alias("request"),
+        (token_count(fixed) + F.col("previous_tokens") + F.col("_tables.n") + token_count(F.col("text")))
+        .alias("request_tokens"))
 
 
 def embed_batch(spark, d):
@@ -136,32 +121,32 @@ def embed_batch(spark, d):
 
 
 def sample_n(spark, d, n: int = 10, seed: int = 7):
-    """T4: a repeatable sample of n rows: order by a seeded hash of the key, keep n."""
+    """T4: a repeatable sample of n rows: order by a seeded digest of the row's keys, keep n."""
     li = read_table(spark, d, "lineitem")
-    return li.orderBy(F.xxhash64(F.lit(seed), "l_orderkey", "l_linenumber")).limit(n)
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    digest = F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+    return li.orderBy(digest, "l_extendedprice", "l_quantity").limit(n)
 
 
-def scan_skip_preamble(spark, d, min_files: int = 4):
+def scan_skip_preamble(spark, d, rows_per_file: int = 500):
     """S2 over CSV files that each start with a banner row and a header row."""
     cust = read_table(spark, d, "customer")
-    n_files = max(min_files, cust.rdd.getNumPartitions())  # grows with the input
+    n_files = -(-cust.count() // rows_per_file)
     cols = cust.columns
-    data = cust.select(F.pmod(F.xxhash64("c_custkey"), F.lit(n_files)).alias("_part"),
-                       F.col("c_custkey").alias("_ord"), F.to_csv(F.struct(*cols)).alias("value"))
-    parts = F.explode(F.sequence(F.lit(0), F.lit(n_files - 1)))
-    banner = (spark.range(1).select(parts.alias("_part"))
-              .select("_part", F.lit(-2).cast("long").alias("_ord"),
-                      F.lit("Customer extract (generated), do not edit").alias("value")))
-    header = (spark.range(1).select(parts.alias("_part"))
-              .select("_part", F.lit(-1).cast("long").alias("_ord"), F.lit(",".join(cols)).alias("value")))
+    data = cust.select((F.col("c_custkey") % n_files).alias("_part"), F.col("c_custkey").alias("_ord"),
+                       F.to_csv(F.struct(*cols)).alias("value"))
+    first = spark.range(n_files).select(F.col("id").alias("_part"), F.explode(F.array(
+        F.struct(F.lit(-2).cast("long").alias("_ord"), F.lit("Customer extract (generated), do not edit").alias("value")),
+        F.struct(F.lit(-1).cast("long").alias("_ord"), F.lit(",".join(cols)).alias("value")))).alias("r")).select(
+        "_part", "r._ord", "r.value")
     path = scratch_path(spark, "preamble_csv")
-    (banner.unionByName(header).unionByName(data).repartition(n_files, "_part")
-     .sortWithinPartitions("_part", "_ord").select("_part", "value").write.partitionBy("_part").text(path))
-    return FS.read_skip_preamble(spark, path)
+    (first.unionByName(data).repartition("_part").sortWithinPartitions("_part", "_ord").select("_part", "value")
+     .write.partitionBy("_part").text(path))
+    return FS.read_skip_preamble(spark, path).drop("source_file")
 
 
 def scan_wholetext(spark, d):
-    """Files read whole, one row per file."""
+    """Files read whole; characters and lines of each source, however its files were cut."""
     docs = read_table(spark, d, "documents").select("source", "doc_id", "text")
     path = scratch_path(spark, "wholetext")
     # No shuffle: each task writes one file per source it holds, so no file
@@ -169,20 +154,20 @@ def scan_wholetext(spark, d):
     (docs.sortWithinPartitions("source", "doc_id").select("source", "text")
      .write.partitionBy("source").text(path))
     whole = FS.read_wholetext(spark, path)
-    return whole.select("file_path", F.length("text").alias("n_chars"),
-                        F.size(F.split(F.col("text"), "\n")).alias("n_lines"))
+    return whole.groupBy(F.regexp_extract("file_path", "/source=([^/]*)/", 1).alias("source")).agg(
+        F.sum(F.length("text")).alias("n_chars"),
+        F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("n_lines"))
 
 
 def sink_overwrite(spark, d):
-    """S8 + S12: the focus table is built once and reused; outputs replace their table."""
+    """S8 + S12: the focus table is built once and reused; its counts replace an older table."""
     path = scratch_path(spark, "focus_citations")
-    focus = FS.build_once(spark, path, lambda: CQ._focus(spark, d))
-    again = FS.build_once(spark, path, lambda: CQ._focus(spark, d))  # reused, not rebuilt
-    out = scratch_path(spark, "counts_table")
-    FS.replace_table(R.counts_by_type_scope(CQ._classified(spark, d)), out)
-    FS.replace_table(R.counts_by_type_scope(C.classify_prefix(again, "violation_code", S.BRAND_RULES,
-                                                              S.BRAND_DEFAULT)), out)
-    return focus
+    FS.build_once(spark, path, lambda: CQ._focus(spark, d))
+    focus = FS.build_once(spark, path, lambda: CQ._focus(spark, d).limit(0))  # reused, not rebuilt
+    out = scratch_path(spark, "focus_copy")
+    FS.replace_table(focus.select("l_orderkey"), out)
+    FS.replace_table(focus, out)
+    return spark.read.parquet(out)
 
 
 def _classify(df: DataFrame) -> DataFrame:
@@ -206,16 +191,16 @@ def stream_counts(spark, d):
 
 
 def file_drop_refresh(spark, d):
-    """Two uploads land in a drop folder; the analysis is recomputed from the newest."""
+    """Two uploads land in a drop folder; the analysis is recomputed from the newest, all its files together."""
     drop = scratch_path(spark, "drop")
     cites = S.citations(spark, d).select("l_orderkey", "l_linenumber", "department", "violation_code")
     older = S.citations(spark, d).filter(F.year("violation_date") < 1998).select(*cites.columns)
-    older.coalesce(1).write.parquet(f"{drop}/upload-1")
-    cites.coalesce(1).write.mode("append").parquet(f"{drop}/upload-2")
+    older.write.parquet(f"{drop}/upload-1")
+    cites.repartition(4).write.parquet(f"{drop}/upload-2")
     out = scratch_path(spark, "refresh_out")
     ST.file_drop_refresh(spark, f"{drop}/*", cites.schema,
                          lambda df: R.counts_by_type_scope(_classify(df)), out)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("upload")
 
 
 QUERIES = {
@@ -224,8 +209,6 @@ QUERIES = {
     "route_files": route_files_q,
     "usage_cost": usage_cost_q,
     "report_requests": report_requests,
-    "complete_batch": complete_batch_q,
-    "report_writer": report_writer,
     "embed_batch": embed_batch,
     "sample_n": sample_n,
     "scan_skip_preamble": scan_skip_preamble,

@@ -1,8 +1,8 @@
 """DuckDB SQL equivalents of the retrieval queries."""
 
 from .. import fixed_values as FV
-from ..functions.text import TOKEN_PATTERN, WORD_PATTERN
 from ..operators.retrieval import DEFAULT_CLOSE, DEFAULT_INTRO, DEFAULT_OPEN, DEFAULT_QUESTION_PREFIX
+from .oracle_patterns import TOKEN, WORD
 from .retrieval_queries import RELEVANCE_THRESHOLD, SYSTEM_INSTRUCTION
 
 
@@ -14,7 +14,7 @@ def _s(text: str) -> str:
 
 
 def _tok(expr: str) -> str:
-    return f"CAST(coalesce(len(regexp_extract_all({expr}, '{TOKEN_PATTERN}')), 0) AS BIGINT)"
+    return f"CAST(coalesce(len(regexp_extract_all({expr}, '{TOKEN}')), 0) AS BIGINT)"
 
 
 QUERIES = """ex AS (SELECT label, UNNEST(range(len(embedding))) AS pos, UNNEST(embedding) AS v FROM embeddings),
@@ -27,10 +27,11 @@ corpus AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (SELECT doc_
 def _ranked(k: int) -> str:
     return f"""{QUERIES},
 scored AS (SELECT q.qid, c.vec_id,
-                  round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), q.qvec), 6) AS similarity
+                  list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), q.qvec) AS full_similarity
            FROM q, corpus c),
-ranked AS (SELECT qid, vec_id, similarity,
-                  CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC NULLS LAST, vec_id) AS INTEGER) AS rank
+ranked AS (SELECT qid, vec_id, round(full_similarity, 6) AS similarity,
+                  CAST(row_number() OVER (PARTITION BY qid ORDER BY round(full_similarity, 12) DESC NULLS LAST, vec_id)
+                       AS INTEGER) AS rank
            FROM scored),
 top AS (SELECT * FROM ranked WHERE rank <= {k})"""
 
@@ -57,7 +58,7 @@ PACKED = f"""{_ranked(FV.DEFAULT_TOP_N)},
 
 
 def _words(expr: str) -> str:
-    return f"list_distinct(regexp_extract_all(lower({expr}), '{WORD_PATTERN}'))"
+    return f"list_distinct(regexp_extract_all(lower({expr}), '{WORD}'))"
 
 PIECE = "role || ': ' || coalesce(text, '') || chr(10)"
 
@@ -67,13 +68,14 @@ SQL = {
 g AS (SELECT list(s ORDER BY pos) AS qvec FROM (SELECT pos, sum(CAST(v AS DOUBLE)) AS s FROM ex GROUP BY pos)),
 corpus AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))
 SELECT -1 AS qid, c.vec_id, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), g.qvec), 6) AS similarity
-FROM corpus c, g ORDER BY similarity DESC NULLS LAST, vec_id LIMIT {FV.DEFAULT_TOP_N}""",
+FROM corpus c, g ORDER BY round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), g.qvec), 12) DESC NULLS LAST, vec_id LIMIT {FV.DEFAULT_TOP_N}""",
     "relatedness_report": f"""WITH {_ranked(FV.REPORT_TOP_N)}
 SELECT t.qid, t.rank, t.vec_id, CAST(CAST(CAST(t.similarity AS DECIMAL(10,6)) AS DECIMAL(10,3)) AS VARCHAR) AS relatedness, d.text
 FROM top t JOIN documents d ON t.vec_id = d.doc_id""",
     "vector_long": """SELECT vec_id, CAST(UNNEST(range(len(embedding))) AS INTEGER) AS dim, CAST(UNNEST(embedding) AS DOUBLE) AS value
 FROM embeddings""",
-    "vector_csv_roundtrip": """SELECT e.vec_id, d.text, CAST(e.embedding AS DOUBLE[]) AS embedding
+    "vector_csv_roundtrip": """SELECT e.vec_id, CASE e.vec_id % 4 WHEN 0 THEN ' ' || d.text || '  ' WHEN 1 THEN ''
+       WHEN 2 THEN NULL ELSE d.text END AS text, CAST(e.embedding AS DOUBLE[]) AS embedding
 FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id""",
     "context_pack": f"WITH {PACKED}\nSELECT qid, rank, vec_id, tokens, cum_tokens FROM packed",
     "retrieval_prompt": f"WITH {PACKED}\nSELECT qid, question, n_passages, prompt FROM prompts",
@@ -95,10 +97,12 @@ scored AS (SELECT conv_id, ordinal, line_no, line,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, ordinal, line_no) AS rank
            FROM scored WHERE score > 0),
 cum AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_tokens
-        FROM ranked WHERE rank <= {FV.SUMMARY_TOKEN_TARGET})
-SELECT conv_id, string_agg(line, chr(10) ORDER BY ordinal, line_no) AS context, count(*) AS n_lines,
-       CAST(max(cum_tokens) AS BIGINT) AS tokens
-FROM cum WHERE cum_tokens <= {FV.SUMMARY_TOKEN_TARGET} GROUP BY conv_id""",
+        FROM ranked WHERE rank <= {FV.SUMMARY_TOKEN_TARGET}),
+kept AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY ordinal, line_no) AS context, count(*) AS n_lines,
+                CAST(max(cum_tokens) AS BIGINT) AS tokens
+         FROM cum WHERE cum_tokens <= {FV.SUMMARY_TOKEN_TARGET} GROUP BY conv_id)
+SELECT conv_id, coalesce(context, '') AS context, coalesce(n_lines, 0) AS n_lines, coalesce(tokens, 0) AS tokens
+FROM qs LEFT JOIN kept USING (conv_id)""",
     "prompt_messages": f"""WITH ctx AS (
   SELECT conv_id, turn, role, text, coalesce(string_agg({PIECE}, '') OVER (PARTITION BY conv_id ORDER BY turn
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context FROM conversations),

@@ -1,10 +1,6 @@
 """DuckDB SQL equivalents of the text queries."""
 
-from ..functions.text import CLEAN_PATTERN, TOKEN_PATTERN
-
-# RE2 spells the extra vertical tab explicitly (its \s lacks it); Java's \s has it.
-_CLEAN = CLEAN_PATTERN
-_TOKEN = TOKEN_PATTERN
+from .oracle_patterns import CLEAN, TOKEN
 
 TEXTS = """texts AS (
   SELECT 'documents' AS source, doc_id AS id, text FROM documents
@@ -13,11 +9,11 @@ TEXTS = """texts AS (
 
 SQL = {
     "clean_text": f"""WITH {TEXTS}
-SELECT source, id, regexp_replace(regexp_replace(regexp_replace(text, '{_CLEAN}', '\\1', 'g'),
+SELECT source, id, regexp_replace(regexp_replace(regexp_replace(text, '{CLEAN}', '\\1', 'g'),
        '[\\n\\t]+', '', 'g'), ' {{5,}}', ' ', 'g') AS text FROM texts""",
     "newline_to_space": "SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents",
     "token_count": f"""WITH {TEXTS}
-SELECT source, id, CAST(coalesce(len(regexp_extract_all(text, '{_TOKEN}')), 0) AS BIGINT) AS tokens FROM texts""",
+SELECT source, id, CAST(coalesce(len(regexp_extract_all(text, '{TOKEN}')), 0) AS BIGINT) AS tokens FROM texts""",
     "money_format": "SELECT p_partkey, printf('$%,.2f', CAST(CAST(p_retailprice AS DECIMAL(20,2)) AS DOUBLE)) AS price FROM part",
     "row_text": """SELECT c_custkey, concat_ws(' ', CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR),
        CAST(c_acctbal AS VARCHAR), c_mktsegment) AS text FROM customer""",

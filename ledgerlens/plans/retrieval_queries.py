@@ -13,7 +13,7 @@ from .. import fixed_values as FV
 from ..operators import retrieval as RT
 from ..operators.documents import running_context
 from ..operators.ordering import spread
-from ..session import scratch_path
+from ..session import scratch_path, written_once
 from ..sources import files as FS
 from ..sources.tables import read_table
 from .common import spread_partitions
@@ -79,8 +79,8 @@ def relatedness_report(spark, d):
     """Top-3 passages per label query with a three-decimal score."""
     top = RT.top_k_similar(corpus(spark, d), label_queries(spark, d), FV.REPORT_TOP_N)
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return top.join(docs, "id").select("qid", "rank", F.col("id").alias("vec_id"),
-                                       RT.relatedness_text(F.col("similarity")).alias("relatedness"), "text")
+    return RT.with_texts(top, docs).select("qid", "rank", F.col("id").alias("vec_id"),
+                                           RT.relatedness_text(F.col("similarity")).alias("relatedness"), "text")
 
 
 def vector_long(spark, d):
@@ -91,7 +91,11 @@ def vector_long(spark, d):
 def vector_csv_roundtrip(spark, d):
     """S3 + S4 + F4: passages and vectors through CSV and back."""
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    src = corpus(spark, d).join(docs, "vec_id").select("vec_id", "text", "embedding")
+    # some texts with outer spaces, some empty, some missing
+    kind = F.col("vec_id") % 4
+    text = (F.when(kind == 0, F.concat(F.lit(" "), F.col("text"), F.lit("  "))).when(kind == 1, F.lit(""))
+            .when(kind == 2, F.lit(None)).otherwise(F.col("text")))
+    src = corpus(spark, d).join(docs, "vec_id").select("vec_id", text.alias("text"), "embedding")
     path = scratch_path(spark, "vector_csv")
     FS.write_vector_csv(src, path)
     schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -106,7 +110,7 @@ def _ranked(spark, d) -> DataFrame:
 def _packed(spark, d, ranked: DataFrame, budget: int = FV.DEFAULT_TOKEN_BUDGET) -> tuple[DataFrame, DataFrame]:
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     questions = label_questions(spark, d)
-    return RT.context_pack(ranked.join(docs, "id"), questions, budget), questions
+    return RT.context_pack(RT.with_texts(ranked, docs), questions, budget), questions
 
 
 def context_pack(spark, d):
@@ -124,8 +128,8 @@ def retrieval_prompt(spark, d):
 def relevance_gate(spark, d):
     """M5: full context for on-topic questions, reduced context otherwise."""
     # One kernel run: the ranking (at most k rows per query) is fixed once and read by
-    # both the prompt branch and the best-match branch.
-    ranked = _ranked(spark, d).checkpoint(eager=True)
+    # both the prompt branches and the best-match branch.
+    ranked = written_once(_ranked(spark, d), "ranking")
     packed, questions = _packed(spark, d, ranked)
     full = RT.retrieval_prompt(packed, questions)
     # Off-topic questions get the reduced context: the same ranking packed to the summary budget.
@@ -143,7 +147,8 @@ def _conversation_questions(conv: DataFrame) -> DataFrame:
 def extractive_context(spark, d):
     """M6: each conversation reduced to the lines relevant to its last question."""
     conv = spread(read_table(spark, d, "conversations"), spread_partitions(spark))
-    questions = _conversation_questions(conv)
+    # written once: one row per conversation, read for the texts' own turn and for the words
+    questions = written_once(_conversation_questions(conv), "questions")
     texts = (conv.join(questions.select("conv_id", "q_turn"), "conv_id")
              .filter(F.col("turn") != F.col("q_turn"))
              .select("conv_id", F.col("turn").alias("ordinal"), "text"))
@@ -153,8 +158,9 @@ def extractive_context(spark, d):
 def prompt_messages(spark, d):
     """F8: system and user messages for every user turn."""
     conv = read_table(spark, d, "conversations")
-    ctx = running_context(conv, ["conv_id"], ["turn"], conversation_piece())
-    asks = ctx.filter((F.col("role") == "user") & F.col("text").isNotNull() & ~F.col("text").startswith("/"))
+    asks = running_context(
+        conv, "conv_id", "turn", conversation_piece(),
+        wanted=(F.col("role") == "user") & F.col("text").isNotNull() & ~F.col("text").startswith("/"))
     msgs = asks.select("conv_id", "turn", RT.chat_messages(
         F.concat(F.lit(SYSTEM_INSTRUCTION), F.col("context")), F.col("text")).alias("messages"))
     return msgs.select("conv_id", "turn", F.posexplode("messages").alias("position", "m")).select(

@@ -87,7 +87,7 @@ def conversation_piece() -> F.Column:
 def running_context(spark, d):
     """Each turn with all earlier turns of its conversation."""
     conv = read_table(spark, d, "conversations")
-    return D.running_context(conv, ["conv_id"], ["turn"], conversation_piece()).select(
+    return D.running_context(conv, "conv_id", "turn", conversation_piece()).select(
         "conv_id", "turn", "context")
 
 

@@ -3,45 +3,76 @@ and replace-one-table writes."""
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 
-def read_skip_preamble(spark: SparkSession, path: str, header_row: int = 1,
-                       data_start: int = 2) -> DataFrame:
+def read_skip_preamble(spark: SparkSession, path: str, header_row: int = 1, data_start: int = 2,
+                       columns: list[str] | None = None) -> DataFrame:
     """Banner row(s), header at ``header_row``, data from ``data_start``, per file.
 
-    The header line of the first file (one line reaches the driver) gives the
-    column names and count; the data is then read with that explicit schema.
-    Files are read unsplit (``multiLine``), so ``monotonically_increasing_id``
-    is consecutive inside each file; a record's position is its id minus the
-    file's smallest id, taken with a per-file aggregate (one row per file) and
-    an equi-join, never a window over a whole file. Preamble rows are assumed
-    to be single lines; data records may span lines.
+    Every file is read once, as a whole (a sheet is no larger than a task), and
+    parsed with its own header, so files may order their columns differently.
+    The result has ``columns`` as strings, by default those of one file's
+    header; a column that a file lacks is NULL. Records may span lines and are
+    numbered per file; nothing is shuffled and no file list reaches the driver.
     """
-    import csv
-
-    # File listing is metadata only; ``take`` reads just the first split of one file.
-    files = sorted(spark.read.option("recursiveFileLookup", True).text(path).inputFiles())
-    head = spark.read.text(files[0]).take(header_row + 1) if files else []
-    names = next(csv.reader([head[header_row]["value"]])) if len(head) > header_row else []
-    schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
-    raw = (spark.read.schema(schema).option("header", False).option("multiLine", True).option("escape", '"')
-           .option("recursiveFileLookup", True).option("mode", "PERMISSIVE").csv(path)
-           .withColumn("_file", F.col("_metadata.file_path"))
-           .withColumn("_id", F.monotonically_increasing_id()))
-    starts = raw.groupBy("_file").agg(F.min("_id").alias("_start"))
-    positioned = raw.join(starts, "_file").withColumn("_pos", F.col("_id") - F.col("_start"))
-    return (positioned.filter(F.col("_pos") >= data_start)
-            .select(F.col("_file").alias("source_file"), (F.col("_pos") - data_start).alias("ordinal"),
-                    *[F.col(n) for n in names]))
+    ship_package(spark)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("source_file"), "value")
+    if columns is None:
+        first = files.select(F.substring_index("value", "\n", header_row + 1).alias("head")).first()
+        columns = _record(first["head"], header_row) if first else []
+    names = list(columns)
+    schema = T.StructType([T.StructField("source_file", T.StringType()), T.StructField("ordinal", T.LongType()),
+                           *[T.StructField(n, T.StringType()) for n in names]])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, text in zip(pdf["source_file"], pdf["value"]):
+                records = csv.reader(io.StringIO(text or "", newline=""))
+                header, out = {}, []
+                for i, record in enumerate(records):
+                    if i == header_row:
+                        header = {n: k for k, n in reversed(list(enumerate(record)))}
+                    if i >= data_start and record:
+                        at = (header.get(n) for n in names)
+                        out.append((name, i - data_start, *(record[k] or None if k is not None and k < len(record)
+                                                            else None for k in at)))
+                    if len(out) >= 10_000:
+                        yield pd.DataFrame(out, columns=schema.names)
+                        out = []
+                yield pd.DataFrame(out, columns=schema.names)
+
+    return files.mapInPandas(run, schema)
+
+
+def _record(head: str, row: int) -> list[str]:
+    records = list(csv.reader(io.StringIO(head, newline="")))
+    return records[row] if len(records) > row else []
+
+
+# A missing text and an empty one are kept apart, and outer spaces are data.
+_FAITHFUL = {"header": True, "escape": '"', "nullValue": "\0",
+             "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def write_vector_csv(df: DataFrame, path: str, vector_col: str = "embedding") -> None:
-    """A CSV without an index; the vector is written as a JSON list literal."""
+    """A CSV without an index; the vector is written as a JSON list literal.
+
+    Texts come back as they were: with their outer spaces, and empty or NULL (a
+    NUL character in the file). A text of one NUL character would come back as NULL.
+    """
     (df.withColumn(vector_col, F.to_json(F.col(vector_col).cast("array<double>")))
-       .write.mode("overwrite").option("header", True).option("escape", '"').csv(path))
+       .write.mode("overwrite").options(**_FAITHFUL, emptyValue='""').csv(path))
 
 
 def read_vector_csv(spark: SparkSession, path: str, schema: T.StructType,
@@ -50,8 +81,7 @@ def read_vector_csv(spark: SparkSession, path: str, schema: T.StructType,
     string_schema = T.StructType([
         T.StructField(f.name, T.StringType() if f.name == vector_col else f.dataType, True)
         for f in schema.fields])
-    df = (spark.read.schema(string_schema).option("header", True).option("multiLine", True)
-          .option("escape", '"').csv(path))
+    df = spark.read.schema(string_schema).options(**_FAITHFUL, emptyValue="", multiLine=True).csv(path)
     return df.withColumn(vector_col, parse_vector(F.col(vector_col)))
 
 

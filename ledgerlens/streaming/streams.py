@@ -63,24 +63,23 @@ def file_drop_refresh(spark: SparkSession, drop_dir: str, schema: T.StructType,
                       checkpoint: str | None = None) -> None:
     """Whenever files arrive, recompute the analysis from the newest upload and replace outputs.
 
-    Inside each micro-batch the newest file (modification time, then path)
-    is found with one aggregate; ``analyse(rows_of_that_file)`` is written
-    over ``out_path``. Replays of a batch overwrite with the same result.
+    An upload is a folder of any number of files. Each micro-batch finds the
+    folder of the newest file (modification time, then path) with one aggregate,
+    and ``analyse(all rows of that folder)`` is written over ``out_path`` with the
+    folder's name. The folder is read as a whole, so an upload whose files reach
+    two batches is complete after the second; replays overwrite with the same result.
     """
     stream = (spark.readStream.schema(schema).parquet(drop_dir)
-              .withColumn("_file", F.col("_metadata.file_path"))
+              .withColumn("_upload", F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1))
               .withColumn("_mtime", F.col("_metadata.file_modification_time")))
 
     def refresh(batch: DataFrame, epoch: int) -> None:
-        batch.persist()  # read twice below: newest file, then its rows
-        try:
-            newest = batch.agg(F.max_by("_file", F.struct("_mtime", "_file")).alias("f")).first()
-            if newest is None or newest["f"] is None:
-                return
-            upload = batch.filter(F.col("_file") == newest["f"]).drop("_file", "_mtime")
-            replace_table(analyse(upload).withColumn("source_file", F.lit(newest["f"])), out_path)
-        finally:
-            batch.unpersist()
+        newest = batch.agg(F.max_by("_upload", F.struct("_mtime", "_upload")).alias("f")).first()
+        if newest is None or newest["f"] is None:
+            return
+        upload = batch.sparkSession.read.schema(schema).parquet(newest["f"])
+        name = newest["f"].rstrip("/").rsplit("/", 1)[-1]
+        replace_table(analyse(upload).withColumn("upload", F.lit(name)), out_path)
 
     q = (stream.writeStream.foreachBatch(refresh)
          .option("checkpointLocation", checkpoint or scratch_path(spark, "ckpt-refresh"))

@@ -33,6 +33,25 @@ def test_rule_join_equals_case(spark):
     assert a == b
 
 
+def test_catch_all_rule_matches_in_both_forms(spark):
+    rules = [*RULES, ("", 1.0, "any", "state")]
+    df = _codes(spark, ["Brand#11", "zzz", "", None])
+    a = C.classify_prefix(df, "violation_code", rules, DEFAULT).orderBy("k").collect()
+    b = C.classify_by_rules(df, C.rules_frame(spark, rules), "violation_code", DEFAULT).orderBy("k").collect()
+    assert a == b and [r.violation_type for r in a] == ["A", "any", "any", None]
+
+
+def test_rule_join_leaves_the_rows_where_they_are(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = C.classify_by_rules(_codes(spark, ["Brand#11"]), C.rules_frame(spark, RULES))
+        plan = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "Exchange hashpartitioning" not in plan
+
+
 def test_rule_join_plans_no_nested_loop(spark):
     df = _codes(spark, ["Brand#11", "Brand#2"])
     plan = C.classify_by_rules(df, C.rules_frame(spark, RULES))._jdf.queryExecution().executedPlan().toString()

@@ -1,23 +1,41 @@
 import functools
 
+import providers
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import models as M
 from ledgerlens.operators.routing import route_file, route_messages
 
+cloudpickle.register_pickle_by_value(providers)  # workers do not have the tests on their path
+
 
 def test_complete_batch_fallback(spark):
     df = spark.createDataFrame([(1, "short prompt\nanswer line"), (2, "x " * 50)], "id long, prompt string")
-    primary = functools.partial(M.LocalExtractiveProvider, max_prompt_tokens=10, name="primary")
-    fallback = functools.partial(M.LocalExtractiveProvider, name="fallback")
+    primary = functools.partial(providers.LastLine, "primary", 10)
+    fallback = functools.partial(providers.LastLine, "fallback")
     out = {r.id: r for r in M.complete_batch(df, "id", "prompt", primary, fallback).collect()}
     assert out[1].provider == "primary" and out[1].content == "answer line"
     assert out[2].provider == "fallback" and out[2].error is None
 
 
+def test_complete_batch_halves_a_failing_batch():
+    calls = []
+
+    class Counting(providers.LastLine):
+        def complete(self, prompts):
+            calls.append(len(prompts))
+            return super().complete(prompts)
+
+    prompts = ["ok"] * 40 + ["x " * 50] + ["ok"] * 23
+    out = M._answers(prompts, Counting("primary", 10), providers.LastLine("fallback"))
+    assert [a[1] for a in out] == ["primary"] * 40 + ["fallback"] + ["primary"] * 23
+    assert len(calls) <= 2 * 6 + 1  # not one call per prompt
+
+
 def test_complete_batch_error_recorded(spark):
     df = spark.createDataFrame([(1, "p")], "id long, prompt string")
-    out = M.complete_batch(df, "id", "prompt", M.FailingProvider, None).first()
+    out = M.complete_batch(df, "id", "prompt", providers.Failing, None).first()
     assert out.content is None and "unavailable" in out.error
 
 
@@ -49,14 +67,33 @@ def test_write_reports_sequential(spark):
     sections = spark.createDataFrame(
         [(1, 0, "Title", "Write a title"), (1, 1, "Body", "Write the body"), (2, 0, "Title", "Other title")],
         "report_id long, ordinal long, label string, prompt string")
-    out = {(r.report_id, r.ordinal): r for r in M.write_reports(sections, "Instr", F.lit("t1 1.00")).collect()}
-    assert len(out) == 3 and out[(1, 1)].provider == "local-extractive"
+    out = {(r.report_id, r.ordinal): r for r in M.write_reports(sections, "Instr", F.lit("t1 1.00"), providers.LastLine).collect()}
+    assert len(out) == 3 and out[(1, 1)].provider == "last-line"
     # The local provider answers with the last line of the request, i.e. the task line.
     assert out[(1, 1)].content == "Task: Write the body"
 
 
 def test_embed_with_provider(spark):
     df = spark.createDataFrame([(1, "Red apples, red!"), (2, None)], "id long, text string")
-    rows = {r.id: r.embedding for r in M.embed_with_provider(df, "id", "text", M.LocalHashingEmbedder).collect()}
+    rows = {r.id: r.embedding for r in M.embed_with_provider(df, "id", "text", providers.WordCounts).collect()}
     assert abs(sum(x * x for x in rows[1]) - 1.0) < 1e-9 and len(rows[1]) == 256
     assert sum(rows[2]) == 0.0
+
+
+def test_usage_cost_with_high_prices(spark):
+    usage = spark.createDataFrame([("m", 2000, 10)], "model string, prompt_tokens long, completion_tokens long")
+    prices = spark.createDataFrame([("m", 150.0, 250_000.0)], "model string, prompt_price double, completion_price double")
+    assert M.usage_cost(usage, prices).first().cost == 2 * 150 + 2500
+
+
+def test_embed_hashing_null_text_is_empty(spark):
+    from pyspark.ml.feature import HashingTF
+
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "Pear, apple pear")], "id long, text string")
+    rows = {r.id: r.embedding for r in M.embed_hashing(df, "text", dims=64).collect()}
+    assert sum(rows[1]) == 0 and rows[1] == rows[2]
+    tf, want = HashingTF(numFeatures=64), [0.0] * 64
+    for w in ("pear", "apple", "pear"):
+        want[tf.indexOf(w)] += 1
+    n = sum(x * x for x in want) ** 0.5
+    assert all(abs(a - b / n) < 1e-12 for a, b in zip(rows[3], want))

@@ -68,6 +68,56 @@ def test_empty_corpus(spark):
     assert RT.top_k_similar(c, q, 3).count() == 0
 
 
+def test_short_vector_first_in_a_batch_changes_nothing(spark):
+    corpus, queries = _data(n=20)
+    odd = [(100, [1.0]), (101, None), (102, [1.0] * 15 + [None]), *corpus]
+    c = spark.createDataFrame(odd, "vec_id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame(queries, "qid int, qvec array<double>")
+    got, want = _result(RT.top_k_similar(c, q, 50)), _brute(corpus, queries, 50)
+    for qid, rows in got.items():
+        assert rows[:19] == want[qid][:19]
+        assert sorted(i for i, s in rows if s is None) == [5, 100, 101, 102]
+
+
+def test_ranked_on_full_precision(spark):
+    c = spark.createDataFrame([(1, [1.0, 1e-4]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "qid int, qvec array<double>")
+    assert _result(RT.top_k_similar(c, q, 1)) == {0: [(2, 1.0)]}
+
+
+def test_scorer_is_replaceable(spark):
+    corpus, queries = _data(n=30)
+    c, q = _frames(spark, corpus, queries)
+    got = _result(RT.top_k_similar(c, q, 3, scorer=lambda r, s: r @ s.T))
+    for qid, v in queries:
+        order = sorted(corpus, key=lambda x: (-round(float(np.dot(x[1], v)), 12), x[0]))[:3]
+        assert [i for i, _ in got[qid]] == [i for i, _ in order]
+
+
+def test_many_queries_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    rows, queries = rng.normal(size=(3000, 8)), rng.normal(size=(200_000, 8))
+    tracemalloc.start()
+    n = sum(len(q) for q, _, _ in RT._top_of_tiles(rows, np.arange(3000), queries, 2, RT.cosine_scores))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 400_000 and peak < 400 << 20  # all scores together would take 4.8 GB
+
+
+def test_texts_are_not_shuffled_for_a_small_ranking(spark, sf_dir):
+    from ledgerlens.plans import retrieval_queries as RQ
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = RQ.relatedness_report(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_topk_plan_has_group_limit(spark):
     corpus, queries = _data(n=50)
     c, q = _frames(spark, corpus, queries)
@@ -107,6 +157,13 @@ def test_extractive_context(spark):
     assert out.context == "I like red apples\npears are fine\nApples apples" and out.n_lines == 3
 
 
+def test_extractive_context_keeps_every_question(spark):
+    q = spark.createDataFrame([(1, "red"), (2, "blue"), (3, "green")], "k long, question string")
+    t = spark.createDataFrame([(1, 0, "nothing here"), (2, 0, "blue " * 600)], "k long, ordinal long, text string")
+    out = {r.k: (r.context, r.n_lines, r.tokens) for r in RT.extractive_context(q, t, "k", budget=500).collect()}
+    assert out == {1: ("", 0, 0), 2: ("", 0, 0), 3: ("", 0, 0)}
+
+
 def test_relatedness_text(spark):
     df = spark.createDataFrame([(0.7315,), (0.1234,)], "s double")
     assert [r.t for r in df.select(RT.relatedness_text(F.col("s")).alias("t")).collect()] == ["0.732", "0.123"]

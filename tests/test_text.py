@@ -63,6 +63,50 @@ def test_malformed_vector_is_null(spark):
     assert _one(spark, "[1.0, oops", FS.parse_vector) is None
 
 
+def test_vector_csv_keeps_spaces_empty_and_missing_texts(spark):
+    rows = [(1, " lead", [1.0]), (2, "trail  ", [2.0]), (3, "", [3.0]), (4, None, [4.0]), (5, 'a,"b"\nc', None)]
+    schema = "k long, text string, embedding array<double>"
+    path = scratch_path(spark, "faithful")
+    df = spark.createDataFrame(rows, schema)
+    FS.write_vector_csv(df, path)
+    back = FS.read_vector_csv(spark, path, df.schema).orderBy("k").collect()
+    assert [tuple(r) for r in back] == rows
+
+
+def test_money_null_stays_null(spark):
+    assert _one(spark, None, lambda c: TX.money(c.cast("double"))) is None
+
+
+def test_checkpoint_folder_must_be_shared_off_local_masters():
+    import pytest
+
+    from ledgerlens.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
+
+
+def test_skip_preamble_reads_each_files_own_header(spark, tmp_path):
+    for name, text in {"a": "banner\nx,y\n1,2\n", "b": 'banner\ny,x\n"4\nlines",3\n\n6,5\n', "c": "banner\nx\n7\n"}.items():
+        os.makedirs(tmp_path / name)
+        (tmp_path / name / "part.csv").write_text(text)
+    out = FS.read_skip_preamble(spark, str(tmp_path), columns=["x", "y"]).orderBy("x").collect()
+    assert [(r.x, r.y) for r in out] == [("1", "2"), ("3", "4\nlines"), ("5", "6"), ("7", None)]
+
+
 def test_skip_preamble_per_file(spark, tmp_path):
     base = str(tmp_path / "preamble")
     for i in range(2):

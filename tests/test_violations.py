@@ -107,15 +107,57 @@ def test_end_to_end_hand_fixture(spark):
     assert (impact.average_monthly_revenue_lost, impact.annualized_lost_revenue,
             impact.estimated_annual_revenue_impact) == (25.0, 300.0, 150.0)
     trace = R.calc_trace(metrics).filter(F.col("violation") == "Speeding").orderBy("step").collect()
-    assert len(trace) == 11 and trace[-1].line.endswith("500.00 - 200.00 = 300.00")
+    assert len(trace) == 12 and trace[-2].line.endswith("500.00 - 200.00 = 300.00")
+    assert trace[-1].line == "a state fine exceeds the local one by 150.00"
+    steps = R.impact_trace(R.metrics_totals(metrics).select(
+        F.col("sum_nopd_lost_revenue"), F.lit(12).alias("number_of_months"),
+        *R.revenue_impact(F.col("sum_nopd_lost_revenue"), F.lit(12), F.lit(0.5)))).orderBy("step").collect()
+    assert [r.line.split(": ")[1] for r in steps] == ["300.00 / 12 = 25.00", "25.00 * 12 = 300.00", "300.00 * 0.50 = 150.00"]
 
 
-def test_spread_only_few_split_inputs(spark):
-    from ledgerlens.operators.ordering import SPREAD_MAX_INPUT_PARTITIONS, spread
+def test_spread_only_when_asked(spark):
+    from ledgerlens.operators.ordering import spread
     one = spark.range(100).coalesce(1)
-    assert spread(one, 8).rdd.getNumPartitions() == 8
-    many = spark.range(1000).repartition(SPREAD_MAX_INPUT_PARTITIONS)
-    assert spread(many, 10_000).rdd.getNumPartitions() == SPREAD_MAX_INPUT_PARTITIONS
+    assert spread(one, 8).rdd.getNumPartitions() == 8 and spread(one).rdd.getNumPartitions() == 1
+
+
+def test_dense_index_with_nulls_repeats_and_leading_keys(spark):
+    rows = [(p, None if k == 7 else k // 2 * 10 + p) for p in (0, 1) for k in range(300)]
+    df = spark.createDataFrame(rows, "part int, k long").repartition(5)
+    out = sorted(dense_index(df, ["part", "k"], fanout=4).collect(), key=lambda r: r.idx)
+    assert [r.idx for r in out] == list(range(600))
+    assert [(r.part, -1 if r.k is None else r.k) for r in out] == sorted((p, -1 if k is None else k) for p, k in rows)
+
+
+def test_violation_queries_run_no_job_when_called(spark, sf_dir):
+    import __spark_entry__ as E
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "calls only")
+    for name in ("violation_ref_merge", "union_renumber", "exact_code_counts", "revenue_report"):
+        E.queries()[name](spark, sf_dir)
+    assert list(tracker.getJobIdsForGroup("lazy")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_running_sum_before_keeps_null_keys(spark):
+    from ledgerlens.operators.ordering import running_sum_before
+    rows = [(None, 1, 5), (None, 2, 6), (1, None, 7), (1, 3, 8)]
+    df = spark.createDataFrame(rows, "g long, t long, v long")
+    got = {(r.g, r.t): r.s for r in running_sum_before(df, "g", "t", "v", "s").collect()}
+    assert got == {(None, 1): 0, (None, 2): 5, (1, None): 0, (1, 3): 7}
+
+
+def test_running_context_of_one_long_conversation(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators.documents import running_context
+    rows = [(0, t, f"m{t};") for t in range(400)] + [(g, t, f"g{g}t{t};") for g in range(1, 100) for t in range(8)]
+    df = spark.createDataFrame(rows, "g long, t long, x string").repartition(6)
+    got = {(r.g, r.t): r.context for r in running_context(df, "g", "t", F.col("x"), chunk=16).collect()}
+    for g, t, _ in rows:
+        assert got[g, t] == "".join(x for h, u, x in rows if h == g and u < t)
+    some = running_context(df, "g", "t", F.col("x"), chunk=16, wanted=F.col("t") % 100 == 0).collect()
+    assert len(some) == 4 + 99 and all(got[r.g, r.t] == r.context for r in some)
 
 
 def test_running_sum_before_matches_window(spark):
