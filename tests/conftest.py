@@ -12,7 +12,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 def spark():
     from pyspark.sql import SparkSession
 
-    from ledgerlens.session import ensure_checkpoint_dir
+    from ledgerlens.session import ensure_checkpoint_dir, remove_scratch
 
     s = (SparkSession.builder.master("local[*]")
          .config("spark.sql.shuffle.partitions", "8")
@@ -23,6 +23,7 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
     yield s
+    remove_scratch(s)
 
 
 @pytest.fixture(scope="session")
