@@ -104,6 +104,8 @@ def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS,
     scanned = stored(scan(docs), "scanned")
     owned = ownership(scanned).withColumn(
         "is_live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
+    # as a table of its own, so that Spark may split the partitions of a value that very many documents hold
+    owned = stored(owned, "owned")
     found = (scanned.select("_doc", "_text_hash", F.explode("candidate").alias("c")).distinct()
              .select("_doc", "_text_hash", "c.start", "c.end", "c.h1", "c.h2").join(owned, ["h1", "h2"])
              .groupBy("_doc", "_text_hash")

@@ -186,6 +186,8 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, shingle_words: i
     proven = (pairs.select(*shape, "item_id", "bits", "shingles", "item_shingles")
               .mapInArrow(verify, "size int, fp long, shingles_hash long, item_id long, bits int, similarity double")
               .where(F.col("similarity") >= min_similarity))
+    # as a table of its own, so that Spark may split the partitions of a passage that very many documents hold
+    proven = stored(proven, "proven")
     best = F.max(F.struct("similarity", (-F.col("start_word")).alias("later"), "size", "bits"))
     return (windows.select("_doc", "_text_hash", "doc_id", "start_word", *shape).join(proven, shape)
             .groupBy("_doc", "_text_hash", "doc_id", "item_id").agg(best.alias("b"))

@@ -9,8 +9,10 @@ are compared at the coarser of their two levels, so that whole texts of any leng
 The likeness of two fingerprints is the share of anchors in the longest chain of anchors that stand in the same order
 in both: twice the chain over the sum of the anchors.
 
-Cases: a NULL text is an empty one; empty texts are alike (1.0) and unlike any other (0.0); a text shorter than ``k``
-has itself as its only anchor; repeated rows and ties of ``doc_id`` follow in the order of their text hash; a NULL id
+Texts of fewer than ``SHORT_CHARS`` characters have anchors of their own, shorter size; they are unlike longer texts.
+
+Cases: a NULL text is an empty one; empty texts are alike (1.0) and unlike any other (0.0); a text shorter than an
+anchor has itself as its only one; repeated rows and ties of ``doc_id`` follow in the order of their text hash; a NULL id
 stands before all others; the next document of the last one is the first, and of an only one itself; an empty table
 gives no rows; further columns are ignored.
 """
@@ -31,6 +33,10 @@ from .words import mix
 
 K = 16
 S = 6
+#: Anchors of short texts.
+SHORT_CHARS = 96
+SHORT_K = 5
+SHORT_S = 2
 MAX_ANCHORS = 128
 #: Characters hashed at once; windows run across the cuts.
 BLOCK = 1 << 20
@@ -81,12 +87,16 @@ def _level(h: np.ndarray, level: int) -> np.ndarray:
 
 
 class Fingerprint:
-    """Anchors of a text at a level: those whose hash ends in so many zero bits."""
+    """Anchors of a text, of ``k`` characters each, at a level: those whose hash ends in so many zero bits."""
 
-    __slots__ = ("level", "hashes", "places")
+    __slots__ = ("k", "level", "hashes", "places")
 
     def __init__(self, text: str | None, k: int = K, s: int = S, max_anchors: int = MAX_ANCHORS):
-        self.hashes, self.places = anchors(text or "", k, s)
+        text = text or ""
+        if len(text) < SHORT_CHARS and k > SHORT_K:
+            k, s = SHORT_K, SHORT_S
+        self.k = k
+        self.hashes, self.places = anchors(text, k, s)
         self.level = 0
         while len(self.hashes) > max_anchors:
             self.level += 1
@@ -94,21 +104,23 @@ class Fingerprint:
             self.hashes, self.places = self.hashes[keep], self.places[keep]
 
     def __str__(self) -> str:
-        """``level:`` and base64 of hashes (4 bytes each) and gaps (4 bytes each)."""
+        """``k:level:`` and base64 of hashes (4 bytes each) and gaps (4 bytes each)."""
         gaps = np.diff(self.places, prepend=0).astype("<u4")
-        return f"{self.level}:{base64.b64encode(self.hashes.astype('<u4').tobytes() + gaps.tobytes()).decode()}"
+        return f"{self.k}:{self.level}:{base64.b64encode(self.hashes.astype('<u4').tobytes() + gaps.tobytes()).decode()}"
 
     @classmethod
     def parse(cls, written: str) -> Fingerprint:
-        level, _, data = written.partition(":")
+        k, level, data = written.split(":")
         values = np.frombuffer(base64.b64decode(data), "<u4")
         out = cls.__new__(cls)
-        out.level, out.hashes = int(level), values[:len(values) // 2]
+        out.k, out.level, out.hashes = int(k), int(level), values[:len(values) // 2]
         out.places = np.cumsum(values[len(values) // 2:], dtype=np.int64)
         return out
 
     def likeness(self, other: Fingerprint) -> float:
         """Share of anchors in the longest chain of the same order, 0 to 1."""
+        if self.k != other.k:
+            return 0.0
         level = max(self.level, other.level)
         a = self.hashes[_level(self.hashes, level)]
         b = other.hashes[_level(other.hashes, level)]

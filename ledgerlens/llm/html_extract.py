@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .url_filter import host_of
 
 #: A text is template if it stands in a node on this share of the host's different pages ...
@@ -276,7 +277,9 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_template) of every row of ``pages`` (page_id, url, html)."""
-    out = _parsed(pages, True).join(induce_wrappers(pages), ["host", "tree"], "left")
+    # as a table of its own, so that Spark may split the partitions of a host that very many pages belong to
+    wrappers = stored(induce_wrappers(pages), "wrappers")
+    out = _parsed(pages, True).join(wrappers, ["host", "tree"], "left")
     is_template = "exists(template, t -> t.slot = b.slot AND t.h = b.h)"
     kept = F.expr(f"CASE WHEN template IS NULL THEN blocks ELSE filter(blocks, b -> NOT {is_template}) END")
     chars = "aggregate({}, 0L, (s, b) -> s + length(b.text))"

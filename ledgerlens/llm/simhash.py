@@ -173,7 +173,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     named = (classes.join(roots, classes.fp == roots.node, "left")
              .select("fp", "least", F.coalesce("root", "fp").alias("root")))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(named.select("fp", "root").join(names, "root").select("fp", "component_id"), "fp")
+    # as a table of its own, so that Spark may split the partitions of a fingerprint that very many copies share
+    named = stored(named.select("fp", "root").join(names, "root").select("fp", "component_id"), "components")
+    return marked.join(named, "fp")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,

@@ -106,7 +106,7 @@ def test_token_encoder_equals_tokenizer():
     t.encode_special_tokens = True
     encode = packing.token_encoder()
     for x in ["", " ", "a", " a", "a ", "a  b", "a\n\nb", "a\n b", "a \nb", "\n", "\na\n", "it's I'll\nwe've", "x\ty", "x\u00a0y",
-              "1²³ 12a", "汉字 かな", "a\u2009b", "<|endoftext|> a", "tab\t\tz\n\t\tq", "é\u0301 ñ", prose(1, 300)]:
+              "1²³ 12a", "汉字 かな", "a\u2009b", "<|endoftext|> a", "tab\t\tz\n\t\tq", "é\u0301 ñ", "word. Word, ab! it's. 12. é, ªº. .. ,", "don't. x's,", prose(1, 300)]:
         assert encode(x) == b"".join(i.to_bytes(4, "little") for i in t.encode(x, add_special_tokens=False).ids), repr(x)
 
 
@@ -313,6 +313,7 @@ def test_fingerprints(make_docs):
         a, b, c = (fingerprints.Fingerprint(x) for x in (t, changed, following))
         assert (r.fingerprint, r.edited_fingerprint) == (str(a), str(b))
         assert (r.near_edited, r.near_next) == (a.likeness(b), fingerprints.Fingerprint.parse(str(a)).likeness(c))
+    assert 0.4 < by_id[5].near_edited < 1 and 0.5 < by_id[6].near_edited < 0.95
     assert by_id[7].fingerprint == by_id[8].fingerprint and by_id[7].near_next == 1.0
     assert fingerprints.fingerprint_with_next(make_docs(docs).limit(0)).count() == 0
     assert fingerprints.fingerprint_with_next(make_docs([(1, "only one of its kind here")])).first().near_next == 1.0
