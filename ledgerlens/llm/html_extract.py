@@ -54,15 +54,17 @@ SCOPES = set("ul ol dl table body article section div main aside nav td th block
 BOILERPLATE = set("nav header footer aside form menu button select option dialog iframe noscript head template svg "
                   "fieldset".split())
 BOILERPLATE_WORDS = set(
-    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments consent "
-    "cookie cookies copyright disclaimer disqus footer gdpr legal login masthead menu modal nav navbar navigation newsletter "
-    "notice notices notification pagination pager popup privacy promo promoted promotion recommended related replies "
-    "reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget "
-    "widgets".split())
+    "ad adbox ads adslot adunit advert advertisement advertising adverts alert announcement banner breadcrumb "
+    "breadcrumbs byline comment comments consent cookie cookies copyright disclaimer discussion disqus feedback "
+    "footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices notification "
+    "pager pagination popup privacy promo promoted promotion recommended related replies reply respond response "
+    "responses search share sharing sidebar signup skip social sponsor sponsored subscribe teaser teasers toast "
+    "toolbar trending widget widgets".split())
 BOILERPLATE_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search "
                         "toolbar".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 _SHOWN = re.compile(r"[^\s]")
