@@ -31,7 +31,7 @@ OPEN_WINDOWS = 32
 MERGE_FAN_IN = 32
 END_ID = 0
 #: Pieces whose ids a worker remembers; twice as many are held at most.
-REMEMBERED_PIECES = 400_000
+REMEMBERED_PIECES = 1_000_000
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
@@ -39,6 +39,8 @@ _STAGED = PIECES + ", part int, ids binary"
 
 # White space beside which a cut at spaces and line ends could change the ids; such texts are encoded as a whole.
 _ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# Letters (or numbers) and a run of ASCII marks, but for the apostrophe, which may start a word.
+_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 _RUNS = ("  ", "\n\n", " \n", "\n ")
 
 
@@ -49,12 +51,15 @@ def _packed(ids: list[int]) -> bytes:
 class _PieceIds(dict):
     """Little-endian 32-bit ids of single pieces: the young ones, with an older generation behind them."""
 
-    def __init__(self, tokenizer, lead: str):
+    def __init__(self, tokenizer, lead: str = "", bare: _PieceIds | None = None):
         super().__init__()
         self.tokenizer, self.lead, self.older = tokenizer, lead, {}
+        self.bare = self if bare is None else bare
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
+        if ids is None and (cut := _WORD_AND_MARKS.fullmatch(piece)):
+            ids = self[cut[1]] + self.bare[cut[2]]  # two words of the vocabulary's pattern, wherever they stand
         if ids is None:
             ids = _packed(self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids)
         if len(self) >= REMEMBERED_PIECES:
@@ -82,7 +87,8 @@ def token_encoder(tokenizer_path: str | None = None) -> Callable[[str], bytes]:
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(tokenizer_path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    first, later = _PieceIds(tokenizer, "").__getitem__, _PieceIds(tokenizer, " ").__getitem__
+    bare = _PieceIds(tokenizer)
+    first, later = bare.__getitem__, _PieceIds(tokenizer, " ", bare).__getitem__
     line_end = _packed(tokenizer.encode("\n", add_special_tokens=False).ids)
 
     def encode(text: str) -> bytes:
