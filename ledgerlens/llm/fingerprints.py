@@ -2,9 +2,7 @@
 
 Of all runs of ``k`` characters, those are anchors whose least inner run of ``s`` characters (by hash) lies at their
 first or last place. That choice looks at the run alone, so the same passage has the same anchors wherever it stands.
-A fingerprint lists the distinct anchors with their first positions, as hashes and gaps. Of a text with many
-anchors those are kept whose hash is divisible by the least power of two that leaves ``max_anchors``; two fingerprints
-are compared at the coarser of their two levels, so that whole texts of any length are compared fairly.
+A fingerprint lists all distinct anchors with their first positions, as hashes and gaps, at every length of text.
 
 The likeness of two fingerprints is the share of anchors in the longest chain of anchors that stand in the same order
 in both: twice the chain over the sum of the anchors.
@@ -37,7 +35,8 @@ S = 6
 SHORT_CHARS = 96
 SHORT_K = 5
 SHORT_S = 2
-MAX_ANCHORS = 128
+#: A batch of rows is given out at so many bytes of fingerprints.
+OUT_BYTES = 8 << 20
 #: Characters hashed at once; windows run across the cuts.
 BLOCK = 1 << 20
 
@@ -82,59 +81,52 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     return found[first], place[first]
 
 
-def _level(h: np.ndarray, level: int) -> np.ndarray:
-    return (h & np.uint32((1 << level) - 1)) == 0
-
-
 class Fingerprint:
-    """Anchors of a text, of ``k`` characters each, at a level: those whose hash ends in so many zero bits."""
+    """All anchors of a text, of ``k`` characters each."""
 
-    __slots__ = ("k", "level", "hashes", "places")
+    __slots__ = ("k", "hashes", "places")
 
-    def __init__(self, text: str | None, k: int = K, s: int = S, max_anchors: int = MAX_ANCHORS):
+    def __init__(self, text: str | None, k: int = K, s: int = S):
         text = text or ""
         if len(text) < SHORT_CHARS and k > SHORT_K:
             k, s = SHORT_K, SHORT_S
         self.k = k
         self.hashes, self.places = anchors(text, k, s)
-        self.level = 0
-        while len(self.hashes) > max_anchors:
-            self.level += 1
-            keep = _level(self.hashes, self.level)
-            self.hashes, self.places = self.hashes[keep], self.places[keep]
 
     def __str__(self) -> str:
-        """``k:level:`` and base64 of hashes (4 bytes each) and gaps (4 bytes each)."""
-        gaps = np.diff(self.places, prepend=0).astype("<u4")
-        return f"{self.k}:{self.level}:{base64.b64encode(self.hashes.astype('<u4').tobytes() + gaps.tobytes()).decode()}"
+        """``k:width:`` and base64 of hashes (4 bytes each) and gaps (``width`` bytes each)."""
+        gaps = np.diff(self.places, prepend=0)
+        most = int(gaps.max(initial=0))
+        width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+        data = self.hashes.astype("<u4").tobytes() + gaps.astype(f"<u{width}").tobytes()
+        return f"{self.k}:{width}:{base64.b64encode(data).decode()}"
 
     @classmethod
     def parse(cls, written: str) -> Fingerprint:
-        k, level, data = written.split(":")
-        values = np.frombuffer(base64.b64decode(data), "<u4")
+        k, width, data = written.split(":")
+        values = base64.b64decode(data)
+        n = len(values) // (4 + int(width))
         out = cls.__new__(cls)
-        out.k, out.level, out.hashes = int(k), int(level), values[:len(values) // 2]
-        out.places = np.cumsum(values[len(values) // 2:], dtype=np.int64)
+        out.k, out.hashes = int(k), np.frombuffer(values, "<u4", n)
+        out.places = np.cumsum(np.frombuffer(values, f"<u{width}", n, 4 * n), dtype=np.int64)
         return out
 
     def likeness(self, other: Fingerprint) -> float:
         """Share of anchors in the longest chain of the same order, 0 to 1."""
         if self.k != other.k:
             return 0.0
-        level = max(self.level, other.level)
-        a = self.hashes[_level(self.hashes, level)]
-        b = other.hashes[_level(other.hashes, level)]
+        a, b = self.hashes, other.hashes
         if not len(a) or not len(b):
-            # no anchor left at the coarser level: only two empty texts are alike
-            return float(not len(self.hashes) and not len(other.hashes))
-        _, _, at = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-        places = {h: i for i, h in enumerate(b.tolist())}
+            return float(not len(a) and not len(b))
+        _, at, to = np.intersect1d(a, b, assume_unique=True, return_indices=True)
         ends: list[int] = []
-        for h in a.tolist() if len(at) else ():
-            i = places.get(h)
-            if i is not None:
-                j = bisect_left(ends, i)
-                ends[j:j + 1] = [i]
+        last = -1
+        for i in to[np.argsort(at)].tolist():
+            if i > last:
+                ends.append(i)
+            else:
+                ends[bisect_left(ends, i)] = i
+            last = ends[-1]
         return 2 * len(ends) / (len(a) + len(b))
 
 
@@ -157,8 +149,7 @@ def _ranges(docs: DataFrame, n: int) -> list[int]:
     return sorted({int(c) for c in cuts})
 
 
-def fingerprint_with_next(docs: DataFrame, ranges: int | None = None, k: int = K, s: int = S,
-                          max_anchors: int = MAX_ANCHORS) -> DataFrame:
+def fingerprint_with_next(docs: DataFrame, ranges: int | None = None, k: int = K, s: int = S) -> DataFrame:
     """Every text's fingerprint, that of its edited text, and the likeness to this and to the next document's.
 
     The ids are cut in ``ranges`` of about equal size (four to a shuffle partition), and each range also receives the
@@ -191,24 +182,31 @@ def fingerprint_with_next(docs: DataFrame, ranges: int | None = None, k: int = K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # (range, doc_id, text, fingerprint) that waits for its next document
+        out, held = [], 0
         for b in batches:
-            out = []
             for rng, doc_id, text, after in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2),
                                                 b.column(3).to_pylist(), strict=True):
                 if after and (last is None or last[0] != rng):
                     continue  # a repeated head: the range is done
                 text = text.as_py()
-                fp = Fingerprint(text, k, s, max_anchors)
+                fp = Fingerprint(text, k, s)
                 if last is not None and last[0] == rng:
                     out.append(_row(*last[1:], text, fp))
+                    held += len(out[-1][3]) + len(out[-1][4])
+                    if held >= OUT_BYTES:
+                        yield batch(out)
+                        out, held = [], 0
                 last = None if after else (rng, doc_id, text, fp)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _OUT, strict=True)] if out
-                else [pa.array([], f.type) for f in _OUT], schema=_OUT)
+        if out:
+            yield batch(out)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _OUT, strict=True)], schema=_OUT)
 
     def _row(doc_id, text, fp, following, next_fp):
         changed = edited(text, following)
-        changed_fp = Fingerprint(changed, k, s, max_anchors)
+        changed_fp = Fingerprint(changed, k, s)
         return (doc_id, len(text), hashlib.sha256(changed.encode("utf-8")).hexdigest(), str(fp), str(changed_fp),
                 fp.likeness(changed_fp), fp.likeness(next_fp))
 

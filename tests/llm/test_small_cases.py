@@ -326,6 +326,25 @@ def test_syncmers_are_context_free():
     assert set(alone) <= set(inside)
 
 
+def test_fingerprints_keep_all_anchors(make_docs):
+    passage = prose(78, 70)
+    rng = np.random.default_rng(9)
+    long = [" ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(3000)) for _ in range(2)]
+    texts = [f"{t[:9000]} {passage} {t[9000:]}" for t in long]
+    got = {r.doc_id: r for r in fingerprints.fingerprint_with_next(make_docs(list(enumerate(texts))), ranges=1).collect()}
+    both = [fingerprints.anchors(t)[0] for t in texts]
+    shared = len(set(fingerprints.anchors(passage)[0]))
+    assert all(len(fingerprints.Fingerprint.parse(got[i].fingerprint).hashes) == len(both[i]) > 3000 for i in (0, 1))
+    assert got[0].near_next >= 2 * shared / (len(both[0]) + len(both[1])) > 0
+    whole = [fingerprints.anchors(x) for x in (texts[0], fingerprints.edited(*texts))]
+    common = len(np.intersect1d(whole[0][0], whole[1][0]))
+    assert got[0].near_edited == pytest.approx(2 * common / sum(len(h) for h, _ in whole), abs=0.002)
+    for t in (texts[0], "a" * 100_000 + texts[1], ""):
+        fp = fingerprints.Fingerprint(t)
+        back = fingerprints.Fingerprint.parse(str(fp))
+        assert (back.hashes == fp.hashes).all() and (back.places == fp.places).all() and str(back) == str(fp)
+
+
 # -------------------------------------------------------------------------------------------------- html extraction
 
 
