@@ -7,10 +7,12 @@ A fingerprint lists all distinct anchors with their first positions, as hashes a
 The likeness of two fingerprints is the share of anchors in the longest chain of anchors that stand in the same order
 in both: twice the chain over the sum of the anchors.
 
-Texts of fewer than ``SHORT_CHARS`` characters have anchors of their own, shorter size; they are unlike longer texts.
+Texts of fewer than ``SHORT_CHARS`` characters are written with anchors of their own, shorter size. A pair is compared at
+one size: the shorter one if either text is short, for which the longer text's anchors are taken again from its text.
+A pair with a text too short for any anchor of that size is compared by its distinct characters.
 
-Cases: a NULL text is an empty one; empty texts are alike (1.0) and unlike any other (0.0); a text shorter than an
-anchor has itself as its only one; repeated rows and ties of ``doc_id`` follow in the order of their text hash; a NULL id
+Cases: a NULL text is an empty one; empty texts are alike (1.0) and unlike any other (0.0); a text without any anchor is
+written with itself as its only one; repeated rows and ties of ``doc_id`` follow in the order of their text hash; a NULL id
 stands before all others; the next document of the last one is the first, and of an only one itself; an empty table
 gives no rows; further columns are ignored.
 """
@@ -35,6 +37,8 @@ S = 6
 SHORT_CHARS = 96
 SHORT_K = 5
 SHORT_S = 2
+#: Anchors of a pair with a text that has none of the above: single characters.
+LEAST_K = LEAST_S = 1
 #: A batch of rows is given out at so many bytes of fingerprints.
 OUT_BYTES = 8 << 20
 #: Characters hashed at once; windows run across the cuts.
@@ -64,9 +68,7 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 32-bit anchor hashes of a whole text, by first position, and these positions."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(codes) < k:
-        whole = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little")
-        return (np.array([whole], np.uint32), np.zeros(1, np.int64)) if text else (np.zeros(0, np.uint32),
-                                                                                  np.zeros(0, np.int64))
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     hashes, places = [], []
     for at in range(0, len(codes) - k + 1, BLOCK):
         part = codes[at:at + BLOCK + k - 1].astype(np.uint64)
@@ -82,19 +84,26 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Fingerprint:
-    """All anchors of a text, of ``k`` characters each."""
+    """All anchors of a text, of ``k`` characters each; ``whole`` tells that there are none, and the text stands for them.
 
-    __slots__ = ("k", "hashes", "places")
+    It keeps its text, for pairs that are compared at another size; one that was read back has none, unless given to
+    ``parse``, and is then unlike texts of the other size.
+    """
+
+    __slots__ = ("k", "s", "text", "whole", "hashes", "places")
 
     def __init__(self, text: str | None, k: int = K, s: int = S):
         text = text or ""
         if len(text) < SHORT_CHARS and k > SHORT_K:
             k, s = SHORT_K, SHORT_S
-        self.k = k
+        self.k, self.s, self.text = k, s, text
         self.hashes, self.places = anchors(text, k, s)
+        self.whole = bool(text) and not len(self.hashes)
 
     def __str__(self) -> str:
-        """``k:width:`` and base64 of hashes (4 bytes each) and gaps (``width`` bytes each)."""
+        """``k:width:`` and base64 of hashes (4 bytes each) and gaps (``width`` bytes each); of width 0, the text itself."""
+        if self.whole:
+            return f"{self.k}:0:{base64.b64encode(self.text.encode('utf-8', 'surrogatepass')).decode()}"
         gaps = np.diff(self.places, prepend=0)
         most = int(gaps.max(initial=0))
         width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
@@ -102,22 +111,36 @@ class Fingerprint:
         return f"{self.k}:{width}:{base64.b64encode(data).decode()}"
 
     @classmethod
-    def parse(cls, written: str) -> Fingerprint:
+    def parse(cls, written: str, text: str | None = None) -> Fingerprint:
         k, width, data = written.split(":")
         values = base64.b64decode(data)
-        n = len(values) // (4 + int(width))
         out = cls.__new__(cls)
-        out.k, out.hashes = int(k), np.frombuffer(values, "<u4", n)
+        out.k, out.text, out.whole = int(k), text, width == "0"
+        out.s = SHORT_S if out.k == SHORT_K else S
+        if out.whole:
+            out.text, values, width = values.decode("utf-8", "surrogatepass"), b"", 1
+        n = len(values) // (4 + int(width))
+        out.hashes = np.frombuffer(values, "<u4", n)
         out.places = np.cumsum(np.frombuffer(values, f"<u{width}", n, 4 * n), dtype=np.int64)
         return out
 
+    def _hashes(self, k: int, s: int) -> np.ndarray | None:
+        """Anchors of another size; None without the text."""
+        if k == self.k:
+            return self.hashes
+        return None if self.text is None else anchors(self.text, k, s)[0]
+
     def likeness(self, other: Fingerprint) -> float:
         """Share of anchors in the longest chain of the same order, 0 to 1."""
-        if self.k != other.k:
+        empty, other_empty = (not len(f.hashes) and not f.whole for f in (self, other))
+        if empty or other_empty:
+            return float(empty and other_empty)
+        k, s = min((self.k, self.s), (other.k, other.s))
+        a, b = self._hashes(k, s), other._hashes(k, s)
+        if a is not None and b is not None and not (len(a) and len(b)):
+            a, b = self._hashes(LEAST_K, LEAST_S), other._hashes(LEAST_K, LEAST_S)
+        if a is None or b is None:
             return 0.0
-        a, b = self.hashes, other.hashes
-        if not len(a) or not len(b):
-            return float(not len(a) and not len(b))
         _, at, to = np.intersect1d(a, b, assume_unique=True, return_indices=True)
         ends: list[int] = []
         last = -1

@@ -345,6 +345,26 @@ def test_fingerprints_keep_all_anchors(make_docs):
         assert (back.hashes == fp.hashes).all() and (back.places == fp.places).all() and str(back) == str(fp)
 
 
+def test_fingerprints_across_the_border_of_short_texts(make_docs):
+    near = prose(5, 40)
+    for n in (30, 95, 96, 97, 100, 127, 128):
+        for following in ("", None, "few words", prose(6, 60)):
+            docs = [(1, near[:n]), (2, following)]
+            r = next(r for r in fingerprints.fingerprint_with_next(make_docs(docs), ranges=1).collect() if r.doc_id == 1) \
+                if n in (96, 127) and following != "" else None
+            a, b = fingerprints.Fingerprint(near[:n]), fingerprints.Fingerprint(fingerprints.edited(near[:n], following or ""))
+            assert a.likeness(b) == b.likeness(a) >= 0.25, (n, following)
+            assert r is None or r.near_edited == a.likeness(b)
+    for n in range(30, 140):
+        a, b = fingerprints.Fingerprint(near[:n]), fingerprints.Fingerprint(near[:n + 1])
+        assert a.likeness(b) > 0.6 and a.likeness(a) == 1.0, n
+    a, b = fingerprints.Fingerprint(near[:95]), fingerprints.Fingerprint(near[:97])
+    assert fingerprints.Fingerprint.parse(str(b), near[:97]).likeness(a) == a.likeness(b) > 0.9
+    # nothing of a text without any anchor is like nothing
+    assert not any(fingerprints.Fingerprint(x).likeness(fingerprints.Fingerprint(y)) for x in ("", "uvwxy", "uvwxyz")
+                   for y in ("abcde", "ABCDE", "klmno", "fghij"))
+
+
 # -------------------------------------------------------------------------------------------------- html extraction
 
 
