@@ -2,7 +2,8 @@
 
 Patterns of fixed kinds give the base spans. Further candidates are long mixed tokens; each is hashed, and its distinct
 repositories (documents) and owners (sources) are counted over the whole corpus. A candidate that many owners copy is an
-example; one that stays with few owners looks live and becomes a span of the kind ``live``. Counts are combined per
+example; one that stays with few owners looks live and becomes a span of the kind ``live``, in however many of their
+documents it is. Counts are combined per
 task before they are shuffled, first per (hash, owner), so that no candidate, however common, is gathered in one task.
 
 A text is cut by marking every match with a character that the patterns cannot match; the lengths of the parts give
@@ -32,7 +33,7 @@ CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
 MIN_DISTINCT = 10
 #: A candidate found with at most so many owners looks live; with more it is an example.
 MAX_OWNERS = 2
-#: ... and in at most so many repositories (documents), as a public example is copied within an owner too.
+#: Bound of the SQL twin only, which agrees where no candidate of few owners is in more documents.
 MAX_REPOSITORIES = 20
 
 _MARK, _OTHER = "\ue000", "\ue001"
@@ -98,12 +99,10 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return per_owner.groupBy("h1", "h2").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
 
 
-def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS,
-                 max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """Per row of ``docs``: arrays of base spans, ``live`` spans, and the number of ``examples``."""
     scanned = stored(scan(docs), "scanned")
-    owned = ownership(scanned).withColumn(
-        "is_live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
+    owned = ownership(scanned).withColumn("is_live", F.col("owners") <= max_owners)
     # as a table of its own, so that Spark may split the partitions of a value that very many documents hold
     owned = stored(owned, "owned")
     found = (scanned.select("_doc", "_text_hash", F.explode("candidate").alias("c")).distinct()

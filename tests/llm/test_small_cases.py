@@ -297,6 +297,15 @@ def test_secret_scan(make_docs):
     assert credentials.find_secrets(df.limit(0)).count() == 0
 
 
+def test_secret_of_one_owner_is_live_in_any_number_of_documents(make_docs):
+    key, example = "a1B2c3D4e5F6g7H8i9J0kLmN", "z9Y8x7W6v5U4t3S2r1Q0pOnM"
+    docs = [(i, f"key {key}", "en", "hot") for i in range(30)] + [(100 + i, f"own text {i} {key}", "en", "hot") for i in range(30)]
+    docs += [(200 + i, example, "en", f"o{i}") for i in range(3)]
+    got = {r.doc_id: r for r in credentials.digest(credentials.find_secrets(make_docs(docs))).collect()}
+    assert all(got[i].n_live == got[100 + i].n_live == 1 and got[i].spans == f"live:4:{4 + len(key)}" for i in range(30))
+    assert all((got[200 + i].n_live, got[200 + i].n_examples) == (0, 1) for i in range(3))
+
+
 # ---------------------------------------------------------------------------------------------------- fingerprints
 
 
