@@ -1,16 +1,18 @@
 """Main text of HTML pages by wrapper induction.
 
 Each page becomes a tree of block elements labelled by tag and class; siblings of one label are folded, so that lists
-and paragraphs of any length have one node. Per host, the most frequent tree is the pattern; simple tree matching aligns
-every other tree of the host with it. A text that stands in the same aligned node on nearly all different pages of
-a host is template, the others fill varying slots and are content. Elements that say what they are (menus, footers,
-forms, comments, ...) and slots that are mostly links never are.
-
-All pages count, by grouped sums over (host, node, text); trees are aligned once per distinct tree of a host. No host is
+and paragraphs of any length have one node. Siblings of a folded tree have different labels, so nodes of two trees that
+simple tree matching can pair have equal label paths; all trees of a host are aligned by these paths, without a pattern
+tree that could lack a node. A text is template if it stands on nearly all different pages that have its node, of
+the host or of the host's section (the first directory of the url), and if the rest of these pages varies, as it does
+not on copies; the others fill varying slots and are content. Elements that say what they are (menus, footers, forms,
+comments, ...) and slots that are mostly links never are.
+
+All pages count, by grouped sums over (site, node, text); paths are taken once per distinct tree of a site. No host is
 gathered in one task, and only texts of candidate blocks are shuffled, once.
 
-Cases: NULL or empty html has empty text; a NULL or odd url belongs to the empty host; hosts of fewer than
-``MIN_PAGES`` different pages have no template; copies of a page count once; unclosed, wrongly nested and deep markup is
+Cases: NULL or empty html has empty text; a NULL or odd url belongs to the empty host; texts on fewer than
+``MIN_PAGES`` different pages are no template; copies of a page count once; unclosed, wrongly nested and deep markup is
 accepted (elements deeper than ``MAX_DEPTH`` belong to the one above them); repeated rows give repeated rows; an empty
 table gives no rows; further columns are ignored.
 """
@@ -30,12 +32,10 @@ from pyspark.sql import functions as F
 from .common import stored
 from .url_filter import host_of
 
-#: A text is template if it stands in a node on this share of the host's different pages ...
+#: A text is template if it stands in a node on this share of the site's different pages that have the node ...
 TEMPLATE_SHARE = 0.9
-#: ... and the host has so many of them.
+#: ... and on so many pages whose other texts differ.
 MIN_PAGES = 5
-#: A page that would lose more than this share of its candidate characters to the template keeps them all.
-MOST_TEMPLATE = 0.5
 #: Share of link characters from which a block outside an article is a menu.
 LINK_SHARE = 0.5
 MAX_DEPTH = 60
@@ -224,69 +224,97 @@ _BLOCK_TYPE = "array<struct<slot:int,h:long,text:string>>"
 
 
 def _parsed(pages: DataFrame, with_text: bool) -> DataFrame:
-    """(page_id, url, host, tree, blocks) of every page; without texts, blocks carry hashes only."""
+    """(page_id, url, host, section, tree, blocks) of every page; without texts, blocks carry hashes only."""
     block = pa.list_(pa.struct([("slot", pa.int32()), ("h", pa.int64()), ("text", pa.string())]))
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("tree", pa.string()),
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("section", pa.string()), ("tree", pa.string()),
                         ("blocks", block)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             trees, blocks = [], []
-            for page in b.column(3):
+            for page in b.column(4):
                 root, found = parse(page.as_py())
                 trees.append(written(root))
                 blocks.append([{"slot": at, "h": xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63),
                                 "text": t if with_text else None} for at, t, _, _ in found])
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(trees, pa.string()), pa.array(blocks, block)],
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(trees, pa.string()), pa.array(blocks, block)],
                                              schema=schema)
 
     return (pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                         host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-            .mapInArrow(run, f"page_id long, url string, host string, tree string, blocks {_BLOCK_TYPE}"))
+                         host_of(F.col("url")).alias("host"), F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit(
+                             "")), "^[^/?#]*://[^/?#]*/([^/?#]+)/", 1).alias("section"), F.col("html").cast("string").alias("html"))
+            .mapInArrow(run, f"page_id long, url string, host string, section string, tree string, blocks {_BLOCK_TYPE}"))
+
+
+def node_paths(tree: list) -> list[tuple[int, int]]:
+    """(number, hash of the label path) of every node of a folded tree."""
+    found, todo = [], [(tree, 0)]
+    while todo:
+        (label, at, children), above = todo.pop()
+        path = xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass"), above)
+        found.append((at, path - (1 << 63)))
+        todo += [(c, path) for c in children]
+    return found
 
 
 def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, tree, template): for every tree of a host, the (slot, h) of its blocks that are template."""
-    page = _parsed(pages, False).select("host", "tree", F.col("blocks.slot").alias("slot"), F.col("blocks.h").alias("h"))
-    different = page.distinct()
-    trees = different.groupBy("host", "tree").agg(F.count("*").alias("n"))
-    host = trees.groupBy("host").agg(F.max_by("tree", F.struct("n", "tree")).alias("pattern"), F.sum("n").alias("pages"))
+    """(host, section, tree, template): for every tree of a section, the (slot, h) of its blocks that are template."""
+    # hashes only, written once, so that the pages are not parsed for each use
+    page = stored(_parsed(pages, False).select("host", "section", "tree", F.array_sort(F.array_distinct(F.arrays_zip(
+        F.col("blocks.slot").alias("own"), F.col("blocks.h").alias("h")))).alias("blocks")).distinct(), "hashed")
+    # a site is a host or one of its sections; a NULL section stands for the host
+    sites = F.explode(F.array(F.lit(None).cast("string"), F.col("section"))).alias("of")
+    different = page.select("host", sites, "tree", "blocks").distinct()
+    trees = different.groupBy("host", "of", "tree").agg(F.count("*").alias("n"))
 
-    pair = pa.list_(pa.struct([("own", pa.int32()), ("node", pa.int32())]))
+    node = pa.list_(pa.struct([("own", pa.int32()), ("node", pa.int64())]))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            maps = [sorted(match_trees(json.loads(t), json.loads(p))[1]) for t, p in
-                    zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(3), pa.array([[{"own": x, "node": y} for x, y in m] for m in maps], pair)],
-                names=["host", "tree", "pages", "pairs"])
-
-    aligned = (trees.select("host", "tree").join(host, "host").where(F.col("pages") >= MIN_PAGES)
-               .select("host", "tree", "pattern", "pages")
-               .mapInArrow(align, "host string, tree string, pages long, pairs array<struct<own:int,node:int>>"))
-    own = aligned.select("host", "tree", "pages", F.explode("pairs").alias("p")).select(
-        "host", "tree", "pages", "p.own", "p.node")
-    block = (different.select("host", "tree", F.explode(F.array_distinct(F.arrays_zip("slot", "h"))).alias("b"))
-             .select("host", "tree", F.col("b.slot").alias("own"), F.col("b.h").alias("h"))
-             .groupBy("host", "tree", "own", "h").agg(F.count("*").alias("n")))
-    template = (block.join(own, ["host", "tree", "own"])
-                .groupBy("host", "node", "h").agg(F.sum("n").alias("n"), F.max("pages").alias("pages"))
-                .where(F.col("n") >= TEMPLATE_SHARE * F.col("pages")).select("host", "node", "h"))
-    return (own.join(template, ["host", "node"]).groupBy("host", "tree")
-            .agg(F.collect_list(F.struct(F.col("own").alias("slot"), "h")).alias("template")))
+            paths = [[{"own": x, "node": y} for x, y in node_paths(json.loads(t))] for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(paths, node)],
+                                             names=["host", "of", "tree", "n", "nodes"])
+
+    own = stored(trees.mapInArrow(align, "host string, of string, tree string, n long, nodes array<struct<own:int,node:long>>")
+                 .select("host", F.xxhash64(F.col("of").isNull(), "of").alias("site"), F.xxhash64("tree").alias("t1"),
+                         F.xxhash64(F.lit("tree"), "tree").alias("t2"), "n", F.explode("nodes").alias("p"))
+                 .select("host", "site", "t1", "t2", "n", "p.own", "p.node"), "nodes")
+    different = different.select("host", F.xxhash64(F.col("of").isNull(), "of").alias("site"), F.xxhash64("tree").alias("t1"),
+                                 F.xxhash64(F.lit("tree"), "tree").alias("t2"), "blocks")
+    layout = ["host", "site", "t1", "t2"]
+    block = (different.select(*layout, F.explode("blocks").alias("b")).select(*layout, "b.own", "b.h")
+             .groupBy(*layout, "own", "h").agg(F.count("*").alias("n")))
+    having = own.groupBy("host", "site", "node").agg(F.sum("n").alias("pages"))
+    constant = (block.join(own.drop("n"), [*layout, "own"]).groupBy("host", "site", "node", "h").agg(F.sum("n").alias("n"))
+                .where(F.col("n") >= MIN_PAGES).join(having, ["host", "site", "node"])
+                .where(F.col("n") >= TEMPLATE_SHARE * F.col("pages")).select("host", "site", "node", "h"))
+    # as a table of its own, so that Spark may split the partitions of a layout that very many pages have
+    constant = stored(own.join(constant, ["host", "site", "node"]).groupBy(*layout)
+                      .agg(F.collect_list(F.struct("own", "h", "node")).alias("constant")), "constant")
+    held = "filter(constant, c -> exists(blocks, b -> b.own = c.own AND b.h = c.h))"
+    rest = "filter(blocks, b -> NOT exists(constant, c -> b.own = c.own AND b.h = c.h))"
+    varying = (different.join(constant, layout)
+               .select("host", "site", F.xxhash64(F.expr(rest)).alias("rest"), F.explode(F.expr(held)).alias("c"))
+               .select("host", "site", "c.node", "c.h", "rest").distinct()
+               .groupBy("host", "site", "node", "h").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+               .select("host", "site", "node", "h"))
+    template = (constant.select(*layout, F.explode("constant").alias("c")).select(*layout, "c.own", "c.node", "c.h")
+                .join(varying, ["host", "site", "node", "h"]).groupBy(*layout)
+                .agg(F.collect_list(F.struct(F.col("own").alias("slot"), "h")).alias("template")))
+    return (page.select("host", "section", "tree").distinct().select("host", "section", "tree", sites)
+            .select("host", "section", "tree", F.xxhash64(F.col("of").isNull(), "of").alias("site"),
+                    F.xxhash64("tree").alias("t1"), F.xxhash64(F.lit("tree"), "tree").alias("t2"))
+            .join(template, layout).groupBy("host", "section", "tree")
+            .agg(F.array_distinct(F.flatten(F.collect_list("template"))).alias("template")))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_template) of every row of ``pages`` (page_id, url, html)."""
     # as a table of its own, so that Spark may split the partitions of a host that very many pages belong to
     wrappers = stored(induce_wrappers(pages), "wrappers")
-    out = _parsed(pages, True).join(wrappers, ["host", "tree"], "left")
+    out = _parsed(pages, True).join(wrappers, ["host", "section", "tree"], "left")
     is_template = "exists(template, t -> t.slot = b.slot AND t.h = b.h)"
     kept = F.expr(f"CASE WHEN template IS NULL THEN blocks ELSE filter(blocks, b -> NOT {is_template}) END")
-    chars = "aggregate({}, 0L, (s, b) -> s + length(b.text))"
-    out = (out.withColumn("kept", kept)
-           .withColumn("kept", F.when(F.expr(chars.format("kept")) < F.expr(chars.format("blocks")) * (1 - MOST_TEMPLATE),
-                                      F.col("blocks")).otherwise(F.col("kept"))))
+    out = out.withColumn("kept", kept)
     return out.select("page_id", "url", F.array_join("kept.text", "\n\n").alias("text"),
                       (F.size("blocks") - F.size("kept")).cast("long").alias("n_template"))

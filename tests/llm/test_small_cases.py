@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import zlib
 
@@ -405,6 +406,33 @@ def test_html_extraction(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_template_of_layouts_sections_and_short_articles(spark):
+    notice = "This constant notice is longer than the short article that stands below it on the page."
+    pages = []
+    for i in range(8):
+        pages += [(100 + i, f"http://a.com/{i}", f"<div class=q>{notice}</div><p>Short {i}</p>"),  # mostly template
+                  (200 + i, f"http://b.com/en/{i}", f"<div class=q>{notice}</div><p>English {i}</p>"),  # two languages
+                  (300 + i, f"http://b.com/de/{i}", f"<div class=q>Immer derselbe Hinweis</div><p>Deutsch {i}</p>"),
+                  (400 + i, f"http://c.com/{i}", f"<section><p>One layout {i}</p></section>"),  # a node the other lacks
+                  (500 + i, f"http://d.com/{i}", f"<div class=z{'abcdefgh'[i]}></div><p>{notice}</p>")]  # copies
+    pages += [(450 + i, f"http://c.com/x{i}", f"<div class=q>{notice}</div><div class=r>Other layout {i}</div>") for i in range(6)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_text(df).collect()}
+    for i in range(8):
+        assert [got[k + i] for k in (100, 200, 300, 400, 500)] == [
+            f"Short {i}", f"English {i}", f"Deutsch {i}", f"One layout {i}", notice]
+    assert [got[450 + i] for i in range(6)] == [f"Other layout {i}" for i in range(6)]
+
+
+def test_label_paths_hold_the_tree_matching():
+    a, b = (json.loads(html_extract.written(html_extract.parse(x)[0])) for x in (
+        "<div class=a><p>x</p><ul><li>y</ul></div><p>z", "<div class=a><ul><li>y<li>w</ul><p>x</p></div><h1>t</h1><p>z"))
+    paths = [dict(html_extract.node_paths(t)) for t in (a, b)]
+    pairs = html_extract.match_trees(a, b)[1]
+    assert len(pairs) > 3 and all(paths[0][x] == paths[1][y] for x, y in pairs)
+    assert all(len(set(p.values())) == len(p) for p in paths)
+
+
 def test_tree_matching_keeps_order_and_ancestry():
     a = ["", 0, [["x", 1, []], ["y", 2, [["z", 3, []]]]]]
     b = ["", 0, [["y", 1, [["z", 2, []], ["q", 3, []]]], ["x", 4, []]]]
