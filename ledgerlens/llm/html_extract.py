@@ -53,13 +53,20 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = set("ul ol dl table body article section div main aside nav td th blockquote form fieldset select".split())
 BOILERPLATE = set("nav header footer aside form menu button select option dialog iframe noscript head template svg "
                   "fieldset".split())
+#: A whole class or id, or outside an article a part of a class, that names boilerplate.
 BOILERPLATE_WORDS = set(
-    "ad adbox ads adslot adunit advert advertisement advertising adverts alert announcement banner breadcrumb "
-    "breadcrumbs byline comment comments consent cookie cookies copyright disclaimer discussion disqus feedback "
-    "footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices notification "
-    "pager pagination popup privacy promo promoted promotion recommended related replies reply respond response "
-    "responses search share sharing sidebar signup skip social sponsor sponsored subscribe teaser teasers toast "
-    "toolbar trending widget widgets".split())
+    "ad adbox ads adslot adunit advert advertisement advertising adverts breadcrumb breadcrumbs byline comment comments "
+    "consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter pager "
+    "pagination popup promo sidebar signup skip sponsor sponsored subscribe teaser teasers toast toolbar trending "
+    "widget widgets".split())
+#: Everyday words: an element of such a whole class or id is boilerplate unless it has running text.
+EVERYDAY_WORDS = set(
+    "alert announcement banner copyright disclaimer discussion feedback legal notice notices notification privacy "
+    "promoted promotion recommended related replies reply respond response responses search share sharing "
+    "social".split())
+#: A block of so many words that is no menu is running text.
+RUNNING_WORDS = 12
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search "
                         "toolbar".split())
 
@@ -83,39 +90,57 @@ def _attributes(written: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(written)}
 
 
-def _says_boilerplate(tag: str, attrs: dict[str, str]) -> bool:
+def _says_boilerplate(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     if tag in ("html", "body", "main"):
         return False
     if attrs.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in attrs:
         return True
     if "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    words = set(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
-    if words & BOILERPLATE_WORDS:
+    if tag in HEADINGS:
+        return False
+    classes = attrs.get("class", "").lower().split()
+    if not BOILERPLATE_WORDS.isdisjoint(classes):
+        return True
+    if inside or tag == "article":
+        return False
+    words = set(_WORD.findall(" ".join(classes)))
+    name = attrs.get("id", "").lower()
+    if words & BOILERPLATE_WORDS or name in BOILERPLATE_WORDS:
         return True
-    return "header" in words and not words & {"article", "entry", "post", "content"}
+    return ("header" in words or name == "header") and not words & {"article", "entry", "post", "content"}
+
+
+def _may_be_boilerplate(tag: str, attrs: dict[str, str], inside: bool) -> bool:
+    if tag in HEADINGS or tag in ("html", "body", "main", "article"):
+        return False
+    names = attrs.get("class", "").lower().split()
+    return not EVERYDAY_WORDS.isdisjoint(names if inside else [*names, attrs.get("id", "").lower()])
 
 
 def parse(page: str | None) -> tuple[Node, list[tuple[int, str, float, bool]]]:
-    """The folded tree of a page, and its blocks that no element marks as boilerplate, in page order:
+    """The folded tree of a page, and its blocks that are not marked as boilerplate, in page order:
     (node number, text, share of link characters, whether it stands in an article or main element)."""
     page = page or ""
     root, made = Node("", 0), 1
-    # open elements: (tag, folded node, is boilerplate, is in article)
-    stack: list[tuple[str, Node, bool, bool]] = [("", root, False, False)]
+    # open elements: (tag, folded node, is boilerplate, is in article, innermost element of an everyday word or 0)
+    stack: list[tuple[str, Node, bool, bool, int]] = [("", root, False, False, 0)]
     blocks: list[tuple[int, str, float, bool]] = []
+    doubts: list[int] = []  # that element, per block
+    opened = 0
     text: list[str] = []
     links = in_link = 0
 
     def flush() -> None:
         nonlocal links
         if text:
-            _, node, bad, inside = stack[-1]
+            _, node, bad, inside, doubt = stack[-1]
             whole = "".join(text)
             if not bad and _SHOWN.search(whole):
                 shown = " ".join(entities.unescape(whole).split())
                 if shown:
                     blocks.append((node.at, shown, min(1.0, links / len(whole)), inside))
+                    doubts.append(doubt)
             text.clear()
         links = 0
 
@@ -160,8 +185,11 @@ def parse(page: str | None) -> tuple[Node, list[tuple[int, str, float, bool]]]:
                 if tag in VOID:
                     continue
                 attrs = _attributes(m[3]) if m[3] else {}
-                _, parent, bad, inside = stack[-1]
-                bad = bad or tag in BOILERPLATE or bool(attrs) and _says_boilerplate(tag, attrs)
+                _, parent, bad, inside, doubt = stack[-1]
+                bad = bad or tag in BOILERPLATE or bool(attrs) and _says_boilerplate(tag, attrs, inside)
+                opened += 1
+                if attrs and _may_be_boilerplate(tag, attrs, inside):
+                    doubt = opened
                 label = tag + "." + ".".join(sorted(_WORD.findall(attrs.get("class", "").lower()))) if attrs else tag
                 node = parent
                 if len(stack) <= MAX_DEPTH:
@@ -169,7 +197,7 @@ def parse(page: str | None) -> tuple[Node, list[tuple[int, str, float, bool]]]:
                     if node is None:
                         node = parent.children[label] = Node(label, made)
                         made += 1
-                stack.append((tag, node, bad, inside or tag in ("article", "main")))
+                stack.append((tag, node, bad, inside or tag in ("article", "main"), doubt))
         elif tag == "a":
             in_link = 0
         elif tag in BLOCK:
@@ -181,10 +209,15 @@ def parse(page: str | None) -> tuple[Node, list[tuple[int, str, float, bool]]]:
     if max(at, raw_until) < len(page):
         say(page[max(at, raw_until):])
     flush()
-    if any(b[3] for b in blocks):
-        blocks = [b for b in blocks if b[3]]
+    running = [b[2] < LINK_SHARE and len(b[1].split()) >= RUNNING_WORDS for b in blocks]
+    cleared = {0, *(d for d, r in zip(doubts, running, strict=True) if r)}
+    chosen = [(b, r) for b, d, r in zip(blocks, doubts, running, strict=True) if d in cleared]
+    # article elements are the main text unless more running text stands outside of them
+    within = sum(len(b[1]) for b, _ in chosen if b[3])
+    if within and within >= sum(len(b[1]) for b, r in chosen if r and not b[3]):
+        blocks = [b for b, _ in chosen if b[3]]
     else:
-        blocks = [b for b in blocks if b[2] < LINK_SHARE]
+        blocks = [b for b, _ in chosen if b[2] < LINK_SHARE]
     return root, blocks
 
 

@@ -424,6 +424,25 @@ def test_html_template_of_layouts_sections_and_short_articles(spark):
     assert [got[450 + i] for i in range(6)] == [f"Other layout {i}" for i in range(6)]
 
 
+def test_html_everyday_words_and_teasers():
+    def text(page):
+        return [b[1] for b in html_extract.parse(page)[1]]
+
+    body = "This is running text of a page with well over a dozen words, and nobody may drop it."
+    for attrs in ("id=search-algorithms", "id=privacy", "class=response", "id=social-impact", "class='legal'", "id=menu-theory"):
+        for page in (f"<section {attrs}><h2>Head</h2><p>{body}</section>", f"<article><p>a</p><div {attrs}><h2>Head</h2><p>{body}</div></article>",
+                     f"<div {attrs}><h2 {attrs}>Head</h2><p>{body}</div>"):
+            assert text(page)[-2:] == ["Head", body], page
+    assert text(f"<main><h2 id=social-impact>Head</h2><section id=sidebar><p>{body}</section></main>") == ["Head", body]
+    # the same words without running text, and names of boilerplate, still drop
+    for attrs in ("class=share", "id=search", "class='x cookies'", "class=site-sidebar", "id=comments", "class=related"):
+        assert text(f"<div {attrs}><p>a few words</p><a href=/x>{body}</a></div><p>{body}") == [body], attrs
+    assert text(f"<div class=comments><p>Other {body}</div><article><p>{body}<div class=ad>{body}</div></article>") == [body]
+    # a teaser in an article element is not the page; a page in an article element is
+    assert text(f"<div><p>{body}<p>{body}</div><article><p>Teaser</article>") == [body, body, "Teaser"]
+    assert text(f"<div><p>aside</div><article><p>{body}</article><p>few words") == [body]
+
+
 def test_label_paths_hold_the_tree_matching():
     a, b = (json.loads(html_extract.written(html_extract.parse(x)[0])) for x in (
         "<div class=a><p>x</p><ul><li>y</ul></div><p>z", "<div class=a><ul><li>y<li>w</ul><p>x</p></div><h1>t</h1><p>z"))
