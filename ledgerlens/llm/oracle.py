@@ -87,4 +87,40 @@ FROM documents LEFT JOIN g USING (doc_id)
 """
 
 
-SQL = {"op2_line_dedup": OP2, "op7_url_filter": _op7(), "op10_secret_scan": _op10()}
+OP11 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score,
+       s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score
+  AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+OP12 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13),
+h AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS run FROM w),
+l AS (SELECT run, min(doc_id) AS least FROM h GROUP BY run),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM h JOIN l USING (run) WHERE least < doc_id),
+k AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d)
+SELECT d.doc_id, CAST(max(len(ws)) AS BIGINT) AS n_words, count(g.i) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY k.i) FILTER (WHERE k.i IS NOT NULL AND g.i IS NULL), '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN g ON k.doc_id = g.doc_id AND k.i = g.i
+GROUP BY d.doc_id
+"""
+
+SQL = {"op2_line_dedup": OP2, "op7_url_filter": _op7(), "op10_secret_scan": _op10(), "op11_hard_negatives": OP11,
+       "op12_substring_dedup": OP12}

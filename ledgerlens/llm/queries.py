@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontamination, fingerprints, html_extract, language_id, line_dedup, ngram_lm, packing, simhash, url_filter
+from . import (conversation_repair, credentials, decontamination, fingerprints, hard_negatives, html_extract, language_id,
+               line_dedup, ngram_lm, packing, simhash, substring_dedup, url_filter)
 from .common import id_remainder, table
 
 
@@ -72,6 +73,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.digest(credentials.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive among the embeddings, some labels moved on by one."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 13 words that a document of a smaller id holds too, taken out of every document."""
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation, after damage to some of its rows."""
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_fingerprints, op2_line_dedup, op3_html_extraction, op4_lm_scoring,
-    op5_packing, op6_simhash, op7_url_filter, op8_language_id, op9_decontamination, op10_secret_scan)}
+    op1_fingerprints, op2_line_dedup, op3_html_extraction, op4_lm_scoring, op5_packing, op6_simhash, op7_url_filter,
+    op8_language_id, op9_decontamination, op10_secret_scan, op11_hard_negatives, op12_substring_dedup,
+    op13_conversation_repair)}

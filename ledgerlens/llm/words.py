@@ -62,8 +62,9 @@ def _cut(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of ``texts`` in order, and the number of words of each text."""
+def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of ``texts`` in order, and the number of words of each text; unless ``lower``, of the words
+    unchanged."""
     counts, out = np.zeros(len(texts), np.int64), []
     held: list[bytes] = []
     size = first = 0
@@ -78,7 +79,8 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         held, size, first = [], 0, upto
 
     for i, t in enumerate(texts):
-        b = (t or "").encode("utf-8").lower()
+        b = (t or "").encode("utf-8")
+        b = b.lower() if lower else b
         if len(b) > BLOCK:
             flush(i)
             for part in _cut(b):
