@@ -55,25 +55,55 @@ def union_renumber(parts: list[tuple[str, DataFrame]], ordinal: str = "ordinal",
     return dense_index(unioned, ["_part", ordinal], name=name).drop("_part")
 
 
+def _before_chunks(chunks: DataFrame, group: str, fan: int, levels: int) -> DataFrame:
+    """(group, _chunk, _before, _sum_before) of the wanted chunks: text and sum of all earlier chunks of the group.
+
+    ``chunks`` holds (group, _chunk, _text, _sum, _wanted). ``fan`` consecutive chunks have one parent, whose text is
+    theirs; what stands before a chunk is what stands before its parent and its earlier siblings.
+    """
+    def earlier(*keys):
+        w = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        return [F.concat_ws("", F.collect_list("_text").over(w)).alias("_before"),
+                F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_sum_before")]
+    if levels == 1:
+        return chunks.select(group, "_chunk", "_wanted", *earlier(group)).where("_wanted").drop("_wanted")
+    placed = chunks.withColumn("_up", F.floor(F.col("_chunk") / F.lit(fan)).cast("long"))
+    parents = placed.groupBy(group, "_up").agg(
+        F.expr("listagg(_text, '') WITHIN GROUP (ORDER BY _chunk)").alias("_text"), F.sum("_sum").alias("_sum"),
+        F.bool_or("_wanted").alias("_wanted")).withColumnRenamed("_up", "_chunk")
+    above = _before_chunks(parents, group, fan, levels - 1).select(
+        F.col(group).alias("_ag"), F.col("_chunk").alias("_ac"), F.col("_before").alias("_above"), F.col("_sum_before").alias("_sum_above"))
+    here = placed.select(group, "_chunk", "_up", "_wanted", *earlier(group, "_up")).where("_wanted")
+    return here.join(above, F.col(group).eqNullSafe(F.col("_ag")) & F.col("_up").eqNullSafe(F.col("_ac"))).select(
+        group, "_chunk", F.concat("_above", "_before").alias("_before"), (F.col("_sum_above") + F.col("_sum_before")).alias("_sum_before"))
+
+
 def running_context(df: DataFrame, group: str, order: str, piece: Column, name: str = "context",
-                    wanted: Column | None = None, chunk: int = 256) -> DataFrame:
+                    wanted: Column | None = None, chunk: int = 256, fan: int = 64, levels: int = 2,
+                    count: Column | None = None, count_name: str = "count_before") -> DataFrame:
     """For each row, the concatenation of the pieces of all earlier rows in its group.
 
-    ``order`` is an integer (a turn number). A group is cut in chunks of ``chunk`` consecutive order values: the
-    earlier pieces of a row are the text of all earlier chunks, built once per chunk, and the pieces before it in its
-    own chunk. No window spans more than a chunk of rows, so a group with a third of all rows is spread over many
-    tasks; only the table of chunk texts is read per group. The context is built for ``wanted`` rows only; as it holds
-    all earlier text, its size is that of the output asked for. The first row sees the empty string.
+    ``order`` is an integer (a turn number). A prefix scan of several levels: a group is cut in chunks of ``chunk``
+    consecutive order values, ``fan`` chunks make one of the next level, and so on; with two levels a window spans a
+    chunk of rows, ``fan`` chunks, or the parents of a group, each parent the text of ``chunk * fan`` order values. So
+    a group with a third of all rows is spread over many tasks at each level. What stands before a chunk is put
+    together for chunks with ``wanted`` rows only, and the context for those rows only; as it holds all earlier text,
+    its size is that of the output asked for. The first row sees the empty string.
+
+    ``count`` (a number per row, not NULL) is summed over all earlier rows into ``count_name`` on the same way.
     """
-    cut = df.withColumn("_piece", piece).withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)).cast("long"))
-    texts = cut.groupBy(group, "_chunk").agg(F.expr(f"listagg(_piece, '') WITHIN GROUP (ORDER BY `{order}`)").alias("_text"))
-    earlier = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = texts.select(F.col(group).alias("_og"), F.col("_chunk").alias("_oc"),
-                          F.concat_ws("", F.collect_list("_text").over(earlier)).alias("_before"))
+    cut = (df.withColumn("_piece", piece).withColumn("_count", F.lit(0) if count is None else count)
+           .withColumn("_is_wanted", F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False)))
+           .withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)).cast("long")))
+    chunks = cut.groupBy(group, "_chunk").agg(
+        F.expr(f"listagg(_piece, '') WITHIN GROUP (ORDER BY `{order}`)").alias("_text"), F.sum("_count").alias("_sum"),
+        F.bool_or("_is_wanted").alias("_wanted"))
+    before = _before_chunks(chunks, group, fan, levels).withColumnsRenamed({group: "_og", "_chunk": "_oc"})
     inside = Window.partitionBy(group, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = cut.withColumn("_inside", F.concat_ws("", F.collect_list("_piece").over(inside)))
-    if wanted is not None:
-        rows = rows.filter(wanted)
-    return (rows.join(before, F.col(group).eqNullSafe(F.col("_og")) & F.col("_chunk").eqNullSafe(F.col("_oc")))
-            .withColumn(name, F.concat("_before", "_inside"))
-            .drop("_piece", "_chunk", "_og", "_oc", "_before", "_inside"))
+    rows = (cut.withColumn("_inside", F.concat_ws("", F.collect_list("_piece").over(inside)))
+            .withColumn("_sum_inside", F.coalesce(F.sum("_count").over(inside), F.lit(0))).where("_is_wanted"))
+    out = (rows.join(before, F.col(group).eqNullSafe(F.col("_og")) & F.col("_chunk").eqNullSafe(F.col("_oc")))
+           .withColumn(name, F.concat("_before", "_inside")))
+    if count is not None:
+        out = out.withColumn(count_name, (F.col("_sum_before") + F.col("_sum_inside")).cast("long"))
+    return out.drop("_piece", "_count", "_is_wanted", "_chunk", "_inside", "_sum_inside", "_og", "_oc", "_before", "_sum_before")

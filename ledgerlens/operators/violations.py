@@ -45,17 +45,17 @@ def exact_code_counts(violations: DataFrame, citations: DataFrame, code: str = "
 
     Aggregate-then-join: the citations are scanned and aggregated once (not
     four times per violation). Each violation's two codes become (scope, ref)
-    rows, so one equi-join against the per-code counts serves both (only codes
-    that a violation names are counted), and the
-    small violation table folds back to one row per violation. A code shared
+    rows, so one equi-join against the per-code counts serves both, and the
+    small violation table folds back to one row per violation. Counting combines
+    map-side, one row per code and task, so codes that no violation names cost
+    nothing worth a join of the citations. A code shared
     by two violations counts fully for both; a NULL or unseen code counts 0.
     """
     refs = violations.select(
         "*", F.explode(F.array(F.struct(F.lit("local").alias("_scope"), F.col("local_ref").alias("_ref")),
                                F.struct(F.lit("state").alias("_scope"), F.col("state_ref").alias("_ref"))))
         .alias("_r")).select("*", "_r._scope", "_r._ref").drop("_r")
-    named = refs.select(F.col("_ref").alias(code)).where(F.col(code).isNotNull()).distinct()
-    counts = code_counts(citations.join(named, code, "left_semi"), code, department, agency)
+    counts = code_counts(citations, code, department, agency)
     joined = refs.join(counts, F.col("_ref") == F.col("_code"), "left")
     local, state = F.col("_scope") == "local", F.col("_scope") == "state"
     return joined.groupBy(*violations.columns).agg(

@@ -17,6 +17,7 @@ from ..operators.ordering import running_sum_before, spread
 from ..operators.routing import route_file, route_messages
 from ..session import scratch_path
 from ..sources import files as FS
+from ..sources.sheets import read_sheets
 from ..sources.tables import read_table
 from ..streaming import streams as ST
 from . import citation_queries as CQ
@@ -95,14 +96,13 @@ def tables_text(spark: SparkSession, d: str) -> DataFrame:
 def report_requests(spark, d):
     """M7: section requests carrying earlier sections and the result tables.
 
-    Token counts add up over the pieces of a request, so the earlier sections are counted by a running sum and
-    only the requests themselves are built as text.
+    Token counts add up over the pieces of a request, so the earlier sections are counted by the scan that builds
+    their text, and only the requests themselves are built as text.
     """
     conv = read_table(spark, d, "conversations")
-    counted = running_sum_before(conv.withColumn("_tok", token_count(conversation_piece())), "conv_id", "turn", "_tok",
-                                 "previous_tokens")
-    sections = running_context(counted, "conv_id", "turn", conversation_piece(), name="previous_text",
-                               wanted=(F.col("role") == "user") & F.col("text").isNotNull())
+    sections = running_context(conv, "conv_id", "turn", conversation_piece(), name="previous_text",
+                               wanted=(F.col("role") == "user") & F.col("text").isNotNull(),
+                               count=token_count(conversation_piece()), count_name="previous_tokens")
     tables = tables_text(spark, d).select(F.struct("tables_text", token_count(F.col("tables_text")).alias("n"))).scalar()
     rows = sections.withColumn("_tables", tables)
     fixed = M.section_request(F.lit(SECTION_INSTRUCTION), F.lit(""), F.lit(""), F.lit(""))
@@ -142,7 +142,7 @@ def scan_skip_preamble(spark, d, rows_per_file: int = 500):
     path = scratch_path(spark, "preamble_csv")
     (first.unionByName(data).repartition("_part").sortWithinPartitions("_part", "_ord").select("_part", "value")
      .write.partitionBy("_part").text(path))
-    return FS.read_skip_preamble(spark, path).drop("source_file")
+    return read_sheets(spark, path).drop("source_file")
 
 
 def scan_wholetext(spark, d):
@@ -167,7 +167,7 @@ def sink_overwrite(spark, d):
     out = scratch_path(spark, "focus_copy")
     FS.replace_table(focus.select("l_orderkey"), out)
     FS.replace_table(focus, out)
-    return spark.read.parquet(out)
+    return FS.read_current(spark, out)
 
 
 def _classify(df: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def stream_counts(spark, d):
         F.col("o_orderpriority").alias("department"), F.col("p_brand").alias("violation_code"))
     out = scratch_path(spark, "stream_counts")
     ST.complete_mode_to_table(ST.running_counts(_classify(cites)), out)
-    return spark.read.parquet(out)
+    return FS.read_current(spark, out)
 
 
 def file_drop_refresh(spark, d):
@@ -200,7 +200,7 @@ def file_drop_refresh(spark, d):
     out = scratch_path(spark, "refresh_out")
     ST.file_drop_refresh(spark, f"{drop}/*", cites.schema,
                          lambda df: R.counts_by_type_scope(_classify(df)), out)
-    return spark.read.parquet(out).drop("upload")
+    return FS.read_current(spark, out).drop("upload")
 
 
 QUERIES = {

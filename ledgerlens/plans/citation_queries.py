@@ -249,7 +249,7 @@ def result_set(spark, d):
                               "violations": V.merge_violation_refs(S.violation_types(spark, d),
                                                                    local_prefix=S.LOCAL_PREFIX)},
                              scratch_path(spark, "results"))
-    counts = [spark.read.parquet(p).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, p in paths.items()]
+    counts = [FS.read_current(spark, p).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, p in paths.items()]
     return functools.reduce(DataFrame.unionByName, counts)
 
 

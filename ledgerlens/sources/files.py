@@ -1,63 +1,12 @@
-"""File sources and sinks: preamble-skipping CSV, vector CSV, whole-text files,
-and replace-one-table writes."""
+"""File sources and sinks: vector CSV, whole-text files and tables that are replaced as a whole."""
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
-
-
-def read_skip_preamble(spark: SparkSession, path: str, header_row: int = 1, data_start: int = 2,
-                       columns: list[str] | None = None) -> DataFrame:
-    """Banner row(s), header at ``header_row``, data from ``data_start``, per file.
-
-    Every file is read once, as a whole (a sheet is no larger than a task), and
-    parsed with its own header, so files may order their columns differently.
-    The result has ``columns`` as strings, by default those of one file's
-    header; a column that a file lacks is NULL. Records may span lines and are
-    numbered per file; nothing is shuffled and no file list reaches the driver.
-    """
-    ship_package(spark)
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source_file"), "value")
-    if columns is None:
-        first = files.select(F.substring_index("value", "\n", header_row + 1).alias("head")).first()
-        columns = _record(first["head"], header_row) if first else []
-    names = list(columns)
-    schema = T.StructType([T.StructField("source_file", T.StringType()), T.StructField("ordinal", T.LongType()),
-                           *[T.StructField(n, T.StringType()) for n in names]])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, text in zip(pdf["source_file"], pdf["value"]):
-                records = csv.reader(io.StringIO(text or "", newline=""))
-                header, out = {}, []
-                for i, record in enumerate(records):
-                    if i == header_row:
-                        header = {n: k for k, n in reversed(list(enumerate(record)))}
-                    if i >= data_start and record:
-                        at = (header.get(n) for n in names)
-                        out.append((name, i - data_start, *(record[k] or None if k is not None and k < len(record)
-                                                            else None for k in at)))
-                    if len(out) >= 10_000:
-                        yield pd.DataFrame(out, columns=schema.names)
-                        out = []
-                yield pd.DataFrame(out, columns=schema.names)
-
-    return files.mapInPandas(run, schema)
-
-
-def _record(head: str, row: int) -> list[str]:
-    records = list(csv.reader(io.StringIO(head, newline="")))
-    return records[row] if len(records) > row else []
+from .versions import current_version, publish, read_current
 
 
 # A missing text and an empty one are kept apart, and outer spaces are data.
@@ -97,37 +46,28 @@ def read_wholetext(spark: SparkSession, path: str) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Replace one named table (all its files) with ``df``."""
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    """Replace one named table with ``df`` in one step (see ``versions``); read it with ``read_current``."""
+    publish(df, path, partition_by)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    """True when a readable parquet table exists at ``path`` (resolving it lists files only)."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+    """True once a version of the table at ``path`` has been written to its end."""
+    return current_version(spark, path) is not None
 
 
 def build_once(spark: SparkSession, path: str, build) -> DataFrame:
     """Read the persisted table if it exists, else build it, write it and read it.
 
-    Like the analysed application, an existing table is reused as-is (not
-    re-filtered). Reading back the written table also cuts the lineage.
+    Like the analysed application, an existing table is reused as-is (not re-filtered); a build that failed has left
+    none. Reading back the written table also cuts the lineage.
     """
     if not table_exists(spark, path):
         replace_table(build(), path)
-    return spark.read.parquet(path)
+    return read_current(spark, path)
 
 
 def write_results(tables: dict[str, DataFrame], base_path: str) -> dict[str, str]:
-    """Persist a set of named result tables, each replacing its own folder."""
+    """Persist a set of named result tables, each replacing its own; returns the tables' folders."""
     paths = {}
     for name, df in tables.items():
         paths[name] = f"{base_path.rstrip('/')}/{name}"

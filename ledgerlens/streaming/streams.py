@@ -7,13 +7,16 @@ committed batch and a lost executor only re-runs its tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.routing import route_messages
-from ..session import scratch_path
-from ..sources.files import replace_table
+from ..session import scratch_path, ship_package
+from ..sources.versions import publish
 
 
 def route_stream(spark: SparkSession, source_dir: str, schema: T.StructType, out_path: str,
@@ -51,7 +54,7 @@ def complete_mode_to_table(stream: DataFrame, out_path: str, checkpoint: str | N
     spark = stream.sparkSession
 
     def write(batch: DataFrame, epoch: int) -> None:
-        replace_table(batch, out_path)
+        publish(batch, out_path)
 
     q = (stream.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", checkpoint or scratch_path(spark, "ckpt-counts"))
@@ -59,29 +62,68 @@ def complete_mode_to_table(stream: DataFrame, out_path: str, checkpoint: str | N
     q.awaitTermination()
 
 
+class NewestUpload(StatefulProcessor):
+    """Per drop folder, the upload of the newest file seen in any batch (modification time, then folder).
+
+    State is one row. A batch whose newest file is older changes nothing and says nothing; one that adds files to the
+    newest upload, or brings a newer one, gives a row.
+    """
+
+    OUTPUT = "drop string, upload string, modified long"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._newest = handle.getValueState("newest", "modified long, upload string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        found = max((r["modified"], r["upload"]) for r in rows)
+        held = tuple(self._newest.get()) if self._newest.exists() else (-1, "")
+        if found >= held or found[1] == held[1]:
+            newest = max(found, held)
+            self._newest.update(newest)
+            yield Row(drop=key[0], upload=newest[1], modified=newest[0])
+
+    def close(self) -> None:
+        pass
+
+
+#: The schema of Spark's binary files; their content is not read unless it is selected.
+_FILE = "path string, modificationTime timestamp, length long, content binary"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def file_drop_refresh(spark: SparkSession, drop_dir: str, schema: T.StructType, analyse, out_path: str,
-                      checkpoint: str | None = None) -> None:
+                      checkpoint: str | None = None, glob: str = "*.parquet", files_per_batch: int | None = None) -> None:
     """Whenever files arrive, recompute the analysis from the newest upload and replace outputs.
 
-    An upload is a folder of any number of files. Each micro-batch finds the
-    folder of the newest file (modification time, then path) with one aggregate,
-    and ``analyse(all rows of that folder)`` is written over ``out_path`` with the
-    folder's name. The folder is read as a whole, so an upload whose files reach
-    two batches is complete after the second; replays overwrite with the same result.
+    An upload is a folder of any number of files under a drop folder; ``drop_dir`` may be a pattern. The stream holds
+    file names and times only (no content is read), and the newest upload so far is kept as state, so that an older
+    upload that reaches a later batch, or a later run of the same checkpoint, never replaces a newer one. Where the
+    newest upload has changed, its folder is read as a whole and ``analyse`` of it, with the folder's name, replaces the
+    table at ``out_path`` (see ``sources.versions``): an upload whose files reach two batches is complete after the
+    second, and a replay gives the same table. ``out_path`` is one table: one drop folder feeds it.
+
+    State of this kind needs the RocksDB store; the query runs in a session of its own that names it.
     """
-    stream = (spark.readStream.schema(schema).parquet(drop_dir)
-              .withColumn("_upload", F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1))
-              .withColumn("_mtime", F.col("_metadata.file_modification_time")))
+    ship_package(spark)
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    own.conf.set("spark.sql.shuffle.partitions", "1")  # one state row a drop folder
+    reader = own.readStream.format("binaryFile").schema(_FILE).option("pathGlobFilter", glob)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    files = reader.load(drop_dir).select(folder.alias("upload"), F.unix_micros("modificationTime").alias("modified"))
+    newest = (files.withColumn("drop", F.regexp_extract("upload", "^(.*)/[^/]*$", 1)).groupBy("drop")
+              .transformWithState(NewestUpload(), NewestUpload.OUTPUT, "Update", "None"))
 
     def refresh(batch: DataFrame, epoch: int) -> None:
-        newest = batch.agg(F.max_by("_upload", F.struct("_mtime", "_upload")).alias("f")).first()
-        if newest is None or newest["f"] is None:
+        changed = batch.agg(F.max_by("upload", F.struct("modified", "upload")).alias("upload")).first()["upload"]
+        if changed is None:
             return
-        upload = batch.sparkSession.read.schema(schema).parquet(newest["f"])
-        name = newest["f"].rstrip("/").rsplit("/", 1)[-1]
-        replace_table(analyse(upload).withColumn("upload", F.lit(name)), out_path)
+        upload = spark.read.schema(schema).option("pathGlobFilter", glob).parquet(changed)
+        publish(analyse(upload).withColumn("upload", F.lit(changed.rsplit("/", 1)[-1])), out_path)
 
-    q = (stream.writeStream.foreachBatch(refresh)
+    q = (newest.writeStream.outputMode("update").foreachBatch(refresh)
          .option("checkpointLocation", checkpoint or scratch_path(spark, "ckpt-refresh"))
          .trigger(availableNow=True).start())
     q.awaitTermination()

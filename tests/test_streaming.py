@@ -1,5 +1,7 @@
 from ledgerlens.operators.routing import route_messages
 from ledgerlens.session import scratch_path
+from ledgerlens.sources.files import read_current
+from ledgerlens.sources.versions import current_version
 from ledgerlens.sources.tables import SCHEMAS, read_table
 from ledgerlens.streaming import streams as ST
 from ledgerlens.plans import app_queries as AQ
@@ -28,21 +30,50 @@ def test_file_drop_refresh_uses_newest_upload(spark, sf_dir):
     assert sorted(map(str, rows)) == sorted(map(str, CQ.citations_by_type_scope(spark, sf_dir).collect()))
 
 
-def test_file_drop_refresh_across_runs(spark):
+def _counts(df):
     from pyspark.sql import functions as F
 
-    drop = scratch_path(spark, "drop_test")
-    ckpt = scratch_path(spark, "drop_ckpt")
-    out = scratch_path(spark, "drop_out")
-    schema = "k long, v string"
-    analyse = lambda df: df.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    spark.createDataFrame([(1, "a"), (2, "a")], schema).coalesce(1).write.parquet(f"{drop}/u1")
-    ST.file_drop_refresh(spark, f"{drop}/*", spark.createDataFrame([], schema).schema, analyse, out, ckpt)
-    first = {r.v: r.n for r in spark.read.parquet(out).collect()}
-    assert first == {"a": 2}
-    spark.createDataFrame([(3, "b")] * 1000, schema).repartition(4).write.parquet(f"{drop}/u2")
-    ST.file_drop_refresh(spark, f"{drop}/*", spark.createDataFrame([], schema).schema, analyse, out, ckpt)
-    second = [(r.v, r.n, r.upload) for r in spark.read.parquet(out).collect()]
-    assert second == [("b", 1000, "u2")]  # only the new upload, all four files of it: outputs replaced
-    ST.file_drop_refresh(spark, f"{drop}/*", spark.createDataFrame([], schema).schema, analyse, out, ckpt)
-    assert [(r.v, r.n) for r in spark.read.parquet(out).collect()] == [("b", 1000)]  # nothing new: unchanged
+    return df.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _drop(spark, path, value, rows, at, parts=1):
+    """An upload of ``rows`` rows whose files have the modification time ``at``."""
+    import glob
+    import os
+
+    spark.createDataFrame([(i, value) for i in range(rows)], "k long, v string").repartition(parts).write.parquet(path)
+    for f in glob.glob(f"{path.removeprefix('file:')}/*.parquet"):
+        os.utime(f, (at, at))
+
+
+def _refreshed(spark, drop, out, ckpt, **kw):
+    schema = spark.createDataFrame([], "k long, v string").schema
+    ST.file_drop_refresh(spark, f"{drop}/*", schema, _counts, out, ckpt, **kw)
+    return [(r.v, r.n, r.upload) for r in read_current(spark, out).collect()]
+
+
+def test_file_drop_refresh_across_runs(spark):
+    drop, ckpt, out = (scratch_path(spark, n) for n in ("drop", "ckpt", "out"))
+    _drop(spark, f"{drop}/u1", "a", 2, 1_000_000)
+    assert _refreshed(spark, drop, out, ckpt) == [("a", 2, "u1")]
+    _drop(spark, f"{drop}/u2", "b", 1000, 2_000_000, parts=4)
+    assert _refreshed(spark, drop, out, ckpt) == [("b", 1000, "u2")]  # only the new upload, all four files of it
+    assert _refreshed(spark, drop, out, ckpt) == [("b", 1000, "u2")]  # nothing new: unchanged
+
+
+def test_an_older_upload_in_a_later_batch_changes_nothing(spark):
+    drop, ckpt, out = (scratch_path(spark, n) for n in ("drop", "ckpt", "out"))
+    _drop(spark, f"{drop}/new er", "b", 5, 2_000_000)  # a folder name with a space
+    assert _refreshed(spark, drop, out, ckpt) == [("b", 5, "new er")]
+    first = current_version(spark, out)
+    _drop(spark, f"{drop}/older", "a", 7, 1_000_000)
+    assert _refreshed(spark, drop, out, ckpt) == [("b", 5, "new er")] and current_version(spark, out) == first
+    _drop(spark, f"{drop}/newest", "c", 3, 3_000_000)
+    assert _refreshed(spark, drop, out, ckpt) == [("c", 3, "newest")]
+
+
+def test_batches_of_one_file_end_with_the_newest_upload(spark):
+    drop, ckpt, out = (scratch_path(spark, n) for n in ("drop", "ckpt", "out"))
+    _drop(spark, f"{drop}/u2", "b", 40, 2_000_000, parts=3)
+    _drop(spark, f"{drop}/u1", "a", 9, 1_000_000, parts=2)
+    assert _refreshed(spark, drop, out, ckpt, files_per_batch=1) == [("b", 40, "u2")]

@@ -6,6 +6,8 @@ from pyspark.sql import types as T
 from ledgerlens.functions import text as TX
 from ledgerlens.session import scratch_path
 from ledgerlens.sources import files as FS
+from ledgerlens.sources import versions
+from ledgerlens.sources.sheets import read_sheets
 
 
 def _one(spark, value, fn):
@@ -99,24 +101,31 @@ def test_checkpoint_folder_must_be_shared_off_local_masters():
         ensure_checkpoint_dir(Session())
 
 
-def test_skip_preamble_reads_each_files_own_header(spark, tmp_path):
-    for name, text in {"a": "banner\nx,y\n1,2\n", "b": 'banner\ny,x\n"4\nlines",3\n\n6,5\n', "c": "banner\nx\n7\n"}.items():
-        os.makedirs(tmp_path / name)
-        (tmp_path / name / "part.csv").write_text(text)
-    out = FS.read_skip_preamble(spark, str(tmp_path), columns=["x", "y"]).orderBy("x").collect()
-    assert [(r.x, r.y) for r in out] == [("1", "2"), ("3", "4\nlines"), ("5", "6"), ("7", None)]
+def _sheets(folder, files):
+    for name, text in files.items():
+        os.makedirs(folder / name)
+        (folder / name / "part 1.csv").write_text(text)
+    return str(folder)
 
 
-def test_skip_preamble_per_file(spark, tmp_path):
-    base = str(tmp_path / "preamble")
-    for i in range(2):
-        d = f"{base}/f{i}"
-        os.makedirs(d, exist_ok=True)
-        with open(f"{d}/part.csv", "w") as fh:
-            fh.write("Banner line\nname,value\n" + "".join(f'"n{i}{j}, with comma",{j}\n' for j in range(3)))
-    out = FS.read_skip_preamble(spark, base)
-    assert out.count() == 6 and set(out.columns) >= {"name", "value", "ordinal"}
-    assert sorted(r.ordinal for r in out.collect()) == [0, 0, 1, 1, 2, 2]
+def test_sheets_have_the_columns_of_all_headers(spark, tmp_path):
+    path = _sheets(tmp_path, {"a": "banner\nx,y\n1,2\n", "b": 'ban,"n\ner"\ny,x\n"4\nlines",3\n\n6,5,7\n',
+                              "c": "banner\nx\n7\n", "d": "banner\nonly last,x,x\n,8,9\n\"\"\n", "e": "banner\n", "f": ""})
+    out = read_sheets(spark, path)
+    assert out.columns == ["source_file", "ordinal", "x", "y", "only last"]
+    got = [tuple(r)[1:] for r in out.orderBy("source_file", "ordinal").collect()]
+    assert got == [(0, "1", "2", None), (0, "3", "4\nlines", None), (2, "5", "6", None), (0, "7", None, None),
+                   (0, "8", None, None), (1, None, None, "")]
+    assert [tuple(r) for r in read_sheets(spark, path, columns=["y", "z"]).select("y", "z").where("y = '2'").collect()] == [("2", None)]
+
+
+def test_sheets_are_streamed(spark, tmp_path):
+    rows = 60_000
+    path = _sheets(tmp_path, {"a": "Banner line\nname,value\n" + "".join(f'"n{i}, with comma",{i}\n' for i in range(rows))})
+    out = read_sheets(spark, path)
+    assert out.rdd.getNumPartitions() == 1
+    r = out.selectExpr("count(*) AS n", "sum(value) AS s", "max(ordinal) AS m", "count_if(name <> concat('n', value, ', with comma')) AS bad").first()
+    assert (r.n, r.s, r.m, r.bad) == (rows, rows * (rows - 1) / 2, rows - 1, 0)
 
 
 def test_parse_timestamp_strict_and_quarantine(spark):
@@ -133,7 +142,26 @@ def test_int_from_text(spark):
 
 
 def test_write_results(spark):
-    from ledgerlens.sources.files import write_results
     base = scratch_path(spark, "results")
-    paths = write_results({"a": spark.range(3), "b": spark.range(5)}, base)
-    assert spark.read.parquet(paths["a"]).count() == 3 and spark.read.parquet(paths["b"]).count() == 5
+    paths = FS.write_results({"a": spark.range(3), "b": spark.range(5)}, base)
+    assert FS.read_current(spark, paths["a"]).count() == 3 and FS.read_current(spark, paths["b"]).count() == 5
+
+
+def test_a_write_that_fails_midway_changes_nothing(spark):
+    import pytest
+
+    path = scratch_path(spark, "versions")
+    bad = spark.range(100, numPartitions=4).select(F.when(F.col("id") < 99, F.col("id")).otherwise(
+        F.raise_error(F.lit("midway"))).cast("long").alias("id"))
+    with pytest.raises(Exception, match="midway"):
+        FS.build_once(spark, path, lambda: bad)
+    assert not FS.table_exists(spark, path)  # a failed build is not a table
+    assert FS.build_once(spark, path, lambda: spark.range(7)).count() == 7
+    reader = FS.read_current(spark, path)
+    with pytest.raises(Exception, match="midway"):
+        FS.replace_table(bad, path)
+    assert FS.read_current(spark, path).count() == 7
+    FS.replace_table(FS.read_current(spark, path).where("id < 5"), path)  # a table replaced by a query of itself
+    assert FS.read_current(spark, path).count() == 5 and reader.count() == 7  # who has it open reads on
+    FS.replace_table(spark.range(2), path)
+    assert [n for n, _ in versions.committed(spark, path)] == [2, 3] and FS.read_current(spark, path).count() == 2

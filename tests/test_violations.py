@@ -160,6 +160,38 @@ def test_running_context_of_one_long_conversation(spark):
     assert len(some) == 4 + 99 and all(got[r.g, r.t] == r.context for r in some)
 
 
+def test_running_context_levels_sums_and_null_keys(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators.documents import running_context
+    rows = [(0, t * 3, f"m{t};") for t in range(-40, 260)] + [(None, t, f"n{t};") for t in range(30)]
+    rows += [(7, None, "null;"), (7, 10**12, "late;"), (7, -10**12, "early;"), (8, 1, None), (8, 2, "x")]
+    df = spark.createDataFrame(rows, "g long, t long, x string").repartition(5)
+    order = {r: i for i, r in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)))}
+    for levels in (1, 2, 3):
+        out = running_context(df, "g", "t", F.col("x"), chunk=4, fan=3, levels=levels, wanted=F.col("t").isNull() | (F.col("t") % 2 == 0),
+                              count=F.coalesce(F.length("x"), F.lit(0)), count_name="chars").collect()
+        assert len(out) == sum(t is None or t % 2 == 0 for _, t, _ in rows)
+        for r in out:
+            want = "".join(x or "" for x in (z[2] for z in sorted(
+                (q for q in rows if q[0] == r.g and order[q] < order[(r.g, r.t, r.x)]), key=order.get)))
+            assert (r.context, r.chars) == (want, len(want)), (levels, r.g, r.t)
+
+
+def test_running_context_windows_are_bounded(spark):
+    """A third of all rows in one conversation: no task of the scan sees more than a chunk or the siblings of one parent."""
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators.documents import running_context
+    df = spark.range(30_000).select(F.when(F.col("id") < 10_000, 0).otherwise(F.col("id")).alias("g"), F.col("id").alias("t"),
+                                    F.lit("ab").alias("x"))
+    out = running_context(df, "g", "t", F.col("x"), chunk=64, fan=16, wanted=F.col("t") == 9_999)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line.split("], [")[1] for line in plan.splitlines() if "Window [" in line]
+    assert len(keys) == 3 and sum(k.count("#") == 2 for k in keys) == 2  # (group, chunk), (group, parent), group of parents
+    assert out.first()["context"] == "ab" * 9_999 and out.count() == 1
+
+
 def test_running_sum_before_matches_window(spark):
     import random
 
