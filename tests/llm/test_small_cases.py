@@ -107,7 +107,7 @@ def test_token_encoder_equals_tokenizer():
     t.encode_special_tokens = True
     encode = packing.token_encoder()
     for x in ["", " ", "a", " a", "a ", "a  b", "a\n\nb", "a\n b", "a \nb", "\n", "\na\n", "it's I'll\nwe've", "x\ty", "x\u00a0y",
-              "1²³ 12a", "汉字 かな", "a\u2009b", "<|endoftext|> a", "tab\t\tz\n\t\tq", "é\u0301 ñ", "word. Word, ab! it's. 12. é, ªº. .. ,", "don't. x's,", prose(1, 300)]:
+              "1²³ 12a", "汉字 かな", "a\u2009b", "<|endoftext|> a", "a" * 5000, " " * 700 + "x", "ab\u3000" * 300, "a  " * 300, "\n" * 199, "\n" * 201, "tab\t\tz\n\t\tq", "é\u0301 ñ", "word. Word, ab! it's. 12. é, ªº. .. ,", "don't. x's,", prose(1, 300)]:
         assert encode(x) == b"".join(i.to_bytes(4, "little") for i in t.encode(x, add_special_tokens=False).ids), repr(x)
 
 
