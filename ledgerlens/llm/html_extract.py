@@ -5,8 +5,10 @@ and paragraphs of any length have one node. Siblings of a folded tree have diffe
 simple tree matching can pair have equal label paths; all trees of a host are aligned by these paths, without a pattern
 tree that could lack a node. A text is template if it stands on nearly all different pages that have its node, of
 the host or of the host's section (the first directory of the url), and if the rest of these pages varies, as it does
-not on copies; the others fill varying slots and are content. Elements that say what they are (menus, footers, forms,
-comments, ...) and slots that are mostly links never are.
+not on copies; the others fill varying slots. All blocks of text are aligned, whatever they are called. Of the varying
+slots, elements that say what they are (menus, footers, forms, comments, ...) and those that are mostly links are no
+content; an everyday word in a class (widget, search, ...) counts only where there is no running text, and an article
+element shuts out the rest of the page unless that holds over ``OUTSIDE_SHARE`` times as much of what is left.
 
 All pages count, by grouped sums over (site, node, text); paths are taken once per distinct tree of a site. No host is
 gathered in one task, and only texts of candidate blocks are shuffled, once.
@@ -23,6 +25,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -55,28 +58,41 @@ BOILERPLATE = set("nav header footer aside form menu button select option dialog
                   "fieldset".split())
 #: A whole class or id, or outside an article a part of a class, that names boilerplate.
 BOILERPLATE_WORDS = set(
-    "ad adbox ads adslot adunit advert advertisement advertising adverts breadcrumb breadcrumbs byline comment comments "
-    "consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter pager "
-    "pagination popup promo sidebar signup skip sponsor sponsored subscribe teaser teasers toast toolbar trending "
-    "widget widgets".split())
+    "ad adbox ads adslot adunit advert advertisement advertising adverts breadcrumb breadcrumbs comment comments consent "
+    "cookie cookies disqus footer gdpr masthead nav navbar navigation pager pagination sidebar sponsor sponsored".split())
 #: Everyday words: an element of such a whole class or id is boilerplate unless it has running text.
 EVERYDAY_WORDS = set(
-    "alert announcement banner copyright disclaimer discussion feedback legal notice notices notification privacy "
-    "promoted promotion recommended related replies reply respond response responses search share sharing "
-    "social".split())
+    "alert announcement banner byline copyright disclaimer discussion feedback legal login menu modal newsletter notice "
+    "notices notification popup privacy promo promoted promotion recommended related replies reply respond response "
+    "responses search share sharing signup skip social subscribe teaser teasers toast toolbar trending widget "
+    "widgets".split())
+#: Article elements are the main text unless so many times their text is left outside of them.
+OUTSIDE_SHARE = 2
 #: A block of so many words that is no menu is running text.
 RUNNING_WORDS = 12
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search "
                         "toolbar".split())
 
+# Atomic throughout: no part of a page is read again for a tag that does not end.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
+    r"<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 _SHOWN = re.compile(r"[^\s]")
 
 
+class Block(NamedTuple):
+    """A block of text: its node's number, whether it is marked or looks like boilerplate, whether it stands in an
+    article or main element, and whether it is mostly links."""
+
+    at: int
+    text: str
+    named: bool
+    inside: bool
+    links: bool
+
+
 class Node:
     """A folded element: label, children by label, and its place in page order of first appearance."""
 
@@ -118,14 +134,13 @@ def _may_be_boilerplate(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     return not EVERYDAY_WORDS.isdisjoint(names if inside else [*names, attrs.get("id", "").lower()])
 
 
-def parse(page: str | None) -> tuple[Node, list[tuple[int, str, float, bool]]]:
-    """The folded tree of a page, and its blocks that are not marked as boilerplate, in page order:
-    (node number, text, share of link characters, whether it stands in an article or main element)."""
+def parse(page: str | None) -> tuple[Node, list[Block]]:
+    """The folded tree of a page, and its blocks of text in page order."""
     page = page or ""
     root, made = Node("", 0), 1
     # open elements: (tag, folded node, is boilerplate, is in article, innermost element of an everyday word or 0)
     stack: list[tuple[str, Node, bool, bool, int]] = [("", root, False, False, 0)]
-    blocks: list[tuple[int, str, float, bool]] = []
+    blocks: list[Block] = []
     doubts: list[int] = []  # that element, per block
     opened = 0
     text: list[str] = []
@@ -136,10 +151,10 @@ def parse(page: str | None) -> tuple[Node, list[tuple[int, str, float, bool]]]:
         if text:
             _, node, bad, inside, doubt = stack[-1]
             whole = "".join(text)
-            if not bad and _SHOWN.search(whole):
+            if _SHOWN.search(whole):
                 shown = " ".join(entities.unescape(whole).split())
                 if shown:
-                    blocks.append((node.at, shown, min(1.0, links / len(whole)), inside))
+                    blocks.append(Block(node.at, shown, bad, inside, links >= LINK_SHARE * len(whole)))
                     doubts.append(doubt)
             text.clear()
         links = 0
@@ -151,7 +166,7 @@ def parse(page: str | None) -> tuple[Node, list[tuple[int, str, float, bool]]]:
             links += len(piece)
 
     at, raw_until = 0, 0
-    for m in _TAG.finditer(page):
+    for m in _TAG.finditer(page, 0, last_tag_end(page)):
         if m.start() < raw_until:
             continue
         if m.start() > at and at >= raw_until:
@@ -209,16 +224,25 @@ def parse(page: str | None) -> tuple[Node, list[tuple[int, str, float, bool]]]:
     if max(at, raw_until) < len(page):
         say(page[max(at, raw_until):])
     flush()
-    running = [b[2] < LINK_SHARE and len(b[1].split()) >= RUNNING_WORDS for b in blocks]
-    cleared = {0, *(d for d, r in zip(doubts, running, strict=True) if r)}
-    chosen = [(b, r) for b, d, r in zip(blocks, doubts, running, strict=True) if d in cleared]
-    # article elements are the main text unless more running text stands outside of them
-    within = sum(len(b[1]) for b, _ in chosen if b[3])
-    if within and within >= sum(len(b[1]) for b, r in chosen if r and not b[3]):
-        blocks = [b for b, _ in chosen if b[3]]
-    else:
-        blocks = [b for b, _ in chosen if b[2] < LINK_SHARE]
-    return root, blocks
+    running = {d for b, d in zip(blocks, doubts, strict=True)
+               if not b.named and not b.links and len(b.text.split()) >= RUNNING_WORDS}
+    return root, [b._replace(named=b.named or d > 0 and d not in running) for b, d in zip(blocks, doubts, strict=True)]
+
+
+def last_tag_end(page: str) -> int:
+    """Where the last tag may end: a ``<`` behind the last ``>`` is text, unless a comment opens there."""
+    end = page.rfind(">") + 1
+    return len(page) if page.find("<!--", end) >= 0 else end
+
+
+def main_blocks(blocks: list[Block]) -> list[Block]:
+    """Of the blocks that are no template: those that are not named boilerplate and stand in article elements, unless
+    over OUTSIDE_SHARE times as much text stands outside of them; then all that are no lists of links."""
+    left = [b for b in blocks if not b.named]
+    inside = sum(len(b.text) for b in left if b.inside)
+    if inside and OUTSIDE_SHARE * inside >= sum(len(b.text) for b in left if not b.inside and not b.links):
+        return [b for b in left if b.inside]
+    return [b for b in left if not b.links]
 
 
 def written(root: Node) -> str:
@@ -253,12 +277,13 @@ def match_trees(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     return best[n][m] + 1, found
 
 
-_BLOCK_TYPE = "array<struct<slot:int,h:long,text:string>>"
+_BLOCK_TYPE = "array<struct<slot:int,h:long,text:string,named:boolean,inside:boolean,links:boolean>>"
 
 
 def _parsed(pages: DataFrame, with_text: bool) -> DataFrame:
     """(page_id, url, host, section, tree, blocks) of every page; without texts, blocks carry hashes only."""
-    block = pa.list_(pa.struct([("slot", pa.int32()), ("h", pa.int64()), ("text", pa.string())]))
+    block = pa.list_(pa.struct([("slot", pa.int32()), ("h", pa.int64()), ("text", pa.string()), ("named", pa.bool_()),
+                                ("inside", pa.bool_()), ("links", pa.bool_())]))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("section", pa.string()), ("tree", pa.string()),
                         ("blocks", block)])
 
@@ -268,8 +293,9 @@ def _parsed(pages: DataFrame, with_text: bool) -> DataFrame:
             for page in b.column(4):
                 root, found = parse(page.as_py())
                 trees.append(written(root))
-                blocks.append([{"slot": at, "h": xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63),
-                                "text": t if with_text else None} for at, t, _, _ in found])
+                blocks.append([{"slot": f.at, "h": xxhash.xxh64_intdigest(f.text.encode("utf-8", "surrogatepass")) - (1 << 63),
+                                **({"text": f.text, "named": f.named, "inside": f.inside, "links": f.links} if with_text else {})}
+                               for f in found])
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(trees, pa.string()), pa.array(blocks, block)],
                                              schema=schema)
 
@@ -347,7 +373,14 @@ def extract_text(pages: DataFrame) -> DataFrame:
     wrappers = stored(induce_wrappers(pages), "wrappers")
     out = _parsed(pages, True).join(wrappers, ["host", "section", "tree"], "left")
     is_template = "exists(template, t -> t.slot = b.slot AND t.h = b.h)"
-    kept = F.expr(f"CASE WHEN template IS NULL THEN blocks ELSE filter(blocks, b -> NOT {is_template}) END")
-    out = out.withColumn("kept", kept)
-    return out.select("page_id", "url", F.array_join("kept.text", "\n\n").alias("text"),
-                      (F.size("blocks") - F.size("kept")).cast("long").alias("n_template"))
+    out = out.withColumn("varying", F.expr(
+        f"filter(CASE WHEN template IS NULL THEN blocks ELSE filter(blocks, b -> NOT {is_template}) END, b -> NOT b.named)"))
+    # as main_blocks
+    length = "aggregate(filter(varying, b -> {}), 0L, (n, b) -> n + length(b.text))"
+    out = out.withColumns({"within": F.expr(length.format("b.inside")),
+                           "outside": F.expr(length.format("NOT b.inside AND NOT b.links"))})
+    main = F.expr(f"filter(varying, b -> CASE WHEN within > 0 AND {OUTSIDE_SHARE} * within >= outside THEN b.inside "
+                  "ELSE NOT b.links END)")
+    n_template = F.expr(f"size(filter(blocks, b -> template IS NOT NULL AND {is_template}))")
+    return out.select("page_id", "url", F.array_join(main["text"], "\n\n").alias("text"),
+                      F.coalesce(n_template, F.lit(0)).cast("long").alias("n_template"))

@@ -426,7 +426,7 @@ def test_html_template_of_layouts_sections_and_short_articles(spark):
 
 def test_html_everyday_words_and_teasers():
     def text(page):
-        return [b[1] for b in html_extract.parse(page)[1]]
+        return [b.text for b in html_extract.main_blocks(html_extract.parse(page)[1])]
 
     body = "This is running text of a page with well over a dozen words, and nobody may drop it."
     for attrs in ("id=search-algorithms", "id=privacy", "class=response", "id=social-impact", "class='legal'", "id=menu-theory"):
@@ -443,6 +443,46 @@ def test_html_everyday_words_and_teasers():
     assert text(f"<div><p>aside</div><article><p>{body}</article><p>few words") == [body]
 
 
+def test_html_short_paragraphs_and_widgets_stay():
+    def text(page):
+        return [b.text for b in html_extract.main_blocks(html_extract.parse(page)[1])]
+
+    short = [f"Short paragraph {i}." for i in range(30)]
+    page = "<div>" + "".join(f"<p>{x}" for x in short) + "</div><article><p>A teaser of one line</article>"
+    assert text(page) == [*short, "A teaser of one line"]
+    running = " ".join(f"word{i}" for i in range(120))
+    for name in ("widget", "login", "promo", "menu", "teaser"):
+        assert text(f"<main><div class={name}>{running}</div></main>") == [running], name
+
+
+def test_html_of_broken_tags_is_linear():
+    import time
+
+    for piece in ("</x ", "<a ", "<a '", '<a "', "<!x ", "<p title=\"'", "<", "<a <!--", "&#"):
+        for end in ("", ">", "'>", '">x<p>y'):
+            t = time.perf_counter()
+            html_extract.parse(piece * ((1 << 20) // len(piece)) + end)
+            assert time.perf_counter() - t < 5, (piece, end)
+    assert [b.text for b in html_extract.parse("a <b>c</b> < d <e")[1]] == ["a c < d <e"]
+
+
+def test_html_template_without_telling_names(spark):
+    """Planted hosts whose classes say nothing: what the method removes is what stands on all pages, and nothing else."""
+    rng = np.random.default_rng(4)
+    pages, want = [], {}
+    for h in range(4):
+        constant = [prose(1000 + 10 * h + k, int(rng.integers(3, 30))) for k in range(5)]
+        for i in range(12):
+            body = [prose(int(rng.integers(10**6)), int(rng.integers(3, 40))) + f" {h} {i} {k}" for k in range(int(rng.integers(1, 6)))]
+            left, right = constant[:int(rng.integers(2, 4))], constant[3:]
+            pages.append((100 * h + i, f"http://h{h}.com/s/{i}", "<div class=q1>" + "".join(f"<div class=w{'abc'[k]}>{x}</div>" for k, x in enumerate(left))
+                          + "</div><div class=q2>" + "".join(f"<p>{x}</p>" for x in body) + "</div>"
+                          + "".join(f"<div class=z{'ab'[k]}><div>{x}</div></div>" for k, x in enumerate(right))))
+            want[100 * h + i] = ("\n\n".join(body), len(left) + len(right))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: (r.text, r.n_template) for r in html_extract.extract_text(df).collect()} == want
+
+
 def test_label_paths_hold_the_tree_matching():
     a, b = (json.loads(html_extract.written(html_extract.parse(x)[0])) for x in (
         "<div class=a><p>x</p><ul><li>y</ul></div><p>z", "<div class=a><ul><li>y<li>w</ul><p>x</p></div><h1>t</h1><p>z"))
