@@ -33,28 +33,57 @@ CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
 MIN_DISTINCT = 10
 #: A candidate found with at most so many owners looks live; with more it is an example.
 MAX_OWNERS = 2
-#: Bound of the SQL twin only, which agrees where no candidate of few owners is in more documents.
-MAX_REPOSITORIES = 20
 
 _MARK, _OTHER = "\ue000", "\ue001"
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of all matches of ``pattern``, leftmost and non-overlapping."""
-    # the mark itself in a text becomes another character that no pattern matches; positions stay
-    marked = F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, f"{_MARK}$0{_MARK}")
-    parts = F.split(marked, _MARK)
-    step = F.aggregate(
-        parts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"),
-                        F.expr("cast(array() AS array<struct<start:int,end:int,value:string>>)").alias("found")),
+_SPAN = "array<struct<start:int,end:int,value:string>>"
+#: Parts whose spans are gathered at once; an even number, as every second part is a match.
+_STEP = 256
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _block_spans(parts: Column) -> Column:
+    """(at, found) of some parts, the first of which is no match: their length, and the matches from there."""
+    none = F.expr(f"cast(array() AS {_SPAN})")
+    return F.aggregate(
+        parts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), none.alias("found")),
         lambda s, p: F.struct(
             (s["at"] + F.length(p)).alias("at"), (s["i"] + 1).alias("i"),
             F.when(s["i"] % 2 == 1, F.array_append(s["found"], F.struct(
                 s["at"].alias("start"), (s["at"] + F.length(p)).alias("end"), p.alias("value"))))
             .otherwise(s["found"]).alias("found")),
-        lambda s: s["found"])
-    return F.when(F.size(parts) > 1, step).otherwise(
-        F.expr("cast(array() AS array<struct<start:int,end:int,value:string>>)"))
+        lambda s: F.struct(s["at"].alias("at"), s["found"].alias("found")))
+
+
+def _spans(text: Column, pattern: str) -> Column:
+    """Array of (start, end, value) of all matches of ``pattern``, leftmost and non-overlapping.
+
+    Spans are gathered block by block and the blocks moved to their places, as an array that grows by one match at a time
+    would be copied for each.
+    """
+    # the mark itself in a text becomes another character that no pattern matches; positions stay
+    marked = F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, f"{_MARK}$0{_MARK}")
+
+    def placed(blocks: Column) -> Column:
+        starts = F.aggregate(
+            blocks, F.struct(F.lit(0).alias("at"), F.expr("cast(array() AS array<int>)").alias("starts")),
+            lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")),
+            lambda s: s["starts"])
+        return F.flatten(F.zip_with(blocks, starts, lambda b, at: F.transform(b["found"], lambda s: F.struct(
+            (s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["value"].alias("value")))))
+
+    def of(parts: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _STEP).cast("int")),
+                             lambda k: _block_spans(F.slice(parts, k * _STEP + 1, F.lit(_STEP))))
+        return _let(blocks, placed)
+
+    return _let(F.split(marked, _MARK), lambda parts: F.when(F.size(parts) > 1, of(parts)).otherwise(
+        F.expr(f"cast(array() AS {_SPAN})")))
 
 
 def _kind(spans: Column, kind: int) -> Column:

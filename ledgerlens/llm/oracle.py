@@ -67,11 +67,10 @@ s AS (
     WHEN 3 THEN regexp_matches(part, '[0-9]') AND regexp_matches(part, '[A-Za-z]')
                 AND len(list_distinct(string_split(part, ''))) >= {credentials.MIN_DISTINCT}
     ELSE true END),
-o AS (SELECT part, count(DISTINCT doc_id) AS repositories,
-             count(DISTINCT owner) + CAST(bool_or(owner IS NULL) AS INT) AS owners FROM s WHERE kind = 3 GROUP BY part),
+o AS (SELECT part, count(DISTINCT owner) + CAST(bool_or(owner IS NULL) AS INT) AS owners FROM s WHERE kind = 3 GROUP BY part),
 a AS (
   SELECT s.*, ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || start || ':' || stop AS span,
-         kind < 3 OR owners <= {credentials.MAX_OWNERS} AND repositories <= {credentials.MAX_REPOSITORIES} AS shown
+         kind < 3 OR owners <= {credentials.MAX_OWNERS} AS shown
   FROM s LEFT JOIN o ON s.part = o.part AND kind = 3),
 g AS (
   SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,

@@ -152,6 +152,29 @@ def test_simhash_components_equal_brute_force(make_docs):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_fingerprint_equals_its_definition():
+    """Hashes, seed and majority by the definition, word by word and bit by bit."""
+    import re
+
+    import xxhash
+
+    for text in [*(t for _, t in ODD if t is None or len(t) < 1000), prose(1, 3), prose(2, 4), prose(3, 50), "a b", "A\xa0B c d", "x y z " * 9]:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        words = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in words]
+        shingles = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(text) == want, text
+
+
+def test_keep_one_row_of_each_component(make_docs):
+    t, u = prose(81, 60), prose(82, 60)
+    docs = [(1, t), (1, u), (5, t), (6, u), (None, t), (None, t), (None, prose(83, 60)), (None, prose(83, 60)), (7, "own"), (7, "own")]
+    got = collections.Counter((r.doc_id, r.text) for r in simhash.keep_one(make_docs(docs)).collect())
+    assert got == collections.Counter({(1, t): 1, (1, u): 1, (None, prose(83, 60)): 1, (7, "own"): 1})
+    assert simhash.keep_one(make_docs(docs[:1]).limit(0)).count() == 0
+
+
 def test_simhash_links_random_fingerprints(spark):
     rng = np.random.default_rng(1)
     seeds = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
@@ -307,6 +330,36 @@ def test_secret_of_one_owner_is_live_in_any_number_of_documents(make_docs):
     assert all((got[200 + i].n_live, got[200 + i].n_examples) == (0, 1) for i in range(3))
 
 
+def test_secret_spans_are_linear(spark):
+    import time
+
+    from ledgerlens.llm.common import stored
+
+    text = "token=abcdefgh1 " * 100_000
+    df = stored(spark.createDataFrame([(1, text, "a"), (2, "token=abcdefgh1", "a")], "doc_id long, text string, source string"), "t")
+    credentials.scan(df.where("doc_id = 2")).collect()
+    t = time.perf_counter()
+    r = credentials.scan(df.where("doc_id = 1")).select("assign").first()
+    assert time.perf_counter() - t < 15 and [(x.start, x.end) for x in r.assign] == [(16 * i, 16 * i + 15) for i in range(100_000)]
+
+
+def test_secrets_equal_their_sql(make_docs, tmp_path):
+    import duckdb
+
+    from ledgerlens.llm import oracle
+
+    key, example = "a1B2c3D4e5F6g7H8i9J0kLmN", "z9Y8x7W6v5U4t3S2r1Q0pOnM"
+    docs = [(i, f"key {key} {i}", "en", "hot") for i in range(40)] + [(100 + i, f"{i} {example}", "en", f"o{i}") for i in range(25)]
+    docs += [(200, None, "en", "a"), (201, 'Password: "hunter2hunter2" ' + "ab" * 20, "en", None), (202, example, "en", None)]
+    make_docs(docs, clash=False).write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    got = credentials.digest(credentials.find_secrets(make_docs(docs)))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracle.SQL['op10_secret_scan']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert sum(r[got.columns.index("n_live")] for r in want) >= 40
+
+
 # ---------------------------------------------------------------------------------------------------- fingerprints
 
 
