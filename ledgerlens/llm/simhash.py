@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import stored, words_of
 from .components import connected_components
 
@@ -59,15 +60,18 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id long, fp long) per row of ``docs``; ``fp`` holds the 64 bits as a signed number."""
+    """(doc_id long, text_hash long, fp long) per row of ``docs``; ``fp`` holds the 64 bits as a signed number."""
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle_words, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle_words, seed) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))],
+                                             names=["doc_id", "text_hash", "fp"])
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, fp long"))
+    text = F.col("text").cast("string")
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+            .mapInArrow(run, "doc_id long, text_hash long, fp long"))
 
 
 def chain_within(a: np.ndarray, b: np.ndarray, first: int, max_bits: int) -> np.ndarray:
@@ -164,31 +168,41 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_RO
     return keyed.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
-                    seed: int = SEED) -> DataFrame:
-    """(doc_id, fp, component_id) per row of ``docs``."""
+def _rooted(docs: DataFrame, shingle_words: int, max_bits: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``fingerprints`` of all rows, and (fp, least, root) of every distinct fingerprint."""
     marked = stored(fingerprints(docs, shingle_words, seed), "fingerprints")
     classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = connected_components(links(classes.select("fp"), max_bits))
-    named = (classes.join(roots, classes.fp == roots.node, "left")
-             .select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    return marked, (classes.join(roots, classes.fp == roots.node, "left")
+                    .select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
+                    seed: int = SEED) -> DataFrame:
+    """(doc_id, fp, component_id) per row of ``docs``."""
+    marked, named = _rooted(docs, shingle_words, max_bits, seed)
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     # as a table of its own, so that Spark may split the partitions of a fingerprint that very many copies share
     named = stored(named.select("fp", "root").join(names, "root").select("fp", "component_id"), "components")
-    return marked.join(named, "fp")
+    return marked.select("doc_id", "fp").join(named, "fp")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
              seed: int = SEED) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` names its component; columns as before.
+    """One row of ``docs`` for each component; columns as before.
 
-    Of repeated rows with that id the one of the least text hash stays, and so does every row with a NULL id, which
-    names no component.
+    It is the row of the least ``doc_id`` (NULL ids last), among rows of one id that of the least text hash, and of
+    rows that repeat id and text any one.
     """
-    kept = (near_duplicates(docs, shingle_words, max_bits, seed).where("doc_id = component_id")
-            .select("doc_id").distinct())
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    named = (rows.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-             .groupBy("doc_id").agg(F.min_by("row", F.xxhash64(F.col("row")["text"])).alias("row")))
-    return (named.select("row").unionByName(rows.where("doc_id IS NULL").select("row"))
+    marked, named = _rooted(docs, shingle_words, max_bits, seed)
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
+    # first per fingerprint, so that the copies of one text do not meet at their component
+    first = stored(marked.groupBy("fp").agg(F.min(order).alias("k")), "first")
+    kept = (first.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("k").alias("k"))
+            .select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+                       F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    return (rows.join(kept, same, "left_semi").groupBy("doc_id", "text_hash")
+            .agg(F.min_by("row", F.xxhash64(*(F.col("row")[c] for c, t in docs.dtypes if not t.startswith("map")))).alias("row"))
             .select(*(F.col("row")[c].alias(c) for c in docs.columns)))
