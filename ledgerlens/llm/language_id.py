@@ -109,7 +109,7 @@ class LanguageModel:
             if best is None or value > best[0]:
                 best = (value, chosen, inner)
         _, chosen, inner = best
-        top = max(range(len(chosen)), key=lambda i: (inner[i], [-ord(x) for x in self.langs[chosen[i]]]))
+        top = min(range(len(chosen)), key=lambda i: (-inner[i], self.langs[chosen[i]]))
         return (self.langs[chosen[top]], min(1.0, float(inner[top])), [self.langs[k] for k in chosen],
                 [float(x) for x in inner])
 

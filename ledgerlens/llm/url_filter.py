@@ -6,7 +6,7 @@ Rules of the site's owner (host and path prefix) come first; of those that fit,
 
 Cases: a NULL URL and one without ``://`` have empty host and path and are judged by the vocabulary alone (NULL: as an
 empty URL); ties of rule length go to the rule that sorts first; repeated rows are judged alike; an empty table gives
-no rows; further columns are ignored.
+no rows; further columns stay, and columns of the names that are added are replaced.
 """
 
 from __future__ import annotations
