@@ -52,6 +52,12 @@ def classify_rule_join(spark, d):
                                 "violation_type", "scope"))
 
 
+def classify_rule_ranges(spark, d):
+    """The same classification by a binary search of each code in the sorted ranges of the rules."""
+    out = C.classify_by_ranges(_focus(spark, d), S.BRAND_RULES, "violation_code", S.BRAND_DEFAULT)
+    return money_out(out.select("l_orderkey", "l_linenumber", "violation_code", "revenue", "violation_type", "scope"))
+
+
 def citations_by_type_scope(spark, d):
     """A1 (flagship): focus citations counted by violation type, one column per scope."""
     return R.counts_by_type_scope(_classified(spark, d))
@@ -271,6 +277,7 @@ QUERIES = {
     "agency_filter": agency_filter,
     "classify_prefix": classify_prefix,
     "classify_rule_join": classify_rule_join,
+    "classify_rule_ranges": classify_rule_ranges,
     "citations_by_type_scope": citations_by_type_scope,
     "revenue_by_type_scope": revenue_by_type_scope,
     "month_revenue": month_revenue,

@@ -170,6 +170,8 @@ SQL = {
                        "violation_type, scope FROM classified",
     "classify_rule_join": f"{BASE}\nSELECT l_orderkey, l_linenumber, violation_code, CAST(revenue AS DOUBLE) AS revenue, "
                           "violation_type, scope FROM classified",
+    "classify_rule_ranges": f"{BASE}\nSELECT l_orderkey, l_linenumber, violation_code, CAST(revenue AS DOUBLE) AS revenue, "
+                          "violation_type, scope FROM classified",
     "citations_by_type_scope": f"{BASE}\nSELECT violation_type, "
                                "NULLIF(count(*) FILTER (WHERE scope = 'local'), 0) AS local, "
                                "NULLIF(count(*) FILTER (WHERE scope = 'state'), 0) AS state "

@@ -64,6 +64,7 @@ PIECE = "role || ': ' || coalesce(text, '') || chr(10)"
 
 SQL = {
     "cosine_topk": f"WITH {_ranked(FV.DEFAULT_TOP_N)}\nSELECT qid, rank, vec_id, similarity FROM top",
+    "cosine_topk_indexed": f"WITH {_ranked(FV.DEFAULT_TOP_N)}\nSELECT qid, rank, vec_id, similarity FROM top",
     "cosine_topk_single": f"""WITH ex AS (SELECT UNNEST(range(len(embedding))) AS pos, UNNEST(embedding) AS v FROM embeddings),
 g AS (SELECT list(s ORDER BY pos) AS qvec FROM (SELECT pos, sum(CAST(v AS DOUBLE)) AS s FROM ex GROUP BY pos)),
 corpus AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))

@@ -73,3 +73,37 @@ def test_agency_filter_exact(spark):
 def test_scope_of_ref(spark):
     df = spark.createDataFrame([("154:1",), ("32:1",)], "r string")
     assert [r.s for r in df.select(C.scope_of_ref(F.col("r")).alias("s")).collect()] == ["local", "state"]
+
+
+def test_ranges_equal_case_chain(spark):
+    rules = [*RULES, ("Brand#11x", 9.0, "late", "state"), ("\U0010ffff", 3.0, "top", "local"), ("\ud7ff", 4.0, "edge", "local"),
+             ("a\U0010ffff", 5.0, "carry", "state"), ("Brand#1", 7.0, "again", "state")]
+    codes = [f"Brand#{i}{j}" for i in range(1, 4) for j in ("", "1", "1x", "x", "\U0010ffff")] + [
+        "", None, "B", "Brand#", "\U0010ffff", "\U0010ffffz", "\ud7ff", "\ud7ffa", "\ue000", "a", "a\U0010ffff", "a\U0010ffffq", "b"]
+    df = _codes(spark, codes).withColumn("edge", F.lit("x"))
+    for listed in (rules, RULES, [*rules, ("", 1.0, "any", "state")], []):
+        for default in (DEFAULT, None):
+            a = C.classify_prefix(df, "violation_code", listed, default).orderBy("k").collect()
+            assert a == C.classify_by_ranges(df, listed, "violation_code", default).orderBy("k").collect()
+
+
+def test_many_rules_need_no_exchange_and_no_job(spark):
+    import random
+
+    rng = random.Random(3)
+    rules = list({f"{rng.randrange(10**rng.randint(2, 7))}": None for _ in range(110_000)})
+    rules = [(p, float(i % 50), f"t{i}", "state") for i, p in enumerate(rules[:100_000])]
+    codes = [str(rng.randrange(10**rng.randint(1, 9))) for _ in range(3000)]
+    df = _codes(spark, codes)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ranges", "calls only")
+    out = C.classify_by_ranges(df, rules, "violation_code", DEFAULT)
+    assert list(tracker.getJobIdsForGroup("ranges")) == []
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    assert "Exchange" not in plan and "Join" not in plan
+    first = {}
+    for i, r in enumerate(rules):
+        first.setdefault(r[0], i)
+    for row in out.collect():
+        want = min((first[row.violation_code[:n]] for n in range(len(row.violation_code) + 1) if row.violation_code[:n] in first), default=None)
+        assert row.violation_type == ("C" if want is None else f"t{want}")

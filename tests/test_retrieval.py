@@ -177,3 +177,35 @@ def test_relevance_gate_full_or_reduced(spark):
     assert out == {1: (True, "full-1"), 2: (False, "small-2"), 3: (False, "small-3")}
     blank = {r.qid: r.context for r in RT.relevance_gate(best, full, 0.5).collect()}
     assert blank[2] == ""
+
+
+def _vectors(spark, rows, name, id_col):
+    return spark.createDataFrame(rows, f"{id_col} long, {name} array<float>")
+
+
+def test_metric_index_is_exact_and_skips(spark):
+    import numpy as np
+
+    from ledgerlens.operators import metric_index as MI
+    from ledgerlens.operators import retrieval as RT
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 16))
+    rows = [(i, (centres[i % 20] * rng.uniform(0.5, 2) + rng.normal(size=16) * 0.15).tolist()) for i in range(4000)]
+    odd = [(None, rows[0][1]), (5000, None), (5001, [0.0] * 16), (5002, [1.0, 2.0]), (5003, []), (5004, [None] * 16), (5005, rows[7][1]), (5006, rows[7][1])]
+    corpus = _vectors(spark, rows + odd, "embedding", "vec_id").repartition(5)
+    queries = _vectors(spark, [(i, (centres[i] + rng.normal(size=16) * 0.1).tolist()) for i in range(6)] + [(6, rows[7][1])], "qvec", "qid")
+    index = MI.build_metric_index(corpus, pivots=40)
+    needed = MI.needed_tiles(index, queries, 20)[3]
+    assert needed.mean() < 0.4  # share of (query, tile) pairs that are scored
+    everything = _vectors(spark, [(8, [0.0] * 16), (9, None)], "qvec", "qid").unionByName(queries)
+    for asked, k in ((queries, 1), (queries, 20), (everything, 20), (everything.limit(2), 5), (queries, 4100), (queries.limit(0), 3)):
+        want = sorted(tuple(r) for r in RT.top_k_similar(corpus, asked, k).select("qid", "rank", "id", "similarity").collect())
+        assert want == sorted(tuple(r) for r in MI.top_k_indexed(index, asked, k).select("qid", "rank", "id", "similarity").collect())
+
+
+def test_metric_index_of_an_empty_corpus(spark):
+    from ledgerlens.operators import metric_index as MI
+    corpus = _vectors(spark, [(1, [1.0, 2.0])], "embedding", "vec_id")
+    queries = _vectors(spark, [(1, [1.0, 0.5])], "qvec", "qid")
+    assert MI.top_k_indexed(MI.build_metric_index(corpus), queries, 3).count() == 1
+    assert MI.top_k_indexed(MI.build_metric_index(corpus.limit(0)), queries, 3).count() == 0
