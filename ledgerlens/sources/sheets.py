@@ -35,7 +35,7 @@ def _located(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _files(path: str) -> list[str]:
-    """Files under a folder (or the file itself), without hidden ones."""
+    """Files under a folder (or the file itself), without those that Spark hides (``_x`` but for ``_x=1``, and ``.x``)."""
     fs, at = _located(path)
     info = fs.get_file_info(at)
     if info.type == pafs.FileType.File:
@@ -43,7 +43,8 @@ def _files(path: str) -> list[str]:
     below = fs.get_file_info(pafs.FileSelector(at, recursive=True))
     base = path.rstrip("/")
     names = [i.path[len(at.rstrip("/")):] for i in below if i.type == pafs.FileType.File]
-    return sorted(base + n for n in names if not any(p[:1] in ("_", ".") for p in n.split("/")))
+    hidden = lambda p: p[:1] == "." or p[:1] == "_" and "=" not in p
+    return sorted(base + n for n in names if not any(map(hidden, n.split("/"))))
 
 
 class _File(InputPartition):
@@ -63,7 +64,9 @@ class SheetReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_File(p) for p in _files(self.path)]
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without files
+            return
         fs, at = _located(partition.path)
         with fs.open_input_stream(at) as raw, io.TextIOWrapper(raw, "utf-8-sig", newline="") as text:
             # a cell without quotes that is empty is NULL, a quoted empty one is an empty text

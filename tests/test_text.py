@@ -119,6 +119,13 @@ def test_sheets_have_the_columns_of_all_headers(spark, tmp_path):
     assert [tuple(r) for r in read_sheets(spark, path, columns=["y", "z"]).select("y", "z").where("y = '2'").collect()] == [("2", None)]
 
 
+def test_sheets_of_folders_with_keys_and_none(spark, tmp_path):
+    path = _sheets(tmp_path / "x", {"_part=1": "banner\na\n1\n", "_temporary": "banner\nb\n2\n", ".c": "banner\nc\n3\n"})
+    assert [tuple(r)[1:] for r in read_sheets(spark, path).collect()] == [(0, "1")]
+    (tmp_path / "none").mkdir()
+    assert read_sheets(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_sheets_are_streamed(spark, tmp_path):
     rows = 60_000
     path = _sheets(tmp_path, {"a": "Banner line\nname,value\n" + "".join(f'"n{i}, with comma",{i}\n' for i in range(rows))})
