@@ -9,9 +9,14 @@ called once per Arrow batch (section writing: once per section).
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from typing import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -19,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import WORD_PATTERN, clean_text
-from ..session import ship_package
+from ..session import ship_package, written_once
+from ..sources.sheets import located
 
 COMPLETION_FIELDS = [
     T.StructField("content", T.StringType()),
@@ -52,6 +58,59 @@ def complete_batch(df: DataFrame, id_col: str, prompt_col: str, primary: Callabl
     return df.select(F.col(id_col), F.col(prompt_col)).mapInPandas(run, schema)
 
 
+_STORED = T.StructType([T.StructField("key", T.StringType()), *COMPLETION_FIELDS])
+
+
+def complete_once(df: DataFrame, id_col: str, prompt_col: str, primary: Callable[[], object],
+                  fallback: Callable[[], object] | None, store: str) -> DataFrame:
+    """M4 with a content-addressed store of answers: a request that has been answered is never asked, or paid, again.
+
+    A request is known by the SHA-256 of its prompt (NULL: the empty prompt); equal prompts are one request. Requests with
+    an answer in ``store`` (a folder on storage that all tasks reach) are left out by an anti-join. The others are asked
+    in Arrow batches in order of their hashes, and each batch's answers are put into the store, under the hash of its
+    requests, before the next batch is asked. So a task that is retried, or a job that is run again after a failure,
+    asks only what has no answer yet. Failed requests are returned with their error and not stored.
+    Returns (id, content, provider, prompt_tokens, completion_tokens, error) per row of ``df``.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(store)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(prompt_col), F.lit("")).alias("prompt")).withColumn(
+        "key", F.sha2(F.col("prompt").cast("binary"), 256))
+    known = lambda: spark.read.schema(_STORED).parquet(store).dropDuplicates(["key"])
+    todo = (rows.groupBy("key").agg(F.any_value("prompt").alias("prompt"))
+            .join(known().select("key"), "key", "left_anti").sortWithinPartitions("key"))
+    kinds = pa.schema([("key", pa.string()), ("content", pa.string()), ("provider", pa.string()), ("prompt_tokens", pa.int64()),
+                       ("completion_tokens", pa.int64()), ("error", pa.string())])
+
+    def place(folder: str, asked: dict[str, str]) -> str:
+        return f"{folder}/{hashlib.sha256(''.join(asked).encode()).hexdigest()}.parquet"
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        prim, fb = primary(), fallback() if fallback is not None else None
+        fs, folder = located(store.rstrip("/"))
+        for pdf in batches:
+            asked = dict(zip(pdf["key"].tolist(), pdf["prompt"].tolist()))
+            at = place(folder, asked)
+            while asked and fs.get_file_info(at).type != pafs.FileType.NotFound:  # of an earlier attempt of this task
+                for key in pq.read_table(at, columns=["key"], filesystem=fs).column(0).to_pylist():
+                    asked.pop(key, None)
+                at = place(folder, asked)
+            found = [(k, *a) for k, a in zip(asked, _answers(list(asked.values()), prim, fb))]
+            done = [dict(zip(kinds.names, r)) for r in found if r[-1] is None]
+            if done:
+                hidden = f"{folder}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(hidden) as out:
+                    pq.write_table(pa.Table.from_pylist(done, kinds), out)
+                fs.move(hidden, at)
+            yield pd.DataFrame([r for r in found if r[-1] is not None], columns=_STORED.names)
+
+    failed = written_once(todo.mapInPandas(ask, _STORED), "failed")
+    answers = known().join(failed.select("key"), "key", "left_anti").unionByName(failed)
+    return rows.select("id", "key").join(answers, "key").drop("key")
+
+
 def _answers(prompts: list[str], prim, fb) -> list[tuple]:
     """(content, provider, prompt tokens, completion tokens, error) per prompt."""
     try:

@@ -27,7 +27,7 @@ HEADERS = T.StructType().add("source_file", "string").add("position", "integer")
 BATCH_ROWS = 8192
 
 
-def _located(path: str) -> tuple[pafs.FileSystem, str]:
+def located(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI as Spark writes it (``file:/tmp/x``) or of a plain path."""
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
@@ -36,7 +36,7 @@ def _located(path: str) -> tuple[pafs.FileSystem, str]:
 
 def _files(path: str) -> list[str]:
     """Files under a folder (or the file itself), without those that Spark hides (``_x`` but for ``_x=1``, and ``.x``)."""
-    fs, at = _located(path)
+    fs, at = located(path)
     info = fs.get_file_info(at)
     if info.type == pafs.FileType.File:
         return [path]
@@ -67,7 +67,7 @@ class SheetReader(DataSourceReader):
     def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # a folder without files
             return
-        fs, at = _located(partition.path)
+        fs, at = located(partition.path)
         with fs.open_input_stream(at) as raw, io.TextIOWrapper(raw, "utf-8-sig", newline="") as text:
             # a cell without quotes that is empty is NULL, a quoted empty one is an empty text
             records = csv.reader(text, quoting=csv.QUOTE_NOTNULL)

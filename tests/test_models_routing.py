@@ -97,3 +97,47 @@ def test_embed_hashing_null_text_is_empty(spark):
         want[tf.indexOf(w)] += 1
     n = sum(x * x for x in want) ** 0.5
     assert all(abs(a - b / n) < 1e-12 for a, b in zip(rows[3], want))
+
+
+def test_answered_requests_are_never_asked_again(spark, tmp_path):
+    import pytest
+
+    from ledgerlens.operators.models import complete_once
+    from ledgerlens.session import scratch_path
+
+    class Dying:
+        """Answers, notes every prompt in a file, and ends the task at the ``die_at``-th call of a worker."""
+
+        name = "dying"
+
+        def __init__(self, log, die_at=None):
+            self.log, self.die_at, self.calls = log, die_at, 0
+
+        def complete(self, prompts):
+            self.calls += 1
+            if self.calls == self.die_at:
+                raise KeyboardInterrupt("the worker is lost")
+            if any("bad" in p for p in prompts):
+                raise ValueError("refused")
+            with open(self.log, "a") as f:
+                f.writelines(p + "\n" for p in prompts)
+            return [(p.upper(), 1, 1) for p in prompts]
+
+    log, store = str(tmp_path / "asked"), scratch_path(spark, "answers")
+    rows = [(i, f"p{i % 40}") for i in range(60)] + [(100, None), (101, "bad one")]
+    df = spark.createDataFrame(rows, "id long, prompt string").coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        with pytest.raises(Exception, match="lost"):
+            complete_once(df, "id", "prompt", lambda: Dying(log, 3), None, store)
+        first = open(log).read().split("\n")[:-1]
+        assert 0 < len(first) < 41
+        got = {r.id: (r.content, r.provider, r.error) for r in complete_once(df, "id", "prompt", lambda: Dying(log), None, store).collect()}
+        asked = open(log).read().split("\n")[:-1]
+        assert len(asked) == len(set(asked)) == 41 and asked[:len(first)] == first  # each prompt once, over both runs
+        again = {r.id: (r.content, r.provider, r.error) for r in complete_once(df, "id", "prompt", lambda: Dying(log), None, store).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert open(log).read().split("\n")[:-1] == asked and again == got and len(got) == len(rows)
+    assert got[5] == got[45] == ("P5", "dying", None) and got[100][0] == "" and got[101] == (None, None, "ValueError: refused")
