@@ -19,6 +19,7 @@ from ..session import scratch_path
 from ..sources import files as FS
 from ..sources.sheets import read_sheets
 from ..sources.tables import read_table
+from ..sources.versions import read_merged
 from ..streaming import streams as ST
 from . import citation_queries as CQ
 from . import standins as S
@@ -177,7 +178,8 @@ def _classify(df: DataFrame) -> DataFrame:
 
 def stream_counts(spark, d):
     """Lineitem files arrive as a stream; each is joined to the static orders and
-    parts, classified, and counted by (type, scope) in complete mode."""
+    parts, classified, and counted by (type, scope) in update mode; the counts that a batch
+    changed are merged into the table by type."""
     o = read_table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
     p = read_table(spark, d, "part").select("p_partkey", "p_brand")
     from ..sources.tables import SCHEMAS
@@ -186,8 +188,8 @@ def stream_counts(spark, d):
     cites = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey).select(
         F.col("o_orderpriority").alias("department"), F.col("p_brand").alias("violation_code"))
     out = scratch_path(spark, "stream_counts")
-    ST.complete_mode_to_table(ST.running_counts(_classify(cites)), out)
-    return FS.read_current(spark, out)
+    ST.update_mode_to_table(ST.running_counts(_classify(cites)), ["violation_type"], out)
+    return read_merged(spark, out)
 
 
 def file_drop_refresh(spark, d):

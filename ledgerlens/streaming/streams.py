@@ -16,7 +16,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.routing import route_messages
 from ..session import scratch_path, ship_package
-from ..sources.versions import publish
+from ..sources.versions import merge, publish
 
 
 def route_stream(spark: SparkSession, source_dir: str, schema: T.StructType, out_path: str,
@@ -48,15 +48,25 @@ def running_counts(classified: DataFrame) -> DataFrame:
         F.count_if(F.col("scope") == "state").alias("state"))
 
 
-def complete_mode_to_table(stream: DataFrame, out_path: str, checkpoint: str | None = None) -> None:
-    """Run a streaming aggregate to completion (``availableNow``), replacing ``out_path``
-    with the full result after every micro-batch (idempotent on replay)."""
+def update_mode_to_table(stream: DataFrame, keys: list[str], out_path: str, checkpoint: str | None = None,
+                         buckets: int = 256) -> None:
+    """Run a streaming aggregate by ``keys`` to completion (``availableNow``), in update mode.
+
+    A micro-batch brings the new totals of the keys it touched, which are merged into the table at ``out_path``: only
+    the buckets of these keys are rewritten, so a batch costs what it changes and not what the table holds. A replayed
+    batch brings the same totals and gives the same table. Read it with ``sources.versions.read_merged``.
+    """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, epoch: int) -> None:
-        publish(batch, out_path)
-
-    q = (stream.writeStream.outputMode("complete").foreachBatch(write)
+        # the batch is read twice (buckets, rows): kept, so that its source and state are not
+        batch.persist()
+        try:
+            merge(batch, out_path, keys, buckets)
+        finally:
+            batch.unpersist()
+
+    q = (stream.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint or scratch_path(spark, "ckpt-counts"))
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -1,7 +1,9 @@
+from pyspark.sql import functions as F
+
 from ledgerlens.operators.routing import route_messages
 from ledgerlens.session import scratch_path
 from ledgerlens.sources.files import read_current
-from ledgerlens.sources.versions import current_version
+from ledgerlens.sources.versions import committed, current_buckets, current_version, merge, publish, read_merged
 from ledgerlens.sources.tables import SCHEMAS, read_table
 from ledgerlens.streaming import streams as ST
 from ledgerlens.plans import app_queries as AQ
@@ -24,6 +26,70 @@ def test_stream_counts_equal_batch(spark, sf_dir):
     assert streamed == batch
 
 
+def _stream_of_files(spark, path, batches):
+    """One parquet file per batch, each of (k, v) rows; read one file at a time, oldest first."""
+    import glob
+    import os
+
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "k string, v long").coalesce(1).write.mode("append").parquet(path)
+        for f in set(glob.glob(f"{path.removeprefix('file:')}/*.parquet")) - _SEEN:
+            os.utime(f, (1_000_000 + i, 1_000_000 + i))
+            _SEEN.add(f)
+    stream = spark.readStream.schema("k string, v long").option("maxFilesPerTrigger", 1).parquet(path)
+    return stream.groupBy("k").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
+
+
+_SEEN: set[str] = set()
+
+
+def test_update_mode_rewrites_only_the_buckets_of_touched_keys(spark):
+    src, out, ckpt = (scratch_path(spark, n) for n in ("src", "merged", "ckpt"))
+    first = [(f"k{i}", 1) for i in range(60)] + [(None, 5), ("k0", 2)]
+    counts = _stream_of_files(spark, src, [first])
+    ST.update_mode_to_table(counts, ["k"], out, ckpt, buckets=64)
+    before = current_buckets(spark, out)
+    counts = _stream_of_files(spark, src, [[("k1", 10), (None, 7)], [("k1", 100), ("new", 1)]])
+    ST.update_mode_to_table(counts, ["k"], out, ckpt, buckets=64)
+    after = current_buckets(spark, out)
+    place = {r.k: r.b for r in spark.createDataFrame([("k1",), (None,), ("new",)], "k string").select(
+        "k", F.pmod(F.xxhash64("k"), F.lit(64)).alias("b")).collect()}
+    assert {b for b in after if after[b] != before.get(b)} == set(place.values())
+    want = {f"k{i}": (1, 1) for i in range(60)} | {"k0": (3, 2), "k1": (111, 3), None: (12, 2), "new": (1, 1)}
+    got = read_merged(spark, out).collect()
+    assert {r.k: (r.v, r.n) for r in got} == want and len(got) == len(want)
+    again = current_buckets(spark, out)
+    ST.update_mode_to_table(counts, ["k"], out, ckpt, buckets=64)  # nothing new arrives: nothing is written
+    assert current_buckets(spark, out) == again
+
+
+def test_merge_repeated_failed_empty_and_at_other_buckets(spark):
+    import pytest
+
+    out = scratch_path(spark, "merged")
+    rows = lambda *r: spark.createDataFrame(list(r), "a string, b long, v long")
+    merge(rows(("x", 1, 1), ("x", None, 2), (None, None, 3)), out, ["a", "b"], 4)
+    merge(rows(("x", None, 20), ("y", 1, 4)), out, ["a", "b"], 4)
+    merge(rows(("x", None, 20), ("y", 1, 4)), out, ["a", "b"], 4)  # a replay
+    want = [("None", "None", 3), ("x", "1", 1), ("x", "None", 20), ("y", "1", 4)]
+    table = lambda: sorted((str(r.a), str(r.b), r.v) for r in read_merged(spark, out).collect())
+    assert table() == want
+    held, folders = current_buckets(spark, out), len(committed(spark, out))
+    with pytest.raises(Exception, match="spoilt"):
+        merge(rows(("x", 1, 9)).withColumn("v", F.raise_error(F.lit("spoilt")).cast("long")), out, ["a", "b"], 4)
+    merge(rows(), out, ["a", "b"], 4)
+    assert current_buckets(spark, out) == held and len(committed(spark, out)) == folders and table() == want
+    with pytest.raises(ValueError, match="buckets-4-a-b"):
+        merge(rows(("z", 1, 1)), out, ["a", "b"], 8)
+    plain = scratch_path(spark, "plain")
+    publish(rows(("x", 1, 1)), plain)
+    with pytest.raises(ValueError, match="replaced as a whole"):
+        merge(rows(("x", 1, 1)), plain, ["a", "b"], 4)
+    for v in range(12):  # versions that hold no current bucket go
+        merge(rows(("x", 1, v)), out, ["a", "b"], 4)
+    assert len(committed(spark, out)) <= 5 and ("x", "1", 11) in table() and len(table()) == 4
+
+
 def test_file_drop_refresh_uses_newest_upload(spark, sf_dir):
     from ledgerlens.plans import citation_queries as CQ
     rows = AQ.file_drop_refresh(spark, sf_dir).collect()
@@ -31,8 +97,6 @@ def test_file_drop_refresh_uses_newest_upload(spark, sf_dir):
 
 
 def _counts(df):
-    from pyspark.sql import functions as F
-
     return df.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
 
 
