@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .. import fixed_values as FV
+from ..sources.versions import publish, publish_with_totals
 
 SCOPES = ["local", "state"]
 
@@ -56,10 +57,22 @@ def months_spanned(df: DataFrame, date_col: str = "violation_date") -> DataFrame
                    .cast("int") + 1).alias("months"))
 
 
+def total_columns() -> list[Column]:
+    """The thirteen grand totals as aggregates of the metric columns, each under its own name."""
+    return [F.sum(name[len("sum_"):]).alias(name) for name in FV.TOTAL_COLUMNS]
+
+
 def metrics_totals(metrics: DataFrame) -> DataFrame:
-    """A4: the thirteen grand totals in one aggregate (each under its own name)."""
-    sources = [name[len("sum_"):] for name in FV.TOTAL_COLUMNS]
-    return metrics.agg(*[F.sum(src).alias(dst) for src, dst in zip(sources, FV.TOTAL_COLUMNS)])
+    """A4: the thirteen grand totals in one aggregate."""
+    return metrics.agg(*total_columns())
+
+
+def write_metrics(metrics: DataFrame, path: str, totals_path: str) -> None:
+    """A4 + A6 + S9: the detail rows and their thirteen totals as two tables, the metrics being computed once.
+
+    The totals are taken while the detail is written (see ``sources.versions.publish_with_totals``).
+    """
+    publish(publish_with_totals(metrics, path, total_columns()), totals_path)
 
 
 def totals_long(totals: DataFrame) -> DataFrame:

@@ -248,13 +248,32 @@ def csv_sheet(spark, d):
     return read_csv_table(spark, path, SCHEMAS["customer"])
 
 
+def csv_quarantine(spark, d):
+    """A customer sheet with spoilt lines; every line is a row or is kept as it stands.
+
+    The sheet holds customers as CSV, some with a balance that is no number, some cut after two cells, some with a cell
+    too many.
+    """
+    cust = read_table(spark, d, "customer")
+    kind = F.col("c_custkey") % 10
+    cells = [F.col(c).cast("string") for c in cust.columns]
+    cells[3] = F.when(kind == 3, F.lit("n/a")).otherwise(cells[3])
+    line = (F.when(kind == 7, F.concat_ws(",", *cells[:2])).when(kind == 9, F.concat_ws(",", *cells[:3], *cells[2:]))
+            .otherwise(F.concat_ws(",", *cells)))
+    path = scratch_path(spark, "spoilt_csv")
+    cust.select(line.alias("value")).write.text(path)
+    rows, spoilt = FS.read_csv_checked(spark, path, SCHEMAS["customer"], header=False)
+    return rows.withColumn("spoilt_line", F.lit(None).cast("string")).unionByName(
+        spoilt.select("spoilt_line"), allowMissingColumns=True)
+
+
 def result_set(spark, d):
-    """A set of result tables persisted by name, read back and counted."""
-    metrics = _metrics(spark, d)
-    paths = FS.write_results({"citations": metrics, "totals": R.metrics_totals(metrics),
-                              "violations": V.merge_violation_refs(S.violation_types(spark, d),
-                                                                   local_prefix=S.LOCAL_PREFIX)},
-                             scratch_path(spark, "results"))
+    """A set of result tables persisted by name, read back and counted; detail and totals in one pass."""
+    base = scratch_path(spark, "results")
+    paths = {name: f"{base}/{name}" for name in ("citations", "totals")}
+    R.write_metrics(_metrics(spark, d), paths["citations"], paths["totals"])
+    paths |= FS.write_results({"violations": V.merge_violation_refs(S.violation_types(spark, d),
+                                                                    local_prefix=S.LOCAL_PREFIX)}, base)
     counts = [FS.read_current(spark, p).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, p in paths.items()]
     return functools.reduce(DataFrame.unionByName, counts)
 
@@ -304,5 +323,6 @@ QUERIES = {
     "integers_from_text": integers_from_text,
     "fines_by_name": fines_by_name,
     "csv_sheet": csv_sheet,
+    "csv_quarantine": csv_quarantine,
     "result_set": result_set,
 }

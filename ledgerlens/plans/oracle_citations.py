@@ -231,6 +231,14 @@ SELECT * FROM c WHERE (SELECT min(c_custkey) FROM c WHERE ref IS NULL) IS NULL
     "fines_by_name": f"WITH {COUNTED}\nSELECT idx, m.violation, CAST(f.local_fine AS DOUBLE) AS local_fine, "
                      "CAST(f.state_fine AS DOUBLE) AS state_fine FROM merged m LEFT JOIN fines f ON m.violation = f.fviolation",
     "csv_sheet": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
+    "csv_quarantine": """SELECT CASE WHEN good THEN c_custkey END AS c_custkey, CASE WHEN good THEN c_name END AS c_name,
+       CASE WHEN good THEN c_nationkey END AS c_nationkey, CASE WHEN good THEN c_acctbal END AS c_acctbal,
+       CASE WHEN good THEN c_mktsegment END AS c_mktsegment,
+       CASE c_custkey % 10
+         WHEN 3 THEN concat_ws(',', c_custkey, c_name, c_nationkey, 'n/a', c_mktsegment)
+         WHEN 7 THEN concat_ws(',', c_custkey, c_name)
+         WHEN 9 THEN concat_ws(',', c_custkey, c_name, c_nationkey, c_nationkey, c_acctbal, c_mktsegment) END AS spoilt_line
+FROM (SELECT *, c_custkey % 10 NOT IN (3, 7, 9) AS good FROM customer)""",
     "result_set": f"WITH {COUNTED},\n{TOTALS}\nSELECT 'citations' AS name, count(*) AS n FROM metrics "
                   "UNION ALL SELECT 'totals', count(*) FROM totals "
                   "UNION ALL SELECT 'violations', count(*) FROM merged",

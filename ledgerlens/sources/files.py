@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
 from .versions import current_version, publish, read_current
 
 
@@ -34,6 +35,48 @@ def read_vector_csv(spark: SparkSession, path: str, schema: T.StructType,
     return df.withColumn(vector_col, parse_vector(F.col(vector_col)))
 
 
+def read_vector_csv_checked(spark: SparkSession, path: str, schema: T.StructType,
+                            vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """S3 + F4 with malformed vectors kept apart: (rows, spoilt rows with the vector's text in ``spoilt_text``).
+
+    An absent vector (no text) is no fault. A vector whose text is no list of numbers is one.
+    """
+    string_schema = T.StructType([
+        T.StructField(f.name, T.StringType() if f.name == vector_col else f.dataType, True) for f in schema.fields])
+    read = (spark.read.schema(string_schema).options(**_FAITHFUL, emptyValue="", multiLine=True).csv(path)
+            .withColumnRenamed(vector_col, "spoilt_text")
+            .withColumn(vector_col, parse_vector(F.col("spoilt_text"))))
+    elements = F.coalesce(F.exists(vector_col, lambda x: x.isNull()), F.lit(True))  # NULL: no list at all
+    rows, spoilt = _divided(read, F.col("spoilt_text").isNotNull() & elements)
+    return rows.select(*schema.names), spoilt.select(*[c for c in schema.names if c != vector_col], "spoilt_text")
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, header: bool = True,
+                     multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S1 for CSV sheets with spoilt lines kept apart: (rows, spoilt lines as ``spoilt_line`` and ``source_file``).
+
+    A line is spoilt if it has too few or too many cells, or a cell that is not of its column's type; it is kept as it
+    stands, and no part of it becomes a row. Empty lines are neither. The files are parsed once: both results are read
+    from what was written then, each from its own folder. ``multi_line`` permits line ends inside quotes; without it a
+    quote that is never closed spoils its own line only, and a large file is read by many tasks.
+    """
+    noted = T.StructType([*schema.fields, T.StructField("spoilt_line", T.StringType(), True)])
+    read = (spark.read.schema(noted).options(header=header, multiLine=multi_line, escape='"', mode="PERMISSIVE",
+                                             columnNameOfCorruptRecord="spoilt_line").csv(path)
+            .withColumn("source_file", F.col("_metadata.file_path")))
+    rows, spoilt = _divided(read, F.col("spoilt_line").isNotNull())
+    return rows.select(*schema.names), spoilt.select("spoilt_line", "source_file")
+
+
+def _divided(df: DataFrame, spoilt: Column) -> tuple[DataFrame, DataFrame]:
+    """``df`` written once in two folders: rows where ``spoilt`` is false, and where it is true."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "checked")
+    df.withColumn("_spoilt", spoilt.cast("int")).write.partitionBy("_spoilt").parquet(path)
+    schema = T.StructType([*df.schema.fields, T.StructField("_spoilt", T.IntegerType(), True)])
+    written = spark.read.schema(schema).parquet(path)
+    return tuple(written.filter(F.col("_spoilt") == side).drop("_spoilt") for side in (0, 1))
+
+
 def parse_vector(c: Column) -> Column:
     """a JSON/Python list literal of numbers to ``array<double>``; NULL when malformed."""
     return F.from_json(c, "array<double>")

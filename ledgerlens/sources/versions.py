@@ -14,7 +14,7 @@ from __future__ import annotations
 import uuid
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _COMMITS = "_commits"
@@ -65,6 +65,19 @@ def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     return f"{path}/{version}"
 
 
+def publish_with_totals(df: DataFrame, path: str, totals: list[Column]) -> DataFrame:
+    """``publish`` and, from the same pass over ``df``, one row of ``totals`` (aggregates of its columns).
+
+    The totals are observed while the rows are written: each task's part counts once, however often the task was tried,
+    as no shuffle follows. Without rows they are what the aggregates give for an empty table. Names must differ.
+    """
+    seen = Observation()
+    schema = df.agg(*totals).schema
+    publish(df.observe(seen, *totals), path)
+    got = seen.get
+    return df.sparkSession.createDataFrame([tuple(got[f.name] for f in schema.fields)], schema)
+
+
 def _commit(spark: SparkSession, path: str, version: str) -> list[tuple[int, str]]:
     """Make a written version the current one; returns the versions committed before it."""
     known = committed(spark, path)

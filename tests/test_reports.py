@@ -3,6 +3,8 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import reports as R
+from ledgerlens.session import scratch_path
+from ledgerlens.sources.versions import read_current
 
 
 def _classified(spark):
@@ -49,6 +51,32 @@ def test_totals_and_report_rollup(spark):
     assert total["line"] is None
 
 
+def test_detail_and_totals_come_from_one_pass(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    counted = F.udf(count, "long").asNondeterministic()
+    m = _metrics(spark).repartition(3).withColumn("idx", counted("idx"))
+    detail, totals = scratch_path(spark, "detail"), scratch_path(spark, "totals")
+    R.write_metrics(m, detail, totals)
+    assert seen.value == 2
+    want = R.metrics_totals(_metrics(spark))
+    got = read_current(spark, totals)
+    assert got.schema == want.schema and got.collect() == want.collect()
+    assert sorted(read_current(spark, detail).collect()) == sorted(_metrics(spark).collect())
+
+
+def test_totals_of_an_empty_detail(spark):
+    for empty in (_metrics(spark).filter("idx < 0"), _metrics(spark).limit(0), _metrics(spark).filter(F.lit(False))):
+        detail, totals = scratch_path(spark, "detail"), scratch_path(spark, "totals")
+        R.write_metrics(empty, detail, totals)
+        assert [set(r) for r in read_current(spark, totals).collect()] == [{None}]
+        assert read_current(spark, detail).count() == 0
+
+
 def test_impact_zero_months_is_null(spark):
     df = spark.createDataFrame([(1200.0, 0), (1200.0, 24)], "lost double, months int")
     out = df.select(*R.revenue_impact(F.col("lost"), F.col("months"), F.lit(0.5))).collect()

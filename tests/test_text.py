@@ -75,6 +75,48 @@ def test_vector_csv_keeps_spaces_empty_and_missing_texts(spark):
     assert [tuple(r) for r in back] == rows
 
 
+def test_spoilt_vectors_are_kept_apart(spark):
+    text = spark.createDataFrame([(1, " a ", "[1.0,2]"), (2, "b", "[1.0, oops"), (3, "c", None), (4, "", "[1,null]"),
+                                  (5, None, "text"), (6, "f", "[]")], "k long, t string, embedding string")
+    path = scratch_path(spark, "test_csv")
+    text.write.options(**FS._FAITHFUL, emptyValue='""').csv(path)
+    schema = T.StructType().add("k", "long").add("t", "string").add("embedding", T.ArrayType(T.DoubleType()))
+    rows, spoilt = FS.read_vector_csv_checked(spark, path, schema)
+    assert rows.columns == schema.names
+    assert sorted(map(tuple, rows.collect())) == [(1, " a ", [1.0, 2.0]), (3, "c", None), (6, "f", [])]
+    assert sorted(map(tuple, spoilt.collect())) == [(2, "b", "[1.0, oops"), (4, "", "[1,null]"), (5, None, "text")]
+
+
+SHEET = T.StructType().add("k", "long").add("name", "string").add("amount", "double").add("spoilt", "string")
+
+
+def test_spoilt_lines_are_kept_apart_as_they_stand(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        'k,name,amount,spoilt\n1,"x, ""y""",2.5,p\n2,short\n\n3,z,n/a,p\n4,z,1,p,more\n5,,,\n6,"open,1,p\n7,last,3,p\n')
+    (tmp_path / "b.csv").write_text("k,name,amount,spoilt\nnine,z,1,p\n8,z,1,p\n8,z,1,p\n")
+    (tmp_path / "c.csv").write_text("k,name,amount,spoilt\n")
+    rows, spoilt = FS.read_csv_checked(spark, str(tmp_path), SHEET)
+    assert rows.schema.simpleString() == SHEET.simpleString()
+    assert sorted(map(tuple, rows.collect()), key=str) == [
+        (1, 'x, "y"', 2.5, "p"), (5, None, None, None), (7, "last", 3.0, "p"), (8, "z", 1.0, "p"), (8, "z", 1.0, "p")]
+    assert sorted((r.spoilt_line, r.source_file[-5:]) for r in spoilt.collect()) == [
+        ("2,short", "a.csv"), ("3,z,n/a,p", "a.csv"), ("4,z,1,p,more", "a.csv"), ('6,"open,1,p', "a.csv"),
+        ("nine,z,1,p", "b.csv")]
+    assert spoilt.count() == 5 and rows.select("name").count() == 5  # neither needs the other's columns
+
+
+def test_sheet_without_lines_has_neither(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,name,amount,spoilt\n")
+    rows, spoilt = FS.read_csv_checked(spark, str(tmp_path), SHEET)
+    assert rows.columns == SHEET.names and rows.count() == 0 and spoilt.count() == 0
+
+
+def test_lines_in_quotes_may_span_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,name,amount,spoilt\n1,"two\nlines",2,p\n2,x,no,p\n')
+    rows, spoilt = FS.read_csv_checked(spark, str(tmp_path), SHEET, multi_line=True)
+    assert [tuple(r) for r in rows.collect()] == [(1, "two\nlines", 2.0, "p")] and spoilt.count() == 1
+
+
 def test_money_null_stays_null(spark):
     assert _one(spark, None, lambda c: TX.money(c.cast("double"))) is None
 
