@@ -34,6 +34,8 @@ BLOCK_RADIUS = 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Size of the bitmap of item shingles that every task holds: 2**24 bits are 2 MB.
 BITMAP_BITS = 24
+#: Shingles that a batch of windows carries; a window with more is a batch of its own.
+BATCH_SHINGLES = 1 << 18
 
 
 def _simhash(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -65,8 +67,7 @@ def _items(benchmark: DataFrame, shingle_words: int) -> DataFrame:
 
 _ITEM = pa.schema([("item_id", pa.int64()), ("size", pa.int32()), ("fp", pa.int64()),
                    ("shingles", pa.list_(pa.int64()))])
-_WINDOW = pa.schema([("_doc", pa.int64()), ("_text_hash", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int32()),
-                     ("start_word", pa.int64()), ("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+_WINDOW = ["_doc", "_text_hash", "doc_id", "size", "start_word", "fp", "shingles"]
 
 
 def _bitmap(items: DataFrame) -> np.ndarray:
@@ -84,10 +85,31 @@ def _least_shared(own: int, other: int, similarity: float) -> int:
     return int(np.ceil((own + other) * similarity / (1 + similarity) - 1e-9))
 
 
+def _window_batch(parts: list[tuple]) -> pa.RecordBatch:
+    """Windows of (document, size, starts, fingerprints, shingles), column by column."""
+    counts = [len(starts) for _, _, starts, _, _ in parts]
+    part = pa.array(np.repeat(np.arange(len(parts)), counts))
+    key = [pa.array([p[0][i] for p in parts], pa.int64()).take(part) for i in range(3)]
+    size = pa.array([p[1] for p in parts], pa.int32()).take(part)
+    ends = np.cumsum(np.repeat([p[4].shape[1] for p in parts], counts), dtype=np.int32)
+    shingles = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()),
+                                        pa.array(np.concatenate([p[4].ravel() for p in parts]).view(np.int64)))
+    starts, fps = (np.concatenate([p[i] for p in parts]).astype(t, copy=False) for i, t in ((2, np.int64), (3, np.uint64)))
+    return pa.RecordBatch.from_arrays([*key, size, pa.array(starts), pa.array(fps.view(np.int64)), shingles],
+                                      names=_WINDOW)
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a list column as views of its values."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(at[:-1], at[1:])]
+
+
 def _windows(docs: DataFrame, sizes: list[int], bitmap, shingle_words: int, min_similarity: float) -> DataFrame:
     """Windows of the item sizes that hold enough shingles of any item, with fingerprint and shingles."""
 
-    def of_text(words: np.ndarray) -> Iterator[tuple[int, int, int, list[int]]]:
+    def of_text(words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(size, starts, fingerprints, one row of shingles a window)."""
         s = shingle_hashes(words, shingle_words)
         at = s >> np.uint64(64 - BITMAP_BITS)
         hit = (bitmap.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
@@ -98,31 +120,36 @@ def _windows(docs: DataFrame, sizes: list[int], bitmap, shingle_words: int, min_
             full = size - shingle_words + 1
             n = min(full, len(s))
             starts = np.flatnonzero(upto[n:] - upto[:-n] >= max(1, _least_shared(n, full, min_similarity)))
+            if not len(starts):
+                continue
+            windows = np.lib.stride_tricks.sliding_window_view(s, n)  # a view: nothing is copied until rows are taken
             for k in range(0, len(starts), 4096):
                 some = starts[k:k + 4096]
-                low, high = int(some[0]), int(some[-1]) + n
                 # a stretch of windows far apart is cut, so that the sums span windows that overlap only
                 for run in np.split(some, np.flatnonzero(np.diff(some) > n) + 1):
                     low, high = int(run[0]), int(run[-1]) + n
                     sums = np.zeros((high - low + 1, 64), np.int32)
                     np.cumsum(_bits(s[low:high]), axis=0, out=sums[1:])
-                    fp = _simhash(sums[run - low + n] - sums[run - low], np.full(len(run), n)).view(np.int64)
-                    for start, f in zip(run.tolist(), fp.tolist(), strict=True):
-                        yield size, start, f, s[start:start + n].view(np.int64).tolist()
+                    fp = _simhash(sums[run - low + n] - sums[run - low], np.full(len(run), n))
+                    step = max(1, BATCH_SHINGLES // n)
+                    for i in range(0, len(run), step):
+                        yield size, run[i:i + step], fp[i:i + step], windows[run[i:i + step]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = [b.column(i).to_pylist() for i in range(3)]
             words, counts = word_hashes(b.column(3).to_pylist())
-            rows, at = [], 0
-            for doc, text_hash, doc_id, n in zip(*keys, counts.tolist(), strict=True):
-                for size, start, fp, s in of_text(words[at:at + n]):
-                    rows.append(dict(zip(_WINDOW.names, (doc, text_hash, doc_id, size, start, fp, s))))
-                    if len(rows) >= 2000:
-                        yield pa.RecordBatch.from_pylist(rows, _WINDOW)
-                        rows = []
+            parts, held, at = [], 0, 0
+            for *key, n in zip(*keys, counts.tolist(), strict=True):
+                for part in of_text(words[at:at + n]):
+                    if parts and held + part[3].size > BATCH_SHINGLES:
+                        yield _window_batch(parts)
+                        parts, held = [], 0
+                    parts.append((key, *part))
+                    held += part[3].size
                 at += n
-            yield pa.RecordBatch.from_pylist(rows, _WINDOW)
+            if parts:
+                yield _window_batch(parts)
 
     return (docs.select(*document_key(), F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("text").cast("string").alias("text"))
@@ -146,10 +173,10 @@ def _blocks(value: str, near: bool) -> str:
     return f"concat({', '.join(out)})"
 
 
-def _similarity(a: list[int], b: list[int]) -> float:
+def _similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Shared weight over the weight of the union, of two multisets."""
-    va, ca = np.unique(np.array(a, np.int64), return_counts=True)
-    vb, cb = np.unique(np.array(b, np.int64), return_counts=True)
+    va, ca = np.unique(a, return_counts=True)
+    vb, cb = np.unique(b, return_counts=True)
     both, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
     shared = int(np.minimum(ca[ia], cb[ib]).sum())
     return shared / (len(a) + len(b) - shared)
@@ -179,7 +206,7 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, shingle_words: i
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sim = [_similarity(x, y) for x, y in zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)]
+            sim = [_similarity(x, y) for x, y in zip(_lists(b.column(5)), _lists(b.column(6)), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sim, pa.float64())],
                                              names=["size", "fp", "shingles_hash", "item_id", "bits", "similarity"])
 

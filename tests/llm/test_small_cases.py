@@ -271,6 +271,19 @@ def brute_best(docs, items, n=5, least=0.8):
     return out
 
 
+def test_decontamination_of_a_long_item(spark, make_docs):
+    """Hundreds of windows of thousands of shingles: whole batches, the true place, and nothing of the clean text."""
+    words = [f"w{i * i % 7919}x{i}" for i in range(2000)]
+    other = [f"v{i}" for i in range(9000)]
+    df = make_docs([(1, " ".join(other[:700] + words + other[700:1500])), (2, " ".join(other)), (None, " ".join(words[:1850])),
+                    (3, " ".join(words[:1500]))])
+    bench = spark.createDataFrame([(7, " ".join(words)), (8, " ".join(words[100:107]))], "item_id long, text string")
+    rows = decontamination.contaminated_windows(df, bench).collect()
+    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words, round(r.similarity, 6)) for r in rows}
+    assert got == {(1, 7): (700, 2000, 1.0), (1, 8): (800, 7, 1.0), (3, 8): (100, 7, 1.0), (None, 8): (100, 7, 1.0),
+                   (None, 7): (0, 2000, round(1846 / 1996, 6))}
+
+
 def test_decontamination_equals_brute_force(spark, make_docs):
     items = [(1, prose(901, 30)), (2, prose(902, 17)), (3, "too few words"), (4, None), (5, ""), (6, "a b a b a b a b a b"),
              (7, prose(902, 17)), (8, "one two three four five")]
