@@ -1,21 +1,25 @@
 """Benchmark decontamination by item-sized windows.
 
 Both sides are shingles of five words. For every item size, each window of a document with as many words as the item
-gets a 64-bit SimHash; a multi-index over 8 blocks of 8 bits (items are entered under all values within 2 bits of each
-block) finds every item of that size within ``8 * 3 - 1 = 23`` bits, and the exact similarity of the two weighted
-shingle sets (repeats count) decides.
+gets a 64-bit SimHash; a multi-index over five blocks (items are entered under all values within 3 bits of a block of
+13, or 2 bits of one of 12) finds every item of that size within ``4 * 4 + 3 - 1 = 18`` bits, and the exact similarity
+of the two weighted shingle sets (repeats count) decides.
 
 Windows that hold too few shingles of any item to reach the similarity are never formed. That test uses a bitmap of
 fixed size over the items' shingles: it has no false negatives, so a large benchmark makes it weaker but never wrong.
-Document texts are read once and never shuffled.
+A window is written as its place, its fingerprint and a hash of its shingles. Equal windows are verified once, in the
+document of the least key: the texts of these documents, the items found near and the windows are sorted together, and
+a task streams them, holding one text and one item at a time.
 
 Cases: a NULL text has no words; an item of fewer than five words has no shingle and matches nothing; a document
-shorter than an item is one window; repeated documents and items each give their own rows; a document is its
-(doc_id, text); empty tables give no rows; further columns are ignored.
+shorter than an item is one window; repeated documents give their own rows, repeated item ids the row of their best
+window, items without an id likewise; a document is its (doc_id, text); empty tables give no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import document_key, stored
-from .words import shingle_hashes, word_hashes
+from .words import mix, shingle_hashes, word_hashes
 
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
-BLOCKS = 8
-BLOCK_BITS = 64 // BLOCKS
-BLOCK_RADIUS = 2
-RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
+#: Bits of each block of a fingerprint, and the bits in which an item may differ there.
+BLOCKS = ((13, 3), (13, 3), (13, 3), (13, 3), (12, 2))
+RADIUS = sum(r + 1 for _, r in BLOCKS) - 1
+ENTRIES = sum(math.comb(bits, k) for bits, r in BLOCKS for k in range(r + 1))
+#: The index of the items is broadcast up to so many bytes, at so many an entry; beyond that it is shuffled.
+MAX_INDEX_BYTES, ENTRY_BYTES = 32 << 20, 64
 #: Size of the bitmap of item shingles that every task holds: 2**24 bits are 2 MB.
 BITMAP_BITS = 24
-#: Shingles that a batch of windows carries; a window with more is a batch of its own.
-BATCH_SHINGLES = 1 << 18
+#: Windows in a batch that a task writes.
+BATCH_WINDOWS = 1 << 16
 
 
 def _simhash(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -61,13 +67,14 @@ def _items(benchmark: DataFrame, shingle_words: int) -> DataFrame:
                     rows.append((item, len(words), int(fp.view(np.int64)[0]), s.view(np.int64).tolist()))
             yield pa.RecordBatch.from_pylist([dict(zip(("item_id", "size", "fp", "shingles"), r)) for r in rows], _ITEM)
 
-    return (benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "item_id long, size int, fp long, shingles array<long>"))
+    found = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+             .mapInArrow(run, "item_id long, size int, fp long, shingles array<long>"))
+    return found.withColumn("item", F.xxhash64("item_id", "size", "shingles")).dropDuplicates(["item"])
 
 
 _ITEM = pa.schema([("item_id", pa.int64()), ("size", pa.int32()), ("fp", pa.int64()),
                    ("shingles", pa.list_(pa.int64()))])
-_WINDOW = ["_doc", "_text_hash", "doc_id", "size", "start_word", "fp", "shingles"]
+_WINDOW = "_doc long, _text_hash long, doc_id long, size int, start_word long, fp long, print long"
 
 
 def _bitmap(items: DataFrame) -> np.ndarray:
@@ -85,44 +92,51 @@ def _least_shared(own: int, other: int, similarity: float) -> int:
     return int(np.ceil((own + other) * similarity / (1 + similarity) - 1e-9))
 
 
-def _window_batch(parts: list[tuple]) -> pa.RecordBatch:
-    """Windows of (document, size, starts, fingerprints, shingles), column by column."""
-    counts = [len(starts) for _, _, starts, _, _ in parts]
-    part = pa.array(np.repeat(np.arange(len(parts)), counts))
-    key = [pa.array([p[0][i] for p in parts], pa.int64()).take(part) for i in range(3)]
-    size = pa.array([p[1] for p in parts], pa.int32()).take(part)
-    ends = np.cumsum(np.repeat([p[4].shape[1] for p in parts], counts), dtype=np.int32)
-    shingles = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()),
-                                        pa.array(np.concatenate([p[4].ravel() for p in parts]).view(np.int64)))
-    starts, fps = (np.concatenate([p[i] for p in parts]).astype(t, copy=False) for i, t in ((2, np.int64), (3, np.uint64)))
-    return pa.RecordBatch.from_arrays([*key, size, pa.array(starts), pa.array(fps.view(np.int64)), shingles],
-                                      names=_WINDOW)
+class _Prints:
+    """Hashes of any runs of a text's shingles, from one pass over it.
 
+    A run's hash is a polynomial of its shingles modulo 2^64, mixed with its length: with the powers of the inverse of
+    the (odd) base summed up once, a run is the difference of two sums, shifted to the run's first shingle."""
 
-def _lists(column: pa.ListArray) -> list[np.ndarray]:
-    """The rows of a list column as views of its values."""
-    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    return [values[i:j] for i, j in zip(at[:-1], at[1:])]
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def start(self, shingles: np.ndarray) -> None:
+        n = len(shingles) + 1
+        if len(self.up) < n:
+            powers = np.full((2, n), [[self.BASE], [pow(self.BASE, -1, 1 << 64)]], np.uint64)
+            powers[:, 0] = 1
+            self.up, self.down = np.multiply.accumulate(powers, axis=1)
+        self.sums = np.zeros(n, np.uint64)
+        np.cumsum(shingles * self.down[:n - 1], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, n: int) -> np.ndarray:
+        return mix((self.sums[starts + n] - self.sums[starts]) * self.up[starts] ^ np.uint64(n))
 
 
 def _windows(docs: DataFrame, sizes: list[int], bitmap, shingle_words: int, min_similarity: float) -> DataFrame:
-    """Windows of the item sizes that hold enough shingles of any item, with fingerprint and shingles."""
+    """Windows of the item sizes that hold enough shingles of any item, with their fingerprint and hash."""
 
-    def of_text(words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(size, starts, fingerprints, one row of shingles a window)."""
+    def of_text(words: np.ndarray, prints: _Prints) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(size, starts, fingerprints, hashes)."""
         s = shingle_hashes(words, shingle_words)
         at = s >> np.uint64(64 - BITMAP_BITS)
         hit = (bitmap.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         if not hit.any():
             return
         upto = np.concatenate([[0], np.cumsum(hit)])
+        started = False
         for size in sizes:
             full = size - shingle_words + 1
             n = min(full, len(s))
             starts = np.flatnonzero(upto[n:] - upto[:-n] >= max(1, _least_shared(n, full, min_similarity)))
             if not len(starts):
                 continue
-            windows = np.lib.stride_tricks.sliding_window_view(s, n)  # a view: nothing is copied until rows are taken
+            if not started:
+                prints.start(s)
+                started = True
             for k in range(0, len(starts), 4096):
                 some = starts[k:k + 4096]
                 # a stretch of windows far apart is cut, so that the sums span windows that overlap only
@@ -131,55 +145,91 @@ def _windows(docs: DataFrame, sizes: list[int], bitmap, shingle_words: int, min_
                     sums = np.zeros((high - low + 1, 64), np.int32)
                     np.cumsum(_bits(s[low:high]), axis=0, out=sums[1:])
                     fp = _simhash(sums[run - low + n] - sums[run - low], np.full(len(run), n))
-                    step = max(1, BATCH_SHINGLES // n)
-                    for i in range(0, len(run), step):
-                        yield size, run[i:i + step], fp[i:i + step], windows[run[i:i + step]]
+                    yield size, run, fp, prints.of(run, n)
+
+    def batch(parts: list[tuple]) -> pa.RecordBatch:
+        part = pa.array(np.repeat(np.arange(len(parts)), [len(p[2]) for p in parts]))
+        key = [pa.array([p[0][i] for p in parts], pa.int64()).take(part) for i in range(3)]
+        starts, fps, prints = (pa.array(np.concatenate([p[i] for p in parts]).view(np.int64)) for i in (2, 3, 4))
+        return pa.RecordBatch.from_arrays([*key, pa.array([p[1] for p in parts], pa.int32()).take(part), starts, fps, prints],
+                                          names=[c.split()[0] for c in _WINDOW.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints = _Prints()
         for b in batches:
             keys = [b.column(i).to_pylist() for i in range(3)]
             words, counts = word_hashes(b.column(3).to_pylist())
             parts, held, at = [], 0, 0
             for *key, n in zip(*keys, counts.tolist(), strict=True):
-                for part in of_text(words[at:at + n]):
-                    if parts and held + part[3].size > BATCH_SHINGLES:
-                        yield _window_batch(parts)
-                        parts, held = [], 0
+                for part in of_text(words[at:at + n], prints):
                     parts.append((key, *part))
-                    held += part[3].size
+                    held += len(part[1])
+                    if held >= BATCH_WINDOWS:
+                        yield batch(parts)
+                        parts, held = [], 0
                 at += n
             if parts:
-                yield _window_batch(parts)
+                yield batch(parts)
 
     return (docs.select(*document_key(), F.col("doc_id").cast("long").alias("doc_id"),
-                        F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "_doc long, _text_hash long, doc_id long, size int, start_word long, fp long, "
-                             "shingles array<long>"))
-
-
-def _near_values(value: str) -> str:
-    """SQL array of all block values within BLOCK_RADIUS bits of ``value``."""
-    masks = [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= BLOCK_RADIUS]
-    return f"transform(array({', '.join(map(str, masks))}), m -> {value} ^ m)"
+                        F.col("text").cast("string").alias("text")).mapInArrow(run, _WINDOW))
 
 
 def _blocks(value: str, near: bool) -> str:
     """SQL array of (block, value) of a fingerprint, entered under all near values if asked."""
-    out = []
-    for k in range(BLOCKS):
-        own = f"cast(shiftrightunsigned({value}, {k * BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}L AS int)"
-        values = _near_values(own) if near else f"array({own})"
-        out.append(f"transform({values}, x -> {k << BLOCK_BITS} + x)")
+    out, at = [], 0
+    for k, (bits, radius) in enumerate(BLOCKS):
+        own = f"{k << 16} + cast(shiftrightunsigned({value}, {at}) & {(1 << bits) - 1}L AS int)"
+        masks = [m for m in range(1 << bits) if m.bit_count() <= radius]
+        out.append(f"transform(array({', '.join(map(str, masks))}), m -> ({own}) ^ m)" if near else f"array({own})")
+        at += bits
     return f"concat({', '.join(out)})"
 
 
-def _similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Shared weight over the weight of the union, of two multisets."""
-    va, ca = np.unique(a, return_counts=True)
-    vb, cb = np.unique(b, return_counts=True)
-    both, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
-    shared = int(np.minimum(ca[ia], cb[ib]).sum())
-    return shared / (len(a) + len(b) - shared)
+def _verify(docs: DataFrame, items: DataFrame, near: DataFrame, shingle_words: int, min_similarity: float) -> DataFrame:
+    """(size, fp, print, item_id, bits, similarity) of the ``near`` windows that are as similar to their item."""
+    key = ["_doc", "_text_hash"]
+    columns = ("item long, kind int, text string, shingles array<long>, item_id long, size int, start_word long, fp long, "
+               "print long, bits int").split(", ")
+
+    def rows(df: DataFrame, kind: int) -> DataFrame:
+        given = {"kind": F.lit(kind)} | {c: F.col(c) for c in df.columns}
+        return df.select(*key, *(given.get(name, F.lit(None)).cast(kind_of).alias(name)
+                                 for name, kind_of in (c.split() for c in columns)))
+
+    texts = docs.select(*document_key(), "text").join(near.select(*key).distinct(), key, "left_semi")
+    asked = near.select(*key, "item").distinct().join(items.select("item", "shingles"), "item")
+    # of a document the text comes first, of an item its shingles, then its windows
+    dealt = (rows(texts, 0).unionByName(rows(asked, 1)).unionByName(rows(near, 2)).repartition(*key)
+             .sortWithinPartitions(*key, F.col("item").asc_nulls_first(), "kind"))
+    names = ["size", "fp", "print", "item_id", "bits"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = values = counts = None
+        for b in batches:
+            kinds, texts, wanted = b.column("kind").to_pylist(), b.column("text"), b.column("shingles")
+            sizes, starts = b.column("size").to_pylist(), b.column("start_word").to_pylist()
+            kept, similar = [], []
+            for i, kind in enumerate(kinds):
+                if kind == 0:
+                    shingles = shingle_hashes(word_hashes([texts[i].as_py()])[0], shingle_words)
+                elif kind == 1:
+                    own = wanted[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                    values, counts = np.unique(own, return_counts=True)
+                else:
+                    window = shingles[starts[i]:starts[i] + sizes[i] - shingle_words + 1]
+                    at = np.minimum(np.searchsorted(values, window), len(values) - 1)
+                    at = at[values[at] == window]
+                    shared = int(np.minimum(np.bincount(at, minlength=len(values)), counts).sum())
+                    similarity = shared / (len(window) + int(counts.sum()) - shared)
+                    if similarity >= min_similarity:
+                        kept.append(i)
+                        similar.append(similarity)
+            if kept:
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(kept)) for c in names),
+                                                  pa.array(similar, pa.float64())], names=[*names, "similarity"])
+
+    return dealt.mapInArrow(run, "size int, fp long, print long, item_id long, bits int, similarity double")
 
 
 def contaminated_windows(docs: DataFrame, benchmark: DataFrame, shingle_words: int = SHINGLE_WORDS,
@@ -192,31 +242,20 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, shingle_words: i
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     sent = docs.sparkSession.sparkContext.broadcast(_bitmap(items))
     windows = stored(_windows(docs, sizes, sent, shingle_words, min_similarity), "windows")
-    # near windows of copies share fingerprint and shingles: each is verified once
-    shape = ["size", "fp", "shingles_hash"]
-    windows = windows.withColumn("shingles_hash", F.xxhash64("shingles"))
-    shapes = windows.groupBy(*shape).agg(F.any_value("shingles").alias("shingles"))
-    index = items.select("item_id", "size", F.col("fp").alias("item_fp"), F.explode(F.expr(_blocks("fp", True))).alias("block"))
-    found = (shapes.select(*shape, F.explode(F.expr(_blocks("fp", False))).alias("block"))
-             .join(index, ["size", "block"])
-             .withColumn("bits", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
-             .where(F.col("bits") <= radius).select(*shape, "item_id", "bits").distinct())
-    pairs = (found.join(shapes, shape)
-             .join(items.select("item_id", F.col("shingles").alias("item_shingles")).distinct(), "item_id"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sim = [_similarity(x, y) for x, y in zip(_lists(b.column(5)), _lists(b.column(6)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sim, pa.float64())],
-                                             names=["size", "fp", "shingles_hash", "item_id", "bits", "similarity"])
-
-    proven = (pairs.select(*shape, "item_id", "bits", "shingles", "item_shingles")
-              .mapInArrow(verify, "size int, fp long, shingles_hash long, item_id long, bits int, similarity double")
-              .where(F.col("similarity") >= min_similarity))
+    shape = ["size", "fp", "print"]
+    shapes = windows.groupBy(*shape).agg(F.min(F.struct("_doc", "_text_hash", "start_word")).alias("at"))
+    index = items.select("item", "item_id", "size", F.col("fp").alias("item_fp"),
+                         F.explode(F.expr(_blocks("fp", True))).alias("block"))
+    small = items.count() * ENTRIES * ENTRY_BYTES <= MAX_INDEX_BYTES
+    near = (shapes.select(*shape, "at.*", F.explode(F.expr(_blocks("fp", False))).alias("block"))
+            .join(F.broadcast(index) if small else index.hint("merge"), ["size", "block"])
+            .withColumn("bits", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
+            .where(F.col("bits") <= radius)
+            .select(*shape, "_doc", "_text_hash", "start_word", "item", "item_id", "bits").distinct())
     # as a table of its own, so that Spark may split the partitions of a passage that very many documents hold
-    proven = stored(proven, "proven")
+    proven = stored(_verify(docs, items, stored(near, "near"), shingle_words, min_similarity), "proven")
     best = F.max(F.struct("similarity", (-F.col("start_word")).alias("later"), "size", "bits"))
-    return (windows.select("_doc", "_text_hash", "doc_id", "start_word", *shape).join(proven, shape)
+    return (windows.join(proven, shape)
             .groupBy("_doc", "_text_hash", "doc_id", "item_id").agg(best.alias("b"))
             .select("_doc", "_text_hash", "doc_id", "item_id", (-F.col("b.later")).alias("start_word"),
                     F.col("b.size").cast("long").alias("n_words"), "b.similarity", F.col("b.bits").cast("long").alias("bits")))

@@ -303,6 +303,83 @@ def test_decontamination_equals_brute_force(spark, make_docs):
     assert decontamination.contaminated_windows(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_index_holds_all_within_its_radius():
+    """Block keys of fingerprints at every distance: none within the radius is missed, few at random meet."""
+    import random
+
+    rng = random.Random(5)
+    widths = [bits for bits, _ in decontamination.BLOCKS]
+    assert sum(widths) == 64
+
+    def meet(x, y):
+        at = 0
+        for bits, radius in decontamination.BLOCKS:
+            if ((x ^ y) >> at & ((1 << bits) - 1)).bit_count() <= radius:
+                return True
+            at += bits
+        return False
+
+    for _ in range(2000):
+        x = rng.getrandbits(64)
+        y = x
+        for bit in rng.sample(range(64), rng.randrange(decontamination.RADIUS + 1)):
+            y ^= 1 << bit
+        assert meet(x, y)
+    assert sum(meet(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(4000)) < 1000
+
+
+def test_decontamination_index_in_sql_equals_its_definition(spark):
+    fps = [0, -1, 1, 0x1234567890ABCDEF, -0x1234567890ABCDE]
+    df = spark.createDataFrame([(f,) for f in fps], "fp long").selectExpr(
+        "fp", f"{decontamination._blocks('fp', False)} AS own", f"{decontamination._blocks('fp', True)} AS near")
+    for r in df.collect():
+        want_own, want_near, at = [], set(), 0
+        for k, (bits, radius) in enumerate(decontamination.BLOCKS):
+            own = (r.fp & (1 << 64) - 1) >> at & ((1 << bits) - 1)
+            want_own.append((k << 16) + own)
+            want_near |= {(k << 16) + v for v in range(1 << bits) if (v ^ own).bit_count() <= radius}
+            at += bits
+        assert r.own == want_own and set(r.near) == want_near and len(r.near) == decontamination.ENTRIES
+
+
+def test_window_hashes_tell_runs_apart():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    prints = decontamination._Prints()
+    for n in (50, 5, 300):  # a shorter text after a longer one
+        s = rng.integers(0, 1 << 64, 4, np.uint64)[rng.integers(0, 4, n)]  # hashes, many equal runs
+        prints.start(s)
+        seen = {}
+        for size in (1, 2, 3, 7):
+            for at, h in enumerate(prints.of(np.arange(max(0, n - size + 1)), size).tolist() if n >= size else ()):
+                run = tuple(s[at:at + size].tolist())
+                assert seen.setdefault(run, h) == h
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_decontamination_of_items_without_or_with_repeated_ids(spark, make_docs):
+    """Items without an id count, a repeated id keeps its best window, repeated documents give one row a document."""
+    docs = [(1, prose(1, 20) + " " + prose(901, 30)), (1, prose(1, 20) + " " + prose(901, 30)), (2, prose(902, 17)),
+            (3, prose(3, 40)), (None, prose(902, 17))]
+    bench = spark.createDataFrame([(None, prose(901, 30)), (5, prose(902, 17)), (5, prose(901, 30)), (5, prose(902, 17))],
+                                  "item_id long, text string")
+    df = make_docs(docs)
+    got = sorted(((r.doc_id, r.item_id, r.start_word, r.n_words, r.similarity)
+                  for r in decontamination.contaminated_windows(df, bench).collect()), key=str)
+    assert got == sorted([(1, None, 20, 30, 1.0), (1, 5, 20, 30, 1.0), (2, 5, 0, 17, 1.0), (None, 5, 0, 17, 1.0)], key=str)
+    assert [r.doc_id for r in decontamination.decontaminate(df, bench).collect()] == [3]
+
+
+def test_decontamination_of_an_item_of_twenty_thousand_words(spark, make_docs):
+    """Thousands of windows of twenty thousand words are written by their place, and the true one is found."""
+    words = [f"w{i * i % 7919}x{i}" for i in range(20_000)]
+    df = make_docs([(1, " ".join([f"a{i}" for i in range(500)] + words + ["end"] * 30)), (2, " ".join(words[:5000]))])
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    assert [(r.doc_id, r.start_word, r.n_words, r.similarity) for r in
+            decontamination.contaminated_windows(df, bench).collect()] == [(1, 500, 20_000, 1.0)]
+
+
 # ---------------------------------------------------------------------------------------------------- secret scans
 
 
