@@ -37,9 +37,11 @@ BLOCKS = ((13, 3), (13, 3), (13, 3), (13, 3), (12, 2))
 RADIUS = sum(r + 1 for _, r in BLOCKS) - 1
 ENTRIES = sum(math.comb(bits, k) for bits, r in BLOCKS for k in range(r + 1))
 #: The index of the items is broadcast up to so many bytes, at so many an entry; beyond that it is shuffled.
-MAX_INDEX_BYTES, ENTRY_BYTES = 32 << 20, 64
+MAX_INDEX_BYTES, ENTRY_BYTES = 64 << 20, 160
 #: Size of the bitmap of item shingles that every task holds: 2**24 bits are 2 MB.
 BITMAP_BITS = 24
+#: Buckets of document keys; at most so many numbers are broadcast to leave out the texts that no window is near in.
+DOC_BUCKETS = 1 << 20
 #: Windows in a batch that a task writes.
 BATCH_WINDOWS = 1 << 16
 
@@ -197,7 +199,11 @@ def _verify(docs: DataFrame, items: DataFrame, near: DataFrame, shingle_words: i
         return df.select(*key, *(given.get(name, F.lit(None)).cast(kind_of).alias(name)
                                  for name, kind_of in (c.split() for c in columns)))
 
-    texts = docs.select(*document_key(), "text").join(near.select(*key).distinct(), key, "left_semi")
+    # texts are shuffled only if their bucket holds a wanted document: no wanted one is left out
+    bucket = F.pmod(F.xxhash64(*key), F.lit(DOC_BUCKETS)).alias("bucket")
+    texts = (docs.select(*document_key(), "text").select("*", bucket)
+             .join(F.broadcast(near.select(bucket).distinct()), "bucket", "left_semi")
+             .join(near.select(*key).distinct(), key, "left_semi"))
     asked = near.select(*key, "item").distinct().join(items.select("item", "shingles"), "item")
     # of a document the text comes first, of an item its shingles, then its windows
     dealt = (rows(texts, 0).unionByName(rows(asked, 1)).unionByName(rows(near, 2)).repartition(*key)
