@@ -673,6 +673,27 @@ def test_lm_scores_equal_brute_force(make_docs):
     assert len(none) == len(docs) and {r.n_known for r in none} == {0}
 
 
+def test_lm_contexts_are_cut_by_their_uses():
+    """A context with a third of all uses goes to many shards and floods none; a rare one is in one shard; bigrams of
+    words or contexts that training lacks are not asked for."""
+    rng = np.random.default_rng(4)
+    vocab = np.sort(rng.integers(0, 1 << 64, 30_001, np.uint64))
+    n, shards = len(vocab), 40
+    word = np.arange(n - 1)
+    context = np.where(word % 3 == 0, 0, word)  # number 0 is the hot one
+    uses = np.append(np.ones(n), 1.0)
+    uses[0] = 10_000
+    total = uses.copy()
+    total[[5, 7]] = 0
+    _, _, order = ngram_lm._bigram_questions(context, word, vocab, total, uses, 30_000, shards)
+    hot = [np.count_nonzero(context[at] == 0) for _, at in order]
+    assert sum(h > 0 for h in hot) > shards / 2 and max(len(at) for _, at in order) < 3 * n / shards
+    rare = np.flatnonzero(context == 100)
+    assert sum(bool(np.isin(rare, at).any()) for _, at in order) == 1
+    asked = np.concatenate([at for _, at in order])
+    assert set(range(n - 1)) - set(asked.tolist()) == {5, 7}
+
+
 def test_elias_fano_round_trip(tmp_path):
     rng = np.random.default_rng(0)
     for universe in (10, 1000, 1 << 40, 1 << 62):
