@@ -166,6 +166,10 @@ _DDL = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, ed
         "near_edited double, near_next double")
 
 
+#: Ranges of ids; bounds the quantile sketches, the constant array of cuts and the table of first documents.
+MAX_RANGES = 1 << 14
+
+
 def _ranges(docs: DataFrame, n: int) -> list[int]:
     """At most ``n`` - 1 ids that cut ``docs`` in ranges of about equal size."""
     cuts = docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
@@ -175,15 +179,15 @@ def _ranges(docs: DataFrame, n: int) -> list[int]:
 def fingerprint_with_next(docs: DataFrame, ranges: int | None = None, k: int = K, s: int = S) -> DataFrame:
     """Every text's fingerprint, that of its edited text, and the likeness to this and to the next document's.
 
-    The ids are cut in ``ranges`` of about equal size (four to a shuffle partition), and each range also receives the
-    first document after it: one text more per range, and no other text is copied. A task streams its ranges in order
-    and holds two documents at a time.
+    The ids are cut in ``ranges`` of about equal size (four to a shuffle partition, ``MAX_RANGES`` at most), and each
+    range also receives the first document after it: one text more per range, and no other text is copied. A task
+    streams its ranges in order and holds two documents at a time.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(
         F.col("text").cast("string"), F.lit("")).alias("text"))
     if ranges is None:
-        ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges = min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
     cuts = _ranges(rows.select("doc_id"), ranges)
     rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(
         F.expr(f"cast({_count_below('doc_id', cuts)} AS int)")))
@@ -237,14 +241,10 @@ def fingerprint_with_next(docs: DataFrame, ranges: int | None = None, k: int = K
 
 
 def _count_below(column: str, cuts: list[int]) -> str:
-    """SQL for the number of ``cuts`` below the column, by halving."""
+    """SQL for the number of the ascending ``cuts`` below the column, by halving steps over one constant array."""
     if not cuts:
         return "0"
-
-    def half(low: int, high: int) -> str:
-        if low == high:
-            return str(low)
-        mid = (low + high) // 2
-        return f"CASE WHEN {column} > {cuts[mid]}L THEN {half(mid + 1, high)} ELSE {half(low, mid)} END"
-
-    return half(0, len(cuts))
+    steps = ", ".join(str(1 << k) for k in reversed(range(len(cuts).bit_length())))
+    held = f"array({', '.join(f'{c}L' for c in cuts)})"
+    return (f"aggregate(array({steps}), 0, (low, step) -> CASE WHEN low + step <= {len(cuts)} "
+            f"AND element_at({held}, least(low + step, {len(cuts)})) < {column} THEN low + step ELSE low END)")

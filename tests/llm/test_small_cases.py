@@ -472,6 +472,16 @@ def test_fingerprints(make_docs):
     assert fingerprints.fingerprint_with_next(make_docs([(1, "only one of its kind here")])).first().near_next == 1.0
 
 
+def test_ranges_of_ids_are_found_by_halving(spark):
+    import bisect
+
+    for n in (0, 1, 2, 3, 7, 8, 1000, fingerprints.MAX_RANGES):
+        cuts = [-(1 << 63) + 1, *range(-5, 10 * (n - 1) - 5, 10)][:n]
+        df = spark.range(-20, 200).unionAll(spark.createDataFrame([(-(1 << 63) + 1,), (-(1 << 62),), ((1 << 63) - 1,)], "id long"))
+        got = df.selectExpr("id", f"{fingerprints._count_below('id', cuts)} AS n").collect()
+        assert all(r.n == bisect.bisect_left(cuts, r.id) for r in got)
+
+
 def test_syncmers_are_context_free():
     passage = prose(77, 60)
     inside = fingerprints.anchors(prose(1, 50) + passage + prose(2, 50))[0]
