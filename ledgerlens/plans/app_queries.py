@@ -18,7 +18,7 @@ from ..operators.routing import route_file, route_messages
 from ..session import scratch_path
 from ..sources import files as FS
 from ..sources.sheets import read_sheets
-from ..sources.tables import read_table
+from ..sources.tables import read_table, stream_path
 from ..sources.versions import read_merged
 from ..streaming import streams as ST
 from . import citation_queries as CQ
@@ -49,12 +49,14 @@ def route_messages_q(spark, d):
 
 
 def route_messages_stream(spark, d):
-    """X1 on Structured Streaming: the conversations file arrives as a stream, is routed
-    turn by turn (append mode) into a table, and the table is read back."""
+    """X1 on Structured Streaming: the files of the conversations table (one, or a folder of them)
+    arrive as a stream, are routed turn by turn (append mode) into a table, and the table is read
+    back (by its schema, as a stream without files writes none)."""
     from ..sources.tables import SCHEMAS
+    schema = route_messages_q(spark, d).schema
     out = scratch_path(spark, "routed")
-    ST.route_stream(spark, d, SCHEMAS["conversations"], out, glob="conversations.parquet", prepare=as_messages)
-    return spark.read.parquet(out).select("conv_id", "turn", "route", "command")
+    ST.route_stream(spark, stream_path(d, "conversations"), SCHEMAS["conversations"], out, prepare=as_messages)
+    return spark.read.schema(schema).parquet(out)
 
 
 def uploaded_files(spark: SparkSession, d: str) -> DataFrame:

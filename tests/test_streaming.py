@@ -18,6 +18,24 @@ def test_route_stream_equals_batch(spark, sf_dir):
     assert streamed == batch and len(batch) > 0
 
 
+def test_route_messages_stream_reads_a_folder_of_files(spark):
+    d = scratch_path(spark, "conv_parts")
+    rows = [(c, t, "user", None if t == 3 else f"/go{c} now" if t == 2 else "hello") for c in range(5) for t in range(9)]
+    for part in (rows, [(None, 0, None, "x"), (9, None, "user", None)]):
+        (spark.createDataFrame(part, SCHEMAS["conversations"]).repartition(3).write.mode("append")
+         .parquet(f"{d}/conversations.parquet"))
+    spark.createDataFrame([(1, "x", "y")], SCHEMAS["pages"]).write.parquet(f"{d}/pages.parquet")  # another table
+    got = AQ.route_messages_stream(spark, d)
+    want = AQ.route_messages_q(spark, d)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == len(rows) + 2
+
+
+def test_route_messages_stream_without_files_gives_no_rows(spark, tmp_path):
+    (tmp_path / "conversations.parquet").mkdir()
+    assert AQ.route_messages_stream(spark, str(tmp_path)).collect() == []
+
+
 def test_stream_counts_equal_batch(spark, sf_dir):
     from ledgerlens.plans import citation_queries as CQ
     streamed = {r.violation_type: (r.local, r.state) for r in AQ.stream_counts(spark, sf_dir).collect()}
