@@ -683,6 +683,61 @@ def test_lm_scores_equal_brute_force(make_docs):
     assert len(none) == len(docs) and {r.n_known for r in none} == {0}
 
 
+def test_lm_query_scores_trigrams(spark, make_docs, tmp_path):
+    """Scores of the query against a plain trigram model, with hot pairs of words whose trigrams are cut in many slices."""
+    import zlib
+
+    from ledgerlens.llm import queries
+
+    docs = ODD + [(500 + i, prose(i, 20 + i)) for i in range(40)] + [(600 + i, "the the " * i + prose(i, 9)) for i in range(30)]
+    make_docs(docs, clash=False).write.parquet(str(tmp_path / "documents.parquet"))
+    train = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 != 2
+    uni, bi, tri, ctx, ctx2 = (collections.Counter() for _ in range(5))
+    for d, t in docs:
+        words = [0, *(t or "").encode().lower().split(), None]
+        if train(d):
+            uni.update(words[1:])
+            for c, n, of in ((bi, 2, 0), (ctx, 1, 1), (tri, 3, 0), (ctx2, 2, 1)):
+                c.update(tuple(words[i:i + n]) for i in range(len(words) - n + 1 - of))
+    n, v, m = sum(uni.values()), len(uni), ngram_lm.DIRICHLET
+
+    def p(*w):
+        if len(w) == 1:
+            return (uni[w[0]] + 1) / (n + v + 1)
+        count, of = (bi[w], ctx[w[:1]]) if len(w) == 2 else (tri[w], ctx2[w[:2]])
+        return (count + m * p(*w[1:])) / (of + m)
+
+    def score(t):
+        words = [0, *(t or "").encode().lower().split(), None]
+        return sum(math.log10(p(*words[max(0, i - 2):i + 1])) for i in range(1, len(words)))
+
+    want = collections.Counter((d, train(d), round(score(t), 4)) for d, t in docs)
+    got = queries.op4_lm_scoring(spark, str(tmp_path)).collect()
+    assert collections.Counter((r.doc_id, not r.held_out, round(r.score, 4)) for r in got) == want
+    blocks = ngram_lm.score_documents(make_docs(docs).withColumn("train", F.crc32(F.coalesce(
+        F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2), block_bytes=500, order=3).collect()
+    assert collections.Counter((r.doc_id, not r.held_out, round(r.score, 4)) for r in blocks) == want
+
+
+def test_lm_trie_finds_what_it_holds(tmp_path):
+    """Counts of bigrams and trigrams, from a memory map; nodes that only lead on and n-grams without a count have none."""
+    contexts = np.array([3, 9, 1 << 40], np.uint64)
+    parent, child = np.array([0, 0, 1, 2, 2]), np.array([5, 700, 5, 0, 1], np.uint64)
+    count = np.array([1, 0, 123_456, 0, 999])
+    owner, grand = np.array([0, 1, 1, 3, 4]), np.array([1, 0, 8, 7, 7], np.uint64)
+    count3 = np.array([1, 0, 17, 0, 2])
+    built = ngram_lm.TrieShard.build(contexts, parent, child, count, owner, grand, count3)
+    assert built.bigrams.children.n == 4 and built.trigrams.children.n == 3
+    (tmp_path / "shard").write_bytes(built.to_bytes())
+    trie = ngram_lm.TrieShard.from_buffer(np.memmap(tmp_path / "shard", np.uint8, "r"))
+    codes = trie.codes(contexts, parent, child, owner, grand)
+    assert ngram_lm._count(codes[0]) == pytest.approx(count, rel=3e-4)
+    assert (ngram_lm._count(codes[1]) == count3).all() and (ngram_lm._count(codes[0])[[0, 1, 3, 4]] == [1, 0, 0, 999]).all()
+    other = trie.codes(np.array([4, 9], np.uint64), np.array([0, 1]), np.array([5, 1 << 31], np.uint64), np.array([0, 1]),
+                       np.array([1, 1], np.uint64))
+    assert [c.tolist() for c in other] == [[0, 0], [0, 0]]
+
+
 def test_lm_contexts_are_cut_by_their_uses():
     """A context with a third of all uses goes to many shards and floods none; a rare one is in one shard; bigrams of
     words or contexts that training lacks are not asked for."""
